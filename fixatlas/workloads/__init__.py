@@ -1,4 +1,4 @@
 """Registered queries over the given tables."""
 
-from fixatlas.workloads import release_queries  # noqa: F401
+from fixatlas.workloads import page_queries, release_queries, text_queries, url_queries  # noqa: F401
 from fixatlas.workloads.registry import EXPECTED, QUERIES  # noqa: F401
