@@ -77,7 +77,7 @@ def shape(documents: DataFrame, doc: str = "value") -> DataFrame:
             "versions is not a list",
         )
     )
-    return documents.select(doc, problem.alias("problem")).filter("problem is not null")
+    return documents.withColumn("problem", problem).filter("problem is not null")
 
 
 def bad_generated_at(metadata: DataFrame, now: Column) -> DataFrame:

@@ -138,16 +138,33 @@ def change_counts(releases: DataFrame) -> DataFrame:
     return release_changes(releases).groupBy("version", "type").agg(F.count("*").alias("n"))
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").json(path)
+def write_report(stats: DataFrame, failures: DataFrame, path: str) -> None:
+    """A load report as two sets of JSON lines: counts per product, one line per failure."""
+    stats.write.mode("overwrite").json(f"{path}/stats")
+    failures.write.mode("overwrite").json(f"{path}/failures")
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REPORT_SCHEMA).json(path)
+STATS_SCHEMA = (
+    "product_id string, versions bigint, known bigint, addressed bigint, failed bigint"
+)
+FAILURE_SCHEMA = (
+    "url string, error string, product_id string, version string, issue_type string"
+)
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return (
+        spark.read.schema(STATS_SCHEMA).json(f"{path}/stats"),
+        spark.read.schema(FAILURE_SCHEMA).json(f"{path}/failures"),
+    )
 
 
-def failed_fetches(report: DataFrame) -> DataFrame:
-    return report.select(F.explode("failed_fetches").alias("_f")).select("_f.*")
+def read_report_file(spark: SparkSession, path: str) -> DataFrame:
+    """Failed pages of a report kept as one JSON document."""
+    report = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
+    return report.select(F.explode("failed_fetches").alias("_f")).select(
+        "_f.url", "_f.error", F.col("_f.product").alias("product_id"), "_f.version", "_f.issue_type"
+    )
 
 
 def read_cache(spark: SparkSession, path: str, version: int = fixed.SNAPSHOT_SCHEMA_VERSION):

@@ -19,15 +19,14 @@ def _emit_changed(ttl_ms: int):
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        seen = state.getOption
-        last = seen[0] if seen else None
+        last = state.get[0] if state.exists else None
         keep = []
         for lastmod in rows["lastmod"]:
             lastmod = None if pd.isna(lastmod) else lastmod
             keep.append(lastmod is None or lastmod != last)
             last = lastmod
         state.update((last,))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(int(rows["seen_ms"].max()) + ttl_ms)
         yield rows.loc[keep, ["product_id", "url", "lastmod", "seq"]]
 
     return step
@@ -36,18 +35,24 @@ def _emit_changed(ttl_ms: int):
 def changed_pages(pages: DataFrame, ttl_hours: int = fixed.CACHE_TTL_HOURS) -> DataFrame:
     """Pages of a stream whose last-modified text differs from the one seen before.
 
-    State is one text per (product, URL).  Entries expire after the lifetime, after
-    which the page counts as new; a page without a date always passes.
+    State is one text per (product, URL).  An entry not renewed within the lifetime
+    expires, after which the page counts as new; a page without a date always passes.
+    The clock is the arrival of a batch: it never runs behind, so no page is late,
+    and unlike a processing-time timeout it lets an ``availableNow`` run end.
     """
+    arrived = pages.select("product_id", "url", "lastmod", "seq").withColumn(
+        "seen_at", F.current_timestamp()
+    )
     return (
-        pages.select("product_id", "url", "lastmod", "seq")
+        arrived.withWatermark("seen_at", "1 hour")
+        .withColumn("seen_ms", F.unix_millis("seen_at"))
         .groupBy("product_id", "url")
         .applyInPandasWithState(
             _emit_changed(ttl_hours * 3_600_000),
             CHANGED_SCHEMA,
             _STATE,
             "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
 

@@ -34,7 +34,7 @@ def _pages(spark, data_dir, row, before="''", after="''", **options):
 
 
 @query("page_titles", r"""
-select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as raw_title from pages""")
+select page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as raw_title from pages""")
 def page_titles(spark, data_dir):
     parsed = parse_pages(table(spark, data_dir, "pages"), "title")
     return parsed.select("page_id", "url", F.replace("title", F.lit("&"), F.lit("&amp;")).alias("raw_title"))
