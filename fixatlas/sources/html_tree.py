@@ -13,19 +13,19 @@ from html import unescape
 # Quotes only count after "=", and "<" ends an unfinished tag: input that is cut
 # off or badly quoted costs one pass, not one pass per tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^<>]*>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\Z)"
+    r"|</([a-zA-Z][^\s/>]*)[^<>]*>"
     r"|<([a-zA-Z][^\s/<>]*)((?:[^<>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+)>",
-    re.S,
+    re.S | re.I,
 )
 _ATTR = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
 _INLINE = re.compile(r"display:\s?inline")
 
-# HTML elements without content, and with content that is not text.
+# HTML elements without content.
 _VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
     "track", "wbr",
 }
-_RAW = {"script", "style"}
 
 # Optional end tags of HTML - which new element closes an open one.
 _BLOCK = {
@@ -67,61 +67,65 @@ class Node:
         return name in self.attrs.get("class", "").split()
 
 
-def _attributes(text):
-    return {
-        m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)
-    }
+_NO_ATTRS: dict = {}
+_READ_ATTRS = {"a", "div", "h2", "h3"}
+
+
+def _attributes(tag, text):
+    """Attributes where something reads them: links, blocks, topic titles and roles."""
+    if "=" not in text or not (tag in _READ_ATTRS or "role" in text):
+        return _NO_ATTRS
+    found = {}
+    for name, double, single, bare in _ATTR.findall(text):
+        value = double or single or bare
+        found[name.lower()] = unescape(value) if "&" in value else value
+    return found
 
 
 def read_tree(html):
     """Tree of a page; inline ``div`` wrappers inside tables leave no node."""
-    root = Node("", {})
-    open_nodes = [("", root)]
-    tables, pos, end = 0, 0, len(html)
-
-    def shut(depth):
-        nonlocal tables
-        tables -= sum(tag == "table" for tag, _ in open_nodes[depth:])
-        del open_nodes[depth:]
-
-    while pos < end:
-        token = _TOKEN.search(html, pos)
-        start = token.start() if token else end
+    root = Node("", _NO_ATTRS)
+    tags, nodes = [""], [root]
+    tables = pos = 0
+    for token in _TOKEN.finditer(html):
+        start = token.start()
         if start > pos:
             text = html[pos:start]
             if not text.isspace():
-                open_nodes[-1][1].kids.append(unescape(text) if "&" in text else text)
-        if not token:
-            break
+                nodes[-1].kids.append(unescape(text) if "&" in text else text)
         pos = token.end()
-        if token[2]:
-            tag, rest = token[2].lower(), token[3]
-            while tag in _CLOSED_BY.get(open_nodes[-1][0], ()):
-                shut(len(open_nodes) - 1)
-            attrs = _attributes(rest) if "=" in rest else {}
-            parent = open_nodes[-1][1]
+        end_tag, tag, rest = token.groups()
+        if tag is not None:
+            tag = tag.lower()
+            while tag in _CLOSED_BY.get(tags[-1], _NO_ATTRS):
+                tables -= tags.pop() == "table"
+                nodes.pop()
+            attrs = _attributes(tag, rest)
             if tag == "div" and tables and _INLINE.search(attrs.get("style", "")):
-                open_nodes.append((tag, parent))
+                tags.append(tag)
+                nodes.append(nodes[-1])
                 continue
             node = Node(tag, attrs)
-            parent.kids.append(node)
-            if tag in _RAW:
-                close = re.compile(rf"</{tag}\s*>", re.I).search(html, pos)
-                pos = close.end() if close else end
-            elif tag not in _VOID and not rest.endswith("/"):
-                open_nodes.append((tag, node))
+            nodes[-1].kids.append(node)
+            if tag not in _VOID and rest[-1:] != "/":
+                tags.append(tag)
+                nodes.append(node)
                 tables += tag == "table"
-        elif token[1]:
-            tag = token[1].lower()
-            rank = _RANK.get(tag, 100)
+        elif end_tag is not None:
+            tag = end_tag.lower()
             if tag in ("html", "body"):
                 continue
-            for depth in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[depth][0] == tag:
-                    shut(depth)
-                    break
-                if _RANK.get(open_nodes[depth][0], 100) > rank:
-                    break
+            depth = len(tags) - 1
+            if tags[depth] != tag:
+                rank = _RANK.get(tag, 100)
+                while depth and tags[depth] != tag and _RANK.get(tags[depth], 100) <= rank:
+                    depth -= 1
+            if depth and tags[depth] == tag:
+                tables -= tags[depth:].count("table")
+                del tags[depth:], nodes[depth:]
+    rest = html[pos:]
+    if rest and not rest.isspace():
+        nodes[-1].kids.append(unescape(rest))
     return root
 
 
@@ -166,17 +170,22 @@ def _nested_table_text(table):
 
 
 def _cell(node):
-    texts = []
-    for kid in walk(node, _not_table):
-        if isinstance(kid, str):
-            texts.append(kid)
-        elif kid.tag == "table":
-            texts.append(f" [{_nested_table_text(kid)}] ")
-    parts = [fused(d) for d in find_all(node, ("div",)) if d.has_class("p")]
+    outer = [k for k in walk(node, _not_table)]
+    plain = [
+        k if isinstance(k, str) else f" [{_nested_table_text(k)}] "
+        for k in outer
+        if isinstance(k, str) or k.tag == "table"
+    ]
+    nested = any(not isinstance(k, str) and k.tag == "table" for k in outer)
+    everything = list(walk(node)) if nested else outer
+    parts = [
+        fused(k) for k in everything
+        if not isinstance(k, str) and k.tag == "div" and k.has_class("p")
+    ]
     return {
         "tag": node.tag,
-        "spaced": _joined(texts),
-        "fused": fused(node),
+        "spaced": _joined(plain),
+        "fused": "".join([k.strip() for k in everything if isinstance(k, str)]),
         "parts": [p for p in parts if p],
     }
 

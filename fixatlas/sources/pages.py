@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +83,7 @@ def parse_pages(pages: DataFrame, *parts: str, html: str = "html") -> DataFrame:
     names = [f.name for f in kept]
 
     def read(batches):
+        gc.disable()  # page trees hold no cycles; tracking them only costs time
         for batch in batches:
             docs = [
                 read_page(h, parts) if h is not None else dict.fromkeys(parts)

@@ -1,13 +1,20 @@
-"""Incremental intake as Structured Streaming jobs."""
+"""Incremental intake as Structured Streaming jobs.
+
+`gate_batch` is the one to use for crawls: per micro-batch it is the same anti join as
+the batch gate, all in the JVM, and its state is a table others can read.
+`changed_pages` keeps the state in the stream itself, for small continuous feeds
+where every single change matters; it costs a Python call per URL.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fixatlas import fixed
+from fixatlas.operators.discovery import changed_urls
 
 CHANGED_SCHEMA = "product_id string, url string, lastmod string, seq bigint"
 _STATE = "lastmod string"
@@ -57,6 +64,51 @@ def changed_pages(pages: DataFrame, ttl_hours: int = fixed.CACHE_TTL_HOURS) -> D
     )
 
 
+def gate_batch(path: str, ttl_hours: int = fixed.CACHE_TTL_HOURS):
+    """``foreachBatch`` step that keeps a manifest and writes the pages that changed.
+
+    Of several captures of a page in one batch the latest counts.  A batch reads only
+    what earlier batches recorded within the lifetime and replaces only its own
+    folders, so running it again after a failure gives the same result.  Recorded
+    batches older than the lifetime are never read again and can be deleted.
+    """
+    manifest_path, changed_path = f"{path}/manifest", f"{path}/changed"
+    schema = f"{CHANGED_SCHEMA}, seen_at timestamp, batch bigint"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = Window.partitionBy("product_id", "url").orderBy(F.col("seq").desc())
+
+        def latest(df):
+            return df.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+
+        due = seen = latest(batch.select("product_id", "url", "lastmod", "seq"))
+        if batch_id > 0:
+            oldest = F.current_timestamp() - F.make_dt_interval(hours=F.lit(ttl_hours))
+            recorded = (
+                spark.read.schema(schema).option("basePath", manifest_path).parquet(manifest_path)
+                .filter((F.col("batch") < batch_id) & (F.col("seen_at") > oldest))
+            )
+            due = changed_urls(seen, latest(recorded))
+        due.write.mode("overwrite").parquet(f"{changed_path}/batch={batch_id}")
+        seen.withColumn("seen_at", F.current_timestamp()).write.mode("overwrite").parquet(
+            f"{manifest_path}/batch={batch_id}"
+        )
+
+    return step
+
+
+def run_gate(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Processes what is there and stops; output and progress are on shared storage."""
+    query = (
+        stream.writeStream.foreachBatch(gate_batch(path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Processes what is there and stops; output and progress are on shared storage."""
     query = (

@@ -26,20 +26,21 @@ def _run_increments(spark, rows, run):
 
 
 @query("stream_changed_pages", WITH_FACTS + f""", s as (
-  select product_id, {PAGE_URL_SQL} as url, {_LASTMOD} as lastmod, {_SEQ} as seq from facts),
-l as (select *, lag(lastmod) over (partition by product_id, url order by seq) as before from s)
-select product_id, url, lastmod, seq from l where lastmod is null or before is null
-  or lastmod <> before""")
+  select product_id, {PAGE_URL_SQL} as url, {_LASTMOD} as lastmod, {_SEQ} as seq, {_STEP} as step
+  from facts),
+n as (select *, row_number() over (partition by product_id, url, step order by seq desc) as n from s),
+l as (select *, lag(lastmod) over (partition by product_id, url order by step) as before
+  from n where n = 1)
+select product_id, url, lastmod, seq, cast(step as bigint) as batch from l
+where lastmod is null or before is null or lastmod <> before""")
 def stream_changed_pages(spark, data_dir):
     rows = facts(spark, data_dir).selectExpr(
         "product_id", f"{PAGE_URL_SQL} as url", f"{_LASTMOD} as lastmod", f"{_SEQ} as seq",
         "l_returnflag",
     )
-    out, checkpoint = fresh_folder(spark, "changed"), fresh_folder(spark, "checkpoint")
-    _run_increments(
-        spark, rows, lambda s: intake.run_available(intake.changed_pages(s), out, checkpoint)
-    )
-    return spark.read.schema(intake.CHANGED_SCHEMA).parquet(out)
+    path, checkpoint = fresh_folder(spark, "gate"), fresh_folder(spark, "checkpoint")
+    _run_increments(spark, rows, lambda s: intake.run_gate(s, path, checkpoint))
+    return spark.read.schema(f"{intake.CHANGED_SCHEMA}, batch bigint").parquet(f"{path}/changed")
 
 
 @query("stream_merge", WITH_FACTS + f""", s as (
