@@ -17,7 +17,7 @@ from fixatlas import fixed
 from fixatlas.operators.discovery import changed_urls
 
 CHANGED_SCHEMA = "product_id string, url string, lastmod string, seq bigint"
-_STATE = "lastmod string"
+_STATE = "lastmod string, seen_ms bigint"
 
 
 def _emit_changed(ttl_ms: int):
@@ -26,14 +26,17 @@ def _emit_changed(ttl_ms: int):
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        last = state.get[0] if state.exists else None
+        now = int(rows["seen_ms"].max())
+        last = None
+        if state.exists and now - state.get[1] < ttl_ms:
+            last = state.get[0]
         keep = []
         for lastmod in rows["lastmod"]:
             lastmod = None if pd.isna(lastmod) else lastmod
             keep.append(lastmod is None or lastmod != last)
             last = lastmod
-        state.update((last,))
-        state.setTimeoutTimestamp(int(rows["seen_ms"].max()) + ttl_ms)
+        state.update((last, now))
+        state.setTimeoutTimestamp(now + ttl_ms)
         yield rows.loc[keep, ["product_id", "url", "lastmod", "seq"]]
 
     return step
