@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from fixatlas import fixed
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used.
+
+    Chained text rules refer to their input many times; written out, each step would
+    multiply the regular expressions of the step before.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -45,16 +54,36 @@ _FIX_SENTENCE = (
 _FIX_WHOLE = r"(?iUd)^This\s+issue\s+is\s+resolved\s+in\s+(.+?)\.?$"
 
 
+def _cut_at(text: Column, pattern: str) -> Column:
+    """The three parts of a text around the first sentence of a kind."""
+    return F.struct(
+        *[F.regexp_extract(text, pattern, n).alias(f"_{n}") for n in (1, 2, 3)],
+    )
+
+
 def split_workaround(description: Column) -> Column:
     """``struct(description, workaround)``; the text is untouched when there is none."""
-    found = blank_to_null(collapse(F.regexp_extract(description, _WORKAROUND, 2)))
-    rest = _cut(
-        F.regexp_extract(description, _WORKAROUND, 1),
-        F.regexp_extract(description, _WORKAROUND, 3),
-    )
-    return F.struct(
-        F.when(found.isNotNull(), rest).otherwise(description).alias("description"),
-        found.alias("workaround"),
+
+    def unchanged(text):
+        return F.struct(text.alias("description"), F.lit(None).cast("string").alias("workaround"))
+
+    def rebuild(text):
+        def parts(p):
+            return F.struct(
+                _cut(p["_1"], p["_3"]).alias("description"),
+                blank_to_null(collapse(p["_2"])).alias("workaround"),
+            )
+
+        return let(
+            let(_cut_at(text, _WORKAROUND), parts),
+            lambda w: F.when(w["workaround"].isNotNull(), w).otherwise(unchanged(text)),
+        )
+
+    return let(
+        description,
+        lambda text: F.when(F.lower(text).contains("workaround"), rebuild(text)).otherwise(
+            unchanged(text)
+        ),
     )
 
 
@@ -64,21 +93,37 @@ def split_fix_info(description: Column, known_fix: Column | None = None) -> Colu
     A fix text that is already known is only reworded and keeps the description
     whole; a sentence is only cut out when some description is left.
     """
-    known = F.lit(None).cast("string") if known_fix is None else blank_to_null(known_fix)
-    reworded = blank_to_null(strip(F.regexp_extract(strip(known), _FIX_WHOLE, 1)))
-    known = F.coalesce(F.concat(F.lit("Resolved in "), reworded), known)
-    fix = F.regexp_extract(description, _FIX_SENTENCE, 2)
-    rest = _cut(
-        F.regexp_extract(description, _FIX_SENTENCE, 1),
-        F.regexp_extract(description, _FIX_SENTENCE, 3),
-    )
-    cut = known.isNull() & (fix != "") & (rest != "")
-    return F.struct(
-        F.when(cut, rest).otherwise(description).alias("description"),
-        F.coalesce(known, F.when(cut, F.concat(F.lit("Resolved in "), strip(fix)))).alias(
-            "fix_info"
-        ),
-    )
+    null = F.lit(None).cast("string")
+
+    def result(text, fix):
+        return F.struct(text.alias("description"), fix.alias("fix_info"))
+
+    def reword(known):
+        plain = blank_to_null(strip(F.regexp_extract(strip(known), _FIX_WHOLE, 1)))
+        return F.coalesce(F.concat(F.lit("Resolved in "), plain), known)
+
+    def rebuild(text):
+        def parts(p):
+            found = F.when(p["_2"] != "", F.concat(F.lit("Resolved in "), strip(p["_2"])))
+            return result(_cut(p["_1"], p["_3"]), found)
+
+        return let(
+            let(_cut_at(text, _FIX_SENTENCE), parts),
+            lambda f: F.when(f["fix_info"].isNotNull() & (f["description"] != ""), f).otherwise(
+                result(text, null)
+            ),
+        )
+
+    def choose(x):
+        text, known = x["text"], blank_to_null(x["known"])
+        return (
+            F.when(known.isNotNull(), result(text, reword(known)))
+            .when(F.lower(text).contains("resolved"), rebuild(text))
+            .otherwise(result(text, null))
+        )
+
+    known = null if known_fix is None else known_fix
+    return let(F.struct(description.alias("text"), known.alias("known")), choose)
 
 
 _ID_AND_TAIL = r"(?Ud)^([A-Z]+-\d+)(.*)$"
@@ -98,18 +143,27 @@ _LEADING_GROUPS = r"(?U)^((?:\([^)]+\)\s*)+)"
 
 def split_components(description: Column) -> Column:
     """``struct(description, affected_components)`` peeling leading ``(...)`` groups."""
-    text = strip(description)
-    head = F.regexp_extract(text, _LEADING_GROUPS, 1)
-    names = F.filter(
-        F.transform(F.regexp_extract_all(head, F.lit(r"\(([^)]+)\)"), 1), strip),
-        lambda x: x != "",
-    )
-    found = F.size(names) > 0
-    rest = strip(F.regexp_replace(text, _LEADING_GROUPS, ""))
-    return F.struct(
-        F.when(found, rest).otherwise(description).alias("description"),
-        F.when(found, names).alias("affected_components"),
-    )
+
+    def result(text, names):
+        return F.struct(text.alias("description"), names.alias("affected_components"))
+
+    def peel(text):
+        head = F.regexp_extract(text, _LEADING_GROUPS, 1)
+        names = F.transform(F.regexp_extract_all(head, F.lit(r"\(([^)]+)\)"), 1), strip)
+        return result(
+            strip(F.regexp_replace(text, _LEADING_GROUPS, "")),
+            F.filter(names, lambda x: x != ""),
+        )
+
+    def choose(text):
+        unchanged = result(text, F.lit(None).cast("array<string>"))
+        peeled = let(
+            peel(strip(text)),
+            lambda c: F.when(F.size(c["affected_components"]) > 0, c).otherwise(unchanged),
+        )
+        return F.when(text.contains("("), peeled).otherwise(unchanged)
+
+    return let(description, choose)
 
 
 def split_ids(text: Column) -> Column:
@@ -117,17 +171,26 @@ def split_ids(text: Column) -> Column:
 
     All or nothing: otherwise the whole text comes back as the only element.
     """
+    def choose(x):
+        residue = F.regexp_replace(x["text"], fixed.BUG_ID_SPLIT, "")
+        several = (F.size(x["ids"]) >= 2) & residue.rlike(r"^(?U)(?:[\s,/]|and)*$")
+        return F.when(several, x["ids"]).otherwise(F.array(x["text"]))
+
     ids = F.regexp_extract_all(text, F.lit(f"({fixed.BUG_ID_SPLIT})"), 1)
-    residue = F.regexp_replace(text, fixed.BUG_ID_SPLIT, "")
-    several = (F.size(ids) >= 2) & residue.rlike(r"^(?U)(?:[\s,/]|and)*$")
-    return F.when(several, ids).otherwise(F.array(text))
+    return let(F.struct(text.alias("text"), ids.alias("ids")), choose)
 
 
 def split_id_cell(fused: Column, parts: Column) -> Column:
     """Identifiers of a table cell: by its paragraphs if they all are ids, else as one text."""
     by_part = F.flatten(F.transform(F.filter(parts, lambda p: p != ""), split_ids))
-    good = (F.size(by_part) > 1) & F.forall(by_part, lambda i: i.rlike(f"^{fixed.BUG_ID_SPLIT}$"))
-    return F.when(good, by_part).otherwise(split_ids(fused))
+
+    def choose(found):
+        good = (F.size(found) > 1) & F.forall(
+            found, lambda i: i.rlike(f"^{fixed.BUG_ID_SPLIT}$")
+        )
+        return F.when(good, found).otherwise(split_ids(fused))
+
+    return let(by_part, choose)
 
 
 def month_number(name: Column) -> Column:
@@ -169,35 +232,50 @@ def _platform_name(text: Column) -> Column:
 
 def aria_row(issue: Column, description: Column, platform: Column) -> Column:
     """One row of an ARIA table as an array of issue structs, empty without an id."""
-    raw = F.translate(issue, _DASHES, "---")
-    tagged = F.filter(
-        F.transform(F.regexp_extract_all(raw, F.lit(r"\(([^)]*)\)"), 1), _platform_name),
-        lambda p: p.isNotNull(),
-    )
-    listed = F.transform(
-        F.filter(
-            F.transform(F.split(F.coalesce(platform, F.lit("")), ","), strip),
-            lambda p: ~F.lower(p).isin(fixed.NON_PLATFORMS),
-        ),
-        lambda p: F.coalesce(_platform_name(p), p),
-    )
-    components = F.array_union(tagged, listed)
-    plain = F.regexp_replace(raw, r"\([^)]*\)", " ")
-    ids = F.regexp_extract_all(plain, F.lit(f"({fixed.BUG_ID_ARIA})"), 1)
-    tail = F.regexp_extract(plain, rf"(?s)^.*{fixed.BUG_ID_ARIA}(.*?)$", 1)
-    tail = F.regexp_replace(collapse(tail), r"^[ ,;:.\-]+|[ ,;:.\-]+$", "")
-    text = collapse(F.coalesce(description, F.lit("")))
-    cleaned = split_workaround(text)
-    return F.transform(
-        ids,
-        lambda i: F.struct(
-            i.alias("bug_id"),
-            F.coalesce(blank_to_null(cleaned["description"]), text).alias("description"),
-            cleaned["workaround"].alias("workaround"),
-            F.when(tail.rlike("[A-Za-z]{3}"), tail).alias("fix_info"),
-            F.when(F.size(components) > 0, components).alias("affected_components"),
-        ),
-    )
+
+    def cells(raw):
+        tagged = F.filter(
+            F.transform(F.regexp_extract_all(raw, F.lit(r"\(([^)]*)\)"), 1), _platform_name),
+            lambda p: p.isNotNull(),
+        )
+        listed = F.transform(
+            F.filter(
+                F.transform(F.split(F.coalesce(platform, F.lit("")), ","), strip),
+                lambda p: ~F.lower(p).isin(fixed.NON_PLATFORMS),
+            ),
+            lambda p: F.coalesce(_platform_name(p), p),
+        )
+        return F.struct(
+            F.regexp_replace(raw, r"\([^)]*\)", " ").alias("plain"),
+            F.array_union(tagged, listed).alias("components"),
+            collapse(F.coalesce(description, F.lit(""))).alias("text"),
+        )
+
+    def read(c):
+        tail = F.regexp_extract(c["plain"], rf"(?s)^.*{fixed.BUG_ID_ARIA}(.*?)$", 1)
+        return F.struct(
+            F.regexp_extract_all(c["plain"], F.lit(f"({fixed.BUG_ID_ARIA})"), 1).alias("ids"),
+            F.regexp_replace(collapse(tail), r"^[ ,;:.\-]+|[ ,;:.\-]+$", "").alias("tail"),
+            split_workaround(c["text"]).alias("cleaned"),
+            c["text"].alias("text"),
+            F.when(F.size(c["components"]) > 0, c["components"]).alias("components"),
+        )
+
+    def fan_out(r):
+        return F.transform(
+            r["ids"],
+            lambda i: F.struct(
+                i.alias("bug_id"),
+                F.coalesce(blank_to_null(r["cleaned"]["description"]), r["text"]).alias(
+                    "description"
+                ),
+                r["cleaned"]["workaround"].alias("workaround"),
+                F.when(r["tail"].rlike("[A-Za-z]{3}"), r["tail"]).alias("fix_info"),
+                r["components"].alias("affected_components"),
+            ),
+        )
+
+    return let(let(let(F.translate(issue, _DASHES, "---"), cells), read), fan_out)
 
 
 def show_fix_info(fix_info: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fixatlas import fixed
-from fixatlas.functions.text import blank_to_null
+from fixatlas.functions.text import blank_to_null, let
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -21,9 +21,12 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 def product_of(url: Column, prefixes=None) -> Column:
     """Product of the longest fragment contained in the URL; the first declared wins a tie."""
-    lowered = F.lower(url)
     by_length = sorted(prefixes or fixed.PRODUCT_PREFIXES, key=lambda p: -len(p[1]))
-    return F.coalesce(*[F.when(lowered.contains(p.lower()), F.lit(pid)) for pid, p in by_length])
+
+    def first_match(low):
+        return F.coalesce(*[F.when(low.contains(p.lower()), F.lit(pid)) for pid, p in by_length])
+
+    return let(F.lower(url), first_match)
 
 
 def is_issue_page(url: Column) -> Column:

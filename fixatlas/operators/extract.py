@@ -153,16 +153,35 @@ def _valid_ids(row: Column) -> Column:
 
 
 def clean_text(df: DataFrame, fix_info: Column | None = None) -> DataFrame:
-    """Workaround, fix sentence and components out of ``text``, in this order."""
-    out = df.withColumn("_w", tx.split_workaround(F.col("text")))
-    out = out.withColumn("_f", tx.split_fix_info(F.col("_w.description"), fix_info))
-    out = out.withColumn("_c", tx.split_components(F.col("_f.description")))
-    return out.select(
-        *[c for c in df.columns if c not in ("text", "fix_info")],
-        F.col("_c.description").alias("description"),
-        F.col("_w.workaround").alias("workaround"),
-        F.col("_f.fix_info").alias("fix_info"),
-        F.col("_c.affected_components").alias("affected_components"),
+    """Workaround, fix sentence and components out of ``text``, in this order.
+
+    One expression with named steps: as separate columns the optimizer would merge
+    the steps and repeat each of them for every use.
+    """
+    known = F.lit(None).cast("string") if fix_info is None else fix_info
+
+    def fix(w):
+        return F.struct(
+            w["workaround"].alias("workaround"),
+            tx.split_fix_info(w["description"], known).alias("f"),
+        )
+
+    def components(x):
+        return F.struct(
+            x["workaround"].alias("workaround"),
+            x["f"]["fix_info"].alias("fix_info"),
+            tx.split_components(x["f"]["description"]).alias("c"),
+        )
+
+    steps = tx.let(tx.let(tx.split_workaround(F.col("text")), fix), components)
+    kept = [c for c in df.columns if c not in ("text", "fix_info")]
+    # Exploding a one-element array keeps the struct whole, so it is computed once.
+    return df.select(*kept, F.explode(F.array(steps)).alias("_s")).select(
+        *kept,
+        F.col("_s.c.description").alias("description"),
+        F.col("_s.workaround").alias("workaround"),
+        F.col("_s.fix_info").alias("fix_info"),
+        F.col("_s.c.affected_components").alias("affected_components"),
     )
 
 

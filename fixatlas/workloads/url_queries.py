@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fixatlas import fixed
 from fixatlas.functions import urls as ux
 from fixatlas.operators import discovery
+from fixatlas.sources.scratch import fresh_folder
 from fixatlas.workloads.derived import WITH_FACTS, facts
 from fixatlas.workloads.registry import query
 
@@ -44,13 +45,22 @@ _URL_DUCK = _inventory_sql(_PREFIX_DUCK)
 def inventory(spark, data_dir):
     """One URL per derived row, ordered like its row."""
     rows = facts(spark, data_dir)
-    return rows.withColumns(
+    built = rows.withColumns(
         {
             "url": F.expr(_URL),
             "lastmod": F.col("release_date"),
             "ordinal": F.col("row_ordinal"),
         }
     )
+    return built
+
+
+def stored_inventory(spark, data_dir, *columns):
+    """The inventory as the stored table it is in use: rules read a column, not its recipe."""
+    path = fresh_folder(spark, "inventory")
+    rows = inventory(spark, data_dir).select(*columns)
+    rows.repartition(2 * spark.sparkContext.defaultParallelism, "url").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("url_classify", WITH_FACTS + f"""
@@ -268,10 +278,8 @@ _LISTED = f"""select {_PRODUCT_DUCK} as product_id, case when hot = 0 and l_tax
 
 
 def _listed(spark, data_dir):
-    rows = inventory(spark, data_dir).filter("v3 <> 2")
-    return discovery.version_pages(
-        discovery.classify_inventory(rows.select("url", "ordinal"))
-    )
+    rows = stored_inventory(spark, data_dir, "url", "ordinal", "v3").filter("v3 <> 2")
+    return discovery.version_pages(discovery.classify_inventory(rows))
 
 
 @query("version_pages", WITH_FACTS + f", listed as ({_LISTED}) select * from listed")
@@ -294,7 +302,7 @@ select product_id, concat(v1, '-', v2) as major_version,
   row_number() over (partition by product_id order by v1 desc, v2 desc) as place from m""")
 def distinct_majors(spark, data_dir):
     majors = discovery.distinct_majors(
-        discovery.classify_inventory(inventory(spark, data_dir).select("url"))
+        discovery.classify_inventory(stored_inventory(spark, data_dir, "url"))
     )
     order = Window.partitionBy("product_id").orderBy(F.desc("major_key"))
     return majors.select(
@@ -314,7 +322,9 @@ select {KEYS}, product_id, url, lastmod from (
 where not exists (select 1 from m where m.product_id = f.product_id and m.url = f.url
   and m.lastmod = f.lastmod)""")
 def changed_urls(spark, data_dir):
-    rows = inventory(spark, data_dir).withColumn("product_id", ux.product_of(F.col("url")))
+    rows = stored_inventory(
+        spark, data_dir, *KEY, "url", "lastmod", "release_date", "l_returnflag"
+    ).withColumn("product_id", ux.product_of(F.col("url")))
     manifest = rows.filter("l_returnflag <> 'N'").select(
         "product_id", "url", F.expr(_RECORDED).alias("lastmod")
     )
@@ -352,5 +362,6 @@ def profile_dispatch(spark, data_dir):
         F.col("v3") == 7,
         F.concat(F.lit(f"{fixed.DOCS_HOST}/pan-os/10-2{_TREE}"), "l_orderkey", F.lit("/known-issues-in-ts-agent")),
     ).otherwise(F.expr(_URL))
-    rows = facts(spark, data_dir).select(*KEY, url.alias("url"))
-    return discovery.dispatch(rows).select(*KEY, "product_id", "layout")
+    path = fresh_folder(spark, "inventory")
+    facts(spark, data_dir).select(*KEY, url.alias("url")).write.parquet(path)
+    return discovery.dispatch(spark.read.parquet(path)).select(*KEY, "product_id", "layout")
