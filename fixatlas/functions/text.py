@@ -1,8 +1,9 @@
 """Text clean-up of issue rows, as Column -> Column functions.
 
-All patterns carry ``(?U)`` because release notes are full of no-break spaces:
-without it Java's ``\\s`` and ``\\b`` only know ASCII.  Functions that split a
-text in two return a struct, so that callers read both halves off one column.
+White space is spelt out as a character class because release notes are full of
+no-break spaces: Java's ``\\s`` only knows ASCII, and its Unicode mode is several
+times slower.  Functions that split a text in two return a struct, so that callers
+read both halves off one column.
 """
 
 from __future__ import annotations
@@ -28,36 +29,44 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+# Characters that count as white space.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_S = f"[{_SPACES}]"
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of Unicode white space, not only the space character."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def collapse(c: Column) -> Column:
     """One space for every run of white space, ends trimmed."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, f"{_S}+", " "))
 
 
-def _cut(before: Column, after: Column) -> Column:
+def _cut(around: Column) -> Column:
     """What is left of a text once the middle has been taken out."""
-    return collapse(F.concat_ws(" ", before, after))
+    return collapse(F.array_join(around, " "))
 
 
-# A text is matched as <before><sentence><after>: the lazy first group makes the
-# sentence the first one in the text, as a plain search would find it.
+# A word starts where no letter, digit or underscore stands before its first character.
 _WORKAROUND = (
-    r"(?isU)^(.*?)\bworkaround\s*:\s*(.+?)(?=\n(?:[A-Z][a-z]+\s*:|$)|$)(.*)\z"
+    rf"(?is)w(?<![\p{{L}}\p{{N}}_]w)orkaround{_S}*:{_S}*(.+?)(?=\n(?:[A-Z][a-z]+{_S}*:|$)|$)"
 )
 _FIX_SENTENCE = (
-    r"(?iUd)^((?s:.*?))\bThis\s+issue\s+is\s+resolved\s+in\s+(.+?)(?:\.(?:\s|$)|$)((?s:.*))\z"
+    rf"(?id)t(?<![\p{{L}}\p{{N}}_]t)his{_S}+issue{_S}+is{_S}+resolved{_S}+in{_S}+(.+?)(?:\.(?:{_S}|$)|$)"
 )
-_FIX_WHOLE = r"(?iUd)^This\s+issue\s+is\s+resolved\s+in\s+(.+?)\.?$"
+_FIX_WHOLE = rf"(?id)^This{_S}+issue{_S}+is{_S}+resolved{_S}+in{_S}+(.+?)\.?$"
 
 
 def _cut_at(text: Column, pattern: str) -> Column:
-    """The three parts of a text around the first sentence of a kind."""
+    """The text around the first match as an array, and what the match captures."""
     return F.struct(
-        *[F.regexp_extract(text, pattern, n).alias(f"_{n}") for n in (1, 2, 3)],
+        F.split(text, pattern, 2).alias("around"),
+        F.regexp_extract(text, pattern, 1).alias("found"),
     )
 
 
@@ -70,8 +79,8 @@ def split_workaround(description: Column) -> Column:
     def rebuild(text):
         def parts(p):
             return F.struct(
-                _cut(p["_1"], p["_3"]).alias("description"),
-                blank_to_null(collapse(p["_2"])).alias("workaround"),
+                _cut(p["around"]).alias("description"),
+                blank_to_null(collapse(p["found"])).alias("workaround"),
             )
 
         return let(
@@ -104,8 +113,8 @@ def split_fix_info(description: Column, known_fix: Column | None = None) -> Colu
 
     def rebuild(text):
         def parts(p):
-            found = F.when(p["_2"] != "", F.concat(F.lit("Resolved in "), strip(p["_2"])))
-            return result(_cut(p["_1"], p["_3"]), found)
+            found = F.when(p["found"] != "", F.concat(F.lit("Resolved in "), strip(p["found"])))
+            return result(_cut(p["around"]), found)
 
         return let(
             let(_cut_at(text, _FIX_SENTENCE), parts),
@@ -126,7 +135,7 @@ def split_fix_info(description: Column, known_fix: Column | None = None) -> Colu
     return let(F.struct(description.alias("text"), known.alias("known")), choose)
 
 
-_ID_AND_TAIL = r"(?Ud)^([A-Z]+-\d+)(.*)$"
+_ID_AND_TAIL = r"(?d)^([A-Z]+-\d+)(.*)$"
 
 
 def split_bug_id(raw: Column) -> Column:
@@ -138,7 +147,7 @@ def split_bug_id(raw: Column) -> Column:
     )
 
 
-_LEADING_GROUPS = r"(?U)^((?:\([^)]+\)\s*)+)"
+_LEADING_GROUPS = rf"^((?:\([^)]+\){_S}*)+)"
 
 
 def split_components(description: Column) -> Column:
@@ -173,7 +182,7 @@ def split_ids(text: Column) -> Column:
     """
     def choose(x):
         residue = F.regexp_replace(x["text"], fixed.BUG_ID_SPLIT, "")
-        several = (F.size(x["ids"]) >= 2) & residue.rlike(r"^(?U)(?:[\s,/]|and)*$")
+        several = (F.size(x["ids"]) >= 2) & residue.rlike(f"^(?:{_S}|[,/]|and)*$")
         return F.when(several, x["ids"]).otherwise(F.array(x["text"]))
 
     ids = F.regexp_extract_all(text, F.lit(f"({fixed.BUG_ID_SPLIT})"), 1)

@@ -18,6 +18,7 @@ def test_workaround(apply):
         "Two. Workaround: a. Workaround: b",
         "",
         None,
+        "\U0001f600\U0001f600 Fails. Workaround: smile",
     ]))
     assert got == [
         ("Fails to load.", "restart it."),
@@ -29,6 +30,7 @@ def test_workaround(apply):
         ("Two.", "a. Workaround: b"),
         ("", None),
         (None, None),
+        ("\U0001f600\U0001f600 Fails.", "smile"),
     ]
 
 
