@@ -64,9 +64,19 @@ _FIX_WHOLE = rf"(?id)^This{_S}+issue{_S}+is{_S}+resolved{_S}+in{_S}+(.+?)\.?$"
 
 def _cut_at(text: Column, pattern: str) -> Column:
     """The text around the first match as an array, and what the match captures."""
-    return F.struct(
-        F.split(text, pattern, 2).alias("around"),
-        F.regexp_extract(text, pattern, 1).alias("found"),
+    whole = f"(?s:^(.*?)){pattern}"
+
+    def parts(m):
+        after = F.substring(text, F.length(m["upto"]) + 1, F.length(text))
+        return F.struct(F.array(m["before"], after).alias("around"), m["found"].alias("found"))
+
+    return let(
+        F.struct(
+            F.regexp_extract(text, whole, 0).alias("upto"),
+            F.regexp_extract(text, whole, 1).alias("before"),
+            F.regexp_extract(text, whole, 2).alias("found"),
+        ),
+        parts,
     )
 
 

@@ -50,9 +50,14 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, data_dir: str) -> DataFrame:
+    lines = table(spark, data_dir, "lineitem")
+    parallelism = spark.sparkContext.defaultParallelism
+    if len(lines.inputFiles()) < parallelism:
+        # A single small file is read by a single task; data of many files needs no shuffle.
+        lines = lines.repartition(2 * parallelism, "l_orderkey", "l_linenumber")
     return spark.sql(
         FACTS_SQL,
-        lineitem=table(spark, data_dir, "lineitem"),
+        lineitem=lines,
         part=table(spark, data_dir, "part"),
     )
 
