@@ -44,7 +44,9 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """One space for every run of white space, ends trimmed."""
-    return strip(F.regexp_replace(c, f"{_S}+", " "))
+    # A lone space is left alone: most white space needs no replacement.
+    other = _SPACES.replace(" ", "")
+    return strip(F.regexp_replace(c, f"{_S}{{2,}}|[{other}]", " "))
 
 
 def _cut(around: Column) -> Column:
