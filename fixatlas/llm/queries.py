@@ -50,3 +50,17 @@ def op9_offset_pieces(spark, sf_dir):
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("spanned_bytes"),
     )
+
+
+@query("op1_suffix_search")
+def op1_suffix_search(spark, sf_dir):
+    from fixatlas.llm.suffix_search import overlaps
+
+    found = overlaps(st.documents(spark, sf_dir), st.table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "longest_words", "longest_at", "longest_item",
+    )
