@@ -142,3 +142,10 @@ def op7_chat(spark, sf_dir):
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op8_multi_index")
+def op8_multi_index(spark, sf_dir):
+    from fixatlas.llm.multi_index import nearest
+
+    return nearest(st.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
