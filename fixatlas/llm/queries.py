@@ -149,3 +149,13 @@ def op8_multi_index(spark, sf_dir):
     from fixatlas.llm.multi_index import nearest
 
     return nearest(st.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    from fixatlas.llm.quality import held_out, quality_scores
+
+    scores = quality_scores(st.documents(spark, sf_dir), st.table(spark, sf_dir, "labels"))
+    return scores.select(
+        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
