@@ -159,3 +159,11 @@ def op5_quality(spark, sf_dir):
     return scores.select(
         "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
     )
+
+
+@query("op10_repeats")
+def op10_repeats(spark, sf_dir):
+    from fixatlas.llm.repeats import remove_repeats
+
+    cleaned = remove_repeats(st.documents(spark, sf_dir).select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
