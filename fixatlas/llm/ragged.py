@@ -133,15 +133,29 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     """A 64-bit hash of each slice of bytes, equal for equal slices wherever they lie.
 
     Sums of byte times power of an odd base, modulo 2**64, taken from running totals; the
-    shift by the slice's place is undone with the inverse of the base.
+    shift by the slice's place is undone with the inverse of the base. The slices are in order
+    and don't overlap; about a megabyte is worked on at a time.
     """
-    weights = powers(base, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * weights[:-1], out=total[1:])
-    inverse = powers(pow(base, -1, 1 << 64), len(data) + 1)
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mixed(h ^ ((ends - starts).astype(np.uint64) * _ODD))
-
-
-def first_true(mask: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(mask)
+    out = np.empty(len(starts), np.uint64)
+    weights = back = np.zeros(0, np.uint64)
+    first = 0
+    while first < len(starts):
+        low = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, low + (1 << 20), "right")))
+        size = int(ends[last - 1] - low)
+        if size >= len(weights):
+            weights, back = powers(base, size + 1), powers(pow(base, -1, 1 << 64), size + 1)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum((data[low : low + size].astype(np.uint64) + np.uint64(1)) * weights[:size], out=total[1:])
+        s, e = starts[first:last] - low, ends[first:last] - low
+        out[first:last] = (total[e] - total[s]) * back[s]
+        first = last
+    return mixed(out ^ ((ends - starts).astype(np.uint64) * _ODD))
+
+
+def within(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places lie in some slice; slices may touch or be empty."""
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, starts, 1)
+    np.add.at(step, ends, -1)
+    return np.cumsum(step[:-1], dtype=np.int32) > 0

@@ -12,6 +12,8 @@ first; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,6 +31,11 @@ SEGMENT_SCHEMA = "part int, segment int, before long, n_ids long, doc_ids array<
 _BETWEEN = "\ue000"
 
 
+@cache
+def _piece_cache(path: str) -> PieceCache:
+    return PieceCache(_piece_encoder(path))
+
+
 def _piece_encoder(path: str):
     """Encodes many pieces in few calls of the library."""
     import os
@@ -69,21 +76,36 @@ def _piece_encoder(path: str):
     return encode
 
 
-def _at_spaces(data: np.ndarray, bounds: np.ndarray):
-    """Slices that begin at a text's start or at a space or line feed, and their number by text.
+_STOPS = np.isin(np.arange(256), np.frombuffer(b".,!?;:", np.uint8))
+
+
+def _pieces(data: np.ndarray, bounds: np.ndarray):
+    """Bytes and slices that are encoded by themselves, and their number by text.
 
-    The tokenizer drops white space before it looks at words, so no id depends on two slices.
+    The tokenizer drops white space before it looks at words and ends a word between an ASCII
+    letter and a stop; so cutting before spaces, line feeds and such stops changes no id.
+    Nor do small letters for A-Z, but for a letter that a combining mark follows (U+0300 to
+    U+036F begin with 0xCC or 0xCD) and for texts that may hold a special token (``<|``).
     """
-    begins = (data == 32) | (data == 10)
-    full = np.diff(bounds) > 0
-    begins[bounds[:-1][full]] = True
+    blank = (data == 32) | (data == 10)
+    capital = (data >= 65) & (data <= 90)
+    capital[:-1] &= (data[1:] != 0xCC) & (data[1:] != 0xCD)
+    special = (data[:-1] == 60) & (data[1:] == 124)
+    if special.any():
+        texts = np.unique(np.searchsorted(bounds, np.flatnonzero(special), "right") - 1)
+        for t in texts.tolist():
+            capital[bounds[t] : bounds[t + 1]] = False
+    begins = blank.copy()
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    begins[1:] |= _STOPS[data[1:]] & letter[:-1]
+    begins[bounds[:-1][np.diff(bounds) > 0]] = True
+    data = data + (capital.view(np.uint8) << 5)
     starts = np.flatnonzero(begins)
-    return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, bounds)
+    return data, starts + blank[starts], np.append(starts[1:], len(data)), np.searchsorted(starts, bounds)
 
 
 def _encoded(path: str, closing: int):
     def run(batches):
-        cache = PieceCache(_piece_encoder(path))
         task = TaskContext.get()
         part, before, number = task.partitionId() if task else 0, 0, 0
         held, count = [], 0
@@ -108,8 +130,8 @@ def _encoded(path: str, closing: int):
 
         for table in gathered(batches, "text"):
             data, bounds = utf8(table.column("text"))
-            starts, ends, by_text = _at_spaces(data, bounds)
-            ids, lengths, _, _ = encode_pieces(data, starts, ends, cache)
+            data, starts, ends, by_text = _pieces(data, bounds)
+            ids, lengths = encode_pieces(data, starts, ends, _piece_cache(path))
             ids, after = simple8b.joined(ids, per_text(lengths, by_text), closing)
             docs = table.column("doc_id").combine_chunks()
             docs = docs if isinstance(docs, pa.Array) else docs.chunk(0)
@@ -163,12 +185,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     The ids before each range come from one small row per range.
     """
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+    # One small row for each range: their number is the writer's parameter, not the data's size.
     sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     found = segments.select("part", "before", "doc_ids", "content").mapInArrow(
         _decoded, "doc_id long, part int, start_in_part long, n_tokens long, ids binary"
     )
-    return found.join(bases, "part").select(
+    return found.join(F.broadcast(bases), "part").select(
         "doc_id", (F.col("start_in_part") + F.col("base")).alias("start"), "n_tokens", "ids"
     )

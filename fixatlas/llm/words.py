@@ -5,43 +5,49 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from fixatlas.llm.ragged import bounds_of, spread, strings
+from fixatlas.llm.ragged import bounds_of, spread, strings, within
 
 
 class PieceCache:
-    """Ids of pieces of text: frequent pieces are encoded once in a worker.
+    """Ids of pieces of text, kept by a Python worker over its tasks.
 
-    At most ``limit`` pieces of at most 64 bytes are held; pieces seen after that are encoded
-    again in each block, which changes no result.
+    Held are at most ``limit`` pieces of at most 64 bytes that came twice in one block; other
+    pieces are encoded again in each block, which changes no result.
     """
 
-    def __init__(self, encode, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 400_000):
         self.encode, self.limit, self.held = encode, limit, {}
 
-    def ids(self, pieces: list[bytes]) -> list[bytes]:
+    def ids(self, pieces: list[bytes], counts: list[int]) -> list[bytes]:
         """The little-endian unsigned 32-bit ids of each piece."""
         held = self.held
         out = [held.get(p) for p in pieces]
         missing = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(missing, self.encode([pieces[i] for i in missing])):
-            out[i] = ids
-            if len(held) < self.limit and len(pieces[i]) <= 64:
-                held[pieces[i]] = ids
+        for low in range(0, len(missing), 50_000):
+            part = missing[low : low + 50_000]
+            for i, ids in zip(part, self.encode([pieces[i] for i in part])):
+                out[i] = ids
+                if counts[i] > 1 and len(held) < self.limit and len(pieces[i]) <= 64:
+                    held[pieces[i]] = ids
         return out
 
 
 def encode_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cache: PieceCache):
-    """Ids of all slices in their order and their number by slice; equal slices are encoded once."""
-    bounds = bounds_of(ends - starts)
-    body = data if len(starts) == 0 else data[spread(starts, ends - starts)]
-    coded = strings(body, bounds).dictionary_encode()
+    """Ids of all slices in their order and their number by slice; equal slices are encoded once.
+
+    The slices are in order and don't overlap.
+    """
+    body = data[within(len(data), starts, ends)]
+    coded = strings(body, bounds_of(ends - starts)).dictionary_encode()
     which = np.asarray(coded.indices)
-    distinct = cache.ids(coded.dictionary.to_pylist())
+    pieces = coded.dictionary.to_pylist()
+    del body, coded
+    distinct = cache.ids(pieces, np.bincount(which, minlength=len(pieces)).tolist())
     flat = np.frombuffer(b"".join(distinct), np.uint32)
     sizes = np.fromiter((len(x) // 4 for x in distinct), np.int64, len(distinct))
-    firsts = bounds_of(sizes)[:-1]
+    del pieces, distinct
     lengths = sizes[which]
-    return flat[spread(firsts[which], lengths)], lengths, which, coded.dictionary
+    return flat[spread(bounds_of(sizes)[:-1][which], lengths)], lengths
 
 
 def per_text(lengths: np.ndarray, piece_bounds: np.ndarray) -> np.ndarray:

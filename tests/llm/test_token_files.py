@@ -12,7 +12,7 @@ SCHEMA = "doc_id long, text string, start int, ids string"
 HARD = [
     "", None, " ", "a", "Hello  World\n\nhi", "x<|endoftext|>y <|startoftext|> z", "it's we'll DON'T", " ab",
     "é ́x İstanbul ΣΣ", "tab\tand nbsp wide", "12345 6", "a" * 70_000, "word " * 20_000,
-    "same text", "same text", "\x00 nul", "日本語 テキスト",
+    "same text", "same text", "J\u030c E\u0301. A\u0338, don't. X.Y,Z! <|ENDOFTEXT|> <|endoftext|>.", "I\u0307.", "ABC.DEF", ".a .5 5. 'S", "\ue000 x\ue001y z", "\x00 nul", "日本語 テキスト",
 ]
 
 
