@@ -38,14 +38,14 @@ from pyspark.sql import types as T
 from fixatlas.llm.ragged import bounds_of, gathered, mixed, runs, spread, strings, utf8, within
 from fixatlas.llm.stored import parts, stored
 
-DEPTH, GRAM, BLOCK_BYTES, CHUNK = 50, 16, 4 << 20, 1 << 17
+DEPTH, GRAM, BLOCK_BYTES, CHUNK, LEVEL = 50, 16, 4 << 20, 1 << 17, 3
 RESULT = ["kept", "n_bytes", "n_removed", "n_spans"]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     head = json.dumps([[a.dtype.str, len(a)] for a in arrays]).encode()
     body = len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(body)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -161,7 +161,8 @@ class Block:
         self.hashes, self.which = np.unique(hashes, return_inverse=True)
         spreads = mixed(self.hashes)
         self.bucket = (spreads % np.uint64(self.buckets)).astype(np.int32)
-        self.keys = spreads >> np.uint64(24)
+        # With the bucket this tells hashes apart but for few; those cost a look, no result.
+        self.keys = (spreads >> np.uint64(32)).astype("<u4")
         low, high = np.full(len(self.hashes), np.iinfo(np.int64).max), np.full(len(self.hashes), np.iinfo(np.int64).min)
         ids = self.doc_ids[self.doc]
         np.minimum.at(low, self.which, ids)
@@ -189,15 +190,14 @@ def _stored_blocks(depth: int, buckets: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
-            blob = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+            blob = zstandard.ZstdCompressor(level=LEVEL).compress(sink.getvalue())
             block = Block(blob, depth, buckets)
             block.find_anchors()
             name = ((task.partitionId() if task else 0) << 24) | number
             number += 1
             rows = [(None, blob, None)]
             for b, at in block.by_bucket():
-                keys = block.keys[at]
-                rows.append((b, None, (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (keys >> np.uint64(32)).astype(np.uint8).tobytes()))
+                rows.append((b, None, block.keys[at].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
@@ -212,11 +212,8 @@ def _stored_blocks(depth: int, buckets: int):
 def _met_elsewhere(table: pa.Table) -> pa.Table:
     """For one bucket: of each block's hashes, those that another block has as well."""
     rows = table.column("keys").to_pylist()
-    sizes = np.array([len(r) // 5 for r in rows])
-    keys = np.concatenate([
-        np.frombuffer(r, "<u4", n).astype(np.uint64) | (np.frombuffer(r, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
-        for r, n in zip(rows, sizes)
-    ])
+    sizes = np.array([len(r) // 4 for r in rows])
+    keys = np.frombuffer(b"".join(rows), "<u4")
     order = np.argsort(keys, kind="stable")
     equal = keys[order][1:] == keys[order][:-1]
     met = np.zeros(len(keys), bool)
@@ -230,7 +227,7 @@ def _met_elsewhere(table: pa.Table) -> pa.Table:
 def _sorted_within(depth: int, buckets: int):
     """For one block: its own repeats, and what has to be compared with other blocks."""
 
-    def run(key, texts: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(key, texts, replies):
         block = Block(texts.column("texts")[0].as_py(), depth, buckets)
         block.find_anchors()
         met = np.zeros(len(block.hashes), bool)
@@ -254,16 +251,17 @@ def _sorted_within(depth: int, buckets: int):
         cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[: len(owner)]
         low, high = starts[cut], starts[np.append(cut[1:], len(starts)) - 1] if len(starts) else starts
         asked = owner[cut]
-        rows = [(-1, pack(removed.astype(np.uint32)))]
+        rows = [(buckets + key[0].as_py() % buckets, pack(removed.astype(np.uint32)))]
         bucket = block.bucket[block.which[asked]]
         for b in np.unique(bucket).tolist():
             at = np.flatnonzero(bucket == b)
             a, n = low[at], high[at] - low[at] + 1
             body = block.data[spread(a, n + depth - 1)]
             mine = asked[at]
+            names, doc = np.unique(block.doc_ids[block.doc[mine]], return_inverse=True)
             rows.append((b, pack(
-                block.hashes[block.which[mine]], block.doc_ids[block.doc[mine]], a.astype(np.uint32),
-                (block.place[mine] - a).astype(np.uint8), n.astype(np.uint8), body,
+                names, np.diff(doc.astype(np.int32), prepend=np.int32(0)), np.diff(a.astype(np.int32), prepend=np.int32(0)),
+                block.keys[block.which[mine]], (block.place[mine] - a).astype(np.uint8), n.astype(np.uint8), body,
             )))
         return pa.table(
             [pa.array([key[0].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
@@ -273,20 +271,27 @@ def _sorted_within(depth: int, buckets: int):
     return run
 
 
-def _sorted_across(depth: int):
-    """For one bucket: windows of different blocks, sorted together; what each block removes."""
+def _sorted_across(depth: int, buckets: int):
+    """For one bucket: windows of different blocks, sorted together; what each block removes.
 
-    def run(table: pa.Table) -> pa.Table:
+    What blocks found by themselves comes in buckets of its own and goes on as it is.
+    """
+
+    def run(key, table):
+        if key[0].as_py() >= buckets:
+            return table.select(["block", "payload"])
         blocks = table.column("block").to_numpy()
-        blobs = [unpack(p) for p in table.column("payload").to_pylist()]
-        hashes, doc, low, rel, n, body = (np.concatenate(x) for x in zip(*blobs))
+        blobs = []
+        for names, doc, low, *rest in (unpack(p) for p in table.column("payload").to_pylist()):
+            blobs.append((names[np.cumsum(doc)], np.cumsum(low), *rest))
+        doc, low, keys, rel, n, body = (np.concatenate(x) for x in zip(*blobs))
         owner = np.repeat(np.arange(len(blobs)), [len(b[0]) for b in blobs])
         del blobs
         n = n.astype(np.int64)
         begins = bounds_of(n + depth - 1)[:-1]
         context = np.repeat(np.arange(len(n)), n)
         step = spread(np.zeros(len(n), np.int64), n)
-        _, which = np.unique(hashes, return_inverse=True)
+        _, which = np.unique(keys, return_inverse=True)
         labels = which[context] * 64 + (rel.astype(np.int64)[context] - step)
         starts = begins[context] + step
         order, group = equal_windows(np.append(body, np.zeros(8, np.uint8)), starts, labels, depth)
@@ -308,7 +313,7 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
 
 
 def _applied(depth: int, as_text: bool, schema: pa.Schema):
-    def run(key, texts: pa.Table, removals: pa.Table) -> pa.Table:
+    def run(key, texts, removals):
         block = Block(texts.column("texts")[0].as_py(), depth, 1)
         starts = np.concatenate([unpack(p)[0] for p in removals.column("payload").to_pylist()] or [np.zeros(0, np.uint32)])
         gone = within(len(block.data), starts.astype(np.int64), starts.astype(np.int64) + depth)
@@ -350,15 +355,12 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, as_text: bool = False) -
         first.where("keys is not null").select("block", "bucket", "keys")
         .groupBy("bucket").applyInArrow(_met_elsewhere, "block long, bucket int, met binary")
     )
-    second = stored(
+    # One job from here on: both joins with the blocks read the same shuffle of them.
+    removals = (
         blocks.groupBy("block").cogroup(met.groupBy("block"))
-        .applyInArrow(_sorted_within(depth, buckets), "block long, bucket int, payload binary"),
-        "repeat-windows",
-    )
-    across = (
-        second.where("bucket >= 0").groupBy("bucket").applyInArrow(_sorted_across(depth), "block long, payload binary")
+        .applyInArrow(_sorted_within(depth, buckets), "block long, bucket int, payload binary")
+        .groupBy("bucket").applyInArrow(_sorted_across(depth, buckets), "block long, payload binary")
     )
-    removals = across.unionByName(second.where("bucket = -1").select("block", "payload"))
     counts = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     own = [f for f in docs.schema if as_text or f.name != "text"]
     out = T.StructType([*own, *counts] if as_text else [*own, *counts, T.StructField("kept", T.BinaryType())])
