@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixatlas.llm.ragged import bounds_of, spread
+from fixatlas.llm.ragged import bounds_of, flat, spread
 from fixatlas.llm.stored import stored
 
 SAMPLE = 20_000
@@ -76,10 +76,9 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int)
 
 def _matrix(column) -> np.ndarray:
     """Rows of equal length as a matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    column = flat(column)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixatlas.llm import boosted
-from fixatlas.llm.ragged import gathered, runs, slice_hashes, utf8
+from fixatlas.llm.ragged import flat, gathered, runs, slice_hashes, utf8
 from fixatlas.llm.stored import stored
 
 SAMPLE = 40_000
@@ -93,7 +93,7 @@ def _by_batch(df: DataFrame, text: str, keep: list[str], name: str, kind, made)
 
     def run(batches):
         for table in gathered(batches, text, 2 << 20):
-            own = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in (table.column(k) for k in kept)]
+            own = [flat(table.column(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*own, made(statistics(*utf8(table.column(text))))], [*kept, name])
 
     return rows.mapInArrow(run, schema)

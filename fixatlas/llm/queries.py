@@ -167,3 +167,10 @@ def op10_repeats(spark, sf_dir):
 
     cleaned = remove_repeats(st.documents(spark, sf_dir).select("doc_id", "text"))
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_near_copies")
+def op4_near_copies(spark, sf_dir):
+    from fixatlas.llm.near_copies import near_copies
+
+    return near_copies(st.documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")

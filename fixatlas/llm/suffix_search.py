@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixatlas.llm.ragged import bounds_of, gathered, lower_ascii, runs, slice_hashes, spread, utf8
+from fixatlas.llm.ragged import bounds_of, flat, gathered, lower_ascii, runs, slice_hashes, spread, utf8
 
 BLOCK_BYTES = 4 << 20
 WINDOW = 10
@@ -319,8 +319,7 @@ def overlaps(
         for table in gathered(batches, text):
             data, bounds = utf8(table.column(text))
             found = search_texts(data, bounds, (s.value for s in sides))
-            own = [table.column(c).combine_chunks() for c in kept]
-            own = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in own]
+            own = [flat(table.column(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*own, *found.flatten()], [*kept, *names])
 
     return rows.mapInArrow(run, schema)

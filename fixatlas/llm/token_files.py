@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fixatlas.llm import simple8b
-from fixatlas.llm.ragged import bounds_of, gathered, utf8
+from fixatlas.llm.ragged import bounds_of, flat, gathered, utf8
 from fixatlas.llm.stored import parts, stored
 from fixatlas.llm.words import PieceCache, encode_pieces, per_text
 
@@ -133,8 +133,7 @@ def _encoded(path: str, closing: int):
             data, starts, ends, by_text = _pieces(data, bounds)
             ids, lengths = encode_pieces(data, starts, ends, _piece_cache(path))
             ids, after = simple8b.joined(ids, per_text(lengths, by_text), closing)
-            docs = table.column("doc_id").combine_chunks()
-            docs = docs if isinstance(docs, pa.Array) else docs.chunk(0)
+            docs = flat(table.column("doc_id"))
             # Segments hold whole documents; a block of them is cut where it grows too large.
             first = 0
             while first < len(docs):
