@@ -144,6 +144,34 @@ def _later(order: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return order[mine > np.minimum.reduceat(mine, firsts)[group]]
 
 
+def later_windows(data, begins, rel, n, keys, doc, depth: int, limit: int = 1 << 19):
+    """Windows that a smaller document has too: (context, number of the window in it).
+
+    A context is ``n`` windows in a row from ``begins``, all with one anchor, ``rel`` bytes after
+    the first; only contexts with equal keys are compared. Keys are taken in turn, as many as
+    have about ``limit`` windows together.
+    """
+    by_key = np.argsort(keys, kind="stable")
+    windows = bounds_of(n[by_key])
+    edges = np.append(np.flatnonzero(np.append(True, keys[by_key][1:] != keys[by_key][:-1])) if len(keys) else 0, len(keys))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    at = 0
+    while at < len(edges) - 1:
+        upto = max(at + 1, int(np.searchsorted(windows[edges], windows[edges[at]] + limit, "right")) - 1)
+        part = by_key[edges[at] : edges[upto]]
+        at = upto
+        if len(part) < 2:
+            continue
+        context = np.repeat(part, n[part])
+        step = spread(np.zeros(len(part), np.int64), n[part])
+        _, which = np.unique(keys[part], return_inverse=True)
+        labels = np.repeat(which * 64 + rel[part], n[part]) - step
+        order, group = equal_windows(data, begins[context] + step, labels, depth)
+        gone = _later(order, group, doc[context])
+        found.append((context[gone], step[gone]))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
 class Block:
     """A block's texts with their anchors; the same in every pass, since computed from the text."""
 
@@ -236,13 +264,16 @@ def _sorted_within(depth: int, buckets: int):
             if b in answers:
                 met[at[unpack(answers[b])[0]]] = True
         padded = np.append(block.data, np.zeros(8, np.uint8))
-        starts, owner = block.windows(np.flatnonzero(block.several[block.which]))
-        labels = block.which[owner] * 64 + (block.place[owner] - starts)
-        order, group = equal_windows(padded, starts, labels, depth)
-        removed = starts[_later(order, group, block.doc_ids[block.doc[owner]])]
+        own = np.flatnonzero(block.several[block.which])
+        first = block.first[own]
+        context, step = later_windows(
+            padded, first, block.place[own] - first, block.last[own] - first + 1, block.which[own],
+            block.doc_ids[block.doc[own]], depth,
+        )
+        removed = first[context] + step
         settled = np.zeros(len(block.data) + 1, bool)
         settled[removed] = True
-        del starts, owner, labels, order, group
+        del padded, own, first, context, step
         # Of each anchor that other blocks have: the span of its windows that are still open.
         asked = np.flatnonzero(met[block.which])
         starts, owner = block.windows(asked)
@@ -287,17 +318,14 @@ def _sorted_across(depth: int, buckets: int):
         doc, low, keys, rel, n, body = (np.concatenate(x) for x in zip(*blobs))
         owner = np.repeat(np.arange(len(blobs)), [len(b[0]) for b in blobs])
         del blobs
-        n = n.astype(np.int64)
-        begins = bounds_of(n + depth - 1)[:-1]
-        context = np.repeat(np.arange(len(n)), n)
-        step = spread(np.zeros(len(n), np.int64), n)
-        _, which = np.unique(keys, return_inverse=True)
-        labels = which[context] * 64 + (rel.astype(np.int64)[context] - step)
-        starts = begins[context] + step
-        order, group = equal_windows(np.append(body, np.zeros(8, np.uint8)), starts, labels, depth)
-        gone = np.sort(_later(order, group, doc[context]))
-        place = (low.astype(np.int64)[context[gone]] + step[gone]).astype(np.uint32)
-        cuts = np.searchsorted(owner[context[gone]], np.arange(len(blocks) + 1))
+        n, low = n.astype(np.int64), low.astype(np.int64)
+        context, step = later_windows(
+            np.append(body, np.zeros(8, np.uint8)), bounds_of(n + depth - 1)[:-1], rel.astype(np.int64), n, keys, doc, depth
+        )
+        order = np.argsort(owner[context], kind="stable")
+        context, step = context[order], step[order]
+        place = (low[context] + step).astype(np.uint32)
+        cuts = np.searchsorted(owner[context], np.arange(len(blocks) + 1))
         replies = [pack(place[a:b]) for a, b in zip(cuts, cuts[1:])]
         return pa.table([pa.array(blocks, pa.int64()), pa.array(replies, pa.binary())], ["block", "payload"])
 
