@@ -174,3 +174,10 @@ def op4_near_copies(spark, sf_dir):
     from fixatlas.llm.near_copies import near_copies
 
     return near_copies(st.documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
+@query("op2_language_model")
+def op2_language_model(spark, sf_dir):
+    from fixatlas.llm.language_model import language_scores
+
+    return language_scores(st.documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
