@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixatlas import fixed
+from fixatlas.operators.report import first_n
 
 VERSION = ["product_id", "version"]
 
@@ -57,38 +58,45 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return side(before, "before").join(side(after, "after"), VERSION, "full_outer")
 
 
-def _delta(kind, product="product_id", version=None, issue_type=None, before=None, after=None):
+def _delta(kind, when, version=None, issue_type=None, before=None, after=None) -> Column:
+    """One delta as a struct, null unless ``when``."""
+
     def value(x, dtype):
         return (F.lit(None) if x is None else x).cast(dtype)
 
+    return F.when(
+        when,
+        F.struct(
+            F.lit(kind).alias("delta_kind"),
+            value(version, "string").alias("version"),
+            value(issue_type, "string").alias("issue_type"),
+            value(before, "bigint").alias("before_n"),
+            value(after, "bigint").alias("after_n"),
+        ),
+    )
+
+
+def _losses() -> list[Column]:
+    """Sides of a compared version that lost rows."""
+    version = F.col("version")
     return [
-        F.lit(kind).alias("delta_kind"),
-        F.col(product).alias("product_id"),
-        value(None if version is None else F.col(version), "string").alias("version"),
-        value(issue_type, "string").alias("issue_type"),
-        value(before, "bigint").alias("before_n"),
-        value(after, "bigint").alias("after_n"),
+        _delta(
+            "count_regression", F.col(f"after_{k}") < F.col(f"before_{k}"), version, F.lit(k),
+            F.col(f"before_{k}"), F.col(f"after_{k}"),
+        )
+        for k in ("known", "addressed")
     ]
 
 
+def _exploded(rows: DataFrame, deltas: list[Column]) -> DataFrame:
+    return rows.select("product_id", F.explode(F.array_compact(F.array(*deltas))).alias("_d")).select(
+        "_d.delta_kind", "product_id", "_d.version", "_d.issue_type", "_d.before_n", "_d.after_n"
+    )
+
+
 def count_regressions(compared: DataFrame) -> DataFrame:
     """Versions of both snapshots that lost rows on a side."""
-    sides = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("issue_type"),
-                F.col(f"before_{k}").alias("b"),
-                F.col(f"after_{k}").alias("a"),
-            )
-            for k in ("known", "addressed")
-        ]
-    )
-    return (
-        compared.select(*VERSION, F.explode(sides).alias("_s"))
-        .filter("_s.a < _s.b")
-        .select(*_delta("count_regression", version="version", issue_type=F.col("_s.issue_type"),
-                        before=F.col("_s.b"), after=F.col("_s.a")))
-    )
+    return _exploded(compared, _losses())
 
 
 def missing_ids(before_ids: DataFrame, after_ids: DataFrame) -> DataFrame:
@@ -99,46 +107,56 @@ def missing_ids(before_ids: DataFrame, after_ids: DataFrame) -> DataFrame:
     )
 
 
-def missing_id_lists(missing: DataFrame, n: int = fixed.MISSING_IDS_SHOWN) -> DataFrame:
-    """The first ``n`` missing identifiers of each version as one text."""
-    order = Window.partitionBy(*VERSION).orderBy("bug_id")
-    return (
-        missing.withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= n)
-        .groupBy(*VERSION)
-        .agg(F.array_join(F.array_sort(F.collect_list("bug_id")), ",").alias("ids"))
-    )
-
-
 def diff(before: DataFrame, after: DataFrame, before_ids: DataFrame, after_ids: DataFrame):
     """All deltas between two snapshots in long form.
 
     Versions are only reported for products of both snapshots: a product that is gone
-    is one delta, not one per version.
+    is one delta, not one per version.  Missing identifiers are a row each (``missing_id``)
+    and a count for their version (``missing_ids``); nothing is shortened.  The counts are
+    joined once; a product's versions, not its issues, are looked at together.
     """
-    compared = compare(before, after)
-    old, new = before.select("product_id").distinct(), after.select("product_id").distinct()
-    shared = compared.join(old, "product_id", "left_semi").join(new, "product_id", "left_semi")
-    parts = [
-        new.join(old, "product_id", "left_anti").select(*_delta("product_added")),
-        old.join(new, "product_id", "left_anti").select(*_delta("product_removed")),
-        shared.filter("before_known is null").select(*_delta("version_added", version="version")),
-        shared.filter("after_known is null").select(*_delta("version_removed", version="version")),
-        count_regressions(compared),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = out.withColumn("ids", F.lit(None).cast("string"))
-    lists = missing_id_lists(missing_ids(before_ids, after_ids)).select(
-        *_delta("missing_ids", version="version"), "ids"
+    product = Window.partitionBy("product_id")
+    old, new = F.col("before_known").isNotNull(), F.col("after_known").isNotNull()
+    compared = compare(before, after).withColumns(
+        {
+            "had": F.bool_or(old).over(product),
+            "has": F.bool_or(new).over(product),
+            "first": F.row_number().over(product.orderBy("version")) == 1,
+        }
+    )
+    both = F.col("had") & F.col("has")
+    counts = _exploded(
+        compared,
+        [
+            _delta("product_added", F.col("first") & ~F.col("had")),
+            _delta("product_removed", F.col("first") & ~F.col("has")),
+            _delta("version_added", both & ~old, F.col("version")),
+            _delta("version_removed", both & ~new, F.col("version")),
+            *_losses(),
+        ],
+    ).withColumn("bug_id", F.lit(None).cast("string"))
+    gone = missing_ids(before_ids, after_ids).rollup("product_id", "version", "bug_id").agg(
+        F.count("*").alias("n")
     )
-    return out.unionByName(lists)
+    # Rolled up once: rows of a version and, under it, of each identifier.
+    ids = gone.where("version is not null").select(
+        F.when(F.col("bug_id").isNull(), "missing_ids").otherwise("missing_id").alias("delta_kind"),
+        "product_id", "version", F.lit(None).cast("string").alias("issue_type"),
+        F.when(F.col("bug_id").isNull(), F.col("n")).alias("before_n"),
+        F.lit(None).cast("bigint").alias("after_n"), "bug_id",
+    )
+    return counts.unionByName(ids)
+
+
+def missing_id_samples(deltas: DataFrame, n: int = fixed.MISSING_IDS_SHOWN) -> DataFrame:
+    """For display: the first ``n`` missing identifiers of each version, and how many more."""
+    return first_n(deltas.where("delta_kind = 'missing_id'"), VERSION, "bug_id", n)
 
 
 def verdict(deltas: DataFrame) -> DataFrame:
     """One row: clean unless something was lost.  Additions are never dirty."""
-    lost = ~F.col("delta_kind").isin("product_added", "version_added")
+    # Single identifiers are counted with their version.
+    lost = ~F.col("delta_kind").isin("product_added", "version_added", "missing_id")
     return deltas.agg(
         (F.count_if(lost) == 0).alias("is_clean"), F.count_if(lost).alias("n_losses")
     )

@@ -32,32 +32,41 @@ def dataset_stats(issues: DataFrame) -> DataFrame:
     )
 
 
-def fetch_report(issues: DataFrame, fetch_log: DataFrame) -> DataFrame:
+def fetch_report(issues: DataFrame, fetch_log: DataFrame, products: DataFrame) -> DataFrame:
     """One row per product of this load and a total (``product_id`` null).
 
-    ``issues`` are the rows of this load only, not of the merged data set.
+    ``products`` are all that the load was to fetch: one of which every page failed has a
+    row too. ``issues`` are the rows of this load only, not of the merged data set. Failures
+    count for the total whatever product they name, also one that is in no list.
     """
     failed = (
         fetch_log.filter("error is not null")
         .groupBy("product_id")
         .agg(F.count("*").alias("failed"))
     )
-    per_product = (
+    stats = (
         version_matrix(issues)
         .groupBy("product_id")
         .agg(
             F.count("*").alias("versions"),
             F.sum("known").alias("known"),
             F.sum("addressed").alias("addressed"),
+            F.array_sort(F.collect_list("version")).alias("version_list"),
         )
-        .join(failed, "product_id", "left")
     )
-    return per_product.rollup("product_id").agg(
-        F.sum("versions").alias("versions"),
-        F.sum("known").alias("known"),
-        F.sum("addressed").alias("addressed"),
-        F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"),
+    counts = ["versions", "known", "addressed", "failed"]
+    per_product = (
+        products.select("product_id").distinct()
+        .join(stats, "product_id", "left")
+        .join(failed, "product_id", "full_outer")
+        .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
+        .withColumn("version_list", F.coalesce("version_list", F.array().cast("array<string>")))
+    )
+    total = per_product.agg(*[F.sum(c).alias(c) for c in counts]).select(
+        F.lit(None).cast("string").alias("product_id"), *counts,
+        F.lit(None).cast("array<string>").alias("version_list"),
     )
+    return per_product.select("product_id", *counts, "version_list").unionByName(total)
 
 
 def first_n(rows: DataFrame, keys: list[str], item: str, n: int, order: list | None = None):

@@ -11,10 +11,16 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A local folder only where that setting is absent, as in single-machine tests.
+    Without it a local folder is used if the master is local, and else this fails: executors
+    would each write to a disk of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="spark-")
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

@@ -12,7 +12,7 @@ ISSUE = (
     "affected_components:array<string>,release_date:string"
 )
 VERSION = (
-    f"version:string,release_date:string,known_issues:array<struct<{ISSUE}>>,"
+    f"version:string,part:bigint,release_date:string,known_issues:array<struct<{ISSUE}>>,"
     f"addressed_issues:array<struct<{ISSUE}>>"
 )
 PRODUCT_SCHEMA = f"id string, name string, versions array<struct<{VERSION}>>"
@@ -41,8 +41,8 @@ def nest_versions(issues: DataFrame, pages_per_part: int = 1000) -> DataFrame:
     """Flat issues to tracker entries, one row per (product, version, part).
 
     A version is cut into parts by source page, so the lists of one entry are bounded
-    by ``pages_per_part`` pages however large the version is; a reader that
-    flattens sees no difference.
+    by ``pages_per_part`` pages however large the version is; the entries carry the
+    part's number, by which a reader puts them in order again.
     """
     issue = F.struct("page_ordinal", "row_ordinal", F.struct(*_ISSUE_FIELDS).alias("issue"))
 
@@ -60,6 +60,7 @@ def to_documents(nested: DataFrame) -> DataFrame:
     """Tracker entries in the document shape: product with a list of versions."""
     version = F.struct(
         "version",
+        "part",
         F.lit(None).cast("string").alias("release_date"),
         "known_issues",
         "addressed_issues",
@@ -90,7 +91,10 @@ def read_tracker_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_issues(products: DataFrame) -> DataFrame:
-    """One row per issue, known before addressed within a version, document order kept."""
+    """One row per issue; (version_no, part, kind_rank, row_ordinal) is its document order.
+
+    ``part`` is null for documents that hold each version in one piece.
+    """
     versions = products.select(
         F.col("id").alias("product_id"),
         F.col("name").alias("product_name"),
@@ -114,12 +118,13 @@ def flatten_issues(products: DataFrame) -> DataFrame:
         "product_id",
         "product_name",
         F.col("_v.version").alias("version"),
+        F.col("_v.part").alias("part"),
         F.col("_v.release_date").alias("version_release_date"),
         "version_no",
         F.explode(both).alias("_t"),
     )
     return rows.select(
-        "product_id", "product_name", "version", "version_release_date", "version_no",
+        "product_id", "product_name", "version", "part", "version_release_date", "version_no",
         "_t.issue_type", "_t.kind_rank", "_t.row_ordinal", "_t._i.*",
     )
 
@@ -145,7 +150,8 @@ def write_report(stats: DataFrame, failures: DataFrame, path: str) -> None:
 
 
 STATS_SCHEMA = (
-    "product_id string, versions bigint, known bigint, addressed bigint, failed bigint"
+    "product_id string, versions bigint, known bigint, addressed bigint, failed bigint, "
+    "version_list array<string>"
 )
 FAILURE_SCHEMA = (
     "url string, error string, product_id string, version string, issue_type string"

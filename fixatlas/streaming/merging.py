@@ -10,36 +10,59 @@ from fixatlas.operators.merge import VERSION_KEY, existing_versions
 HELD_BATCH = "batch"
 
 
-def _held(spark: SparkSession, path: str, schema, before_batch: int) -> DataFrame:
+def _digest(identity: list[str]):
+    """256 bits for the columns that tell an issue from others, nulls told from empty texts."""
+    return F.sha2(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}), 256)
+
+
+def _seen(spark: SparkSession, path: str, before_batch: int) -> DataFrame:
     return (
-        spark.read.schema(schema).option("basePath", path).parquet(path)
-        .filter(F.col(HELD_BATCH) < before_batch)
+        spark.read.schema(f"key string, {HELD_BATCH} bigint")
+        .option("basePath", f"{path}/keys").parquet(f"{path}/keys")
+        .filter(F.col(HELD_BATCH) < before_batch).select("key")
     )
 
 
-def merge_batch(path: str):
-    """``foreachBatch`` step: existing versions win, each batch owns its partition.
+def merge_batch(path: str, identity: list[str], held: DataFrame | None = None):
+    """``foreachBatch`` step: versions of ``held`` win, of equal issues the first one stays.
 
-    A batch that is run again after a failure reads only earlier batches and replaces
-    its own partition, so repeating it changes nothing.
+    ``held`` is the table as it was when the stream began. What the stream itself has added does
+    not close a version, so its rows may come in any number of batches. An issue that was
+    delivered before (equal in ``identity``) is not added again; only digests are kept and
+    compared for that. A batch that is run again after a failure reads only earlier batches and
+    replaces its own partitions, so repeating it changes nothing.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch
+        new = batch.withColumn("key", _digest(identity))
+        if held is not None:
+            new = new.join(existing_versions(held), VERSION_KEY, "left_anti")
         if batch_id > 0:
-            held = _held(spark, path, f"{batch.schema.toDDL()}, {HELD_BATCH} bigint", batch_id)
-            new = batch.join(existing_versions(held), VERSION_KEY, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/{HELD_BATCH}={batch_id}")
+            new = new.join(_seen(spark, path, batch_id), "key", "left_anti")
+        new = new.dropDuplicates(["key"])
+        rows = f"{path}/rows/{HELD_BATCH}={batch_id}"
+        new.write.mode("overwrite").parquet(rows)
+        written = spark.read.schema(new.schema).parquet(rows)
+        written.select("key").write.mode("overwrite").parquet(f"{path}/keys/{HELD_BATCH}={batch_id}")
 
     return step
 
 
-def run_merge(stream: DataFrame, path: str, checkpoint: str) -> None:
+def run_merge(
+    stream: DataFrame, path: str, checkpoint: str, identity: list[str], held: DataFrame | None = None
+) -> None:
     query = (
-        stream.writeStream.foreachBatch(merge_batch(path))
+        stream.writeStream.foreachBatch(merge_batch(path, identity, held))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+
+
+def merged(spark: SparkSession, path: str) -> DataFrame:
+    """Rows the stream has added, each with the batch that brought it first."""
+    return spark.read.parquet(f"{path}/rows").drop("key").withColumn(
+        HELD_BATCH, F.col(HELD_BATCH).cast("bigint")
+    )

@@ -8,6 +8,8 @@ from fixatlas.functions import text as tx
 from fixatlas.functions import versions as vx
 from fixatlas.operators import baseline, dedup, discovery, merge, releases, report, search
 from fixatlas.plans import cards
+from fixatlas.sources.scratch import fresh_folder
+from fixatlas.sources.snapshots import load_baseline, save_baseline
 from fixatlas.workloads.derived import (
     SNAPSHOTS_SQL, WITH_FACTS, facts, issues, snapshots,
 )
@@ -278,7 +280,7 @@ def display_label(spark, data_dir):
 
 # --- dedup and merge ------------------------------------------------------------------------
 
-# A second capture of every row: same first 100 characters, other end.
+# Captures of every row: the first 100 characters are the same, ends differ but for the third.
 _CAPTURES = """select {columns}, page_ordinal + {shift} as page_ordinal, row_ordinal,
   concat(rpad(description, 100, '.'), ' capture {n}') as description from facts"""
 _DEDUP_COLUMNS = "product_id, version, issue_type, bug_id, release_date"
@@ -286,8 +288,9 @@ _DEDUP_COLUMNS = "product_id, version, issue_type, bug_id, release_date"
 
 @query("dedup_issues", WITH_FACTS + f""", captures as (
   {_CAPTURES.format(columns=_DEDUP_COLUMNS, shift=0, n=1)} union all
-  {_CAPTURES.format(columns=_DEDUP_COLUMNS, shift=1000000000000, n=2)}),
-ranked as (select *, row_number() over (partition by {_DEDUP_COLUMNS}, substring(description, 1, 100)
+  {_CAPTURES.format(columns=_DEDUP_COLUMNS, shift=1000000000000, n=2)} union all
+  {_CAPTURES.format(columns=_DEDUP_COLUMNS, shift=2000000000000, n=1)}),
+ranked as (select *, row_number() over (partition by {_DEDUP_COLUMNS}, description
   order by page_ordinal, row_ordinal) as n from captures)
 select {_DEDUP_COLUMNS}, description, page_ordinal, row_ordinal from ranked where n = 1""")
 def dedup_issues(spark, data_dir):
@@ -302,7 +305,8 @@ def dedup_issues(spark, data_dir):
             F.concat(F.rpad("description", 100, "."), F.lit(f" capture {n}")).alias("description"),
         )
 
-    return dedup.dedup_issues(capture(1, 0).unionByName(capture(2, 1_000_000_000_000)))
+    captures = capture(1, 0).unionByName(capture(2, 1_000_000_000_000))
+    return dedup.dedup_issues(captures.unionByName(capture(1, 2_000_000_000_000)))
 
 
 @query("merge_databases", SNAPSHOTS_SQL + """
@@ -342,7 +346,7 @@ def existing_versions(spark, data_dir):
 idx as (select * from facts where l_returnflag <> 'R'),
 both_ as (select *, 0 as late from own union all select *, 1 from idx),
 ranked as (select *, row_number() over (partition by product_id, version, issue_type, bug_id,
-  release_date, substring(description, 1, 100) order by late, page_ordinal, row_ordinal) as n
+  release_date, description order by late, page_ordinal, row_ordinal) as n
   from both_)
 select product_id, version, issue_type, bug_id, page_ordinal, row_ordinal, late = 1 as from_index
 from ranked where n = 1""")
@@ -413,18 +417,33 @@ def fetch_log(spark, data_dir):
     )
 
 
-@query("fetch_report", WITH_FACTS + f""", log as ({_FETCH_LOG_DUCK}),
+# Products a load was to fetch: those that fetches name, some of which have no issues at all.
+_LOADED = """select distinct product_id from {log} union select distinct product_id from {facts}"""
+
+
+@query("fetch_report", WITH_FACTS + f""", log as ({_FETCH_LOG_DUCK}
+  union all select 'never seen', 'https://docs.example.com/none', 'refused'),
+products as ({_LOADED.format(log="log", facts="facts")}),
 failures as (select product_id, count(*) as failed from log where error is not null group by all),
 m as (select product_id, count(distinct version) as versions,
   count(*) filter (issue_type = 'known') as known,
-  count(*) filter (issue_type = 'addressed') as addressed from facts group by all),
-j as (select m.*, coalesce(failed, 0) as failed from m left join failures using (product_id))
-select product_id, versions, known, addressed, failed from j
+  count(*) filter (issue_type = 'addressed') as addressed,
+  string_agg(distinct version, ',' order by version) as version_list from facts group by all),
+j as (select product_id, coalesce(versions, 0) as versions, coalesce(known, 0) as known,
+  coalesce(addressed, 0) as addressed, coalesce(failed, 0) as failed, coalesce(version_list, '') as version_list
+  from products left join m using (product_id) left join failures using (product_id))
+select product_id, versions, known, addressed, failed, version_list from j
 union all
 select null, cast(sum(versions) as bigint), cast(sum(known) as bigint),
-  cast(sum(addressed) as bigint), cast(sum(failed) as bigint) from j""")
+  cast(sum(addressed) as bigint), cast(sum(failed) as bigint), null from j""")
 def fetch_report(spark, data_dir):
-    return report.fetch_report(issues(spark, data_dir), fetch_log(spark, data_dir))
+    rows = issues(spark, data_dir)
+    log = fetch_log(spark, data_dir).unionByName(
+        spark.sql("select 'never seen' as product_id, 'https://docs.example.com/none' as url, 'refused' as error")
+    )
+    products = log.select("product_id").union(rows.select("product_id")).distinct()
+    result = report.fetch_report(rows, log, products)
+    return result.withColumn("version_list", F.array_join("version_list", ","))
 
 
 @query("retry_worklist", f"""with log as ({_FETCH_LOG_DUCK})
@@ -470,29 +489,39 @@ _MISSING = """select distinct product_id, version, bug_id from old
   where (product_id, version) in (select (product_id, version) from new)
     and (product_id, version, bug_id) not in (select (product_id, version, bug_id) from new)"""
 _DELTAS = f""", losses as ({_COUNT_LOSSES}), missing as ({_MISSING}),
-ranked as (select *, row_number() over (partition by product_id, version order by bug_id) as i
-  from missing),
 deltas as (
   select 'version_added' as delta_kind, product_id, version, null as issue_type,
-    null::bigint as before_n, null::bigint as after_n, null as ids from n anti join o using (product_id, version)
+    null::bigint as before_n, null::bigint as after_n, null as bug_id
+    from n anti join o using (product_id, version)
     where product_id in (select product_id from o)
   union all
   select 'version_removed', product_id, version, null, null, null, null
     from o anti join n using (product_id, version) where product_id in (select product_id from n)
   union all
+  select 'product_added', product_id, null, null, null, null, null
+    from (select distinct product_id from n) where product_id not in (select product_id from o)
+  union all
+  select 'product_removed', product_id, null, null, null, null, null
+    from (select distinct product_id from o) where product_id not in (select product_id from n)
+  union all
   select 'count_regression', product_id, version, issue_type, before_n, after_n, null from losses
   union all
-  select 'missing_ids', product_id, version, null, null, null,
-    string_agg(bug_id, ',' order by bug_id) from ranked where i <= 10 group by product_id, version)
+  select 'missing_id', product_id, version, null, null, null, bug_id from missing
+  union all
+  select 'missing_ids', product_id, version, null, count(*), null, null
+    from missing group by product_id, version)
 """
 
 
 def _snapshot_tables(spark, data_dir):
-    old, new = snapshots(spark, data_dir)
-    return (
-        baseline.fingerprint(old), baseline.fingerprint(new),
-        baseline.bug_ids(old), baseline.bug_ids(new),
-    )
+    """Both states as they are kept: stored counts and identifiers."""
+    kept = []
+    for state in snapshots(spark, data_dir):
+        where = fresh_folder(spark, "baseline")
+        save_baseline(state, where)
+        kept.append(load_baseline(spark, where))
+    (before, before_ids), (after, after_ids) = kept
+    return before, after, before_ids, after_ids
 
 
 @query("baseline_diff", SNAPSHOTS_SQL + _DELTAS + "select * from deltas")
@@ -502,7 +531,7 @@ def baseline_diff(spark, data_dir):
 
 @query("baseline_is_clean", SNAPSHOTS_SQL + _DELTAS + """
 select count(*) = 0 as is_clean, count(*) as n_losses from deltas
-where delta_kind <> 'version_added'""")
+where delta_kind not in ('version_added', 'product_added', 'missing_id')""")
 def baseline_is_clean(spark, data_dir):
     return baseline.verdict(baseline.diff(*_snapshot_tables(spark, data_dir)))
 

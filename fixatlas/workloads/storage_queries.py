@@ -86,18 +86,18 @@ def sink_tracker_json(spark, data_dir):
     )
 
 
-_LISTED = """select *, row_number() over (partition by product_id, version, issue_type,
+_LISTED = """select *, l_orderkey // 1000 as part, row_number() over (partition by product_id, version, issue_type,
   l_orderkey // 1000 order by page_ordinal, row_ordinal) - 1 as place from facts"""
 
 
 @query("flatten_issues", WITH_FACTS + f""", listed as ({_LISTED})
-select {_TRACKED}, cast(place as int) as row_ordinal,
+select {_TRACKED}, part, cast(place as int) as row_ordinal,
   case when issue_type = 'known' then 0 else 1 end as kind_rank from listed""")
 def flatten_issues(spark, data_dir):
     documents = tracker.to_documents(tracker.nest_versions(issues(spark, data_dir)))
     rows = tracker.flatten_issues(documents)
     return rows.select(
-        *_TRACKED_COLUMNS, join_components(), "release_date", "row_ordinal", "kind_rank"
+        *_TRACKED_COLUMNS, join_components(), "release_date", "part", "row_ordinal", "kind_rank"
     )
 
 
@@ -151,15 +151,30 @@ def baseline_roundtrip(spark, data_dir):
     return counts.join(per_version, ["product_id", "version"])
 
 
-@query("report_roundtrip", f"""with log as ({_FETCH_LOG_DUCK})
-select product_id, url, error from log where error is not null""")
+@query("report_roundtrip", WITH_FACTS + f""", log as ({_FETCH_LOG_DUCK}),
+products as (select distinct product_id from log union select distinct product_id from facts),
+m as (select product_id, count(distinct version) as versions, count(*) filter (issue_type = 'known') as known,
+  count(*) filter (issue_type = 'addressed') as addressed from facts group by all),
+f as (select product_id, count(*) as failed from log where error is not null group by all),
+j as (select product_id, coalesce(versions, 0) as versions, coalesce(known, 0) as known,
+  coalesce(addressed, 0) as addressed, coalesce(failed, 0) as failed
+  from products left join m using (product_id) left join f using (product_id))
+select product_id, url, error, null::bigint as versions, null::bigint as known, null::bigint as addressed,
+  null::bigint as failed from log where error is not null
+union all select product_id, null, null, versions, known, addressed, failed from j
+union all select null, null, null, sum(versions)::bigint, sum(known)::bigint, sum(addressed)::bigint,
+  sum(failed)::bigint from j""")
 def report_roundtrip(spark, data_dir):
     path = fresh_folder(spark, "report")
     log = fetch_log(spark, data_dir)
-    stats = report.fetch_report(issues(spark, data_dir), log)
+    rows = issues(spark, data_dir)
+    products = log.select("product_id").union(rows.select("product_id"))
+    stats = report.fetch_report(rows, log, products)
     tracker.write_report(stats, log.filter("error is not null"), path)
-    _, failures = tracker.read_report(spark, path)
-    return failures.select("product_id", "url", "error")
+    stats, failures = tracker.read_report(spark, path)
+    return failures.select("product_id", "url", "error").unionByName(
+        stats.drop("version_list"), allowMissingColumns=True
+    )
 
 
 _RELEASE = "concat(year(o_orderdate) - 1990, '.', month(o_orderdate), '.', o_custkey)"

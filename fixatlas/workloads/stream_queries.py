@@ -43,16 +43,20 @@ def stream_changed_pages(spark, data_dir):
     return spark.read.schema(f"{intake.CHANGED_SCHEMA}, batch bigint").parquet(f"{path}/changed")
 
 
-@query("stream_merge", WITH_FACTS + f""", s as (
-  select *, {_STEP} as step from facts),
-f as (select *, min(step) over (partition by product_id, version) as first_step from s)
-select product_id, version, issue_type, bug_id, page_ordinal, row_ordinal, cast(step as bigint) as batch
-from f where step = first_step""")
+_MERGED = ["product_id", "version", "issue_type", "bug_id", "page_ordinal", "row_ordinal"]
+
+
+@query("stream_merge", WITH_FACTS + f""", s as (select {", ".join(_MERGED)}, l_returnflag from facts),
+held as (select distinct product_id, version from s where l_returnflag = 'A' and issue_type = 'known')
+select distinct {", ".join(_MERGED)} from s
+where (product_id, version) not in (select (product_id, version) from held)""")
 def stream_merge(spark, data_dir):
-    rows = facts(spark, data_dir).select(
-        "product_id", "version", "issue_type", "bug_id", "page_ordinal", "row_ordinal",
-        "l_returnflag",
-    )
+    """Rows of versions not held at the start; the first increment is delivered twice."""
+    rows = facts(spark, data_dir).select(*_MERGED, "l_returnflag")
+    held = rows.filter("l_returnflag = 'A' and issue_type = 'known'")
     path, checkpoint = fresh_folder(spark, "issues"), fresh_folder(spark, "checkpoint")
-    _run_increments(spark, rows, lambda s: merging.run_merge(s, path, checkpoint))
-    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("bigint"))
+    again = rows.filter("l_returnflag = 'A'").withColumn("l_returnflag", F.lit("R"))
+    _run_increments(
+        spark, rows.unionByName(again), lambda s: merging.run_merge(s, path, checkpoint, _MERGED, held)
+    )
+    return merging.merged(spark, path).drop("batch")

@@ -38,13 +38,15 @@ def test_first_duplicate_wins(make):
     rows = make(
         ("p", "1", "known", "A-1", {"description": long + "first", "row_ordinal": 5}),
         ("p", "1", "known", "A-1", {"description": long + "second", "row_ordinal": 2}),
+        ("p", "1", "known", "A-1", {"description": long + "second", "row_ordinal": 3}),
         ("p", "1", "known", "A-1", {"description": long + "x", "release_date": "d"}),
         ("p", "1", "addressed", "A-1", {"description": long}),
         ("p", "1", "known", "A-1", {"description": "other"}),
     )
     got = dedup.dedup_issues(rows)
-    assert got.count() == 4
-    assert got.filter(f"description like '{long}%' and issue_type = 'known' and release_date is null").first().description == long + "second"
+    assert got.count() == 5
+    both = got.filter(f"description like '{long}%' and issue_type = 'known' and release_date is null")
+    assert {(r.description[100:], r.row_ordinal) for r in both.collect()} == {("first", 5), ("second", 2)}
 
 
 def test_hot_duplicates_are_cut_before_the_shuffle(make):
@@ -148,21 +150,35 @@ def test_snapshot_diff(make):
     new = make(("new", "1", "known", "A-1"), ("p", "1", "known", "A-1"), ("p", "3", "known", "A-4"), ("p", "4", "addressed", ""))
     tables = [f(x) for f in (baseline.fingerprint, baseline.bug_ids) for x in (old, new)]
     deltas = baseline.diff(*tables)
-    got = {(r.delta_kind, r.product_id, r.version, r.before_n, r.after_n, r.ids) for r in deltas.collect()}
+    got = {(r.delta_kind, r.product_id, r.version, r.before_n, r.after_n, r.bug_id) for r in deltas.collect()}
     assert got == {
         ("product_added", "new", None, None, None, None), ("product_removed", "gone", None, None, None, None),
         ("version_added", "p", "3", None, None, None), ("version_removed", "p", "2", None, None, None),
-        ("count_regression", "p", "1", 2, 1, None), ("missing_ids", "p", "1", None, None, "A-2"),
+        ("count_regression", "p", "1", 2, 1, None), ("missing_ids", "p", "1", 1, None, None),
+        ("missing_id", "p", "1", None, None, "A-2"),
     }
     assert not baseline.verdict(deltas).first().is_clean
     grown = [f(x) for f in (baseline.fingerprint, baseline.bug_ids) for x in (new, new.union(old))]
     assert baseline.verdict(baseline.diff(*grown)).first().is_clean
 
 
-def test_missing_ids_show_ten(make):
-    old = make(*[("p", "1", "known", f"A-{n:03}") for n in range(25)])
-    lists = baseline.missing_id_lists(baseline.bug_ids(old))
-    assert lists.first().ids.split(",") == [f"A-{n:03}" for n in range(10)]
+def test_all_missing_ids_are_reported_and_ten_shown(make):
+    old = make(("p", "1", "known", "B"), *[("p", "1", "known", f"A-{n:03}") for n in range(25)])
+    new = make(("p", "1", "known", "B"))
+    deltas = baseline.diff(*[f(x) for f in (baseline.fingerprint, baseline.bug_ids) for x in (old, new)])
+    assert deltas.filter("delta_kind = 'missing_id'").count() == 25
+    assert deltas.filter("delta_kind = 'missing_ids'").first().before_n == 25
+    shown = baseline.missing_id_samples(deltas).first()
+    assert shown["items"] == [f"A-{n:03}" for n in range(10)] and shown.more == 15
+
+
+def test_diff_reads_each_snapshot_twice_at_most(spark, make, tmp_path):
+    paths = [str(tmp_path / x) for x in "ab"]
+    for path in paths:
+        snapshots.save_baseline(make(("p", "1", "known", "A-1")), path)
+    (a, ai), (b, bi) = (snapshots.load_baseline(spark, p) for p in paths)
+    plan = baseline.diff(a, b, ai, bi)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" parquet") <= 5 and plan.count("FullOuter") == 1
 
 
 def test_parity(make):
@@ -208,14 +224,20 @@ def test_nested_parts_are_bounded_and_flatten_back(make):
     rows = make(*[("p", "1", "known", f"A-{n}", {"page_ordinal": n}) for n in range(10)])
     nested = tracker.nest_versions(rows, pages_per_part=4)
     assert sorted(len(r.known_issues) for r in nested.collect()) == [2, 4, 4]
-    assert tracker.flatten_issues(tracker.to_documents(nested)).count() == 10
+    flat = tracker.flatten_issues(tracker.to_documents(nested)).orderBy("version_no", "part", "kind_rank", "row_ordinal")
+    assert [r.bug_id for r in flat.collect()] == [f"A-{n}" for n in range(10)]
 
 
 def test_fetch_report_counts_only_this_load(make, spark):
     rows = make(("p", "1", "known", "A-1"), ("p", "2", "addressed", "A-1"), ("q", "1", "known", "A-2"))
     log = spark.createDataFrame([("p", "e"), ("p", None), ("r", "e")], "product_id string, error string")
-    got = {r.product_id: tuple(r)[1:] for r in report.fetch_report(rows, log).collect()}
-    assert got == {"p": (2, 1, 1, 1), "q": (1, 1, 0, 0), None: (3, 2, 1, 1)}
+    products = spark.createDataFrame([("p",), ("q",), ("s",)], "product_id string")
+    got = {r.product_id: tuple(r)[1:] for r in report.fetch_report(rows, log, products).collect()}
+    # One product only failed and is in no list; its failure counts all the same.
+    assert got == {
+        "p": (2, 1, 1, 1, ["1", "2"]), "q": (1, 1, 0, 0, ["1"]), "r": (0, 0, 0, 1, []), "s": (0, 0, 0, 0, []),
+        None: (3, 2, 1, 2, None),
+    }
 
 
 def test_strict_schema(spark):

@@ -52,13 +52,25 @@ def test_gate_forgets_after_its_lifetime(spark, tmp_path):
     assert spark.read.parquet(f"{path}/changed").count() == 2
 
 
-def test_merge_batches_are_idempotent(spark, tmp_path):
+MERGED = "product_id string, version string, bug_id string"
+ROWS = [("p", "1", "A"), ("p", "1", "B"), ("p", "2", "C"), ("p", "2", "D"), ("p", "1", "A"), ("p", "2", "E"), ("p", "3", None), ("p", "3", "")]
+KEY = ["product_id", "version", "bug_id"]
+
+
+@pytest.mark.parametrize("cuts", [[8], [1, 2, 5, 8], [3, 8], [1, 2, 3, 4, 5, 6, 7, 8]])
+def test_merge_does_not_depend_on_batches(spark, tmp_path, cuts):
     src, path, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
-    schema = "product_id string, version string, bug_id string"
-    steps = [[("p", "1", "A")], [("p", "1", "B"), ("p", "2", "C"), ("p", "2", "D")], [("p", "2", "E"), ("p", "3", "F")]]
-    for rows in steps:
-        merging.run_merge(feed(spark, src, rows, schema), path, ckpt)
-    step = merging.merge_batch(path)
-    step(spark.createDataFrame(steps[1], schema), 1)
-    step(spark.createDataFrame(steps[1], schema), 1)
-    assert sorted(r.bug_id for r in spark.read.parquet(path).collect()) == ["A", "C", "D", "F"]
+    held = spark.createDataFrame([("p", "2", "Z")], MERGED)
+    for low, high in zip([0, *cuts], cuts):
+        merging.run_merge(feed(spark, src, ROWS[low:high], MERGED), path, ckpt, KEY, held)
+    got = sorted(((r.version, r.bug_id) for r in merging.merged(spark, path).collect()), key=str)
+    assert got == [("1", "A"), ("1", "B"), ("3", ""), ("3", None)]
+
+
+def test_merge_batches_are_idempotent(spark, tmp_path):
+    path = str(tmp_path / "out")
+    step = merging.merge_batch(path, KEY)
+    for low, high, batch in ((0, 2, 0), (2, 6, 1), (2, 6, 1), (6, 8, 2), (2, 6, 1)):
+        step(spark.createDataFrame(ROWS[low:high], MERGED), batch)
+    got = merging.merged(spark, path).collect()
+    assert sorted(((r.bug_id, r.batch) for r in got), key=str) == [("", 2), ("A", 0), ("B", 0), ("C", 1), ("D", 1), ("E", 1), (None, 2)]
