@@ -58,6 +58,21 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def starts_packed(starts: np.ndarray) -> bytes:
+    """Window starts as runs of neighbours: first ones (as steps) and lengths."""
+    starts = np.unique(starts)
+    first = np.flatnonzero(np.append(True, starts[1:] != starts[:-1] + 1))[: len(starts)]
+    length = np.diff(np.append(first, len(starts)))
+    return pack(np.diff(starts[first].astype(np.int32), prepend=np.int32(0)), length.astype(np.int32))
+
+
+def covered(blob: bytes, n: int, depth: int) -> np.ndarray:
+    """Which of ``n`` bytes the windows of packed starts cover."""
+    step, length = unpack(blob)
+    first = np.cumsum(step, dtype=np.int64)
+    return within(n, first, first + length - 1 + depth)
+
+
 def _words_at(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place as a number; ``data`` has 8 bytes more than places."""
     return np.ndarray((max(len(data) - 7, 0),), ">u8", np.ascontiguousarray(data), strides=(1,))
@@ -282,7 +297,7 @@ def _sorted_within(depth: int, buckets: int):
         cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[: len(owner)]
         low, high = starts[cut], starts[np.append(cut[1:], len(starts)) - 1] if len(starts) else starts
         asked = owner[cut]
-        rows = [(buckets + key[0].as_py() % buckets, pack(removed.astype(np.uint32)))]
+        rows = [(buckets + key[0].as_py() % buckets, starts_packed(removed))]
         bucket = block.bucket[block.which[asked]]
         for b in np.unique(bucket).tolist():
             at = np.flatnonzero(bucket == b)
@@ -324,9 +339,9 @@ def _sorted_across(depth: int, buckets: int):
         )
         order = np.argsort(owner[context], kind="stable")
         context, step = context[order], step[order]
-        place = (low[context] + step).astype(np.uint32)
+        place = low[context] + step
         cuts = np.searchsorted(owner[context], np.arange(len(blocks) + 1))
-        replies = [pack(place[a:b]) for a, b in zip(cuts, cuts[1:])]
+        replies = [starts_packed(place[a:b]) for a, b in zip(cuts, cuts[1:])]
         return pa.table([pa.array(blocks, pa.int64()), pa.array(replies, pa.binary())], ["block", "payload"])
 
     return run
@@ -343,8 +358,9 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
 def _applied(depth: int, as_text: bool, schema: pa.Schema):
     def run(key, texts, removals):
         block = Block(texts.column("texts")[0].as_py(), depth, 1)
-        starts = np.concatenate([unpack(p)[0] for p in removals.column("payload").to_pylist()] or [np.zeros(0, np.uint32)])
-        gone = within(len(block.data), starts.astype(np.int64), starts.astype(np.int64) + depth)
+        gone = np.zeros(len(block.data), bool)
+        for blob in removals.column("payload").to_pylist():
+            gone |= covered(blob, len(gone), depth)
         if as_text:
             gone = _whole_characters(block.data, gone)
         first, _ = runs(gone, block.bounds)

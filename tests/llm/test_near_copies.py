@@ -30,6 +30,8 @@ def brute(rows, threshold=0.8):
 
     for i in range(n):
         for j in range(i):
+            if min(len(sets[i]), len(sets[j])) < threshold * max(len(sets[i]), len(sets[j])):
+                continue
             both = len(sets[i] & sets[j])
             if both and both * 10 >= round(threshold * 10) * (len(sets[i]) + len(sets[j]) - both):
                 links[i] += 1
