@@ -457,13 +457,26 @@ def _marks(tags, **fields) -> Column:
     )
 
 
-def _sectioned(pages: DataFrame, marks: Column, rows: Column) -> DataFrame:
-    """Raw rows next to the marks of their page; issues keep ``_marks`` until resolved."""
+def _sectioned(pages: DataFrame, marks: Column, rows, **context) -> DataFrame:
+    """Raw rows of all tables with what the headings above their table say.
+
+    ``context`` gives columns as functions of (marks, place in the document). They are worked out
+    once for each table, in the page's row, so neither tables nor rows carry the marks.
+    ``rows`` makes raw rows of an array of tables.
+    """
     kept = [c for c in pages.columns if c not in _PARTS]
-    return (
-        pages.withColumn("_marks", marks)
-        .select(*kept, "_marks", F.explode(rows).alias("_r"))
-        .select(*kept, "_marks", "_r.*")
+    with_context = tx.let(
+        marks,
+        lambda m: F.transform(
+            "tables",
+            lambda t: F.struct(
+                t.alias("t"), F.struct(*[f(m, t["ord"]).alias(n) for n, f in context.items()]).alias("c")
+            ),
+        ),
+    )
+    tables = pages.select(*kept, F.explode(with_context).alias("_z")).select(*kept, "_z.t", "_z.c.*")
+    return tables.select(*kept, *context, F.explode(rows(F.array("t"))).alias("_r")).select(
+        *kept, *context, "_r.*"
     )
 
 
@@ -496,14 +509,16 @@ def sections_by_agent_version(pages: DataFrame, kind: Column) -> DataFrame:
         version=heading_version,
         date=lambda h: F.when(heading_version(h).isNull(), tx.parse_date(h["fused"])),
     )
-    rows = _sectioned(pages, marks, table_rows(F.col("tables")))
-    at = F.col("ord")
-    rows = rows.withColumn("_v", last_mark(F.col("_marks"), at, _set("version")))
-    date = last_mark(F.col("_marks"), at, _set("date"), F.coalesce(F.col("_v.ord"), F.lit(-1)))
-    rows = (
-        rows.withColumn("version", F.coalesce(F.col("_v.version"), F.lit(fixed.VERSION_UNKNOWN)))
-        .withColumn("release_date", F.when(kind == "addressed", date["date"]))
-        .drop("_marks", "_v")
+    def date(m, at):
+        since = F.coalesce(last_mark(m, at, _set("version"))["ord"], F.lit(-1))
+        return F.when(kind == "addressed", last_mark(m, at, _set("date"), since)["date"])
+
+    rows = _sectioned(
+        pages, marks, table_rows,
+        version=lambda m, at: F.coalesce(
+            last_mark(m, at, _set("version"))["version"], F.lit(fixed.VERSION_UNKNOWN)
+        ),
+        release_date=date,
     )
     return clean_rows(rows)
 
@@ -512,10 +527,10 @@ def sections_by_component(pages: DataFrame) -> DataFrame:
     """``<component> Known Issues`` headings; the component is added last if absent."""
     name = r"(?iUd)^(.*?)\s*Known\s*Issues?$"
     marks = _marks(_H234, component=lambda h: tx.blank_to_null(tx.strip(F.regexp_extract(h["fused"], name, 1))))
-    rows = _sectioned(pages, marks, table_rows(F.col("tables")))
-    rows = rows.withColumn(
-        "_component", last_mark(F.col("_marks"), F.col("ord"), _set("component"))["component"]
-    ).drop("_marks")
+    rows = _sectioned(
+        pages, marks, table_rows,
+        _component=lambda m, at: last_mark(m, at, _set("component"))["component"],
+    )
     issues = clean_rows(rows)
     return issues.withColumn(
         "affected_components", _append(F.col("affected_components"), F.col("_component"))
@@ -581,35 +596,34 @@ def sections_by_calendar_version(pages: DataFrame) -> DataFrame:
         return F.when(version(h).isNull() & date(h).isNull(), first)
 
     marks = _marks(_H234, version=version, date=date, component=component)
-    bare = F.transform(
-        headerless_rows(F.col("tables")),
-        lambda r: F.struct(
-            r["ord"], r["row_no"], r["id"], r["id_parts"], r["text"], F.lit(True).alias("bare")
-        ),
-    )
-    headed = F.transform(
-        table_rows(F.col("tables")),
-        lambda r: F.struct(
-            r["ord"], r["row_no"], r["id"], r["id_parts"], r["text"], F.lit(False).alias("bare")
-        ),
-    )
-    # A header-less table is read by its header-row fallback only if no row of it is fused.
-    taken = F.transform(
-        F.filter(bare, lambda r: split_fused_id(r["id"])["bug_id"].isNotNull()), lambda r: r["ord"]
-    )
-    headed = F.filter(headed, lambda r: ~F.array_contains(taken, r["ord"]))
-    rows = _sectioned(pages, marks, F.concat(bare, headed))
-    at, marks_col = F.col("ord"), F.col("_marks")
-    rows = rows.withColumn("_v", last_mark(marks_col, at, _set("version")))
-    since = F.coalesce(F.col("_v.ord"), F.lit(-1))
-    rows = (
-        rows.withColumn("_d", last_mark(marks_col, at, _set("date"), since)["date"])
-        .withColumn("_component", last_mark(marks_col, at, _set("component"), since)["component"])
-        .withColumn(
-            "_version",
-            F.when(F.col("_d").isNull(), F.col("_v.version")).otherwise(F.lit(None)),
+
+    def shaped(rows, bare):
+        return F.transform(
+            rows,
+            lambda r: F.struct(
+                r["ord"], r["row_no"], r["id"], r["id_parts"], r["text"], F.lit(bare).alias("bare")
+            ),
         )
-        .drop("_marks", "_v")
+
+    def both_shapes(tables):
+        bare, headed = shaped(headerless_rows(tables), True), shaped(table_rows(tables), False)
+        # A header-less table is read by its header-row fallback only if no row of it is fused.
+        taken = F.exists(bare, lambda r: split_fused_id(r["id"])["bug_id"].isNotNull())
+        return F.when(taken, bare).otherwise(F.concat(bare, headed))
+
+    def since(m, at):
+        return F.coalesce(last_mark(m, at, _set("version"))["ord"], F.lit(-1))
+
+    def date_above(m, at):
+        return last_mark(m, at, _set("date"), since(m, at))["date"]
+
+    rows = _sectioned(
+        pages, marks, both_shapes,
+        _d=date_above,
+        _component=lambda m, at: last_mark(m, at, _set("component"), since(m, at))["component"],
+        _version=lambda m, at: F.when(
+            date_above(m, at).isNull(), last_mark(m, at, _set("version"))["version"]
+        ),
     )
     # One pass for both shapes: the id rules differ, the text rules do not.
     fused = split_fused_id(F.col("id"))
@@ -664,10 +678,10 @@ def sections_by_feature(pages: DataFrame) -> DataFrame:
         return F.when((h["fused"] != "") & ~skip, h["fused"])
 
     marks = _marks(_H234, feature=feature)
-    rows = _sectioned(pages, marks, table_rows(F.col("tables"), td_headers=False))
-    rows = rows.withColumn(
-        "_feature", last_mark(F.col("_marks"), F.col("ord"), _set("feature"))["feature"]
-    ).drop("_marks")
+    rows = _sectioned(
+        pages, marks, lambda tables: table_rows(tables, td_headers=False),
+        _feature=lambda m, at: last_mark(m, at, _set("feature"))["feature"],
+    )
     return clean_rows(rows).withColumn(
         "affected_components", with_feature(F.col("affected_components"), F.col("_feature"))
     ).drop("_feature")
@@ -677,13 +691,10 @@ def sections_by_index_version(pages: DataFrame) -> DataFrame:
     """Index page: the nearest heading must name a version, or its tables are left out."""
     version = _found(r"(?U)Prisma Access Agent\s+(\d+\.\d+(?:\.\d+)?)", "spaced")
     marks = _marks(("h2", "h3"), version=version)
-    rows = _sectioned(pages, marks, table_rows(F.col("tables")))
-    rows = (
-        rows.withColumn("version", last_mark(F.col("_marks"), F.col("ord"))["version"])
-        .filter("version is not null")
-        .drop("_marks")
+    rows = _sectioned(
+        pages, marks, table_rows, version=lambda m, at: last_mark(m, at)["version"]
     )
-    return clean_rows(rows)
+    return clean_rows(rows.filter("version is not null"))
 
 
 def sections_by_version_and_kind(pages: DataFrame, url: Column) -> DataFrame:
@@ -703,20 +714,14 @@ def sections_by_version_and_kind(pages: DataFrame, url: Column) -> DataFrame:
         return version(h).isNotNull() | kind(h).isNotNull()
 
     marks = _marks(("h1", *_H234), version=version, kind=kind, resets=resets)
-    rows = _sectioned(pages, marks, table_rows(F.col("tables")))
-    at = F.col("ord")
-    rows = (
-        rows.withColumn(
-            "version",
-            F.coalesce(
-                last_mark(F.col("_marks"), at, lambda m: m["resets"])["version"], ux.tree_major(url)
-            ),
-        )
-        .withColumn(
-            "issue_type",
-            F.coalesce(last_mark(F.col("_marks"), at, _set("kind"))["kind"], ux.default_kind(url)),
-        )
-        .drop("_marks")
+    rows = _sectioned(
+        pages, marks, table_rows,
+        version=lambda m, at: F.coalesce(
+            last_mark(m, at, lambda x: x["resets"])["version"], ux.tree_major(url)
+        ),
+        issue_type=lambda m, at: F.coalesce(
+            last_mark(m, at, _set("kind"))["kind"], ux.default_kind(url)
+        ),
     )
     return clean_rows(rows)
 

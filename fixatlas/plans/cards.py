@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixatlas.functions import text as tx
 from fixatlas.operators import releases, search
 
-def result_order() -> list:
-    """Product, version, known before addressed, then document order."""
-    return ["product_id", "version", F.desc("issue_type"), "page_ordinal", "row_ordinal"]
+
+ORDER = ["product_ordinal", "version_ordinal", "kind_rank", "page_ordinal", "row_ordinal"]
+
+
+def placed(issues: DataFrame) -> DataFrame:
+    """Issues with the numbers that put them in document order, all ascending and never null.
+
+    Products stand in the order of their ids, a product's versions newest first, known before
+    addressed, then pages and rows as they came. Only versions are ordered, not issues.
+    """
+    versions = search.versions_newest_first(issues).withColumnRenamed("place", "version_ordinal")
+    products = versions.select("product_id").distinct()
+    numbered = products.select(
+        "product_id", F.row_number().over(Window.orderBy("product_id")).cast("bigint").alias("product_ordinal")
+    )  # one row per product, a few dozen
+    order = versions.join(numbered, "product_id")
+    rank = F.when(F.col("issue_type") == "known", 0).otherwise(1)
+    return issues.join(order, ["product_id", "version"]).withColumns(
+        {
+            "kind_rank": rank,
+            "page_ordinal": F.coalesce("page_ordinal", F.lit(-1)),
+            "row_ordinal": F.coalesce("row_ordinal", F.lit(-1)),
+        }
+    )
 
 
 def result_page(issues: DataFrame, page: int = 1, size: int = 50, **facets) -> DataFrame:
@@ -18,7 +39,7 @@ def result_page(issues: DataFrame, page: int = 1, size: int = 50, **facets) -> D
 
     The joins see only the rows of the page, not the whole result.
     """
-    shown = search.page_slice(search.search(issues, **facets), result_order(), page, size)
+    shown = search.page_slice(search.search(placed(issues), **facets), ORDER, page, size)
     cards = releases.also_affected(releases.with_fixes(shown, issues), issues)
     known = F.col("issue_type") == "known"
     return cards.withColumns(

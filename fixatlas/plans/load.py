@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixatlas.operators import discovery, extract
 from fixatlas.operators.dedup import dedup_issues
-from fixatlas.operators.merge import merge_issues
-from fixatlas.sources.pages import parse_pages, usable_pages
+from fixatlas.operators.merge import merge_issues, upsert_manifest
+from fixatlas.operators.report import fetch_report
+from fixatlas.sources.pages import latest_attempts, parse_pages, usable_pages
+from fixatlas.sources.scratch import fresh_folder
 
 
 def due_pages(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -23,28 +25,100 @@ def due_pages(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
     return discovery.drop_landing_pages(discovery.version_pages(changed))
 
 
-def load_issues(due: DataFrame, pages: DataFrame) -> DataFrame:
+def chosen_captures(due: DataFrame, pages: DataFrame) -> DataFrame:
+    """The capture of each due path to read (path, attempt), chosen on narrow columns and stored.
+
+    Page bodies are not among the columns, so choosing moves no body; and since the result is a
+    stored table, its size is known when the bodies are fetched: a short work list is sent to
+    them, and for a long one Spark filters the bodies by it before they move.
+    """
+    narrow = pages.select("path", "status", "attempt").join(
+        due.select("path").distinct(), "path", "left_semi"
+    )
+    where = fresh_folder(due.sparkSession, "captures")
+    usable_pages(narrow, ("path",)).select("path", "attempt").write.parquet(where)
+    return due.sparkSession.read.parquet(where)
+
+
+def failed_pages(due: DataFrame, pages: DataFrame) -> DataFrame:
+    """Due paths without a usable capture, with the reason: gone, transient, or not captured."""
+    narrow = pages.select("path", "status", "attempt").join(
+        due.select("path").distinct(), "path", "left_semi"
+    )
+    last = latest_attempts(narrow, ("path",)).select("path", "outcome")
+    return (
+        due.join(last, "path", "left")
+        .withColumn("error", F.coalesce("outcome", F.lit("not captured")))
+        .filter("error <> 'usable'")
+        .select("product_id", "version", F.col("kind").alias("issue_type"), F.col("path").alias("url"), "error")
+    )
+
+
+def empty_pages(due: DataFrame, chosen: DataFrame, issues: DataFrame) -> DataFrame:
+    """Due pages that were read and gave no issue, as failures."""
+    read = due.join(chosen.select("path").distinct(), "path", "left_semi")
+    pages = read.select("product_id", "version", F.col("kind").alias("issue_type"), F.col("path").alias("url"))
+    found = issues.select("product_id", "version", "issue_type", F.col("source_url").alias("url")).distinct()
+    keys = ["product_id", "version", "issue_type", "url"]
+    return pages.join(found, keys, "left_anti").withColumn("error", F.lit("no issues found"))
+
+
+def load_issues(due: DataFrame, pages: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Issues of the due pages in the common tables-or-topics layout.
 
-    Pages meet the work list by path before they are parsed, so only due pages cost
-    anything; a page that fills both kinds is parsed once and fanned out afterwards.
+    Only bodies of chosen captures are read and parsed, each once; a page that fills both
+    kinds is fanned out afterwards.
     """
+    chosen = chosen_captures(due, pages) if chosen is None else chosen
     wanted = due.groupBy("path").agg(
         F.collect_set(F.struct("product_id", "version", "kind", "ordinal")).alias("uses")
     )
-    bodies = usable_pages(pages, ("path",)).select("path", "html").join(wanted, "path")
-    issues = extract.issue_pages(parse_pages(bodies, "tables", "topics"))
+    bodies = pages.select("path", "attempt", "html").join(chosen, ["path", "attempt"]).drop("attempt")
+    issues = extract.issue_pages(parse_pages(bodies.join(wanted, "path"), "tables", "topics"))
+    place = ("ord", "row_no", "id_no")
+    order = Window.partitionBy("product_id", "version", "issue_type", "source_url").orderBy(*place)
     flat = issues.withColumn("_u", F.explode("uses")).select(
         "_u.product_id", "_u.version", F.col("_u.kind").alias("issue_type"), "bug_id",
         "description", F.lit(None).cast("string").alias("symptoms"), "workaround", "fix_info",
         "affected_components", F.lit(None).cast("string").alias("release_date"),
-        F.col("path").alias("source_url"), F.col("_u.ordinal").alias("page_ordinal"),
-        (F.col("ord").cast("bigint") * 1_000_000 + F.col("row_no") * 100 + F.col("id_no")).alias("row_ordinal"),
+        F.col("path").alias("source_url"), F.col("_u.ordinal").alias("page_ordinal"), *place,
     )
-    return dedup_issues(flat)
+    # Places in a page are compared as they are, and numbered only for rows that stay.
+    kept = dedup_issues(flat, order=("page_ordinal", "source_url", *place))
+    return kept.withColumn("row_ordinal", F.row_number().over(order).cast("bigint")).drop(*place)
 
 
-def refresh(held: DataFrame, due: DataFrame, pages: DataFrame, names: DataFrame) -> DataFrame:
-    """Held issues plus those of the due pages, existing versions kept as they are."""
+def refresh(
+    held: DataFrame, due: DataFrame, pages: DataFrame, names: DataFrame, replace_changed: bool = False
+) -> DataFrame:
+    """Held issues plus those of the due pages, existing versions kept as they are.
+
+    With ``replace_changed`` a version that has a due page is taken from the new side.
+    """
     new = load_issues(due, pages).join(names, "product_id", "left")
-    return merge_issues(held, new)
+    return merge_issues(held, new, replace_changed)
+
+
+def run(
+    held: DataFrame, manifest: DataFrame, due: DataFrame, pages: DataFrame, names: DataFrame, seq: int,
+    replace_changed: bool = False,
+) -> dict[str, DataFrame]:
+    """A load with its books: issues, manifest, failures and report.
+
+    Pages that were read enter the manifest, also those without issues; pages that were not stay
+    due. Every due page is in exactly one of the two. ``due`` needs url and lastmod.
+    """
+    spark = due.sparkSession
+    chosen = chosen_captures(due, pages)
+    where = fresh_folder(spark, "loaded")
+    load_issues(due, pages, chosen).write.parquet(where)
+    new = spark.read.parquet(where)
+    failures = failed_pages(due, pages).unionByName(empty_pages(due, chosen, new))
+    read = due.join(chosen.select("path").distinct(), "path", "left_semi")
+    seen = read.select("product_id", "url", "lastmod", F.lit(seq).cast("bigint").alias("seq")).distinct()
+    return {
+        "issues": merge_issues(held, new.join(names, "product_id", "left"), replace_changed),
+        "manifest": upsert_manifest(manifest, seen),
+        "failures": failures,
+        "report": fetch_report(new, failures, due.select("product_id")),
+    }

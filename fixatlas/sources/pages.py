@@ -83,12 +83,18 @@ def parse_pages(pages: DataFrame, *parts: str, html: str = "html") -> DataFrame:
     names = [f.name for f in kept]
 
     def read(batches):
-        gc.disable()  # page trees hold no cycles; tracking them only costs time
         for batch in batches:
-            docs = [
-                read_page(h, parts) if h is not None else dict.fromkeys(parts)
-                for h in batch.column(html).to_pylist()
-            ]
+            # Page trees hold no cycles; tracking them only costs time. Off for this batch only.
+            tracked = gc.isenabled()
+            gc.disable()
+            try:
+                docs = [
+                    read_page(h, parts) if h is not None else dict.fromkeys(parts)
+                    for h in batch.column(html).to_pylist()
+                ]
+            finally:
+                if tracked:
+                    gc.enable()
             columns = [batch.column(n) for n in names]
             columns += [pa.array([d[p] for d in docs], type=arrow[p]) for p in parts]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *parts])

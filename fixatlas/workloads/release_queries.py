@@ -134,24 +134,34 @@ def component_counts(spark, data_dir):
     return search.component_counts(issues(spark, data_dir))
 
 
-@query("paginate", WITH_FACTS + """
-select product_id, version, bug_id, page_ordinal, row_ordinal from facts
+_DOCUMENT_ORDER = f"product_id, {NEWEST}, issue_type desc, page_ordinal, row_ordinal"
+_BOLTS = """select product_id, version, bug_id, page_ordinal, row_ordinal from facts
 where contains(lower(concat_ws(' ', bug_id, description, symptoms, workaround, comp1, comp2)),
-  'bolt')
-order by product_id, version, issue_type desc, page_ordinal, row_ordinal
-limit 50 offset 100""")
+  'bolt')"""
+
+
+@query("paginate", WITH_FACTS + _BOLTS + f" order by {_DOCUMENT_ORDER} limit 50 offset 100")
 def paginate(spark, data_dir):
-    found = search.search(issues(spark, data_dir), term="bolt")
-    return search.page_slice(found, cards.result_order(), page=3).select(
+    found = search.search(cards.placed(issues(spark, data_dir)), term="bolt")
+    return search.page_slice(found, cards.ORDER, page=3).select(
         "product_id", "version", "bug_id", *KEY
     )
 
 
+@query("paginate_after", WITH_FACTS + _BOLTS + f" order by {_DOCUMENT_ORDER} limit 50 offset 50")
+def paginate_after(spark, data_dir):
+    """The page after the first one, from the key of the last row shown."""
+    found = search.search(cards.placed(issues(spark, data_dir)), term="bolt")
+    shown = search.page_after(found, cards.ORDER, None).select(cards.ORDER).collect()  # one page
+    following = search.page_after(found, cards.ORDER, list(shown[-1]) if shown else None)
+    return following.select("product_id", "version", "bug_id", *KEY)
+
+
 @query("result_page", WITH_FACTS + _FIXES + """, page as (
   select * from facts
   where contains(lower(concat_ws(' ', bug_id, description, symptoms, workaround, comp1, comp2)),
     'gear')
-  order by product_id, version, issue_type desc, page_ordinal, row_ordinal limit 50),
+  order by """ + _DOCUMENT_ORDER + """ limit 50),
 listed as (select product_id, bug_id, version, count(*) as n from facts
   where issue_type = 'known' group by all)
 select p.bug_id, p.page_ordinal, p.row_ordinal,

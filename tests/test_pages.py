@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,15 @@ def test_kind_heading_speaks_for_the_page(spark):
     assert [(r["version"], r["issue_type"]) for r in got] == [
         ("11.1", "known"), ("11.0.2", "addressed"), ("11.0.2", "addressed"), ("11.1", "known"),
     ]
+
+
+def test_long_pages_with_many_marks(spark):
+    """Context is found once for a table, so rows and marks of a page don't multiply."""
+    n = 4_000
+    rows = "".join(f"<tr><td>ADEM-{i}</td><td>Fails</td></tr>" for i in range(n))
+    html = "<h2>Agent 5.1</h2>" + "<p>Some text</p>" * n + "<p>May 2024</p><table><tr><th>Issue ID</th><th>Description</th></tr>" + rows + "</table>"
+    page = spark.createDataFrame([("u", html)], "url string, html string")
+    found = extract.sections_by_agent_version(parse_pages(page, "headings", "tables"), F.lit("addressed"))
+    start = time.time()
+    assert found.filter("version = '5.1'").count() == n
+    assert time.time() - start < 60
