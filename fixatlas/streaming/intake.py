@@ -8,6 +8,8 @@ where every single change matters; it costs a Python call per URL.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,44 +69,52 @@ def changed_pages(pages: DataFrame, ttl_hours: int = fixed.CACHE_TTL_HOURS) -> D
     )
 
 
-def gate_batch(path: str, ttl_hours: int = fixed.CACHE_TTL_HOURS):
+def gate_batch(path: str, ttl_hours: int = fixed.CACHE_TTL_HOURS, clock=None):
     """``foreachBatch`` step that keeps a manifest and writes the pages that changed.
 
     Of several captures of a page in one batch the latest counts.  A batch reads only
     what earlier batches recorded within the lifetime and replaces only its own
-    folders, so running it again after a failure gives the same result.  Recorded
-    batches older than the lifetime are never read again and can be deleted.
+    folders, so running it again after a failure gives the same result.  The manifest is
+    laid out by day, so days before the lifetime are not opened, and can be deleted.
+    ``clock`` gives the time of a batch (UTC); now by default.
     """
     manifest_path, changed_path = f"{path}/manifest", f"{path}/changed"
-    schema = f"{CHANGED_SCHEMA}, seen_at timestamp, batch bigint"
+    schema = f"{CHANGED_SCHEMA}, seen_at timestamp, day date, batch bigint"
+    clock = clock or (lambda batch_id: datetime.now(timezone.utc))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = Window.partitionBy("product_id", "url").orderBy(F.col("seq").desc())
+        now = clock(batch_id)
+        oldest = now - timedelta(hours=ttl_hours)
 
         def latest(df):
             return df.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
         due = seen = latest(batch.select("product_id", "url", "lastmod", "seq"))
         if batch_id > 0:
-            oldest = F.current_timestamp() - F.make_dt_interval(hours=F.lit(ttl_hours))
             recorded = (
                 spark.read.schema(schema).option("basePath", manifest_path).parquet(manifest_path)
-                .filter((F.col("batch") < batch_id) & (F.col("seen_at") > oldest))
+                .filter(
+                    (F.col("day") >= F.lit(oldest.date())) & (F.col("batch") < batch_id)
+                    & (F.col("seen_at") > F.lit(oldest))
+                )
             )
             due = changed_urls(seen, latest(recorded))
         due.write.mode("overwrite").parquet(f"{changed_path}/batch={batch_id}")
-        seen.withColumn("seen_at", F.current_timestamp()).write.mode("overwrite").parquet(
-            f"{manifest_path}/batch={batch_id}"
+        seen.withColumn("seen_at", F.lit(now)).write.mode("overwrite").parquet(
+            f"{manifest_path}/day={now.date()}/batch={batch_id}"
         )
 
     return step
 
 
-def run_gate(stream: DataFrame, path: str, checkpoint: str) -> None:
+def run_gate(
+    stream: DataFrame, path: str, checkpoint: str, ttl_hours: int = fixed.CACHE_TTL_HOURS, clock=None
+) -> None:
     """Processes what is there and stops; output and progress are on shared storage."""
     query = (
-        stream.writeStream.foreachBatch(gate_batch(path))
+        stream.writeStream.foreachBatch(gate_batch(path, ttl_hours, clock))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

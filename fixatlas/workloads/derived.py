@@ -122,8 +122,6 @@ def pages(
     order has.
     """
     body = F.array_sort(F.collect_list(F.struct("row_ordinal", F.expr(row_html).alias("html"))))
-    # Reading pages is work per page, while adaptive execution packs shuffled rows by size.
-    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
     head = "'<html><head><title>Release notes</title></head><body><h1>Release notes</h1>'"
     return (
         rows.groupBy("l_orderkey", "issue_type")
@@ -136,7 +134,6 @@ def pages(
                 F.expr(f"concat({after}, '</body></html>')"),
             ).alias("html"),
         )
-        .repartition(tasks, "url")
     )
 
 

@@ -134,17 +134,17 @@ def dq_pages_without_issues(spark, data_dir):
 
 
 @query("dq_unexpected_majors", WITH_FACTS + """, m as (
-  select distinct product_id, concat(v1, '-', v2) as major_version, p_size, l_returnflag from facts),
-seen as (select distinct product_id, major_version from m where p_size > 20 and l_returnflag = 'R'),
-expected as (select distinct product_id, major_version from m where p_size < 30 and l_returnflag = 'A')
+  select distinct product_id, concat(v1, '-', v2) as major_version, (v1 + v2) % 3 as part, l_returnflag from facts),
+seen as (select distinct product_id, major_version from m where part <> 0 and l_returnflag = 'R'),
+expected as (select distinct product_id, major_version from m where part <> 1 and l_returnflag = 'A')
 select product_id, major_version, 'unexpected' as problem from seen anti join expected
   using (product_id, major_version)
 union all select product_id, major_version, 'not seen' from expected anti join seen
   using (product_id, major_version)""")
 def dq_unexpected_majors(spark, data_dir):
     rows = facts(spark, data_dir).withColumn("major_version", F.expr("concat(v1, '-', v2)"))
-    seen = rows.filter("p_size > 20 and l_returnflag = 'R'")
-    expected = rows.filter("p_size < 30 and l_returnflag = 'A'")
+    seen = rows.filter("(v1 + v2) % 3 <> 0 and l_returnflag = 'R'")
+    expected = rows.filter("(v1 + v2) % 3 <> 1 and l_returnflag = 'A'")
     return quality.unexpected_majors(
         seen, expected.select("product_id", "major_version").distinct()
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from fixatlas.sources.scratch import fresh_folder
@@ -25,6 +27,33 @@ def _run_increments(spark, rows, run):
         run(spark.readStream.schema(schema).parquet(source))
 
 
+_EXPIRY_START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+_EXPIRY_HOURS = [0, 20, 50]  # with a lifetime of 24 h the last increment finds nothing recorded
+
+
+@query("stream_expiry", WITH_FACTS + f""", s as (
+  select product_id, {PAGE_URL_SQL} as url, {_LASTMOD} as lastmod, {_SEQ} as seq, {_STEP} as step
+  from facts),
+n as (select *, row_number() over (partition by product_id, url, step order by seq desc) as n from s),
+l as (select *, lag(lastmod) over (partition by product_id, url order by step) as before
+  from n where n = 1)
+select product_id, url, lastmod, seq, cast(step as bigint) as batch from l
+where step = 2 or lastmod is null or before is null or lastmod <> before""")
+def stream_expiry(spark, data_dir):
+    """As `stream_changed_pages`, with hours between the increments and a lifetime in between."""
+    rows = facts(spark, data_dir).selectExpr(
+        "product_id", f"{PAGE_URL_SQL} as url", f"{_LASTMOD} as lastmod", f"{_SEQ} as seq",
+        "l_returnflag",
+    )
+    path, checkpoint = fresh_folder(spark, "gate"), fresh_folder(spark, "checkpoint")
+
+    def clock(batch_id):
+        return _EXPIRY_START + timedelta(hours=_EXPIRY_HOURS[batch_id])
+
+    _run_increments(spark, rows, lambda s: intake.run_gate(s, path, checkpoint, 24, clock))
+    return spark.read.schema(f"{intake.CHANGED_SCHEMA}, batch bigint").parquet(f"{path}/changed")
+
+
 @query("stream_changed_pages", WITH_FACTS + f""", s as (
   select product_id, {PAGE_URL_SQL} as url, {_LASTMOD} as lastmod, {_SEQ} as seq, {_STEP} as step
   from facts),

@@ -59,7 +59,7 @@ def stored_inventory(spark, data_dir, *columns):
     """The inventory as the stored table it is in use: rules read a column, not its recipe."""
     path = fresh_folder(spark, "inventory")
     rows = inventory(spark, data_dir).select(*columns)
-    rows.repartition(2 * spark.sparkContext.defaultParallelism, "url").write.parquet(path)
+    rows.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -271,14 +271,17 @@ def url_template(spark, data_dir):
 # --- work lists ---------------------------------------------------------------------------
 
 # "fixed" is no page word of the version rule, so it counts as a suffix.
-_LISTED = f"""select {_PRODUCT_DUCK} as product_id, case when hot = 0 and l_tax > 0.06
-    and issue_type = 'addressed' then concat(version, '-fixed') else version end as version, kind, min(row_ordinal) as ordinal,
+# The version is taken as the URL writes it, so an upper-case URL gives an upper-case suffix.
+_AS_WRITTEN = """case when hot = 0 and l_tax > 0.06 and issue_type = 'addressed'
+    then concat(version, '-fixed') else version end"""
+_LISTED = f"""select {_PRODUCT_DUCK} as product_id,
+    case when v3 = 2 then upper({_AS_WRITTEN}) else {_AS_WRITTEN} end as version, kind, min(row_ordinal) as ordinal,
   regexp_replace(substring(url, {len(fixed.DOCS_HOST) + 1}), '\\.html$', '') as path
-  from (select *, {_URL_DUCK} as url, unnest({_KINDS_DUCK}) as kind from facts) where v3 <> 2 group by all"""
+  from (select *, {_URL_DUCK} as url, unnest({_KINDS_DUCK}) as kind from facts) group by all"""
 
 
 def _listed(spark, data_dir):
-    rows = stored_inventory(spark, data_dir, "url", "ordinal", "v3").filter("v3 <> 2")
+    rows = stored_inventory(spark, data_dir, "url", "ordinal")
     return discovery.version_pages(discovery.classify_inventory(rows))
 
 
@@ -289,8 +292,8 @@ def version_pages(spark, data_dir):
 
 @query("drop_landing_pages", WITH_FACTS + f""", listed as ({_LISTED}),
 special as (select distinct product_id, version, kind from listed
-  where path like '%/' || '%-' || kind || '-issues' and path not like '%known-and-addressed-issues')
-select * from listed where path not like '%known-and-addressed-issues'
+  where lower(path) like '%/' || '%-' || kind || '-issues' and lower(path) not like '%known-and-addressed-issues')
+select * from listed where lower(path) not like '%known-and-addressed-issues'
   or (product_id, version, kind) not in (select (product_id, version, kind) from special)""")
 def drop_landing_pages(spark, data_dir):
     return discovery.drop_landing_pages(_listed(spark, data_dir))
