@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixatlas import fixed
+from fixatlas.functions import urls as ux
 from fixatlas.operators import discovery, extract
 from fixatlas.operators.dedup import dedup_issues
 from fixatlas.operators.merge import merge_issues, upsert_manifest
@@ -122,3 +124,100 @@ def run(
         "failures": failures,
         "report": fetch_report(new, failures, due.select("product_id")),
     }
+
+
+# --- all layouts ------------------------------------------------------------------------
+
+
+def _version(url: Column, rule: Column) -> Column:
+    """Version of a page by its product's rule; headings on the page name it for the rest."""
+    return (
+        F.when(rule == "dotted", ux.dotted_version(url))
+        .when(rule == "saas", F.lit(fixed.VERSION_SAAS))
+        .when(rule == "template", ux.dotted_version(url))
+        .when(rule == "year", ux.year_slug(url))
+        .when(rule == "run_or_year", F.coalesce(ux.addressed_year(url), ux.run_version(url)))
+        .when(rule == "tree", ux.tree_major(url))
+        .when(rule == "space", ux.space_version(F.regexp_replace(F.regexp_replace(url, r"^.*?://[^/]*/", ""), r"/[^/]*$", ""), F.lit(None).cast("string")))
+        .otherwise(F.lit(fixed.VERSION_UNKNOWN))
+    )
+
+
+def _kinds(url: Column, rule: Column) -> Column:
+    one = F.array_compact(F.array(F.coalesce(ux.year_page_kind(url), ux.default_kind(url))))
+    return (
+        F.when(rule.isin("dotted", "template"), ux.page_kinds(url))
+        .when(rule == "saas", ux.page_kinds_anywhere(url))
+        .otherwise(one)
+    )
+
+
+def due_by_profile(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Pages to read with the version rule and layout of their product; no product is left out."""
+    url, rule = F.col("url"), F.col("version_rule")
+    pages = inventory.filter(ux.is_issue_page(url) | ux.is_scoped_tree_page(url))
+    work = discovery.changed_urls(discovery.dispatch(pages), manifest).select(
+        "product_id", "layout", _version(url, rule).alias("version"),
+        F.explode(_kinds(url, rule)).alias("kind"), ux.relative_path(url).alias("path"), "ordinal", "url", "lastmod",
+    )
+    keys = ["product_id", "layout", "version", "kind", "path"]
+    listed = work.filter("version is not null").groupBy(*keys).agg(
+        F.min("ordinal").alias("ordinal"), F.min("url").alias("url"), F.max("lastmod").alias("lastmod")
+    )
+    return discovery.drop_landing_pages(listed)
+
+
+def _topics_with_fix_versions(pages: DataFrame) -> DataFrame:
+    rows = extract.topic_pages(pages).withColumns({"version": F.col("use.version"), "issue_type": F.col("use.kind")})
+    return extract.fix_version_fanout(rows.filter("issue_type = 'known'")).unionByName(
+        rows.filter("issue_type <> 'known'"), allowMissingColumns=True
+    )
+
+
+# What each layout reads of a page and how; pages carry ``use`` (product, version, kind, ordinal).
+_LAYOUTS = {
+    "tables_then_topics": (("tables", "topics"), extract.issue_pages),
+    "topics_with_fix_versions": (("topics",), _topics_with_fix_versions),
+    "agent_version_sections": (
+        ("headings", "tables"), lambda p: extract.sections_by_agent_version(p, F.col("use.kind"))
+    ),
+    "calendar_version_sections": (("headings", "tables"), extract.sections_by_calendar_version),
+    "feature_sections": (("headings", "tables"), extract.sections_by_feature),
+    "version_kind_sections": (
+        ("headings", "tables"), lambda p: extract.sections_by_version_and_kind(p, F.col("path"))
+    ),
+    "aria_tables": (("aria",), extract.aria_issues),
+}
+
+
+def load_all_layouts(due: DataFrame, pages: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Issues of due pages of all products, each page read in the layout of its product.
+
+    A body meets the work list once; a layout parses only the pages and the parts it needs.
+    """
+    chosen = chosen_captures(due, pages) if chosen is None else chosen
+    use = F.struct("product_id", "version", "kind", "ordinal")
+    wanted = due.groupBy("path", "layout").agg(F.collect_set(use).alias("uses"))
+    bodies = (
+        pages.select("path", "attempt", "html").join(chosen, ["path", "attempt"]).drop("attempt").join(wanted, "path")
+    )
+    place = ["ord", "row_no", "id_no"]
+    out = None
+    for layout, (parts, rows_of) in _LAYOUTS.items():
+        parsed = parse_pages(bodies.filter(F.col("layout") == layout).select("path", "uses", "html"), *parts)
+        rows = rows_of(parsed.withColumn("use", F.explode("uses")).drop("uses"))
+
+        def column(name, other, rows=rows):
+            return (F.coalesce(F.col(name), other) if name in rows.columns else other).alias(name)
+
+        none = F.lit(None).cast("string")
+        found = rows.select(
+            F.col("use.product_id").alias("product_id"), column("version", F.col("use.version")),
+            column("issue_type", F.col("use.kind")), "bug_id", "description", none.alias("symptoms"), "workaround",
+            "fix_info", "affected_components", column("release_date", none), F.col("path").alias("source_url"),
+            F.col("use.ordinal").alias("page_ordinal"), *[column(c, F.lit(0)) for c in place],
+        )
+        out = found if out is None else out.unionByName(found)
+    order = Window.partitionBy("product_id", "version", "issue_type", "source_url").orderBy(*place)
+    kept = dedup_issues(out, order=("page_ordinal", "source_url", *place))
+    return kept.withColumn("row_ordinal", F.row_number().over(order).cast("bigint")).drop(*place)
