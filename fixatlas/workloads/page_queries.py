@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fixatlas import fixed
 from fixatlas.operators import discovery, extract
+from fixatlas.plans import load
 from fixatlas.sources.pages import latest_attempts, parse_pages, valid_landing_pages
 from fixatlas.workloads.derived import (
     CLEAN_TEXT_SQL, COMPONENTS_SQL, EXPECTED_ISSUE_SQL, PAGE_URL_SQL, RAW_TEXT_SQL, TABLE_CLOSE,
@@ -406,3 +407,35 @@ def section_version_kind(spark, data_dir):
     parsed = parse_pages(_pages(spark, data_dir, row, url=url), "headings", "tables")
     out = extract.sections_by_version_and_kind(parsed, F.col("url"))
     return _issue(out, "version", "issue_type")
+
+
+# --- a load over products of several layouts ------------------------------------------------
+
+# Pages of three products in turn: version in the address, no version, version in a heading.
+_LAYOUT_PATH = """case l_orderkey % 3
+  when 0 then concat('/globalprotect/release-notes/gp-', l_orderkey % 20 + 1, '-', l_orderkey % 7, '-', l_orderkey, '-', issue_type, '-issues')
+  when 1 then concat('/cloud-ngfw-aws/', l_orderkey, '/', issue_type, '-issues')
+  else concat('/autonomous-dem/', l_orderkey, '/', issue_type, '-issues') end"""
+_LAYOUT_HEADING = "case when l_orderkey % 3 = 2 then concat('<h3>Agent 5.', l_orderkey % 9, '</h3>') else '' end"
+
+
+@query("load_issues_all_layouts", WITH_FACTS + f"""
+select distinct
+  case l_orderkey % 3 when 0 then 'globalprotect' when 1 then 'cloud-ngfw-aws' else 'adem' end as product_id,
+  case l_orderkey % 3 when 0 then concat(l_orderkey % 20 + 1, '.', l_orderkey % 7, '.', l_orderkey)
+    when 1 then '{fixed.VERSION_SAAS}' else concat('5.', l_orderkey % 9) end as version,
+  issue_type, bug_id, description from facts""")
+def load_issues_all_layouts(spark, data_dir):
+    rows = facts(spark, data_dir)
+    row = "concat('<tr><td>', bug_id, '</td><td>', description, '</td></tr>')"
+    before = f"concat({_LAYOUT_HEADING}, {TABLE_OPEN})"
+    html = pages(rows, row, before, TABLE_CLOSE, url=_LAYOUT_PATH)
+    captures = html.selectExpr("url as path", "200 as status", "1 as attempt", "html")
+    host = F.lit(fixed.DOCS_HOST)
+    inventory = rows.select(
+        F.concat(host, F.expr(_LAYOUT_PATH)).alias("url"), F.lit(None).cast("string").alias("lastmod"),
+        F.col("l_orderkey").cast("bigint").alias("ordinal"),
+    ).distinct()
+    none = spark.createDataFrame([], "product_id string, url string, lastmod string")
+    loaded = load.load_all_layouts(load.due_by_profile(inventory, none), captures)
+    return loaded.select("product_id", "version", "issue_type", "bug_id", "description").distinct()
