@@ -3,8 +3,9 @@
 Vectors are cut in two halves, each quantised by its own centroids; a cell is a pair of
 centroids. A query walks the cells in the order of the summed inner products of its halves
 with theirs (a heap over the two sorted lists of centroids), until the cells it has passed hold
-``share`` of the entries. The entries of those cells are reranked by the inner product of the
-whole vectors in double precision.
+``share`` of the entries, and of the distinct ids other than its own. The entries of those cells are
+reranked by the inner product of the whole vectors in double precision. Rows of equal id and vector
+are one entry; of the entries of one id the best counts, before anything is cut at rank ``k``.
 
 Only the centroids come from a sample (``SAMPLE`` vectors at most, by the order of a hash);
 every vector is an entry. The index is cut by a hash of the entry into shards, and the queries into blocks;
@@ -56,17 +57,26 @@ def nearest_centre(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(axis=1) - 2 * points @ centres.T, axis=1)
 
 
-def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
-    """Cells by falling sum of the two halves' scores, until they hold ``enough`` entries."""
+def walk(
+    first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int, rows: int = 0, shared: dict | None = None
+) -> list[int]:
+    """Cells by falling sum of the two halves' scores, until they hold ``enough`` distinct ids and ``rows`` entries.
+
+    ``shared`` gives, for each cell with ids that several entries have, those entries' number and ids.
+    """
+    shared, met, ids = shared or {}, set(), 0
     a, b = np.argsort(-first, kind="stable").tolist(), np.argsort(-second, kind="stable").tolist()
     x, y = first[a].tolist(), second[b].tolist()
     heap, seen, held, out = [(-(x[0] + y[0]), 0, 0)], {(0, 0)}, 0, []
-    while heap and held < enough:
+    while heap and (ids < enough or held < rows):
         _, i, j = heapq.heappop(heap)
         cell = a[i] * len(b) + b[j]
         if counts[cell]:
             out.append(cell)
             held += int(counts[cell])
+            n, some = shared.get(cell, (0, ()))
+            ids += int(counts[cell]) - n + len(some - met if n else ())
+            met.update(some)
         for p in ((i + 1, j), (i, j + 1)):
             if p[0] < len(a) and p[1] < len(b) and p not in seen:
                 seen.add(p)
@@ -95,6 +105,26 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[first[:k]]
 
 
+def _shared(ids: np.ndarray, cells: np.ndarray) -> dict[int, tuple[int, frozenset]]:
+    """For each cell, the number of entries whose id another entry has too, and their ids."""
+    _, which, times = np.unique(ids, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(times[which] > 1)
+    at = at[np.argsort(cells[at], kind="stable")]
+    found, first = np.unique(cells[at], return_index=True)
+    return {int(c): (len(own), frozenset(own.tolist())) for c, own in zip(found, np.split(ids[at], first[1:]))}
+
+
+def _cut(rough: np.ndarray, ids: np.ndarray, k: int) -> float:
+    """A score that entries of ``k`` distinct ids reach, of all there are if they are fewer."""
+    n = k
+    while n < len(rough):
+        cut = np.partition(rough, len(rough) - n)[len(rough) - n]
+        if len(np.unique(ids[rough >= cut])) >= k:
+            return cut
+        n *= 2
+    return -np.inf
+
+
 def search_shard(x, ids, cells, q, query_ids, centres, share: float, k: int):
     """The best ``k`` entries that each query finds in one shard: (query, id, score)."""
     if not len(q) or not len(x):
@@ -104,18 +134,25 @@ def search_shard(x, ids, cells, q, query_ids, centres, share: float, k: int):
     x, ids, cells = x[order], ids[order], cells[order]
     counts = np.bincount(cells, minlength=len(centres[0]) * n_second)
     starts = bounds_of(counts)[:-1]
-    # Fewer than this can't be a result of ``k`` after the query's own rows are left out.
-    enough = max(int(np.ceil(share * len(x))), min(len(x), 2 * k))
+    distinct, times = np.unique(ids, return_counts=True)
+    own_rows = dict(zip(distinct.tolist(), times.tolist()))
+    shared = _shared(ids, cells)
     first, second = q[:, :half] @ centres[0].T, q[:, half:] @ centres[1].T
     out = []
     for i, query in enumerate(query_ids.tolist()):
-        passed = np.array(walk(first[i], second[i], counts, enough))
+        # Both are counted without the query's own rows, which may be among what is passed.
+        own = own_rows.get(query, 0)
+        others = len(distinct) - (own > 0)
+        # Fewer ids than this can't be a result of ``k``.
+        enough = max(int(np.ceil(share * others)), min(others, 2 * k)) + (own > 0)
+        rows = int(np.ceil(share * (len(x) - own))) + own
+        passed = np.array(walk(first[i], second[i], counts, enough, rows, shared), np.int64)
         take = spread(starts[passed], counts[passed])
         take = take[ids[take] != query]
         rough = x[take] @ q[i]
         if len(take) > 4 * k:  # rounding of the product can't cost one of the best
-            cut = np.partition(rough, len(rough) - k)[len(rough) - k]
-            take = take[rough >= cut - 1e-9 * (1 + abs(cut))]
+            cut = _cut(rough, ids[take], k)
+            take = take[rough >= cut - 1e-9 * (1 + abs(cut))] if np.isfinite(cut) else take
         # Summed in the same way for every pair, so equal vectors have equal scores.
         exact = (x[take] * q[i]).sum(axis=1)
         best = _best(exact, ids[take], k)
@@ -131,14 +168,13 @@ def nearest(
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     usable = _usable(vectors, key, vector)
-    sizes = usable.groupBy(F.size("v").alias("d")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("asking")
-    )
+    asks = F.col("id") % every == 0
+    sizes = usable.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(asks).alias("asking"))
     most = sizes.orderBy(F.desc("n"), "d").first()
     if most is None or not most.asking:
         return spark.createDataFrame([], schema)
-    dim, shards, blocks = most.d, -(-most.n // shard), -(-most.asking // query_block)
-    usable = usable.where(F.size("v") == dim)
+    dim = most.d
+    usable = usable.where(F.size("v") == dim).dropDuplicates(["id", "v"])
     half = dim // 2
     sampled = usable.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(SAMPLE).select("v").toArrow()
     points = _matrix(sampled.column("v"))
@@ -155,10 +191,12 @@ def nearest(
                 )
 
     index = stored(usable.mapInArrow(assign, "id long, v array<double>, cell int"), "multi-index")
+    held = index.agg(F.count("*").alias("n"), F.count_if(asks).alias("asking")).first()
+    shards, blocks = -(-held.n // shard), -(-held.asking // query_block)
     part = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     entries = index.select(part(shards).alias("shard"), each(blocks).alias("block"), "id", "v", "cell")
-    asking = index.where(F.col("id") % every == 0).select(
+    asking = index.where(asks).select(
         each(shards).alias("shard"), part(blocks).alias("block"), "id", "v"
     )
 

@@ -56,6 +56,25 @@ def test_unusable_vectors_repeats_and_few_rows(spark):
     assert found(nearest(df.where("vec_id = 20"))) == {}
 
 
+@pytest.mark.parametrize("shard", [10_000, 40])
+def test_repeated_rows_cost_no_neighbours(spark, shard):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 6)).astype(np.float32)
+    ids = np.arange(200)
+    near = int(np.argmax([(x[i] * x[0]).sum() if i else -9 for i in ids]))
+    # Every row twice; the query's own and its nearest row often; one id with many near vectors of its own.
+    rows = [(int(i), x[i].tolist()) for i in ids] * 2 + [(0, x[0].tolist()), (near, x[near].tolist())] * 90
+    rows += [(7, (x[0] * (5 + s / 100)).tolist()) for s in range(120)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).repartition(4)
+    whole = found(nearest(df, every=200, share=1.0, centroids=4, shard=shard))
+    best = {}
+    for i, v in rows:
+        if i != 0:
+            best[i] = max(best.get(i, -np.inf), float((np.array(v, np.float32).astype(np.float64) * x[0]).sum()))
+    assert [i for i, _ in whole[0]] == sorted(best, key=lambda i: (-best[i], i))[:20]
+    assert len(found(nearest(df, every=200, share=0.01, centroids=4, shard=shard))[0]) == 20
+
+
 def test_query_recall(spark):
     where = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{where}/embeddings.parquet").toPandas()
