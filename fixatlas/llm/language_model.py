@@ -10,9 +10,9 @@ are told apart by their counts.
    its own words, and no table of all words is sent anywhere.
 2. Subword ids are counted over all learning documents; so are pairs of neighbouring classes,
    which fix the model's starting point.
-3. Each learning document gives a training window in every ``EVERY`` ids, one at least. Windows are
-   dealt to tasks that each train on their own; parameters are averaged after each of
-   ``ROUNDS`` rounds, level by level.
+3. Training windows tile every learning document, so each id is learnt as a target once, at any size
+   of the corpus. The windows of a block are dealt to ``ROUNDS`` rounds; blocks train each on their
+   own, and parameters are averaged after each round, level by level.
 4. All texts are scored, block by block.
 
 Words are told apart by 64 bits of hash. Defined cases: null is an empty text, which is one end;
@@ -40,9 +40,8 @@ from fixatlas.llm.stored import parts, stored
 
 END, IDS = 50_256, 50_257  # the tokenizer's ids, and the free one for the end
 CLASSES = 32 * attention.GROUPS
-EVERY, ROUNDS, PART, FAN = 768, 4, 12_288, 16
+ROUNDS, FAN = 4, 16
 BLOCK_BYTES = 8 << 20
-NONE = 65_535
 
 BLOCKS = """block long, bucket int, body binary, keys binary, learning long,
   sub_ids array<int>, sub_counts array<long>"""
@@ -169,44 +168,47 @@ class Texts:
         return out, after
 
 
-def _pairs_and_windows(class_of: np.ndarray, begin: int):
-    """Per task: counts of neighbouring classes; per block: training windows."""
+def _line(texts: Texts, class_of: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all learning texts of a block, each text with its beginning, and their bounds."""
+    ids, bounds = texts.ids()
+    learnt = np.flatnonzero(~texts.held_out)
+    n = np.diff(bounds)[learnt]
+    line = np.full(int((n + 1).sum()), begin, np.int64)
+    line_bounds = bounds_of(n + 1)
+    line[spread(line_bounds[:-1] + 1, n)] = class_of[ids[spread(bounds[:-1][learnt], n)]]
+    return line, line_bounds
+
+
+def training_windows(line: np.ndarray, bounds: np.ndarray, r: int) -> np.ndarray:
+    """The windows of round ``r``: over all rounds every class after a beginning is a target once."""
+    many = -(-(np.diff(bounds) - 1) // attention.WINDOW)
+    text = np.repeat(np.arange(len(many)), many)
+    at = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * attention.WINDOW
+    text, at = text[r::ROUNDS], at[r::ROUNDS]
+    places = (bounds[text] + at)[:, None] + np.arange(attention.WINDOW + 1)
+    return np.where(places < bounds[text + 1][:, None], line[np.minimum(places, len(line) - 1)], -1)
+
+
+def _part_row(payload: bytes) -> pa.RecordBatch:
+    task = TaskContext.get()
+    return pa.RecordBatch.from_arrays(
+        [pa.array([task.partitionId() if task else 0], pa.int64()), pa.array([payload], pa.binary())], ["part", "payload"]
+    )
+
+
+def _pairs(class_of: np.ndarray, begin: int):
+    """Per task: counts of neighbouring classes."""
 
     def run(batches):
-        task = TaskContext.get()
         pairs = np.zeros(CLASSES * CLASSES, np.int64)
-        width = attention.WINDOW + 1
         for batch in batches:
             for body in batch.column("body").to_pylist():
-                texts = Texts(body)
-                ids, bounds = texts.ids()
-                learnt = np.flatnonzero(~texts.held_out)
-                n = np.diff(bounds)[learnt]
-                # Each text with its beginning: one class more than ids.
-                line = np.full(int((n + 1).sum()), begin, np.int64)
-                line_bounds = bounds_of(n + 1)
-                line[spread(line_bounds[:-1] + 1, n)] = class_of[ids[spread(bounds[:-1][learnt], n)]]
+                line, bounds = _line(Texts(body), class_of, begin)
                 keep = np.ones(max(len(line) - 1, 0), bool)
-                keep[line_bounds[1:-1] - 1] = False
+                keep[bounds[1:-1] - 1] = False
                 pairs += np.bincount((line[:-1] * CLASSES + line[1:])[keep], minlength=len(pairs))
-                many = -(-n // EVERY)
-                text = np.repeat(np.arange(len(n)), many)
-                at = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * EVERY
-                # Somewhere in its stretch, the same at every run.
-                shift = mixed((line_bounds[text] * 31 + at).astype(np.uint64)) % np.maximum(
-                    np.minimum(EVERY, n[text] - at) - attention.WINDOW + 1, 1).astype(np.uint64)
-                at = at + shift.astype(np.int64)
-                places = (line_bounds[text] + at)[:, None] + np.arange(width)
-                inside = places < line_bounds[text + 1][:, None]
-                rows = np.where(inside, line[np.minimum(places, len(line) - 1)], NONE).astype(np.uint16)
-                yield _row(None, pack(rows.reshape(-1)), len(rows))
         used = np.flatnonzero(pairs)
-        yield _row(task.partitionId() if task else 0, pack(used.astype(np.uint32), pairs[used]), 0)
-
-    def _row(part, payload, n):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int64()), pa.array([payload], pa.binary()), pa.array([n], pa.int64())], ["part", "payload", "n"]
-        )
+        yield _part_row(pack(used.astype(np.uint32), pairs[used]))
 
     return run
 
@@ -247,31 +249,29 @@ def _names(p: dict) -> list[str]:
     return sorted(k for k in p if k not in attention.FIXED)
 
 
-def _trained_part(held, r: int):
-    """One part's windows of round ``r``, trained from the common parameters."""
+def _trained_part(held, class_of: np.ndarray, begin: int, r: int):
+    """Per task: the sum of what its blocks' windows of round ``r`` train from the common parameters."""
 
-    def run(key, table):
+    def run(batches):
         p, rate = held.value, 0.02 * (1, 0.6, 0.6, 0.3)[r]
-        rows = np.concatenate([unpack(x)[0].reshape(-1, attention.WINDOW + 1) for x in table.column("payload").to_pylist()])
-        rows = rows[r::ROUNDS].astype(np.int64)
-        rows[rows == NONE] = -1
-        # Few windows are gone through again, so a part always makes about as many steps.
-        rows = np.repeat(rows, max(1, PART // ROUNDS // max(1, len(rows))), axis=0)
-        new = attention.train(p, rows, rate=rate, seed=r)
-        weights = np.concatenate([new[k].reshape(-1) for k in _names(p)]).astype(np.float64)
-        payload = pack(weights * len(rows), np.array([len(rows)], np.float64))
-        return pa.table([[key[0].as_py()], pa.array([payload], pa.binary())], ["part", "payload"])
+        total, n = np.zeros(sum(p[k].size for k in _names(p))), 0
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                rows = training_windows(*_line(Texts(body), class_of, begin), r)
+                if len(rows):
+                    new = attention.train(p, rows, rate=rate, seed=r)
+                    total += np.concatenate([new[k].reshape(-1) for k in _names(p)]).astype(np.float64) * len(rows)
+                    n += len(rows)
+        yield _part_row(pack(total, np.array([n], np.float64)))
 
     return run
 
 
-def _trained(spark, windows: DataFrame, total: int, p: dict) -> dict:
+def _trained(blocks: DataFrame, n_parts: int, class_of: np.ndarray, begin: int, p: dict) -> dict:
     """Rounds of training by tasks and averaging."""
-    n_parts = max(1, -(-total // PART))
     for r in range(ROUNDS):
-        held = spark.sparkContext.broadcast(p)  # its size is that of the model, whatever the data's
-        part = F.pmod(F.xxhash64("payload"), F.lit(n_parts)).alias("part")
-        one = windows.groupBy(part).applyInArrow(_trained_part(held, r), "part long, payload binary")
+        held = blocks.sparkSession.sparkContext.broadcast(p)  # its size is that of the model, whatever the data's
+        one = blocks.select("body").mapInArrow(_trained_part(held, class_of, begin, r), "part long, payload binary")
         result = level_by_level(one, n_parts, _add_parameters)
         sums, n = unpack(result) if result else (None, np.zeros(1))
         if n[0] == 0:
@@ -339,10 +339,9 @@ def language_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     class_of[common] = np.arange(len(common))
     others = class_of == CLASSES - 1
     rare = np.where(others, np.log((counts + 0.1) / (counts[others] + 0.1).sum()), 0.0)
-    seen = blocks.select("body").mapInArrow(_pairs_and_windows(class_of, 0), "part long, payload binary, n long")
     n_parts = blocks.rdd.getNumPartitions()
-    seen = stored(seen, "windows")
-    merged = level_by_level(seen.where("part is not null"), n_parts, _add_pairs)
+    seen = blocks.select("body").mapInArrow(_pairs(class_of, 0), "part long, payload binary")
+    merged = level_by_level(seen, n_parts, _add_pairs)
     matrix = np.zeros(CLASSES * CLASSES)
     if merged:
         at, c = unpack(merged)
@@ -351,24 +350,11 @@ def language_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     # Classes in an order that makes groups of neighbours.
     order = attention.arranged(matrix)
     place = np.argsort(order)
-    windows = seen.where("part is null")
-    number = windows.agg(F.sum("n")).first()[0] or 0
     start = attention.start(matrix[order][:, order])
-    model = _trained(spark, windows.mapInArrow(_renamed(place), "payload binary"), number, start)
+    model = _trained(blocks, n_parts, place[class_of], int(place[0]), start)
     score = _scored(
         spark.sparkContext.broadcast(model), place[class_of], rare, int(n or 0) + n_ends, int(v or 0) + (n_ends > 0), n_ends, int(place[0])
     )
     return (
         blocks.groupBy("block").cogroup(totals.select("block", "bucket", "totals").groupBy("block")).applyInArrow(score, RESULT)
     )
-
-
-def _renamed(place: np.ndarray):
-    table = np.append(place, np.full(NONE + 1 - len(place), NONE)).astype(np.uint16)
-
-    def run(batches):
-        for batch in batches:
-            out = [pack(table[unpack(x)[0]]) for x in batch.column("payload").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["payload"])
-
-    return run

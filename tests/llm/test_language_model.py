@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from fixatlas.llm import attention
-from fixatlas.llm.language_model import language_scores
+from fixatlas.llm.language_model import ROUNDS, language_scores, training_windows
 from fixatlas.llm.queries import QUERIES, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +101,15 @@ def test_each_class_is_scored_once_in_its_window(few_groups, scale):
             assert abs(got[bounds[t] + i] - want[0]) < 1e-3 * max(1, abs(want[0]))
 
 
+def test_windows_tile_every_text():
+    sizes = np.array([1, 33, 34, 2, 65, 2000])  # with the beginning
+    bounds = np.append(0, np.cumsum(sizes))
+    line = np.arange(bounds[-1])
+    windows = np.concatenate([training_windows(line, bounds, r) for r in range(ROUNDS)])
+    assert sorted(windows[:, 1:][windows[:, 1:] >= 0].tolist()) == sorted(set(line.tolist()) - set(bounds[:-1].tolist()))
+    assert all((np.diff(w[w >= 0]) == 1).all() for w in windows)
+
+
 def test_query_counts_and_beats_word_counts(spark):
     where = "/root/testdata/sf0.1"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{where}/documents.parquet").collect()]
