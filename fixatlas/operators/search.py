@@ -82,7 +82,8 @@ def page_slice(rows: DataFrame, order: list, page: int, size: int | None = fixed
 def page_after(rows: DataFrame, order: list[str], last: list | None, size: int = fixed.PAGE_SIZE):
     """Next rows after a known last key: same cost for the first page and the millionth.
 
-    All columns of ``order`` are ascending and have no nulls, as `plans.cards.placed` makes them.
+    All columns of ``order`` are ascending and have no nulls, and no two rows are equal in all of
+    them, as `plans.cards.placed` makes them.
     """
     if last is not None:
         rows = rows.filter(

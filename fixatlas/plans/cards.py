@@ -9,11 +9,12 @@ from fixatlas.functions import text as tx
 from fixatlas.operators import releases, search
 
 
-ORDER = ["product_ordinal", "version_ordinal", "kind_rank", "page_ordinal", "row_ordinal"]
+# The last two tell rows apart that stand at one place: a digest of the row, then the number of its copy.
+ORDER = ["product_ordinal", "version_ordinal", "kind_rank", "page_ordinal", "row_ordinal", "row_digest", "row_copy"]
 
 
 def placed(issues: DataFrame) -> DataFrame:
-    """Issues with the numbers that put them in document order, all ascending and never null.
+    """Issues with what puts them in document order, all ascending, never null and no two alike.
 
     Products stand in the order of their ids, a product's versions newest first, known before
     addressed, then pages and rows as they came. Only versions are ordered, not issues.
@@ -25,6 +26,10 @@ def placed(issues: DataFrame) -> DataFrame:
     )  # one row per product, a few dozen
     order = versions.join(numbered, "product_id")
     rank = F.when(F.col("issue_type") == "known", 0).otherwise(1)
+    # Nulls are kept apart from empty texts: a field that is null is not written.
+    digest = F.sha2(F.to_json(F.struct(*issues.columns)), 256)
+    copies = Window.partitionBy("row_digest").orderBy("row_digest")
+    issues = issues.withColumn("row_digest", digest).withColumn("row_copy", F.row_number().over(copies))
     return issues.join(order, ["product_id", "version"]).withColumns(
         {
             "kind_rank": rank,

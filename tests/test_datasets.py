@@ -324,3 +324,15 @@ def test_document_order_of_versions(make):
         walked += [r.bug_id for r in page]
         last = list(page[-1])[1:]
     assert walked == got
+
+
+def test_pages_cut_inside_ties_lose_no_row(make):
+    from fixatlas.plans import cards
+
+    nowhere = {"page_ordinal": None, "row_ordinal": None}
+    rows = make(*[("p", "1", "known", f"B-{n}", nowhere) for n in range(7)], *[("p", "1", "known", "same", nowhere)] * 4)
+    placed, walked, last = cards.placed(rows), [], None
+    while page := search.page_after(placed, cards.ORDER, last, 3).select("bug_id", *cards.ORDER).collect():
+        walked += [r.bug_id for r in page]
+        last = list(page[-1])[1:]
+    assert sorted(walked) == sorted([f"B-{n}" for n in range(7)] + ["same"] * 4)
