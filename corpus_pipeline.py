@@ -45,10 +45,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, their number, and whether decoding them gives the text back."""
-    coded = offsets.encode_with_offsets(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), spans=False)
+    """doc_id, ids, their number, the original bytes each stands for, and whether decoding gives the text back."""
+    coded = offsets.encode_with_offsets(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
     return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
     )
 

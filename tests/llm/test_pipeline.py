@@ -98,5 +98,20 @@ def test_stages_on_odd_rows(spark, tmp_path):
             assert out.columns == df.columns and {(x.doc_id, x.lang) for x in out.collect()} >= {(1, None), (2, "en"), (None, "en"), (3, None)}
 
 
+def test_last_stage_gives_the_bytes_of_every_piece(spark):
+    docs = spark.read.parquet(f"{WHERE}/documents.parquet").limit(60)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rows = [r for r in STAGES[4][1](spark, docs, WHERE).collect() if r.doc_id in texts]
+    assert rows
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert len(r.begins) == len(r.ends) == len(r.ids) and (not r.ends or r.ends[-1] == len(raw))
+        for k, (low, high, i) in enumerate(zip(r.begins, r.ends, r.ids)):
+            piece = lib.id_to_piece(i).replace("▁", " ")
+            if not piece.startswith("<0x"):
+                assert raw[low:high].decode().replace("▁", " ") in (piece, piece[1:] if k == 0 else piece)
+
+
 def test_grams_of_short_texts_are_their_words():
     assert grams("a b") == {("a", "b")}
