@@ -181,3 +181,25 @@ def op2_language_model(spark, sf_dir):
     from fixatlas.llm.language_model import language_scores
 
     return language_scores(st.documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query(
+    "op12_exact_copies",
+    r"""
+with rows_of as (
+  select doc_id, length(coalesce(text, '')) as points,
+    translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') as bare
+  from documents
+), best as (
+  select *, first_value(doc_id) over (partition by bare order by points desc, doc_id) as keep_id,
+    count(*) over (partition by bare) as group_size
+  from rows_of
+)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as text_sha256 from best
+""",
+)
+def op12_exact_copies(spark, sf_dir):
+    from fixatlas.llm.exact_copies import exact_copies
+
+    found = exact_copies(st.documents(spark, sf_dir))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
