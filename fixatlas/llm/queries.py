@@ -203,3 +203,50 @@ def op12_exact_copies(spark, sf_dir):
 
     found = exact_copies(st.documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query(
+    "op11_phrases",
+    r"""
+with lowered as (
+  select coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents
+), pieces as (
+  select lang, unnest(regexp_split_to_array(t, '[.,;:!?\n\x0B\f\r]')) as piece from lowered
+), worded as (
+  select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as w from pieces
+), grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase
+  from worded, (values (1), (2), (3), (4), (5)) as sizes(k)
+  where len(w) >= k
+), counts as (
+  select lang, phrase, any_value(k) as k, count(*) as n from grams group by lang, phrase having count(*) >= 100
+), totals as (
+  select lang, sum(len(w))::bigint as n from worded group by lang
+), cand as (
+  select lang, phrase, k, n as a, string_split(phrase, ' ') as w from counts where k >= 2
+), cuts as (
+  select lang, phrase, k, a, cut, array_to_string(w[1 : cut], ' ') as lp, array_to_string(w[cut + 1 : k], ' ') as rp
+  from cand, (values (1), (2), (3), (4)) as places(cut) where cut < k
+), scores as (
+  select c.lang, c.phrase, c.k, c.a, c.cut, l.n as l, r.n as r, t.n,
+    ((1000::hugeint * c.a * t.n) // (l.n::hugeint * r.n))::bigint as score
+  from cuts c join counts l on l.lang = c.lang and l.phrase = c.lp
+    join counts r on r.lang = c.lang and r.phrase = c.rp join totals t on t.lang = c.lang
+), best as (
+  select * from scores qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), inside as (
+  select distinct b.lang, b.phrase from best b join cand c
+    on c.lang = b.lang and c.k > b.k and c.a >= b.a and contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')
+), ranked as (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+  from best anti join inside using (lang, phrase)
+)
+select * from ranked where rank <= 2000
+""",
+)
+def op11_phrases(spark, sf_dir):
+    from fixatlas.llm.phrases import collocations
+
+    return collocations(st.documents(spark, sf_dir).select("lang", "text"))
