@@ -250,3 +250,31 @@ def op11_phrases(spark, sf_dir):
     from fixatlas.llm.phrases import collocations
 
     return collocations(st.documents(spark, sf_dir).select("lang", "text"))
+
+
+def damaged(rows):
+    """Conversations with faults by a checksum of conversation and turn: dropped, emptied, cut off, repeated, another role."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(shown[0], F.lit(":"), shown[1]).cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    return rows.select(
+        "conv_id", "turn", kind.alias("kind"),
+        F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).where("kind <> 0").select("conv_id", "turn", "role", "text")
+
+
+@query("op13_turn_repair")
+def op13_turn_repair(spark, sf_dir):
+    from fixatlas.llm.turn_repair import repair
+
+    rows = st.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair(damaged(rows)).withColumnRenamed("conv_id", "found_id")
+    every = rows.select("conv_id").distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
