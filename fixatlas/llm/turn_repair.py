@@ -216,13 +216,15 @@ def _by_conversation(pieces: DataFrame, fn, columns: list[str], added: list[tupl
     ddl = ", ".join(["conv string, stretch long", *(f"{name} {kind}" for name, kind, _ in added)])
 
     def run(batches):
+        held = []
         for batch in batches:
             for conv, mine in zip(batch.column("conv").to_pylist(), batch.column("all").to_pylist()):
-                made = fn(mine)
-                for low in range(0, len(made), 4096):
-                    part = range(low, min(low + 4096, len(made)))
-                    rows = [{"conv": conv, "stretch": mine[i]["stretch"], **made[i]} for i in part]
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                for s, row in zip(mine, fn(mine)):
+                    held.append({"conv": conv, "stretch": s["stretch"], **row})
+                    if len(held) == 4096:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held = []
+        yield pa.RecordBatch.from_pylist(held, schema)
 
     return gathered.mapInArrow(run, ddl)
 
@@ -270,15 +272,17 @@ def planned(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def walk(batches):
         for batch in batches:
+            at, made = [], []
             for row in batch.to_pylist():
                 edits, state = tight_edits(row["codes"], tuple(row["after"]), row["state"])
-                made, place = [], 0
+                place = 0
                 for n in row["n"]:
                     made.append("".join(edits[place : place + n]))
                     place += n
                 if row["closes"]:
                     made[-1] += closing(state)
-                yield pa.RecordBatch.from_pydict({"at": row["at"], "edits": made}, pa.schema([("at", pa.int64()), ("edits", pa.string())]))
+                at += row["at"]
+            yield pa.RecordBatch.from_pydict({"at": at, "edits": made}, pa.schema([("at", pa.int64()), ("edits", pa.string())]))
 
     walked = known.select("conv", "stretch", "codes", "n", "at", "after").join(entries, ["conv", "stretch"])
     return known, walked.mapInArrow(walk, "at long, edits string")
