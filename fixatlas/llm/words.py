@@ -11,12 +11,15 @@ from fixatlas.llm.ragged import bounds_of, spread, strings, within
 class PieceCache:
     """Ids of pieces of text, kept by a Python worker over its tasks.
 
-    Held are at most ``limit`` pieces of at most 64 bytes that came twice in one block; other
-    pieces are encoded again in each block, which changes no result.
+    Held are pieces of at most 64 bytes that came twice in one block, in at most about ``limit``
+    bytes of memory; other pieces are encoded again in each block, which changes no result.
     """
 
-    def __init__(self, encode, limit: int = 400_000):
-        self.encode, self.limit, self.held = encode, limit, {}
+    # What a piece takes beside its bytes: two objects and an entry of the table.
+    ENTRY = 200
+
+    def __init__(self, encode, limit: int = 24 << 20):
+        self.encode, self.left, self.held = encode, limit, {}
 
     def ids(self, pieces: list[bytes], counts: list[int]) -> list[bytes]:
         """The little-endian unsigned 32-bit ids of each piece."""
@@ -27,8 +30,10 @@ class PieceCache:
             part = missing[low : low + 50_000]
             for i, ids in zip(part, self.encode([pieces[i] for i in part])):
                 out[i] = ids
-                if counts[i] > 1 and len(held) < self.limit and len(pieces[i]) <= 64:
+                size = self.ENTRY + len(pieces[i]) + len(ids)
+                if counts[i] > 1 and len(pieces[i]) <= 64 and size <= self.left:
                     held[pieces[i]] = ids
+                    self.left -= size
         return out
 
 
