@@ -176,7 +176,12 @@ def nearest(
     dim = most.d
     usable = usable.where(F.size("v") == dim).dropDuplicates(["id", "v"])
     half = dim // 2
-    sampled = usable.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(SAMPLE).select("v").toArrow()
+    sampled = usable.withColumn("h", F.xxhash64("id"))
+    # With many vectors only those with a small hash come to the sort, a few more than are taken.
+    bound = 1.1 * SAMPLE / most.n
+    if bound < 1:
+        sampled = sampled.where(F.col("h") < F.lit((int(bound * (1 << 32)) << 32) - (1 << 63)))
+    sampled = sampled.orderBy("h", "id").limit(SAMPLE).select("v").toArrow()
     points = _matrix(sampled.column("v"))
     centres = [kmeans(points[:, :half], centroids), kmeans(points[:, half:], centroids)]
     n_second = len(centres[1])

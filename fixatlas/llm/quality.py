@@ -1,7 +1,8 @@
 """Quality of documents from statistics of their whole texts, by boosted trees.
 
 The statistics of every text are computed in one pass over the table and kept. The trees
-learn from the labelled documents, at most ``SAMPLE`` of them (the first by a hash of the id);
+learn from the labelled documents, at most ``SAMPLE`` of them (the first by a hash of the id, of which only about
+so many are sorted);
 language, source, id and labels are no statistics.
 
 Defined cases: null text is an empty text, which has statistics and a score as any other; null
@@ -23,6 +24,8 @@ from fixatlas.llm.ragged import flat, gathered, runs, slice_hashes, utf8
 from fixatlas.llm.stored import stored
 
 SAMPLE = 40_000
+# Texts in a block: their counts of bytes are a table of 256 numbers a text.
+TEXTS = 4096
 NAMES = [
     "log_bytes", "log_words", "capitals", "digits", "spaces", "line_feeds", "beyond_ascii", "exclamation", "stops",
     "brackets", "bars", "odd_signs", "quotes", "slashes", "controls", "word_bytes", "word_spread", "longest_word",
@@ -92,7 +95,7 @@ def _by_batch(df: DataFrame, text: str, keep: list[str], name: str, kind, made)
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField(name, kind)])
 
     def run(batches):
-        for table in gathered(batches, text, 2 << 20):
+        for table in gathered(batches, text, 2 << 20, TEXTS):
             own = [flat(table.column(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*own, made(statistics(*utf8(table.column(text))))], [*kept, name])
 
@@ -114,6 +117,11 @@ def held_out(doc_id="doc_id"):
 def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosted.Trees:
     """Trees from ``doc_id``, ``stats`` and ``doc_id``, ``quality``."""
     known = labels.where("quality in (0, 1)").select("doc_id", "quality").where(~held_out())
+    known = stored(known, "known-labels")
+    # With many labels only the ids with a small hash come to the sort, a few more than are taken.
+    bound = 1.1 * sample / max(known.count(), 1)
+    if bound < 1:
+        known = known.where(F.xxhash64("doc_id") < F.lit((int(bound * (1 << 32)) << 32) - (1 << 63)))
     rows = (
         stats.select("doc_id", "stats").join(known, "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "stats", "quality").limit(sample).toArrow()

@@ -7,10 +7,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 8 << 20
+BLOCK_ROWS = 1 << 16
 
 
-def bounded(batches, column: str, limit: int = BLOCK_BYTES):
-    """Record batches cut so that each holds at most ``limit`` bytes of ``column``.
+def bounded(batches, column: str, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS):
+    """Record batches cut so that each holds at most ``limit`` bytes of ``column`` and ``rows`` rows.
 
     A single value over the limit makes a batch of its own; no value is cut.
     """
@@ -23,20 +24,22 @@ def bounded(batches, column: str, limit: int = BLOCK_BYTES):
         while first < batch.num_rows:
             base = ends[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(ends, base + limit, "right")))
+            last = min(last, first + rows)
             yield batch.slice(first, last - first)
             first = last
 
 
-def gathered(batches, column: str, limit: int = BLOCK_BYTES):
-    """Tables of about ``limit`` bytes of ``column``: small batches put together, large ones cut."""
-    held, size = [], 0
-    for batch in bounded(batches, column, limit):
+def gathered(batches, column: str, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS):
+    """Tables of about ``limit`` bytes of ``column``, of ``rows`` rows at most: small batches put together, large ones cut."""
+    held, size, count = [], 0, 0
+    for batch in bounded(batches, column, limit, rows):
         n = batch.column(column).nbytes
-        if held and size + n > limit:
+        if held and (size + n > limit or count + batch.num_rows > rows):
             yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
+            held, size, count = [], 0, 0
         held.append(batch)
         size += n
+        count += batch.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

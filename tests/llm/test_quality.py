@@ -2,8 +2,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from fixatlas.llm import boosted
+from fixatlas.llm import boosted, quality
 from fixatlas.llm.quality import NAMES, keep_good, quality_scores, statistics, with_statistics
 from fixatlas.llm.queries import QUERIES
 from fixatlas.llm.ragged import utf8
@@ -83,3 +84,27 @@ def test_query_on_held_out_documents(spark):
     print(area(both.score.to_numpy(), both.quality.to_numpy()), (both.predicted == both.quality).mean(), both.groupby("quality").score.describe())
     assert area(both.score.to_numpy(), both.quality.to_numpy()) > 0.97
     assert (both.predicted == both.quality).mean() > 0.95
+
+
+def test_very_short_texts_are_bounded_in_rows(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "TEXTS", 1000)
+    batches = pa.Table.from_pydict({"text": ["x"] * 25_000}).to_batches(max_chunksize=7000)
+    for table in quality.gathered(batches, "text", 2 << 20, quality.TEXTS):
+        sizes.append(len(table))
+    assert sum(sizes) == 25_000 and max(sizes) == 1000
+
+
+def test_a_few_labels_more_than_the_sample_come_to_the_sort(spark):
+    ids = spark.range(5000).selectExpr("id as doc_id")
+    stats = ids.select("doc_id", F.array([F.col("doc_id").cast("float")] * len(quality.NAMES)).alias("stats"))
+    labels = ids.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    seen = []
+    fit = quality.boosted.fit
+    try:
+        quality.boosted.fit = lambda x, y: seen.append((len(x), sorted(x[:, 0].tolist())))
+        quality.learn(stats, labels, 300)
+        quality.learn(stats, labels, 300)
+    finally:
+        quality.boosted.fit = fit
+    assert 250 <= seen[0][0] <= 300 and seen[0] == seen[1]
