@@ -284,7 +284,8 @@ def near_copies(
         wanted.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")),
         F.expr("doc_id <=> id and text_hash = hash"),
     ).select("node", "text")
-    sets = found.mapInArrow(_sets(words), "node binary, hashes binary")
+    # Equal rows all meet their node; one set stays.
+    sets = found.mapInArrow(_sets(words), "node binary, hashes binary").dropDuplicates(["node"])
     member = stored(sets.join(wanted.select("node", "root", "copies"), "node"), "sets")
     size = member.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / block_nodes), F.ceil(F.col("bytes") / block_bytes)).cast("int")

@@ -135,3 +135,11 @@ def test_query_against_all_pairs(spark):
     where = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{where}/documents.parquet").collect()]
     assert sorted([tuple(r) for r in QUERIES["op4_near_copies"](spark, where).collect()], key=str) == brute(rows)
+
+
+def test_many_equal_rows_are_one_node_with_one_set(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text)] * 20_000 + [(2, text + " w60"), (3, "other words of a text that no one has")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = near_copies(df).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 20_000, 20_000), (2, 1, 20_000, 1), (3, 3, 0, 1)]
