@@ -12,7 +12,6 @@ DOCS_HOST = "https://docs.paloaltonetworks.com"
 LOCALE_ROOT = "/content/techdocs/en_US"
 
 # URL fragments that name a product.  Longest contained fragment wins.
-_PLUGIN_ROOT = "/plugins/vm-series-and-panorama-plugins-release-notes/"
 PRODUCT_PREFIXES = [
     ("panos", "/pan-os/"),
     ("panos", "/ngfw/release-notes/"),
@@ -32,18 +31,18 @@ PRODUCT_PREFIXES = [
     ("enterprise-dlp", "/enterprise-dlp/"),
     ("adem", "/autonomous-dem/"),
     ("scm", "/strata-cloud-manager/"),
-    ("sdwan-plugin", _PLUGIN_ROOT + "panorama-plugin-for-sd-wan"),
-    ("vm-series-plugin", _PLUGIN_ROOT + "vm-series-plugin"),
-    ("plugin-aws", _PLUGIN_ROOT + "panorama-plugin-for-aws"),
-    ("plugin-azure", _PLUGIN_ROOT + "panorama-plugin-for-azure"),
-    ("plugin-gcp", _PLUGIN_ROOT + "panorama-plugin-for-gcp"),
-    ("plugin-vmware-nsx", _PLUGIN_ROOT + "panorama-plugin-for-vmware-nsx"),
-    ("plugin-vmware-vcenter", _PLUGIN_ROOT + "panorama-plugin-for-vmware-vcenter"),
-    ("plugin-kubernetes", _PLUGIN_ROOT + "panorama-plugin-for-kubernetes"),
-    ("plugin-cisco-aci", _PLUGIN_ROOT + "panorama-plugin-for-cisco-aci"),
-    ("plugin-cisco-trustsec", _PLUGIN_ROOT + "panorama-plugin-for-cisco-trustsec"),
-    ("plugin-ztp", _PLUGIN_ROOT + "panorama-plugin-for-zero-touch-provisioning"),
-    ("plugin-clustering", _PLUGIN_ROOT + "panorama-plugin-for-clustering"),
+    ("sdwan-plugin", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-sd-wan"),
+    ("vm-series-plugin", "/plugins/vm-series-and-panorama-plugins-release-notes/vm-series-plugin"),
+    ("plugin-aws", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-aws"),
+    ("plugin-azure", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-azure"),
+    ("plugin-gcp", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-gcp"),
+    ("plugin-vmware-nsx", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-vmware-nsx"),
+    ("plugin-vmware-vcenter", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-vmware-vcenter"),
+    ("plugin-kubernetes", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-kubernetes"),
+    ("plugin-cisco-aci", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-cisco-aci"),
+    ("plugin-cisco-trustsec", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-cisco-trustsec"),
+    ("plugin-ztp", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-zero-touch-provisioning"),
+    ("plugin-clustering", "/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-clustering"),
 ]
 
 # Slug fragments after which a plugin URL carries its version, tried in order.
@@ -170,6 +169,7 @@ SECTION_COMPONENTS = [
     "SASE",
 ]
 FEATURE_HEADING_SKIPS = ["release notes", "issues", "table of contents"]
+MULTITENANT_PAGE = "/prisma-sase-multitenant-platform/release-updates/"
 MULTITENANT_COMPONENT = "Strata Multitenant Cloud Manager"
 
 # Literal versions, and the ones hidden in display.
@@ -190,8 +190,7 @@ HTML_ESCAPES = [
     ("/", "&#x2F;"),
 ]
 
-# Change kinds of a release log, cache lifetime, list lengths, snapshot format.
-CHANGE_TYPES = ["feature", "improvement", "fix", "breaking"]
+# Cache lifetime, list lengths, snapshot format.
 CACHE_TTL_HOURS = 24
 MISSING_IDS_SHOWN = 10
 SAMPLE_IDS_SHOWN = 5

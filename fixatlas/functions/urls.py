@@ -156,23 +156,28 @@ def is_specific(url: Column, kind: Column) -> Column:
 
 def plugin_version(href: Column, slugs: list[str]) -> Column:
     """Version after the last occurrence of a slug; hotfix dropped, two parts read as ``.0``."""
-    low = F.lower(href)
-    tail = r"(?:[/-]|$|\.html)"
+    return let(F.lower(href), lambda low: F.coalesce(*[_after_slug(low, F.lit(s)) for s in slugs]))
+
+
+def plugin_version_by(href: Column, slugs: Column) -> Column:
+    """``plugin_version`` with the slugs as an array column, tried in their order."""
+    found = let(F.lower(href), lambda low: F.transform(slugs, lambda s: _after_slug(low, s)))
+    return F.get(F.array_compact(found), F.lit(0))
 
-    def after(slug):
-        text = F.when(low.contains(slug), F.substring_index(low, slug, -1))
 
-        def join(pattern, n, end=""):
-            groups = [F.regexp_extract(text, pattern, i) for i in range(1, n + 1)]
-            return F.when(text.rlike(pattern), F.concat(F.concat_ws(".", *groups), F.lit(end)))
+def _after_slug(low: Column, slug: Column) -> Column:
+    tail = r"(?:[/-]|$|\.html)"
+    text = F.when(F.contains(low, slug), F.element_at(F.split(low, slug), -1))
 
-        return F.coalesce(
-            join(rf"^(\d+)-(\d+)-(\d+)(?:-h\d+)?{tail}", 3),
-            join(rf"^(\d)(\d)(\d){tail}", 3),
-            join(rf"^(\d)-?(\d){tail}", 2, ".0"),
-        )
+    def join(pattern, n, end=""):
+        groups = [F.regexp_extract(text, pattern, i) for i in range(1, n + 1)]
+        return F.when(text.rlike(pattern), F.concat(F.concat_ws(".", *groups), F.lit(end)))
 
-    return F.coalesce(*[after(s) for s in slugs])
+    return F.coalesce(
+        join(rf"^(\d+)-(\d+)-(\d+)(?:-h\d+)?{tail}", 3),
+        join(rf"^(\d)(\d)(\d){tail}", 3),
+        join(rf"^(\d)-?(\d){tail}", 2, ".0"),
+    )
 
 
 def run_version(url: Column) -> Column:

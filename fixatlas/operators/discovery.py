@@ -177,19 +177,71 @@ def extraction_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "product_id string, version_rule string, layout string")
 
 
-def dispatch(inventory: DataFrame) -> DataFrame:
-    """Products a URL feeds, with their profile; one URL may feed two products."""
+def dispatch(inventory: DataFrame, *others: Column) -> DataFrame:
+    """Products a URL feeds, with their profile; one URL may feed two products, and ``others``."""
     url = F.col("url")
     products = F.array_compact(
         F.array(
             ux.product_of(url),
             F.when(ux.is_scoped_tree_page(url), F.lit("ts-agent")),
+            *others,
         )
     )
     profiles = F.broadcast(extraction_profiles(inventory.sparkSession))  # 29 rows
     return inventory.withColumn("product_id", F.explode(products)).join(profiles, "product_id")
 
 
+def page_rules(spark: SparkSession) -> DataFrame:
+    """Pages that are read in another way than their product's profile says.
+
+    ``page`` is the role of a page (see ``page_role``); ``component`` says where its issues have their
+    component from, and ``stage`` 1 puts its issues behind those of all pages of stage 0.
+    """
+    # Version rule, layout, component and stage by product and role of the page.
+    rows = [
+        ("scm", "multitenant", "saas", "tables_only", fixed.MULTITENANT_COMPONENT, 0),
+        ("scm", "known", "saas", "component_sections", None, 0),
+        ("prisma-access-agent", "index", "heading", "index_version_sections", None, 1),
+    ]
+    rows += [("remote-browser-isolation", page, "saas", "tables_only", None, 0) for page in ("known", "addressed", "index")]
+    return spark.createDataFrame(
+        rows, "product_id string, page string, own_version_rule string, own_layout string, component string, own_stage int"
+    )
+
+
+def page_role(url: Column) -> Column:
+    """multitenant, index (addressed issues of all versions on one page), else the kind."""
+    low = F.lower(url)
+    kind = ux.default_kind(url)
+    return (
+        F.when(low.contains(fixed.MULTITENANT_PAGE) & (kind == "known"), "multitenant")
+        .when(low.contains("addressed-issues") & ux.dotted_version(url).isNull(), "index")
+        .otherwise(kind)
+    )
+
+
+def page_dispatch(inventory: DataFrame) -> DataFrame:
+    """``dispatch`` with the rules of single pages: version_rule, layout, component, stage, and slugs of a plugin."""
+    url = F.col("url")
+    role = page_role(url)
+    tenants = ux.product_of(url).isNull() & (role == "multitenant")
+    dealt = dispatch(inventory, F.when(tenants, F.lit("scm")))
+    spark = inventory.sparkSession
+    slugs = {}
+    for product, slug in fixed.PLUGIN_SLUGS:
+        slugs.setdefault(product, []).append(slug)
+    slugs = spark.createDataFrame(list(slugs.items()), "product_id string, slugs array<string>")
+    own = F.broadcast(page_rules(spark))
+    both = dealt.withColumn("page", role).join(own, ["product_id", "page"], "left")
+    both = both.join(F.broadcast(slugs), "product_id", "left")
+    return both.select(
+        *[c for c in dealt.columns if c not in ("version_rule", "layout")],
+        F.coalesce("own_version_rule", "version_rule").alias("version_rule"),
+        F.coalesce("own_layout", "layout").alias("layout"), "component", "slugs",
+        F.coalesce("own_stage", F.lit(0)).alias("stage"),
+    )
+
+
 # --- gates ----------------------------------------------------------------------------
 
 

@@ -737,8 +737,12 @@ def fix_versions(fix_info: Column) -> Column:
     )
 
 
-def fix_version_fanout(known: DataFrame) -> DataFrame:
-    """Known issues plus one addressed row per fix version, from one pass over the input."""
+def fix_version_fanout(known: DataFrame, kind: Column | None = None) -> DataFrame:
+    """Known issues plus one addressed row per fix version, from one pass over the input.
+
+    With ``kind`` rows of other kinds stay as they are.
+    """
+    kind = F.lit("known") if kind is None else kind
     fixes = F.transform(
         fix_versions(F.col("fix_info")),
         lambda v: F.struct(
@@ -750,10 +754,11 @@ def fix_version_fanout(known: DataFrame) -> DataFrame:
     own = F.array(
         F.struct(
             F.col("version").alias("version"),
-            F.lit("known").alias("issue_type"),
+            kind.alias("issue_type"),
             F.col("fix_info").alias("fix_info"),
         )
     )
+    fixes = F.when(kind == "known", fixes).otherwise(F.slice(fixes, 1, 0))
     kept = [c for c in known.columns if c not in ("version", "issue_type", "fix_info")]
     return known.select(
         *kept, F.posexplode(F.concat(own, fixes)).alias("fan_no", "_f")

@@ -11,7 +11,7 @@ from fixatlas.operators import discovery, extract
 from fixatlas.operators.dedup import dedup_issues
 from fixatlas.operators.merge import merge_issues, upsert_manifest
 from fixatlas.operators.report import fetch_report
-from fixatlas.sources.pages import latest_attempts, parse_pages, usable_pages
+from fixatlas.sources.pages import latest_attempts, parse_pages, parse_pages_by, usable_pages
 from fixatlas.sources.scratch import fresh_folder
 
 
@@ -56,13 +56,15 @@ def failed_pages(due: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def empty_pages(due: DataFrame, chosen: DataFrame, issues: DataFrame) -> DataFrame:
-    """Due pages that were read and gave no issue, as failures."""
+def empty_pages(due: DataFrame, chosen: DataFrame, issues: DataFrame, keys=("product_id", "version", "issue_type", "url")) -> DataFrame:
+    """Due pages that were read and gave no issue, as failures.
+
+    Where headings name version or kind, a page is compared by fewer ``keys``.
+    """
     read = due.join(chosen.select("path").distinct(), "path", "left_semi")
     pages = read.select("product_id", "version", F.col("kind").alias("issue_type"), F.col("path").alias("url"))
-    found = issues.select("product_id", "version", "issue_type", F.col("source_url").alias("url")).distinct()
-    keys = ["product_id", "version", "issue_type", "url"]
-    return pages.join(found, keys, "left_anti").withColumn("error", F.lit("no issues found"))
+    found = issues.withColumn("url", F.col("source_url")).select(*keys).distinct()
+    return pages.join(found, [*keys], "left_anti").withColumn("error", F.lit("no issues found"))
 
 
 def load_issues(due: DataFrame, pages: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
@@ -103,19 +105,22 @@ def refresh(
 
 def run(
     held: DataFrame, manifest: DataFrame, due: DataFrame, pages: DataFrame, names: DataFrame, seq: int,
-    replace_changed: bool = False,
+    replace_changed: bool = False, all_layouts: bool = False,
 ) -> dict[str, DataFrame]:
     """A load with its books: issues, manifest, failures and report.
 
+    With ``all_layouts`` the work list is one of ``due_by_profile`` and pages are read as it says.
     Pages that were read enter the manifest, also those without issues; pages that were not stay
     due. Every due page is in exactly one of the two. ``due`` needs url and lastmod.
     """
     spark = due.sparkSession
     chosen = chosen_captures(due, pages)
     where = fresh_folder(spark, "loaded")
-    load_issues(due, pages, chosen).write.parquet(where)
+    load = load_all_layouts if all_layouts else load_issues
+    load(due, pages, chosen).write.parquet(where)
     new = spark.read.parquet(where)
-    failures = failed_pages(due, pages).unionByName(empty_pages(due, chosen, new))
+    keys = ("product_id", "url") if all_layouts else ("product_id", "version", "issue_type", "url")
+    failures = failed_pages(due, pages).unionByName(empty_pages(due, chosen, new, keys))
     read = due.join(chosen.select("path").distinct(), "path", "left_semi")
     seen = read.select("product_id", "url", "lastmod", F.lit(seq).cast("bigint").alias("seq")).distinct()
     return {
@@ -130,9 +135,12 @@ def run(
 
 
 def _version(url: Column, rule: Column) -> Column:
-    """Version of a page by its product's rule; headings on the page name it for the rest."""
+    """Version of a page by its rule; headings on the page name it for the rest.
+
+    A plugin's page whose address has no dashed version carries it after the plugin's slug.
+    """
     return (
-        F.when(rule == "dotted", ux.dotted_version(url))
+        F.when(rule == "dotted", F.coalesce(ux.dotted_version(url), ux.plugin_version_by(url, F.col("slugs"))))
         .when(rule == "saas", F.lit(fixed.VERSION_SAAS))
         .when(rule == "template", ux.dotted_version(url))
         .when(rule == "year", ux.year_slug(url))
@@ -153,14 +161,14 @@ def _kinds(url: Column, rule: Column) -> Column:
 
 
 def due_by_profile(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Pages to read with the version rule and layout of their product; no product is left out."""
+    """Pages to read with the version rule, layout, component and stage of their page; no product is left out."""
     url, rule = F.col("url"), F.col("version_rule")
     pages = inventory.filter(ux.is_issue_page(url) | ux.is_scoped_tree_page(url))
-    work = discovery.changed_urls(discovery.dispatch(pages), manifest).select(
-        "product_id", "layout", _version(url, rule).alias("version"),
+    work = discovery.changed_urls(discovery.page_dispatch(pages), manifest).select(
+        "product_id", "layout", "component", "stage", _version(url, rule).alias("version"),
         F.explode(_kinds(url, rule)).alias("kind"), ux.relative_path(url).alias("path"), "ordinal", "url", "lastmod",
     )
-    keys = ["product_id", "layout", "version", "kind", "path"]
+    keys = ["product_id", "layout", "component", "stage", "version", "kind", "path"]
     listed = work.filter("version is not null").groupBy(*keys).agg(
         F.min("ordinal").alias("ordinal"), F.min("url").alias("url"), F.max("lastmod").alias("lastmod")
     )
@@ -168,19 +176,23 @@ def due_by_profile(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def _topics_with_fix_versions(pages: DataFrame) -> DataFrame:
-    rows = extract.topic_pages(pages).withColumns({"version": F.col("use.version"), "issue_type": F.col("use.kind")})
-    return extract.fix_version_fanout(rows.filter("issue_type = 'known'")).unionByName(
-        rows.filter("issue_type <> 'known'"), allowMissingColumns=True
+    rows = extract.topic_pages(
+        pages, id_pattern=r"^(PAN|PLUG)-\d+$", fix_phrases=("this issue is addressed",), fix_in_text=False, keep_empty=True
     )
+    rows = rows.withColumns({"version": F.col("use.version"), "issue_type": F.col("use.kind")})
+    return extract.fix_version_fanout(rows, F.col("issue_type"))
 
 
-# What each layout reads of a page and how; pages carry ``use`` (product, version, kind, ordinal).
+# What each layout reads of a page and how; pages carry ``use`` (product, version, kind, component, stage, ordinal).
 _LAYOUTS = {
     "tables_then_topics": (("tables", "topics"), extract.issue_pages),
+    "tables_only": (("tables",), extract.issue_tables),
     "topics_with_fix_versions": (("topics",), _topics_with_fix_versions),
     "agent_version_sections": (
         ("headings", "tables"), lambda p: extract.sections_by_agent_version(p, F.col("use.kind"))
     ),
+    "index_version_sections": (("headings", "tables"), extract.sections_by_index_version),
+    "component_sections": (("headings", "tables"), extract.sections_by_component),
     "calendar_version_sections": (("headings", "tables"), extract.sections_by_calendar_version),
     "feature_sections": (("headings", "tables"), extract.sections_by_feature),
     "version_kind_sections": (
@@ -190,22 +202,38 @@ _LAYOUTS = {
 }
 
 
-def load_all_layouts(due: DataFrame, pages: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """Issues of due pages of all products, each page read in the layout of its product.
+def parsed_by_layout(due: DataFrame, pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The parts of every due page that its layout needs, written once in a folder for each layout.
 
-    A body meets the work list once; a layout parses only the pages and the parts it needs.
+    This is the only pass over bodies: the work list meets them once, and the layouts then read
+    the parts of their own pages.
     """
-    chosen = chosen_captures(due, pages) if chosen is None else chosen
-    use = F.struct("product_id", "version", "kind", "ordinal")
+    spark = due.sparkSession
+    use = F.struct("product_id", "version", "kind", "component", "stage", "ordinal")
     wanted = due.groupBy("path", "layout").agg(F.collect_set(use).alias("uses"))
     bodies = (
         pages.select("path", "attempt", "html").join(chosen, ["path", "attempt"]).drop("attempt").join(wanted, "path")
     )
+    parsed = parse_pages_by(bodies, "layout", {name: parts for name, (parts, _) in _LAYOUTS.items()})
+    where = fresh_folder(spark, "parsed-pages")
+    parsed.write.partitionBy("layout").parquet(where)
+    return spark.read.schema(parsed.schema).parquet(where)
+
+
+def load_all_layouts(due: DataFrame, pages: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Issues of due pages of all products, each page read in the layout of its page or product.
+
+    Bodies are read in one pass (``parsed_by_layout``). Issues of stage 1, of index pages over all
+    versions, come behind those of a version's own pages, and one deduplication serves both
+    stages. A constant component replaces what the rows name.
+    """
+    chosen = chosen_captures(due, pages) if chosen is None else chosen
+    parsed = parsed_by_layout(due, pages, chosen)
     place = ["ord", "row_no", "id_no"]
     out = None
     for layout, (parts, rows_of) in _LAYOUTS.items():
-        parsed = parse_pages(bodies.filter(F.col("layout") == layout).select("path", "uses", "html"), *parts)
-        rows = rows_of(parsed.withColumn("use", F.explode("uses")).drop("uses"))
+        own = parsed.filter(F.col("layout") == layout).select("path", F.explode("uses").alias("use"), *parts)
+        rows = rows_of(own)
 
         def column(name, other, rows=rows):
             return (F.coalesce(F.col(name), other) if name in rows.columns else other).alias(name)
@@ -214,10 +242,12 @@ def load_all_layouts(due: DataFrame, pages: DataFrame, chosen: DataFrame | None
         found = rows.select(
             F.col("use.product_id").alias("product_id"), column("version", F.col("use.version")),
             column("issue_type", F.col("use.kind")), "bug_id", "description", none.alias("symptoms"), "workaround",
-            "fix_info", "affected_components", column("release_date", none), F.col("path").alias("source_url"),
+            "fix_info", F.when(F.col("use.component").isNotNull(), F.array("use.component"))
+            .otherwise(F.col("affected_components")).alias("affected_components"),
+            column("release_date", none), F.col("path").alias("source_url"), F.col("use.stage").alias("stage"),
             F.col("use.ordinal").alias("page_ordinal"), *[column(c, F.lit(0)) for c in place],
         )
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("product_id", "version", "issue_type", "source_url").orderBy(*place)
-    kept = dedup_issues(out, order=("page_ordinal", "source_url", *place))
-    return kept.withColumn("row_ordinal", F.row_number().over(order).cast("bigint")).drop(*place)
+    kept = dedup_issues(out, order=("stage", "page_ordinal", "source_url", *place))
+    return kept.withColumn("row_ordinal", F.row_number().over(order).cast("bigint")).drop("stage", *place)

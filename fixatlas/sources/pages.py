@@ -77,6 +77,19 @@ def parse_pages(pages: DataFrame, *parts: str, html: str = "html") -> DataFrame:
     built.  Arrow batches are bounded in bytes by the session
     (``spark.sql.execution.arrow.maxBytesPerBatch``), so large pages are safe.
     """
+    return _parsed(pages, html, parts, lambda batch: [parts] * batch.num_rows)
+
+
+def parse_pages_by(pages: DataFrame, choice: str, wanted: dict[str, tuple[str, ...]], html: str = "html") -> DataFrame:
+    """``parse_pages`` with the lists that each page needs by its value of ``choice``.
+
+    All pages go through one pass; lists that a page doesn't need are null.
+    """
+    parts = tuple(dict.fromkeys(p for chosen in wanted.values() for p in chosen))
+    return _parsed(pages, html, parts, lambda batch: [wanted.get(c, ()) for c in batch.column(choice).to_pylist()])
+
+
+def _parsed(pages: DataFrame, html: str, parts: tuple[str, ...], parts_of) -> DataFrame:
     kept = [f for f in pages.schema if f.name != html]
     added = T.StructType([T.StructField(p, T.DataType.fromDDL(DOCUMENT_PARTS[p])) for p in parts])
     arrow = {p: _arrow_type(added[p].dataType) for p in parts}
@@ -89,14 +102,14 @@ def parse_pages(pages: DataFrame, *parts: str, html: str = "html") -> DataFrame:
             gc.disable()
             try:
                 docs = [
-                    read_page(h, parts) if h is not None else dict.fromkeys(parts)
-                    for h in batch.column(html).to_pylist()
+                    read_page(h, own) if h is not None and own else {}
+                    for h, own in zip(batch.column(html).to_pylist(), parts_of(batch))
                 ]
             finally:
                 if tracked:
                     gc.enable()
             columns = [batch.column(n) for n in names]
-            columns += [pa.array([d[p] for d in docs], type=arrow[p]) for p in parts]
+            columns += [pa.array([d.get(p) for d in docs], type=arrow[p]) for p in parts]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *parts])
 
     return pages.select(*names, html).mapInArrow(read, T.StructType([*kept, *added.fields]))

@@ -409,33 +409,146 @@ def section_version_kind(spark, data_dir):
     return _issue(out, "version", "issue_type")
 
 
-# --- a load over products of several layouts ------------------------------------------------
-
-# Pages of three products in turn: version in the address, no version, version in a heading.
-_LAYOUT_PATH = """case l_orderkey % 3
-  when 0 then concat('/globalprotect/release-notes/gp-', l_orderkey % 20 + 1, '-', l_orderkey % 7, '-', l_orderkey, '-', issue_type, '-issues')
-  when 1 then concat('/cloud-ngfw-aws/', l_orderkey, '/', issue_type, '-issues')
-  else concat('/autonomous-dem/', l_orderkey, '/', issue_type, '-issues') end"""
-_LAYOUT_HEADING = "case when l_orderkey % 3 = 2 then concat('<h3>Agent 5.', l_orderkey % 9, '</h3>') else '' end"
-
-
-@query("load_issues_all_layouts", WITH_FACTS + f"""
-select distinct
-  case l_orderkey % 3 when 0 then 'globalprotect' when 1 then 'cloud-ngfw-aws' else 'adem' end as product_id,
-  case l_orderkey % 3 when 0 then concat(l_orderkey % 20 + 1, '.', l_orderkey % 7, '.', l_orderkey)
-    when 1 then '{fixed.VERSION_SAAS}' else concat('5.', l_orderkey % 9) end as version,
-  issue_type, bug_id, description from facts""")
-def load_issues_all_layouts(spark, data_dir):
+# --- a load over products of all layouts ----------------------------------------------------
+
+# Orders take turns over twelve kinds of pages: address, what stands above the table, expected fields.
+_ID = "(100000 + l_orderkey)"
+_TURNS = [
+    # version in the address
+    ("'globalprotect'", "concat('/globalprotect/release-notes/gp-', l_orderkey % 20 + 1, '-', l_orderkey % 7, '-', l_orderkey, '-', issue_type, '-issues')",
+     "''", "concat(l_orderkey % 20 + 1, '.', l_orderkey % 7, '.', l_orderkey)", "null"),
+    # no version
+    ("'cloud-ngfw-aws'", f"concat('/cloud-ngfw-aws/', {_ID}, '/', issue_type, '-issues')", "''", f"'{fixed.VERSION_SAAS}'", "null"),
+    # version in a heading
+    ("'adem'", f"concat('/autonomous-dem/', {_ID}, '/', issue_type, '-issues')",
+     "concat('<h3>Agent 5.', l_orderkey % 9, '</h3>')", "concat('5.', l_orderkey % 9)", "null"),
+    # component or calendar version in a heading
+    ("'scm'", f"concat('/strata-cloud-manager/', {_ID}, '/', issue_type, '-issues')",
+     "case when issue_type = 'known' then '<h2>Insights Known Issues</h2>' else concat('<h2>2025.r', l_orderkey % 6, '.0</h2>') end",
+     f"case when issue_type = 'known' then '{fixed.VERSION_SAAS}' else concat('2025.r', l_orderkey % 6, '.0') end",
+     "case when issue_type = 'known' then 'Insights' end"),
+    # year in the address, feature in a heading
+    ("'device-security'", f"concat('/iot/release-notes/', {_ID}, '/', issue_type, '-issues-in-20', 10 + l_orderkey % 15)",
+     "'<h3>Sensors</h3>'", "concat('20', 10 + l_orderkey % 15)", "'Sensors'"),
+    # version for known pages, year for addressed ones
+    ("'enterprise-dlp'", f"""concat('/enterprise-dlp/', {_ID}, case when issue_type = 'known' then '/known-issues-in-enterprise-dlp-plugin-60'
+      else '/addressed-issues-in-20' end, 10 + l_orderkey % 15)""",
+     "''", "concat(case when issue_type = 'known' then '6.0.' else '20' end, 10 + l_orderkey % 15)", "null"),
+    # version and kind in a heading
+    ("'ts-agent'", f"""concat('/tsa/terminal-services-agent-release-notes/', {_ID},
+      case when issue_type = 'known' then '/known-issues-in-ts-agent' else '/ts-agent-addressed-issues' end)""",
+     "concat('<h2>TS Agent 11.', l_orderkey % 8, case when issue_type = 'known' then ' Known' else ' Addressed' end, ' Issues</h2>')",
+     "concat('11.', l_orderkey % 8)", "null"),
+    # topics, one issue more for each version of a fix
+    ("'sdwan-plugin'", "concat('/plugins/vm-series-and-panorama-plugins-release-notes/panorama-plugin-for-sd-wan/sd-wan-plugin-3-', l_orderkey % 7, '-', l_orderkey, '-', issue_type, '-issues')",
+     "''", "concat('3.', l_orderkey % 7, '.', l_orderkey)", "null"),
+    # a documentation space with ARIA tables
+    ("'cortex-xdr'", f"concat('/', {_ID}, '/9.', l_orderkey % 5, '/', issue_type, '-issues')", "''", "concat('9.', l_orderkey % 5)", "null"),
+    # known pages by version, addressed ones as index pages
+    ("'prisma-access-agent'", f"""case when issue_type = 'known'
+      then concat('/prisma-access-agent/release-notes/paa-26-', l_orderkey % 7, '-', l_orderkey, '-known-issues')
+      else concat('/prisma-access-agent/', {_ID}, '/addressed-issues') end""",
+     "case when issue_type = 'known' then '' else concat('<h2>Issues Addressed in Prisma Access Agent 26.', l_orderkey % 7, '</h2>') end",
+     "case when issue_type = 'known' then concat('26.', l_orderkey % 7, '.', l_orderkey) else concat('26.', l_orderkey % 7) end", "null"),
+    # tables only
+    ("'remote-browser-isolation'", f"concat('/remote-browser-isolation/', {_ID}, '/', issue_type, '-issues')", "''", f"'{fixed.VERSION_SAAS}'", "null"),
+    # a page of its own of another product; addressed pages there are nobody's
+    ("case when issue_type = 'known' then 'scm' end", f"concat('/sase/prisma-sase-multitenant-platform/release-updates/', {_ID}, '/', issue_type, '-issues-msp')",
+     "''", f"'{fixed.VERSION_SAAS}'", f"'{fixed.MULTITENANT_COMPONENT}'"),
+]
+
+
+def _turn(field: int) -> str:
+    whens = " ".join(f"when {i} then {t[field]}" for i, t in enumerate(_TURNS))
+    return f"case l_orderkey % {len(_TURNS)} {whens} end"
+
+
+_TOPICS, _ARIA = 7, 8
+_IS = f"l_orderkey % {len(_TURNS)} = "
+_LOAD_BEFORE = f"""concat({_turn(2)}, case when {_IS}{_TOPICS} then '' when {_IS}{_ARIA}
+  then '<div role="table"><div role="row"><div role="columnheader">ISSUE ID</div><div role="columnheader">PLATFORM</div><div role="columnheader">DESCRIPTION</div></div>'
+  else {TABLE_OPEN} end)"""
+_LOAD_AFTER = f"case when {_IS}{_TOPICS} then '' when {_IS}{_ARIA} then '</div>' else {TABLE_CLOSE} end"
+_LOAD_ROW = f"""case when {_IS}{_TOPICS} then concat('<div class="topic nested1"><h2 class="title topictitle2">', replace(bug_id, 'ISS', 'PLUG'),
+    '</h2><div class="shortdesc">', description, '</div><div class="p">It repeats.</div>', case when fix_info is not null
+    then concat('<div class="p"><tt>This issue is addressed in 5.', v2, '.</tt></div>') else '' end, '</div>')
+  when {_IS}{_ARIA} then concat('<div role="row"><div role="cell"><p>', bug_id, '</p></div><div role="cell">General</div><div role="cell"><p>', description, '</p></div></div>')
+  else concat('<tr><td>', bug_id, '</td><td>', description, '</td></tr>') end"""
+_LOADED = f""", turns as (
+  select *, {_turn(0)} as product, {_turn(1)} as path, {_turn(3)} as v, {_turn(4)} as components from facts
+), loaded as (
+  select distinct l_orderkey, path, product as product_id, v as version, issue_type,
+    case when {_IS}{_TOPICS} then replace(bug_id, 'ISS', 'PLUG') else bug_id end as bug_id,
+    case when {_IS}{_TOPICS} then concat(description, ' It repeats.') else description end as description, components
+  from turns where product is not null
+  union
+  select l_orderkey, path, product, concat('5.', v2), 'addressed', replace(bug_id, 'ISS', 'PLUG'), concat(description, ' It repeats.'), components
+  from turns where {_IS}{_TOPICS} and issue_type = 'known' and fix_info is not null
+)"""
+
+
+def _load_inputs(spark, data_dir):
+    """Work list, captures and work list entries of the documentation space of the turns."""
     rows = facts(spark, data_dir)
-    row = "concat('<tr><td>', bug_id, '</td><td>', description, '</td></tr>')"
-    before = f"concat({_LAYOUT_HEADING}, {TABLE_OPEN})"
-    html = pages(rows, row, before, TABLE_CLOSE, url=_LAYOUT_PATH)
+    html = pages(rows, _LOAD_ROW, _LOAD_BEFORE, _LOAD_AFTER, url=_turn(1))
     captures = html.selectExpr("url as path", "200 as status", "1 as attempt", "html")
-    host = F.lit(fixed.DOCS_HOST)
-    inventory = rows.select(
-        F.concat(host, F.expr(_LAYOUT_PATH)).alias("url"), F.lit(None).cast("string").alias("lastmod"),
-        F.col("l_orderkey").cast("bigint").alias("ordinal"),
-    ).distinct()
+    addresses = rows.select(
+        "l_orderkey", "issue_type", F.expr(_turn(1)).alias("path"), F.expr(_turn(3)).alias("version"),
+        F.lit(None).cast("string").alias("lastmod"), F.col("l_orderkey").cast("bigint").alias("ordinal"),
+    ).distinct().withColumn("url", F.concat(F.lit(fixed.DOCS_HOST), "path"))
     none = spark.createDataFrame([], "product_id string, url string, lastmod string")
-    loaded = load.load_all_layouts(load.due_by_profile(inventory, none), captures)
-    return loaded.select("product_id", "version", "issue_type", "bug_id", "description").distinct()
+    space = f"{_IS}{_ARIA}"
+    due = load.due_by_profile(addresses.filter(f"not {space}").select("url", "lastmod", "ordinal"), none)
+    given = addresses.filter(space).select(
+        F.lit("cortex-xdr").alias("product_id"), F.lit("aria_tables").alias("layout"), F.lit(None).cast("string").alias("component"),
+        F.lit(0).alias("stage"), "version", F.col("issue_type").alias("kind"), "path", "ordinal", "url", "lastmod",
+    )
+    return due.unionByName(given), captures
+
+
+@query("load_issues_all_layouts", WITH_FACTS + _LOADED + """
+select product_id, version, issue_type, bug_id, description, components from loaded""")
+def load_issues_all_layouts(spark, data_dir):
+    loaded = load.load_all_layouts(*_load_inputs(spark, data_dir))
+    return loaded.select("product_id", "version", "issue_type", "bug_id", "description", join_components())
+
+
+_GONE = "l_orderkey % 7 = 3"
+_HELD = f"{_IS}0 and l_orderkey % 5 = 0"
+
+
+@query("load_refresh", WITH_FACTS + _LOADED + f"""
+select 'issue' as part, product_id, version, bug_id as item, description as detail from loaded
+  where not ({_GONE}) and not ({_HELD})
+union all
+select distinct 'issue', product, v, bug_id, 'Held.' from turns where {_HELD}
+union all
+select distinct 'failure', product, '', path, 'gone' from turns where product is not null and {_GONE}
+union all
+select distinct 'manifest', product, '', path, '1' from turns where product is not null and not ({_GONE})""")
+def load_refresh(spark, data_dir):
+    """A load into a held data set with its books; some pages are gone, some versions are held."""
+    due, captures = _load_inputs(spark, data_dir)
+    gone = F.col("ordinal") % 7 == 3
+    missing = due.filter(gone).select("path").distinct().withColumn("gone", F.lit(True))
+    captures = captures.join(missing, "path", "left").withColumn("status", F.when(F.col("gone"), 404).otherwise(F.col("status"))).drop("gone")
+    none = spark.createDataFrame([], "product_id string, url string, lastmod string, seq long")
+    names = due.select("product_id", F.col("product_id").alias("product_name")).distinct()
+    held = facts(spark, data_dir).filter(_HELD).select(
+        F.lit("globalprotect").alias("product_id"), F.lit("Held").alias("product_name"), F.expr(_turn(3)).alias("version"),
+        "issue_type", "bug_id", F.lit("Held.").alias("description"),
+        *[F.lit(None).cast("string").alias(c) for c in ("symptoms", "workaround", "fix_info", "release_date", "source_url")],
+        F.lit(None).cast("array<string>").alias("affected_components"),
+        F.lit(0).cast("bigint").alias("page_ordinal"), F.lit(0).cast("bigint").alias("row_ordinal"),
+    ).dropDuplicates(["version", "bug_id"])
+    books = load.run(held, none, due, captures, names, 1, all_layouts=True)
+
+    def part(name, rows, version, item, detail):
+        return rows.select(F.lit(name).alias("part"), "product_id", version.alias("version"), item.alias("item"), detail.alias("detail"))
+
+    path = F.replace("url", F.lit(fixed.DOCS_HOST), F.lit(""))
+    return (
+        part("issue", books["issues"], F.col("version"), F.col("bug_id"), F.col("description"))
+        .unionByName(part("failure", books["failures"].distinct(), F.lit(""), path, F.col("error")))
+        .unionByName(part("manifest", books["manifest"], F.lit(""), path, F.col("seq").cast("string")))
+    )
