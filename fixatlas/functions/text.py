@@ -54,12 +54,12 @@ def _cut(around: Column) -> Column:
     return collapse(F.array_join(around, " "))
 
 
-# A word starts where no letter, digit or underscore stands before its first character.
+# A word starts where no letter, digit or underscore stands before it.
 _WORKAROUND = (
-    rf"(?is)w(?<![\p{{L}}\p{{N}}_]w)orkaround{_S}*:{_S}*(.+?)(?=\n(?:[A-Z][a-z]+{_S}*:|$)|$)"
+    rf"(?is)(?<![\p{{L}}\p{{N}}_])workaround{_S}*:{_S}*(.+?)(?=\n(?:[A-Z][a-z]+{_S}*:|$)|$)"
 )
 _FIX_SENTENCE = (
-    rf"(?id)t(?<![\p{{L}}\p{{N}}_]t)his{_S}+issue{_S}+is{_S}+resolved{_S}+in{_S}+(.+?)(?:\.(?:{_S}|$)|$)"
+    rf"(?id)(?<![\p{{L}}\p{{N}}_])this{_S}+issue{_S}+is{_S}+resolved{_S}+in{_S}+(.+?)(?:\.(?:{_S}|$)|$)"
 )
 _FIX_WHOLE = rf"(?id)^This{_S}+issue{_S}+is{_S}+resolved{_S}+in{_S}+(.+?)\.?$"
 

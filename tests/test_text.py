@@ -36,16 +36,16 @@ def test_workaround(apply):
 
 def test_fix_info(apply):
     got = pairs(apply(tx.split_fix_info, [
-        "Drops. This issue is resolved in ION 6.3.3. More text.",
-        "Drops. this  issue is resolved in 6.5.1",
-        "This issue is resolved in 6.5.1.",
+        "Drops. This issue is resolved in Box 7.2.1. More text.",
+        "Drops. this  issue is resolved in 7.9.2",
+        "This issue is resolved in 7.9.2.",
         "Drops. This issue is resolved in A. This issue is resolved in B.",
         "Nothing here",
     ]))
     assert got == [
-        ("Drops. More text.", "Resolved in ION 6.3.3"),
-        ("Drops.", "Resolved in 6.5.1"),
-        ("This issue is resolved in 6.5.1.", None),
+        ("Drops. More text.", "Resolved in Box 7.2.1"),
+        ("Drops.", "Resolved in 7.9.2"),
+        ("This issue is resolved in 7.9.2.", None),
         ("Drops. This issue is resolved in B.", "Resolved in A"),
         ("Nothing here", None),
     ]
@@ -62,10 +62,10 @@ def test_known_fix_info_wins(apply):
 
 def test_bug_id(apply):
     got = pairs(apply(tx.split_bug_id, [
-        "EPM-4616Resolved in 25.3", " PAN-1 ", "PAN-12 x", "Feature", "pan-1", "",
+        "QRS-7301Resolved in 31.4", " PAN-1 ", "PAN-12 x", "Feature", "pan-1", "",
     ]))
     assert got == [
-        ("EPM-4616", "Resolved in 25.3"), ("PAN-1", None), ("PAN-12", "x"), ("Feature", None),
+        ("QRS-7301", "Resolved in 31.4"), ("PAN-1", None), ("PAN-12", "x"), ("Feature", None),
         ("pan-1", None), ("", None),
     ]
 
@@ -86,12 +86,12 @@ def test_components(apply):
 
 def test_split_ids_is_all_or_nothing(apply):
     assert apply(tx.split_ids, [
-        "LST-15102andLST-15123", "PAN-212726PAN-211519", "CG-37984/CG-37622", "AB-123, AB-456 and AB-789",
-        "EPM-4616Resolved in 25.3", "PAN-99999, see notes", "PAN-262287FIPS140-2", "PAN-1 PAN-2",
+        "LMN-40001andLMN-40002", "TUV-301144TUV-301155", "CD-51001/CD-51002", "AB-123, AB-456 and AB-789",
+        "QRS-7301Resolved in 31.4", "TUV-88888, see notes", "TUV-771122ABCD150-3", "PAN-1 PAN-2",
     ]) == [
-        ["LST-15102", "LST-15123"], ["PAN-212726", "PAN-211519"], ["CG-37984", "CG-37622"],
-        ["AB-123", "AB-456", "AB-789"], ["EPM-4616Resolved in 25.3"], ["PAN-99999, see notes"],
-        ["PAN-262287FIPS140-2"], ["PAN-1 PAN-2"],
+        ["LMN-40001", "LMN-40002"], ["TUV-301144", "TUV-301155"], ["CD-51001", "CD-51002"],
+        ["AB-123", "AB-456", "AB-789"], ["QRS-7301Resolved in 31.4"], ["TUV-88888, see notes"],
+        ["TUV-771122ABCD150-3"], ["PAN-1 PAN-2"],
     ]
 
 
@@ -122,9 +122,9 @@ def test_dates(apply):
 
 def test_aria_row(spark):
     rows = [
-        ("CPATR-21870 (Windows)", "Text. Workaround: w", "Linux, General"),
-        ("CPATR‑1 (Beta), CPATR–2", "Text", None),
-        ("CPATR-10688 This issue is resolved in agent 7.0.3.", "Text", "n/a"),
+        ("AGENT-31001 (Windows)", "Text. Workaround: w", "Linux, General"),
+        ("AGENT‑1 (Beta), AGENT–2", "Text", None),
+        ("AGENT-31002 This issue is resolved in agent 8.1.2.", "Text", "n/a"),
         ("Windows on ARM", "Text", None),
         ("A1-5", None, "mac"),
     ]
@@ -134,9 +134,9 @@ def test_aria_row(spark):
         for r in df.select(tx.aria_row(F.col("a"), F.col("b"), F.col("c"))).collect()
     ]
     assert got == [
-        [("CPATR-21870", "Text.", "w", None, ["Windows", "Linux"])],
-        [("CPATR-1", "Text", None, None, None), ("CPATR-2", "Text", None, None, None)],
-        [("CPATR-10688", "Text", None, "This issue is resolved in agent 7.0.3", None)],
+        [("AGENT-31001", "Text.", "w", None, ["Windows", "Linux"])],
+        [("AGENT-1", "Text", None, None, None), ("AGENT-2", "Text", None, None, None)],
+        [("AGENT-31002", "Text", None, "This issue is resolved in agent 8.1.2", None)],
         [],
         [("A1-5", "", None, None, ["macOS"])],
     ]
