@@ -70,7 +70,7 @@ def page_slice(rows: DataFrame, order: list, page: int, size: int | None = fixed
 
     Counts first, because only the count knows the last page.  Planned as a top-k of
     ``offset + size`` rows, so it suits the pages people look at; to walk a whole
-    result use `page_after`.
+    result use `page_after`, and for any page of a stored set `plans.catalog.open_page`.
     """
     ordered = rows.orderBy(*order)
     if size is None:
@@ -83,7 +83,7 @@ def page_after(rows: DataFrame, order: list[str], last: list | None, size: int =
     """Next rows after a known last key: same cost for the first page and the millionth.
 
     All columns of ``order`` are ascending and have no nulls, and no two rows are equal in all of
-    them, as `plans.cards.placed` makes them.
+    them, as `plans.cards.numbered` makes them.
     """
     if last is not None:
         rows = rows.filter(

@@ -9,15 +9,17 @@ from fixatlas.functions import text as tx
 from fixatlas.operators import releases, search
 
 
-# The last two tell rows apart that stand at one place: a digest of the row, then the number of its copy.
-ORDER = ["product_ordinal", "version_ordinal", "kind_rank", "page_ordinal", "row_ordinal", "row_digest", "row_copy"]
+# The digest tells different rows apart that stand at one place; ``numbered`` does so for equal rows.
+ORDER = ["product_ordinal", "version_ordinal", "kind_rank", "page_ordinal", "row_ordinal", "row_digest"]
+KEYSET = [*ORDER, "row_copy"]
 
 
 def placed(issues: DataFrame) -> DataFrame:
-    """Issues with what puts them in document order, all ascending, never null and no two alike.
+    """Issues with what puts them in document order, all ascending and never null.
 
     Products stand in the order of their ids, a product's versions newest first, known before
-    addressed, then pages and rows as they came. Only versions are ordered, not issues.
+    addressed, then pages and rows as they came. Only versions are ordered, not issues. All this is
+    worked out row by row, so a search filters first.
     """
     versions = search.versions_newest_first(issues).withColumnRenamed("place", "version_ordinal")
     products = versions.select("product_id").distinct()
@@ -28,9 +30,7 @@ def placed(issues: DataFrame) -> DataFrame:
     rank = F.when(F.col("issue_type") == "known", 0).otherwise(1)
     # Nulls are kept apart from empty texts: a field that is null is not written.
     digest = F.sha2(F.to_json(F.struct(*issues.columns)), 256)
-    copies = Window.partitionBy("row_digest").orderBy("row_digest")
-    issues = issues.withColumn("row_digest", digest).withColumn("row_copy", F.row_number().over(copies))
-    return issues.join(order, ["product_id", "version"]).withColumns(
+    return issues.withColumn("row_digest", digest).join(order, ["product_id", "version"]).withColumns(
         {
             "kind_rank": rank,
             "page_ordinal": F.coalesce("page_ordinal", F.lit(-1)),
@@ -39,6 +39,15 @@ def placed(issues: DataFrame) -> DataFrame:
     )
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """Placed rows with the number of their copy, so that no two are alike in ``KEYSET``.
+
+    Only what a search has left is dealt by digest.
+    """
+    copies = Window.partitionBy("row_digest").orderBy("row_digest")
+    return found.withColumn("row_copy", F.row_number().over(copies))
+
+
 def result_page(issues: DataFrame, page: int = 1, size: int = 50, **facets) -> DataFrame:
     """Cards of one page: label, whether to show the fix text, fix and sibling releases.
 

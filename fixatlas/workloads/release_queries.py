@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from fixatlas.functions import text as tx
 from fixatlas.functions import versions as vx
 from fixatlas.operators import baseline, dedup, discovery, merge, releases, report, search
-from fixatlas.plans import cards
+from fixatlas.plans import cards, catalog
 from fixatlas.sources.scratch import fresh_folder
 from fixatlas.sources.snapshots import load_baseline, save_baseline
 from fixatlas.workloads.derived import (
     SNAPSHOTS_SQL, WITH_FACTS, facts, issues, snapshots,
 )
-from fixatlas.workloads.registry import query
+from fixatlas.workloads.registry import EXPECTED, query
 
 KEY = ["page_ordinal", "row_ordinal"]
 NEWEST = "v1 desc, v2 desc, v3 desc, hot desc"
@@ -151,12 +151,31 @@ def paginate(spark, data_dir):
 @query("paginate_after", WITH_FACTS + _BOLTS + f" order by {_DOCUMENT_ORDER} limit 50 offset 50")
 def paginate_after(spark, data_dir):
     """The page after the first one, from the key of the last row shown."""
-    found = search.search(cards.placed(issues(spark, data_dir)), term="bolt")
-    shown = search.page_after(found, cards.ORDER, None).select(cards.ORDER).collect()  # one page
-    following = search.page_after(found, cards.ORDER, list(shown[-1]) if shown else None)
+    found = cards.numbered(search.search(cards.placed(issues(spark, data_dir)), term="bolt"))
+    shown = search.page_after(found, cards.KEYSET, None).select(cards.KEYSET).collect()  # one page
+    following = search.page_after(found, cards.KEYSET, list(shown[-1]) if shown else None)
     return following.select("product_id", "version", "bug_id", *KEY)
 
 
+@query("page_of_catalog", WITH_FACTS + f"""
+select product_id, version, bug_id, page_ordinal, row_ordinal, row_number() over () + 29999 as position
+from (select * from facts order by {_DOCUMENT_ORDER} limit 50 offset 30000)""")
+def page_of_catalog(spark, data_dir):
+    """Page 601 by position, from the one or two slices that hold it."""
+    path = fresh_folder(spark, "catalog")
+    catalog.write_catalog(issues(spark, data_dir), path, slice_rows=5000)
+    return catalog.open_page(spark, path, 601).select("product_id", "version", "bug_id", *KEY, "position")
+
+
+@query("search_issues_indexed", EXPECTED["search_issues"])
+def search_issues_indexed(spark, data_dir):
+    """The rows of ``search_issues``, from the slices whose letter triples can hold the term."""
+    path = fresh_folder(spark, "catalog")
+    catalog.write_catalog(issues(spark, data_dir), path, slice_rows=5000)
+    found = catalog.search_catalog(spark, path, "Size 7", product="economy", issue_type="known")
+    return found.select("product_id", "version", "bug_id", *KEY)
+
+
 @query("result_page", WITH_FACTS + _FIXES + """, page as (
   select * from facts
   where contains(lower(concat_ws(' ', bug_id, description, symptoms, workaround, comp1, comp2)),

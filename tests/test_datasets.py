@@ -316,11 +316,11 @@ def test_document_order_of_versions(make):
 
     rows = make(*[("p", v, k, f"{v}-{k}", {"page_ordinal": 1}) for v in ("9.1.0", "10.1.0", "11.0.0") for k in ("addressed", "known")],
                 ("a", "1", "known", "first"))
-    placed = cards.placed(rows)
-    got = [r.bug_id for r in search.page_slice(placed, cards.ORDER, 1).collect()]
+    placed = cards.numbered(cards.placed(rows))
+    got = [r.bug_id for r in search.page_slice(placed, cards.KEYSET, 1).collect()]
     assert got == ["first", *[f"{v}-{k}" for v in ("11.0.0", "10.1.0", "9.1.0") for k in ("known", "addressed")]]
     walked, last = [], None
-    while page := search.page_after(placed, cards.ORDER, last, 3).select("bug_id", *cards.ORDER).collect():
+    while page := search.page_after(placed, cards.KEYSET, last, 3).select("bug_id", *cards.KEYSET).collect():
         walked += [r.bug_id for r in page]
         last = list(page[-1])[1:]
     assert walked == got
@@ -331,8 +331,8 @@ def test_pages_cut_inside_ties_lose_no_row(make):
 
     nowhere = {"page_ordinal": None, "row_ordinal": None}
     rows = make(*[("p", "1", "known", f"B-{n}", nowhere) for n in range(7)], *[("p", "1", "known", "same", nowhere)] * 4)
-    placed, walked, last = cards.placed(rows), [], None
-    while page := search.page_after(placed, cards.ORDER, last, 3).select("bug_id", *cards.ORDER).collect():
+    placed, walked, last = cards.numbered(cards.placed(rows)), [], None
+    while page := search.page_after(placed, cards.KEYSET, last, 3).select("bug_id", *cards.KEYSET).collect():
         walked += [r.bug_id for r in page]
         last = list(page[-1])[1:]
     assert sorted(walked) == sorted([f"B-{n}" for n in range(7)] + ["same"] * 4)
