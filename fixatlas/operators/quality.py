@@ -9,6 +9,8 @@ from fixatlas import fixed
 from fixatlas.functions.text import strip
 
 # Declared fields of a tracker document, required ones first.
+ROOT_FIELDS = ["metadata", "products"]
+METADATA_FIELDS = ["generated_at", "version", "source"]
 PRODUCT_FIELDS = ["id", "name", "versions"]
 VERSION_FIELDS = ["version", "release_date", "known_issues", "addressed_issues"]
 ISSUE_FIELDS = [
@@ -18,7 +20,7 @@ ISSUE_FIELDS = [
 
 
 def _problems(doc: Column, declared: list[str], required: list[str]) -> Column:
-    keys = F.json_object_keys(doc)
+    keys = F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>"))  # what is no object has no fields
     allowed, needed = (F.array(*[F.lit(f) for f in x]) for x in (declared, required))
     return F.concat(
         F.transform(F.array_except(keys, allowed), lambda k: F.concat(F.lit("undeclared "), k)),
@@ -31,53 +33,92 @@ def _items(doc: Column, field: str) -> Column:
     return F.from_json(F.get_json_object(doc, f"$.{field}"), "array<string>")
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _found(level: str, problems: Column) -> Column:
+    return F.transform(problems, lambda p: F.struct(F.lit(level).alias("level"), p.alias("problem")))
+
+
+def _of_product(product: Column) -> Column:
+    """Problems of a product document and of all in it, as one array."""
+    versions = F.coalesce(_items(product, "versions"), _none())
+
+    def issues(v):
+        return F.concat(*[F.coalesce(_items(v, f), _none()) for f in ("known_issues", "addressed_issues")])
+
+    return F.concat(
+        _found("product", _problems(product, PRODUCT_FIELDS, ["id", "name"])),
+        F.flatten(F.transform(versions, lambda v: _found("version", _problems(v, VERSION_FIELDS, ["version"])))),
+        F.flatten(F.flatten(F.transform(versions, lambda v: F.transform(
+            issues(v), lambda i: _found("issue", _problems(i, ISSUE_FIELDS, ["bug_id", "description"]))
+        )))),
+    )
+
+
 def strict_schema(documents: DataFrame, doc: str = "value") -> DataFrame:
-    """Undeclared and missing fields of product documents, at every level."""
-    products = documents.select(
-        F.get_json_object(doc, "$.id").alias("product_id"), F.col(doc).alias("_p")
+    """Undeclared and missing fields of product documents, at every level, in one pass."""
+    return documents.select(
+        F.get_json_object(doc, "$.id").alias("product_id"), F.explode(_of_product(F.col(doc))).alias("_f")
+    ).select("product_id", "_f.*")
+
+
+def strict_root(files: DataFrame, doc: str = "value") -> DataFrame:
+    """Undeclared and missing fields of whole-file documents, of their metadata and of their products."""
+    whole = F.col(doc)
+    metadata = F.get_json_object(whole, "$.metadata")
+    top = F.concat(
+        _found("root", _problems(whole, ROOT_FIELDS, ["products"])),
+        F.when(metadata.isNotNull(), _found("metadata", _problems(metadata, METADATA_FIELDS, []))).otherwise(_found("metadata", _none())),
+        F.flatten(F.transform(F.coalesce(_items(whole, "products"), _none()), _of_product)),
     )
-    versions = products.select("product_id", F.explode(_items(F.col("_p"), "versions")).alias("_v"))
-    none = F.array().cast("array<string>")
-    issues = versions.select(
-        "product_id",
-        F.explode(
-            F.concat(
-                F.coalesce(_items(F.col("_v"), "known_issues"), none),
-                F.coalesce(_items(F.col("_v"), "addressed_issues"), none),
-            )
-        ).alias("_i"),
+    kept = [c for c in files.columns if c != doc]
+    return files.select(*kept, F.explode(top).alias("_f")).select(*kept, "_f.*")
+
+
+def _kind(doc: Column, field: str | None = None) -> Column:
+    """OBJECT, ARRAY, STRING, ... of a document or a field of it; null if unreadable or absent."""
+    parsed = F.try_parse_json(doc)
+    value = parsed if field is None else F.try_variant_get(parsed, f"$.{field}", "variant")
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _is(kind: Column, *names: str) -> Column:
+    return F.coalesce(kind.isin(*names), F.lit(False))
+
+
+def _product_problem(doc: Column) -> Column:
+    return (
+        F.when(~_is(_kind(doc), "OBJECT"), "not an object")
+        .when(~_is(_kind(doc, "id"), "STRING"), "id is not a text")
+        .when(~_is(_kind(doc, "name"), "STRING"), "name is not a text")
+        .when(~_is(_kind(doc, "versions"), "ARRAY"), "versions is not a list")
     )
-    levels = [
-        (products, "product", "_p", PRODUCT_FIELDS, ["id", "name"]),
-        (versions, "version", "_v", VERSION_FIELDS, ["version"]),
-        (issues, "issue", "_i", ISSUE_FIELDS, ["bug_id", "description"]),
-    ]
-    out = None
-    for df, level, column, declared, required in levels:
-        found = df.select(
-            "product_id",
-            F.lit(level).alias("level"),
-            F.explode(_problems(F.col(column), declared, required)).alias("problem"),
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
 
 
 def shape(documents: DataFrame, doc: str = "value") -> DataFrame:
-    """Products whose id or name is not a text or whose versions are not a list."""
-    def kind(field):
-        return F.schema_of_variant(F.variant_get(F.try_parse_json(doc), f"$.{field}", "variant"))
+    """Products that are no object, or whose id or name is not a text or whose versions are not a list."""
+    return documents.withColumn("problem", _product_problem(F.col(doc))).filter("problem is not null")
+
 
+def root_shape(files: DataFrame, doc: str = "value") -> DataFrame:
+    """Whole-file documents that can't be shown, with the first problem of the root or of a product.
+
+    The metadata has to be an object, if there is one, and the list of products must not be empty.
+    """
+    whole = F.col(doc)
+    products = F.coalesce(_items(whole, "products"), _none())
+    metadata = _kind(whole, "metadata")
+    first = F.get(F.array_compact(F.transform(products, _product_problem)), F.lit(0))
     problem = (
-        F.when(F.try_parse_json(doc).isNull(), "not an object")
-        .when(~F.coalesce(kind("id") == "STRING", F.lit(False)), "id is not a text")
-        .when(~F.coalesce(kind("name") == "STRING", F.lit(False)), "name is not a text")
-        .when(
-            ~F.coalesce(kind("versions").startswith("ARRAY"), F.lit(False)),
-            "versions is not a list",
-        )
+        F.when(~_is(_kind(whole), "OBJECT"), "root is not an object")
+        .when(~_is(_kind(whole, "products"), "ARRAY"), "products is not a list")
+        .when(F.size(products) == 0, "no products")
+        .when(metadata.isNotNull() & ~_is(metadata, "OBJECT"), "metadata is not an object")
+        .otherwise(first)
     )
-    return documents.withColumn("problem", problem).filter("problem is not null")
+    return files.withColumn("problem", problem).filter("problem is not null")
 
 
 def bad_generated_at(metadata: DataFrame, now: Column) -> DataFrame:

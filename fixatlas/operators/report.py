@@ -39,34 +39,26 @@ def fetch_report(issues: DataFrame, fetch_log: DataFrame, products: DataFrame) -
     row too. ``issues`` are the rows of this load only, not of the merged data set. Failures
     count for the total whatever product they name, also one that is in no list.
     """
-    failed = (
-        fetch_log.filter("error is not null")
-        .groupBy("product_id")
-        .agg(F.count("*").alias("failed"))
-    )
-    stats = (
-        version_matrix(issues)
-        .groupBy("product_id")
-        .agg(
-            F.count("*").alias("versions"),
-            F.sum("known").alias("known"),
-            F.sum("addressed").alias("addressed"),
-            F.array_sort(F.collect_list("version")).alias("version_list"),
-        )
-    )
+    none = F.lit(None).cast("string")
+    zero = F.lit(0).cast("bigint")
     counts = ["versions", "known", "addressed", "failed"]
-    per_product = (
-        products.select("product_id").distinct()
-        .join(stats, "product_id", "left")
-        .join(failed, "product_id", "full_outer")
-        .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
-        .withColumn("version_list", F.coalesce("version_list", F.array().cast("array<string>")))
+    # One row for each version, for the failures of each product and for each product asked for.
+    rows = (
+        version_matrix(issues).select("product_id", "version", F.lit(1).cast("bigint").alias("versions"), "known", "addressed", zero.alias("failed"))
+        .unionByName(
+            fetch_log.filter("error is not null").groupBy("product_id").agg(F.count("*").alias("failed"))
+            .select("product_id", none.alias("version"), *[zero.alias(c) for c in counts[:3]], "failed")
+        )
+        .unionByName(products.select("product_id", none.alias("version"), *[zero.alias(c) for c in counts]))
     )
-    total = per_product.agg(*[F.sum(c).alias(c) for c in counts]).select(
-        F.lit(None).cast("string").alias("product_id"), *counts,
-        F.lit(None).cast("array<string>").alias("version_list"),
+    per_product = rows.groupBy("product_id").agg(
+        *[F.sum(c).alias(c) for c in counts], F.array_sort(F.collect_list("version")).alias("version_list")
     )
-    return per_product.select("product_id", *counts, "version_list").unionByName(total)
+    # The total gathers no lists: only the rows of products carry theirs.
+    whole = F.grouping("product_id") == 1
+    return per_product.rollup("product_id").agg(
+        *[F.sum(c).alias(c) for c in counts], F.first("version_list").alias("version_list"), whole.alias("_whole")
+    ).select("product_id", *counts, F.when(~F.col("_whole"), F.col("version_list")).alias("version_list"))
 
 
 def first_n(rows: DataFrame, keys: list[str], item: str, n: int, order: list | None = None):
@@ -90,6 +82,12 @@ def first_n(rows: DataFrame, keys: list[str], item: str, n: int, order: list | N
     )
 
 
+def sample_ids(issues: DataFrame, n: int = fixed.SAMPLE_IDS_SHOWN) -> DataFrame:
+    """First identifiers of each product and version in the order of the issues, and how many more."""
+    ids = issues.groupBy("product_id", "version", "bug_id").agg(F.min(F.struct("page_ordinal", "row_ordinal")).alias("place"))
+    return first_n(ids, ["product_id", "version"], "bug_id", n, [F.col("place"), F.col("bug_id")])
+
+
 def sample_versions(placed: DataFrame, n: int = fixed.VERSIONS_SHOWN) -> DataFrame:
     """Newest versions per product out of `search.versions_newest_first`."""
     return first_n(placed, ["product_id"], "version", n, [F.col("place")])

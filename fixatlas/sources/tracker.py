@@ -51,17 +51,23 @@ def nest_versions(issues: DataFrame, pages_per_part: int = 1000) -> DataFrame:
         return F.transform(rows, lambda r: r["issue"])
 
     part = F.floor(F.col("page_ordinal") / pages_per_part)
+    date = "version_release_date"
+    dates = [F.max(date).alias(date)] if date in issues.columns else []
     return issues.groupBy("product_id", "product_name", "version", part.alias("part")).agg(
-        side("known").alias("known_issues"), side("addressed").alias("addressed_issues")
+        side("known").alias("known_issues"), side("addressed").alias("addressed_issues"), *dates
     )
 
 
 def to_documents(nested: DataFrame) -> DataFrame:
-    """Tracker entries in the document shape: product with a list of versions."""
+    """Tracker entries in the document shape: product with a list of versions.
+
+    A version keeps its date if the issues have a column ``version_release_date``.
+    """
+    date = F.col("version_release_date") if "version_release_date" in nested.columns else F.lit(None).cast("string")
     version = F.struct(
         "version",
         "part",
-        F.lit(None).cast("string").alias("release_date"),
+        date.alias("release_date"),
         "known_issues",
         "addressed_issues",
     )
@@ -78,6 +84,18 @@ def write_tracker(issues: DataFrame, path: str, pages_per_part: int = 1000) -> N
     documents.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+METADATA_SCHEMA = "generated_at string, version string, source string"
+
+
+def write_metadata(metadata: DataFrame, path: str) -> None:
+    """Metadata of a tracker (see ``METADATA_SCHEMA``) as JSON lines beside its products."""
+    metadata.write.mode("overwrite").json(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METADATA_SCHEMA).json(path)
+
+
 def read_tracker(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     return spark.read.schema(PRODUCT_SCHEMA).option("multiLine", multiline).json(path)
 

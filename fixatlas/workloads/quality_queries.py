@@ -44,6 +44,42 @@ def dq_shape(spark, data_dir):
     return quality.shape(documents).select(*KEY, "problem")
 
 
+@query("dq_shape_entries", WITH_FACTS + f"""
+select {KEYS}, case when v3 in (1, 2, 5) then 'not an object' else 'id is not a text' end as problem from facts where v3 in (1, 2, 3, 5)""")
+def dq_shape_entries(spark, data_dir):
+    """Lists, numbers and texts are no objects; an object without fields has no id."""
+    document = F.expr("""case v3 when 1 then concat('[', l_orderkey, ',2]') when 2 then cast(l_orderkey as string)
+      when 3 then '{}' when 5 then '"id"' else concat('{"id":"', product_id, '","name":"","versions":[]}') end""")
+    return quality.shape(facts(spark, data_dir).select(*KEY, document.alias("value"))).select(*KEY, "problem")
+
+
+# A whole file as one document, here one for each row.
+_FILE = f"""case v3 when 7 then '[]' when 6 then '{{"products":{{}}}}' when 5 then '{{"metadata":{{}},"products":[]}}' else
+  concat('{{"metadata":', case when v2 = 1 then '3' when v2 = 2 then '{{"version":"1","host":"x"}}' else '{{"version":"1"}}' end,
+    case when v2 = 3 then ',"extra":0' else '' end, ',"products":[', {_DOCUMENT}, case when v2 = 4 then ',5' else '' end, ']}}') end"""
+
+
+@query("dq_root_shape", WITH_FACTS + f"""
+select {KEYS}, case when v3 = 7 then 'root is not an object' when v3 = 6 then 'products is not a list' when v3 = 5 then 'no products'
+  when v2 = 1 then 'metadata is not an object' when v3 = 4 then 'name is not a text' when v2 = 4 then 'not an object' end as problem
+from facts where v3 >= 4 or v2 in (1, 4)""")
+def dq_root_shape(spark, data_dir):
+    files = facts(spark, data_dir).select(*KEY, F.expr(_FILE).alias("value"))
+    return quality.root_shape(files).select(*KEY, "problem")
+
+
+@query("dq_root_strict", WITH_FACTS + f"""
+select {KEYS}, case v3 when 1 then 'product' when 2 then 'version' when 3 then 'issue' else 'product' end as level,
+  case v3 when 1 then 'undeclared vendor' when 2 then 'undeclared channel' when 3 then 'undeclared severity' else 'missing name' end as problem
+from facts where v3 <= 4
+union all select {KEYS}, 'root', 'undeclared extra' from facts where v3 <= 4 and v2 = 3
+union all select {KEYS}, 'metadata', 'undeclared host' from facts where v3 <= 4 and v2 = 2""")
+def dq_root_strict(spark, data_dir):
+    files = facts(spark, data_dir).filter("v3 <= 4 and v2 <> 4").select(*KEY, F.expr(_FILE).alias("value"))
+    more = facts(spark, data_dir).filter("v3 <= 4 and v2 = 4").select(*KEY, F.expr(f"replace({_FILE}, ',5]', ']')").alias("value"))
+    return quality.strict_root(files.unionByName(more)).select(*KEY, "level", "problem")
+
+
 _CLOCK = "1998-06-01 00:00:00"
 _DAY = """concat(year(o_orderdate), '-', lpad(cast(month(o_orderdate) as string), 2, '0'), '-',
   lpad(cast(day(o_orderdate) as string), 2, '0'), 'T00:00:00Z')"""

@@ -495,6 +495,16 @@ def topn_lists(spark, data_dir):
     return lists.withColumn("items", F.array_join("items", ","))
 
 
+@query("sample_ids", WITH_FACTS + """, s as (
+  select product_id, version, bug_id, min((page_ordinal, row_ordinal)) as place from facts group by all),
+r as (select *, row_number() over (partition by product_id, version order by place, bug_id) as n,
+  count(*) over (partition by product_id, version) as total from s)
+select product_id, version, string_agg(bug_id, ',' order by n) as items, greatest(max(total) - 5, 0) as more
+from r where n <= 5 group by product_id, version""")
+def sample_ids(spark, data_dir):
+    return report.sample_ids(issues(spark, data_dir)).withColumn("items", F.array_join("items", ","))
+
+
 @query("baseline_fingerprint", WITH_FACTS + """
 select product_id, version, count(*) filter (issue_type = 'known') as known,
   count(*) filter (issue_type = 'addressed') as addressed,

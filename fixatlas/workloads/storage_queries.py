@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fixatlas.operators import discovery, report
+from fixatlas.operators import discovery, merge, report
 from fixatlas.sources import sitemap, snapshots, tracker
 from fixatlas.sources.scratch import fresh_folder
 from fixatlas.workloads.derived import (
@@ -86,6 +86,33 @@ def sink_tracker_json(spark, data_dir):
     )
 
 
+@query("tracker_release_dates", WITH_FACTS + """
+select product_id, version, l_orderkey // 1000 as part, max(release_date) as version_release_date, count(*) as n
+from facts group by product_id, version, l_orderkey // 1000""")
+def tracker_release_dates(spark, data_dir):
+    """Dates of versions, written with a tracker and read back."""
+    path = fresh_folder(spark, "tracker")
+    tracker.write_tracker(issues(spark, data_dir).withColumn("version_release_date", F.col("release_date")), path)
+    rows = tracker.flatten_issues(tracker.read_tracker(spark, path))
+    return rows.groupBy("product_id", "version", "part", "version_release_date").agg(F.count("*").alias("n"))
+
+
+@query("tracker_metadata", """
+select '2026-01-02T03:04:05Z' as generated_at, concat('1.', count(*), '.0') as version,
+  concat('orders to ', strftime(max(o_orderdate), '%Y-%m-%d')) as source from orders""")
+def tracker_metadata(spark, data_dir):
+    """Metadata of a held tracker, written, renewed by a merge, written and read again."""
+    held = spark.read.parquet(f"{data_dir}/orders.parquet").agg(
+        F.lit("2025-01-01T00:00:00Z").alias("generated_at"),
+        F.concat(F.lit("1."), F.count("*").cast("string"), F.lit(".0")).alias("version"),
+        F.concat(F.lit("orders to "), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd")).alias("source"),
+    )
+    one, two = fresh_folder(spark, "metadata"), fresh_folder(spark, "metadata")
+    tracker.write_metadata(held, one)
+    tracker.write_metadata(merge.merge_metadata(tracker.read_metadata(spark, one), F.lit("2026-01-02T03:04:05Z")), two)
+    return tracker.read_metadata(spark, two)
+
+
 _LISTED = """select *, l_orderkey // 1000 as part, row_number() over (partition by product_id, version, issue_type,
   l_orderkey // 1000 order by page_ordinal, row_ordinal) - 1 as place from facts"""
 
