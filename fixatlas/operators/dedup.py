@@ -12,10 +12,9 @@ ORDER = ("page_ordinal", "row_ordinal")
 def dedup_issues(issues: DataFrame, scope=SCOPE, order=ORDER) -> DataFrame:
     """First row of each (scope, bug id, release date, text).
 
-    Texts are compared whole, by a digest, so the key stays short.  Spark turns ``row_number() = 1`` into a group limit before the shuffle,
+    Texts are compared whole, behind a short hash that settles almost every comparison.  Spark turns ``row_number() = 1`` into a group limit before the shuffle,
     so many copies of one issue are reduced to one per task where they are read.
     """
-    key = Window.partitionBy(
-        *scope, "bug_id", "release_date", F.sha2(F.coalesce("description", F.lit("")), 256)
-    ).orderBy(*order)
+    text = F.coalesce("description", F.lit(""))
+    key = Window.partitionBy(*scope, "bug_id", "release_date", F.xxhash64(text), text).orderBy(*order)
     return issues.withColumn("_n", F.row_number().over(key)).filter("_n = 1").drop("_n")

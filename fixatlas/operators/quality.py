@@ -215,3 +215,65 @@ def unexpected_majors(seen: DataFrame, expected: DataFrame) -> DataFrame:
             .withColumn("problem", F.lit("not seen"))
         )
     )
+
+
+# Checks of single issues, each with the test that finds an offending row.
+def _row_tests(tolerated: list[str]) -> dict[str, Column]:
+    bug_id, version = strip(F.coalesce("bug_id", F.lit(""))), F.coalesce("version", F.lit(""))
+    return {
+        "id missing": bug_id == "",
+        "id misspelt": (bug_id != "") & ~bug_id.rlike(fixed.BUG_ID_QUALITY),
+        "description blank": strip(F.coalesce("description", F.lit(""))) == "",
+        "version missing": version == "",
+        "version misspelt": (version != "") & ~version.rlike(fixed.VERSION_QUALITY)
+        & ~F.coalesce(F.col("product_id").isin(tolerated), F.lit(False)),
+    }
+
+
+def summary_by_version(
+    issues: DataFrame, products: DataFrame, declared: DataFrame, tolerated: list[str] | None = None
+) -> DataFrame:
+    """One row for each product and version with the counts all checks need, from one scan of each table.
+
+    Rows of ``products`` have no version; those without a name count apart.
+    """
+    tests = _row_tests(fixed.VERSION_TOLERATED if tolerated is None else tolerated)
+    counts = ["issues", *tests, "declared", "products", "nameless"]
+
+    def tagged(rows, version, **values):
+        zero = F.lit(0).cast("bigint")
+        return rows.select("product_id", version.alias("version"), *[values.get(c, zero).cast("bigint").alias(c) for c in counts])
+
+    none, one = F.lit(None).cast("string"), F.lit(1)
+    nameless = (F.coalesce("product_name", F.lit("")) == "").cast("bigint")
+    rows = (
+        tagged(issues, F.col("version"), issues=one, **{c: test.cast("bigint") for c, test in tests.items()})
+        .unionByName(tagged(declared, F.col("version"), declared=one))
+        .unionByName(tagged(products, none, products=one, nameless=nameless))
+    )
+    return rows.groupBy("product_id", "version").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def all_checks(summary: DataFrame) -> DataFrame:
+    """check, product_id, version (null for checks of products), n of everything that is not as it should be.
+
+    ``summary`` is that of ``summary_by_version``, best stored: it is small and read for versions and for products.
+    """
+    def findings(tests):
+        return F.filter(F.array(*[F.struct(F.lit(c).alias("check"), n.alias("n")) for c, n in tests.items()]), lambda f: f["n"] > 0)
+
+    by_version = {c: F.col(f"`{c}`") for c in ("id missing", "id misspelt", "description blank", "version missing", "version misspelt")}
+    by_version["version without issues"] = F.when(F.col("issues") == 0, F.col("declared"))
+    versions = summary.select("product_id", "version", F.explode(findings(by_version)).alias("_f"))
+    held = F.count_if((F.col("issues") > 0) & (F.coalesce("version", F.lit("")) != ""))
+    products = summary.groupBy("product_id").agg(
+        F.sum("products").alias("products"), F.sum("nameless").alias("nameless"), held.alias("held")
+    ).where("products > 0")
+    by_product = {
+        "product without id": F.when(F.coalesce("product_id", F.lit("")) == "", F.col("products")),
+        "product without name": F.col("nameless"),
+        "product without version": F.when(F.col("held") == 0, F.col("products")),
+        "product id used twice": F.when(F.col("products") > 1, F.col("products")),
+    }
+    named = products.select("product_id", F.lit(None).cast("string").alias("version"), F.explode(findings(by_product)).alias("_f"))
+    return versions.unionByName(named).select("_f.check", "product_id", "version", "_f.n")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fixatlas.operators import extract, quality
 from fixatlas.sources.pages import parse_pages
+from fixatlas.sources.scratch import fresh_folder
 from fixatlas.workloads.derived import (
     PAGE_URL_SQL, TABLE_CLOSE, TABLE_OPEN, WITH_FACTS, facts, issues, pages, table,
 )
@@ -80,6 +81,43 @@ def dq_root_strict(spark, data_dir):
     return quality.strict_root(files.unionByName(more)).select(*KEY, "level", "problem")
 
 
+_ALL_SPELT = """select concat('p', l_suppkey % 30) as product_id, case v3 when 1 then 'SaaS' when 3 then '' when 5 then null else version end as version,
+  case v2 when 1 then null when 2 then '  ' when 3 then concat(bug_id, 'Linux') else bug_id end as bug_id,
+  case when v1 = 13 then '' else description end as description from {facts}"""
+_ALL_PRODUCTS = """select case when s_acctbal > 9000 then '' else concat('p', s_nationkey) end as product_id,
+  case when s_acctbal < 0 then '' else s_name end as product_name from {supplier}"""
+_ALL_DECLARED = "select distinct concat('p', l_suppkey % 40) as product_id, version from {facts} where l_returnflag = 'A'"
+
+
+@query("dq_all", WITH_FACTS + f""", i as ({_ALL_SPELT.format(facts='facts')}),
+p as ({_ALL_PRODUCTS.format(supplier='supplier')}), d as ({_ALL_DECLARED.format(facts='facts')}),
+found as (
+  select case when trim(coalesce(bug_id, '')) = '' then 'id missing' end as c, product_id, version from i
+  union all select case when trim(coalesce(bug_id, '')) <> '' and not regexp_matches(bug_id, '^[A-Z][A-Z0-9]*-[0-9]+$') then 'id misspelt' end, product_id, version from i
+  union all select case when description = '' then 'description blank' end, product_id, version from i
+  union all select case when coalesce(version, '') = '' then 'version missing' end, product_id, version from i
+  union all select case when version = 'SaaS' and product_id not in ('p1', 'p2') then 'version misspelt' end, product_id, version from i
+  union all select 'version without issues', product_id, version from d where (product_id, version) not in
+    (select (product_id, version) from i where version is not null)
+  union all select 'product without id', product_id, null from p where product_id = ''
+  union all select 'product without name', product_id, null from p where product_name = ''
+  union all select 'product without version', product_id, null from p
+    where product_id not in (select product_id from i where coalesce(version, '') <> '')
+  union all select 'product id used twice', product_id, null from p
+    where product_id in (select product_id from p group by 1 having count(*) > 1))
+select c as "check", product_id, version, count(*) as n from found where c is not null group by all""")
+def dq_all(spark, data_dir):
+    """All checks of issues, versions and products from one scan of each table."""
+    rows = facts(spark, data_dir)
+    summary = quality.summary_by_version(
+        spark.sql(_ALL_SPELT, facts=rows), spark.sql(_ALL_PRODUCTS, supplier=table(spark, data_dir, "supplier")),
+        spark.sql(_ALL_DECLARED, facts=rows), tolerated=["p1", "p2"],
+    )
+    where = fresh_folder(spark, "quality")
+    summary.toDF(*[c.replace(" ", "_") for c in summary.columns]).write.parquet(where)
+    return quality.all_checks(spark.read.parquet(where).toDF(*summary.columns))
+
+
 _CLOCK = "1998-06-01 00:00:00"
 _DAY = """concat(year(o_orderdate), '-', lpad(cast(month(o_orderdate) as string), 2, '0'), '-',
   lpad(cast(day(o_orderdate) as string), 2, '0'), 'T00:00:00Z')"""
