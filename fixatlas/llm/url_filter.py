@@ -41,13 +41,17 @@ def host_and_path(url) -> tuple:
 
 
 def canonical_rules(rules: DataFrame) -> DataFrame:
-    """rule (host and path as one text), host_labels, path_chars, verdict; one row per rule."""
+    """key, rule (host and path as one text), host_labels, path_chars, verdict; one row per rule.
+
+    In the key a slash parts host and path: no host of a URL holds one, so equal keys have equal hosts.
+    """
     host = F.translate("host", _CAPITALS, _SMALL)
     path = F.coalesce(F.nullif(F.col("path"), F.lit("")), F.lit("/"))
     rows = rules.where("host <> ''").select(host.alias("host"), path.alias("path"), "verdict")
     return (
         rows.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block over allow
         .select(
+            F.concat("host", F.lit("/"), "path").alias("key"),
             F.concat("host", "path").alias("rule"),
             F.size(F.split("host", r"\.")).alias("host_labels"),
             F.length("path").alias("path_chars"),
@@ -95,7 +99,7 @@ def _keys(labels: list[int], lengths: list[int]):
     paths = F.array_compact(
         F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths])
     )
-    return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
+    return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("/"), p)))))
 
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
@@ -117,7 +121,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
     n_blocks = 1
     while n_blocks < MAX_BLOCKS and n_blocks * KEYS_PER_BLOCK < shape.n:
         n_blocks *= 2
-    table = spark.sparkContext.broadcast(bloom_filter(rules.select("rule"), n_blocks))
+    table = spark.sparkContext.broadcast(bloom_filter(rules.select("key"), n_blocks))
 
     @F.pandas_udf("boolean")
     def may_be_listed(block: pd.Series, bits: pd.Series) -> pd.Series:
@@ -126,10 +130,10 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
     # One row for each distinct host and path; their keys, thinned by the filter.
     candidates = (
         named.where("host <> ''").select("host", "path").distinct()
-        .select("host", "path", F.explode(_keys(sorted(shape.labels), sorted(shape.lengths))).alias("rule"))
+        .select("host", "path", F.explode(_keys(sorted(shape.labels), sorted(shape.lengths))).alias("key"))
     )
-    possible = candidates.where(may_be_listed(*_hashes(F.col("rule"))))
-    fitting = possible.join(rules, "rule")
+    possible = candidates.where(may_be_listed(*_hashes(F.col("key"))))
+    fitting = possible.join(rules, "key")
     order = F.struct(F.length("rule").alias("a"), F.col("host_chars").alias("b"), F.col("rule").alias("c"))
     best = fitting.groupBy("host", "path").agg(
         F.max_by(F.struct("rule", "verdict"), order).alias("best")

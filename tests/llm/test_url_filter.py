@@ -67,6 +67,12 @@ def test_false_positives_are_removed(spark, monkeypatch):
         assert (r.host, r.path, r.rule, r.verdict) == slow(r.url, URL_RULES)
 
 
+def test_host_and_path_are_matched_apart(spark):
+    rules = spark.createDataFrame([("a", "b/x", "block"), ("z", "/x", "allow"), ("a/b", "/x", "block")], "host string, path string, verdict string")
+    urls = spark.createDataFrame([("http://ab/x",), ("http://a/b/x",), ("http://z/x",)], "url string")
+    assert {r.url: r.rule for r in judge(urls, rules).collect()} == {"http://ab/x": None, "http://a/b/x": None, "http://z/x": "z/x"}
+
+
 def test_empty_table(spark):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     assert judge(spark.createDataFrame([], "url string"), rules).count() == 0
