@@ -6,9 +6,9 @@ characters, A-Z as small letters. Sets are of 64-bit hashes of the words.
 
 1. Texts with equal sets are one node; everything after works on nodes, which carry their number of rows.
 2. Each node has a signature in every tree of the forest. Two nodes meet in a tree if the
-   first hashes of their signatures agree, as they do at a place of the sorted prefix trie. The matched prefix starts at
-   ``DEEPEST`` hashes and is shortened until a pair at the threshold meets in some tree with
-   the target probability.
+   first hashes of their signatures agree. How many is worked out once, from ``DEEPEST`` down: the longest prefix with
+   which a pair at the threshold meets in some tree with the target probability. Prefixes are compared by
+   equality; no trie is walked.
 3. Nodes that meet, directly or over others, are a candidate group (components of stars,
    not of all pairs).
 4. Within a group all pairs are verified on the whole sets; large groups are cut into
