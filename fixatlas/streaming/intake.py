@@ -2,8 +2,8 @@
 
 `gate_batch` is the one to use for crawls: per micro-batch it is the same anti join as
 the batch gate, all in the JVM, and its state is a table others can read.
-`changed_pages` keeps the state in the stream itself, for small continuous feeds
-where every single change matters; it costs a Python call per URL.
+`changed_pages` keeps the state in the stream itself, keyed by page and with a lifetime for each
+entry, for continuous feeds where every single change matters; it costs a Python call per URL of a batch.
 """
 
 from __future__ import annotations
@@ -27,36 +27,46 @@ def _emit_changed(ttl_ms: int):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        now = int(rows["seen_ms"].max())
-        last = None
-        if state.exists and now - state.get[1] < ttl_ms:
-            last = state.get[0]
-        keep = []
-        for lastmod in rows["lastmod"]:
+        # Plain lists: a page has few captures in a batch, for which frames cost more than the work.
+        rows = sorted(
+            (r for batch in batches for r in zip(batch["seq"].tolist(), batch["seen_ms"].tolist(), batch["lastmod"].tolist())),
+            key=lambda r: r[0],
+        )
+        last, seen = state.get if state.exists else (None, None)
+        changed = []
+        for seq, now, lastmod in rows:
             lastmod = None if pd.isna(lastmod) else lastmod
-            keep.append(lastmod is None or lastmod != last)
-            last = lastmod
-        state.update((last, now))
-        state.setTimeoutTimestamp(now + ttl_ms)
-        yield rows.loc[keep, ["product_id", "url", "lastmod", "seq"]]
+            # A page without an entry, or with one that was not renewed in time, counts as new.
+            if lastmod is None or last != lastmod or now - seen >= ttl_ms:
+                changed.append((*key, lastmod, seq))
+            last, seen = lastmod, now
+        state.update((last, seen))
+        # Never before the watermark, which rows of one batch may have passed already.
+        state.setTimeoutTimestamp(max(seen + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        if changed:
+            yield pd.DataFrame(changed, columns=["product_id", "url", "lastmod", "seq"])
 
     return step
 
 
-def changed_pages(pages: DataFrame, ttl_hours: int = fixed.CACHE_TTL_HOURS) -> DataFrame:
+def changed_pages(
+    pages: DataFrame, ttl_hours: int = fixed.CACHE_TTL_HOURS, seen_at: str | None = None, late: str = "1 hour"
+) -> DataFrame:
     """Pages of a stream whose last-modified text differs from the one seen before.
 
-    State is one text per (product, URL).  An entry not renewed within the lifetime
-    expires, after which the page counts as new; a page without a date always passes.
-    The clock is the arrival of a batch: it never runs behind, so no page is late,
-    and unlike a processing-time timeout it lets an ``availableNow`` run end.
+    State is one text and one time per (product, URL). An entry that is not renewed within the
+    lifetime counts no more, and is removed from the state once the watermark has passed it, so
+    the state holds the pages of one lifetime, not all that were ever seen. A page without a date
+    always passes; captures of a page in one batch are looked at in the order of ``seq``.
+
+    ``seen_at`` names the column with the time of a capture; captures later than ``late`` are
+    dropped by the watermark. Without it the clock is the arrival of a batch: it never runs behind, so
+    no page is late, and unlike a processing-time timeout it lets an ``availableNow`` run end.
     """
-    arrived = pages.select("product_id", "url", "lastmod", "seq").withColumn(
-        "seen_at", F.current_timestamp()
-    )
+    seen = F.current_timestamp() if seen_at is None else F.col(seen_at)
+    arrived = pages.select("product_id", "url", "lastmod", "seq", seen.alias("seen_at"))
     return (
-        arrived.withWatermark("seen_at", "1 hour")
+        arrived.withWatermark("seen_at", late)
         .withColumn("seen_ms", F.unix_millis("seen_at"))
         .groupBy("product_id", "url")
         .applyInPandasWithState(
