@@ -14,14 +14,24 @@ from fixatlas import fixed
 from fixatlas.operators.report import first_n
 
 VERSION = ["product_id", "version"]
+DIGEST = ["n_ids", "bits_1", "bits_2"]
 
 
 def _named(issues: DataFrame) -> DataFrame:
     return issues.filter("product_id <> '' and version <> ''")
 
 
-def fingerprint(issues: DataFrame) -> DataFrame:
-    """Rows of both kinds and the number of distinct identifiers of every version."""
+def _digest() -> list[Column]:
+    named = F.when(F.col("bug_id") != "", F.col("bug_id"))
+    hashes = [F.xxhash64(named), F.xxhash64(F.lit(1), named)]
+    return [F.bit_xor(F.when(named.isNotNull(), h)).alias(c) for h, c in zip(hashes, DIGEST[1:])]
+
+
+def fingerprint(issues: DataFrame, digest: bool = False) -> DataFrame:
+    """Rows of both kinds and the number of distinct identifiers of every version.
+
+    With ``digest`` also 128 bits that stand for the identifiers, from the same pass (see `digests`).
+    """
     by_id = (
         _named(issues)
         .groupBy(*VERSION, "bug_id")
@@ -34,6 +44,7 @@ def fingerprint(issues: DataFrame) -> DataFrame:
         F.sum("known").alias("known"),
         F.sum("addressed").alias("addressed"),
         F.count_if(F.col("bug_id") != "").alias("n_bug_ids"),
+        *(_digest() if digest else []),
     )
 
 
@@ -42,6 +53,30 @@ def bug_ids(issues: DataFrame) -> DataFrame:
     return _named(issues).filter("bug_id <> ''").select(*VERSION, "bug_id").distinct()
 
 
+def digests(ids: DataFrame) -> DataFrame:
+    """One small row for the distinct identifiers of a version: their number and 128 bits, whatever their order.
+
+    The bits are exclusive sums of two hashes of each identifier, so digests of parts of a version
+    that share no identifier are merged by adding the numbers and the exclusive sum of the bits
+    (see `merged_digests`). Versions without identifiers have none.
+    """
+    return ids.filter("bug_id <> ''").groupBy(*VERSION).agg(F.count("*").alias("n_ids"), *_digest())
+
+
+def merged_digests(parts: DataFrame) -> DataFrame:
+    """Digests of whole versions from those of parts without common identifiers."""
+    return parts.groupBy(*VERSION).agg(
+        F.sum("n_ids").alias("n_ids"), F.bit_xor("bits_1").alias("bits_1"), F.bit_xor("bits_2").alias("bits_2")
+    )
+
+
+def changed_versions(before_digests: DataFrame, after_digests: DataFrame) -> DataFrame:
+    """Versions of both snapshots whose identifiers are not the same."""
+    after = after_digests.select(*VERSION, *[F.col(c).alias(f"_{c}") for c in DIGEST])
+    same = [F.col(c) == F.col(f"_{c}") for c in DIGEST]
+    return before_digests.join(after, VERSION).filter(~(same[0] & same[1] & same[2])).select(*VERSION)
+
+
 def ids_by_kind(issues: DataFrame) -> DataFrame:
     return issues.select(*VERSION, "issue_type", "bug_id").distinct()
 
@@ -99,22 +134,37 @@ def count_regressions(compared: DataFrame) -> DataFrame:
     return _exploded(compared, _losses())
 
 
-def missing_ids(before_ids: DataFrame, after_ids: DataFrame) -> DataFrame:
-    """Identifiers gone from versions that still exist."""
-    still = after_ids.select(*VERSION).distinct()
-    return before_ids.join(after_ids, [*VERSION, "bug_id"], "left_anti").join(
-        still, VERSION, "left_semi"
-    )
+def missing_ids(before_ids: DataFrame, after_ids: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Identifiers gone from versions that still exist.
+
+    With ``changed`` (see `changed_versions`) only identifiers of those versions are compared. They are
+    taken out of both snapshots before anything meets: the list of versions goes to the
+    scans if Spark finds it small, and rows of other versions are not shuffled.
+    """
+    if changed is None:
+        still = after_ids.select(*VERSION).distinct()
+        return before_ids.join(after_ids, [*VERSION, "bug_id"], "left_anti").join(
+            still, VERSION, "left_semi"
+        )
+    before_ids, after_ids = (ids.join(changed, VERSION, "left_semi") for ids in (before_ids, after_ids))
+    # A changed version is one of both snapshots, so it still exists.
+    return before_ids.join(after_ids, [*VERSION, "bug_id"], "left_anti")
 
 
-def diff(before: DataFrame, after: DataFrame, before_ids: DataFrame, after_ids: DataFrame):
+def diff(
+    before: DataFrame, after: DataFrame, before_ids: DataFrame, after_ids: DataFrame,
+    before_digests: DataFrame | None = None, after_digests: DataFrame | None = None,
+) -> DataFrame:
     """All deltas between two snapshots in long form.
 
     Versions are only reported for products of both snapshots: a product that is gone
     is one delta, not one per version.  Missing identifiers are a row each (``missing_id``)
     and a count for their version (``missing_ids``); nothing is shortened.  The counts are
-    joined once; a product's versions, not its issues, are looked at together.
+    joined once; a product's versions, not its issues, are looked at together. With the digests
+    of both snapshots identifiers of unchanged versions are left aside.
     """
+    pruned = before_digests is not None and after_digests is not None
+    changed = changed_versions(before_digests, after_digests) if pruned else None
     product = Window.partitionBy("product_id")
     old, new = F.col("before_known").isNotNull(), F.col("after_known").isNotNull()
     compared = compare(before, after).withColumns(
@@ -135,7 +185,7 @@ def diff(before: DataFrame, after: DataFrame, before_ids: DataFrame, after_ids:
             *_losses(),
         ],
     ).withColumn("bug_id", F.lit(None).cast("string"))
-    gone = missing_ids(before_ids, after_ids).rollup("product_id", "version", "bug_id").agg(
+    gone = missing_ids(before_ids, after_ids, changed).rollup("product_id", "version", "bug_id").agg(
         F.count("*").alias("n")
     )
     # Rolled up once: rows of a version and, under it, of each identifier.

@@ -33,9 +33,10 @@ def save_manifest(manifest: DataFrame, seen: DataFrame, new_path: str) -> None:
 
 
 def save_baseline(issues: DataFrame, path: str) -> None:
-    """Counts and identifiers of a data set, stamped with the format version."""
+    """Counts with digests, and identifiers, of each version of a data set, stamped with the format version."""
     stamp = F.lit(fixed.SNAPSHOT_SCHEMA_VERSION).alias("schema_version")
-    baseline.fingerprint(issues).select("*", stamp).write.mode("overwrite").parquet(f"{path}/counts")
+    counts = baseline.fingerprint(issues, digest=True)
+    counts.select("*", stamp).write.mode("overwrite").parquet(f"{path}/counts")
     baseline.bug_ids(issues).select("*", stamp).write.mode("overwrite").parquet(f"{path}/ids")
 
 
@@ -50,4 +51,11 @@ def _checked(df: DataFrame) -> DataFrame:
 
 def load_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Counts and identifiers; reading a baseline of another format fails."""
-    return _checked(spark.read.parquet(f"{path}/counts")), _checked(spark.read.parquet(f"{path}/ids"))
+    counts = _checked(spark.read.parquet(f"{path}/counts")).drop(*baseline.DIGEST)
+    return counts, _checked(spark.read.parquet(f"{path}/ids"))
+
+
+def load_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Digests of the identifiers of each version that has any; they lie with the counts."""
+    counts = _checked(spark.read.parquet(f"{path}/counts")).filter("n_bug_ids > 0")
+    return counts.select(*baseline.VERSION, F.col("n_bug_ids").alias("n_ids"), *baseline.DIGEST[1:])

@@ -9,9 +9,9 @@ from fixatlas.functions import versions as vx
 from fixatlas.operators import baseline, dedup, discovery, merge, releases, report, search
 from fixatlas.plans import cards, catalog
 from fixatlas.sources.scratch import fresh_folder
-from fixatlas.sources.snapshots import load_baseline, save_baseline
+from fixatlas.sources.snapshots import load_baseline, load_digests, save_baseline
 from fixatlas.workloads.derived import (
-    SNAPSHOTS_SQL, WITH_FACTS, facts, issues, snapshots,
+    SNAPSHOTS_SQL, WITH_FACTS, as_issues, facts, issues, snapshots,
 )
 from fixatlas.workloads.registry import EXPECTED, query
 
@@ -552,13 +552,18 @@ deltas as (
 """
 
 
+def _saved(spark, states):
+    """Folders of the stored states."""
+    folders = []
+    for state in states:
+        folders.append(fresh_folder(spark, "baseline"))
+        save_baseline(state, folders[-1])
+    return folders
+
+
 def _snapshot_tables(spark, data_dir):
     """Both states as they are kept: stored counts and identifiers."""
-    kept = []
-    for state in snapshots(spark, data_dir):
-        where = fresh_folder(spark, "baseline")
-        save_baseline(state, where)
-        kept.append(load_baseline(spark, where))
+    kept = [load_baseline(spark, where) for where in _saved(spark, snapshots(spark, data_dir))]
     (before, before_ids), (after, after_ids) = kept
     return before, after, before_ids, after_ids
 
@@ -568,6 +573,24 @@ def baseline_diff(spark, data_dir):
     return baseline.diff(*_snapshot_tables(spark, data_dir))
 
 
+_FEW_CHANGED = WITH_FACTS + """, old as (select * from facts),
+ new as (select * from facts where not (v1 = 16 and v2 = 5 and l_discount > 0.04)),
+ o as (select product_id, version, count(*) filter (issue_type = 'known') as known,
+   count(*) filter (issue_type = 'addressed') as addressed from old group by all),
+ n as (select product_id, version, count(*) filter (issue_type = 'known') as known,
+   count(*) filter (issue_type = 'addressed') as addressed from new group by all)"""
+
+
+@query("baseline_diff_pruned", _FEW_CHANGED + _DELTAS + "select * from deltas")
+def baseline_diff_pruned(spark, data_dir):
+    """The same deltas when few versions changed: digests tell which identifiers have to be compared."""
+    rows = facts(spark, data_dir)
+    after = rows.filter("not (v1 = 16 and v2 = 5 and l_discount > 0.04)")
+    folders = _saved(spark, [as_issues(rows), as_issues(after)])
+    (before, before_ids), (after, after_ids) = (load_baseline(spark, f) for f in folders)
+    return baseline.diff(before, after, before_ids, after_ids, *[load_digests(spark, f) for f in folders])
+
+
 @query("baseline_is_clean", SNAPSHOTS_SQL + _DELTAS + """
 select count(*) = 0 as is_clean, count(*) as n_losses from deltas
 where delta_kind not in ('version_added', 'product_added', 'missing_id')""")

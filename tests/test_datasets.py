@@ -181,6 +181,40 @@ def test_diff_reads_each_snapshot_twice_at_most(spark, make, tmp_path):
     assert plan.count(" parquet") <= 5 and plan.count("FullOuter") == 1
 
 
+def test_digests_do_not_depend_on_order_and_can_be_merged(make):
+    ids = [("p", v, "known", f"{v}-{n}") for v in "123" for n in range(40)]
+    whole = baseline.digests(baseline.bug_ids(make(*ids, ("p", "4", "known", ""))))
+    rows = sorted(tuple(r) for r in whole.collect())
+    again = baseline.digests(baseline.bug_ids(make(*reversed(ids)).repartition(5)))
+    parts = [baseline.digests(baseline.bug_ids(make(*ids[k::3]))) for k in range(3)]
+    merged = baseline.merged_digests(parts[0].union(parts[1]).union(parts[2]))
+    assert len(rows) == 3 and rows == sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in merged.collect())
+    # As many identifiers, one of them another.
+    other = baseline.digests(baseline.bug_ids(make(*ids[:-1], ("p", "3", "known", "3-x"))))
+    assert [tuple(r) for r in baseline.changed_versions(whole, other).collect()] == [("p", "3")]
+
+
+def test_pruned_diff_equals_the_whole_and_leaves_unchanged_versions(spark, make, tmp_path):
+    rows = [("p", str(v), "known", f"A-{n}") for v in range(20) for n in range(v + 1)] + [("p", "none", "known", "")]
+    new = [r for r in rows if r[1] not in ("3", "18") or r[3] != "A-1"] + [("p", "5", "addressed", "B"), ("q", "1", "known", "C")]
+    new = [r if r[:2] != ("p", "7") else ("p", "7", "known", "") for r in new] + [("p", "none", "known", "D")]
+    paths = [str(tmp_path / x) for x in "ab"]
+    for path, part in zip(paths, (rows, new)):
+        snapshots.save_baseline(make(*part), path)
+    (a, ai), (b, bi) = (snapshots.load_baseline(spark, p) for p in paths)
+    da, db = (snapshots.load_digests(spark, p) for p in paths)
+    assert a.columns == ["product_id", "version", "known", "addressed", "n_bug_ids"]
+    assert sorted(map(tuple, da.collect())) == sorted(map(tuple, baseline.digests(ai).collect()))
+    whole, pruned = baseline.diff(a, b, ai, bi), baseline.diff(a, b, ai, bi, da, db)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, pruned.collect()))
+    assert {r.bug_id for r in pruned.filter("delta_kind = 'missing_id'").collect()} == {"A-1"}
+    changed = baseline.changed_versions(da, db)
+    assert sorted(r.version for r in changed.collect()) == ["18", "3", "5"]
+    # Identifiers meet the short list before they are shuffled.
+    plan = baseline.missing_ids(ai, bi, changed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin [product_id") >= 2 and "LeftSemi" in plan
+
+
 def test_parity(make):
     old = make(*[("p", "1", "known", f"A-{n}") for n in range(4)], ("p", "2", "addressed", "A-1"))
     new = make(*[("p", "1", "known", f"A-{n}") for n in range(2)], ("p", "3", "known", "A-1"))
