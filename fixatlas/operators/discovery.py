@@ -21,6 +21,62 @@ def classify_inventory(urls: DataFrame) -> DataFrame:
     )
 
 
+def product_rules(spark: SparkSession, prefixes=None) -> DataFrame:
+    """The fixed product rules as a table ``product_id, fragment, place``."""
+    rows = [(p, f, n) for n, (p, f) in enumerate(prefixes or fixed.PRODUCT_PREFIXES)]
+    return spark.createDataFrame(rows, "product_id string, fragment string, place long")
+
+
+def classify_by_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``url, product_id`` of every distinct URL by a table of rules of any length.
+
+    As `classify_inventory`: the longest fragment that the URL contains, letters aside, says the
+    product; of equal fragments the one with the least ``place`` counts; null where none fits. A
+    fragment has to begin with a slash, else the query fails; null and blank fragments say nothing.
+
+    A fragment is some whole path segments and the begin of the next (often empty). An address is
+    cut at its slashes into the runs of segments that have the shape of some rule, once for each
+    URL, and runs meet rules by equality. The shapes, pairs of two small numbers, are all that is
+    looked up beforehand; the rules stay a table that Spark sends to the URLs if it is small. After
+    the distinct URLs are known they are shuffled no more unless the rules are large.
+    """
+    low = F.lower("fragment")
+    wrong = F.raise_error(F.concat(F.lit("a rule has to begin with a slash: "), "fragment"))
+    ready = (
+        rules.filter("trim(fragment) <> ''")
+        .select(F.when(low.startswith("/"), low).otherwise(wrong).alias("run"), "product_id", "place")
+        .groupBy("run").agg(F.min(F.struct("place", "product_id")).alias("first"))
+        .select(
+            "run", F.col("first.place").alias("place"), F.col("first.product_id").alias("product_id"),
+            (F.size(F.split("run", "/")) - 2).alias("depth"),
+            F.length(F.element_at(F.split("run", "/"), -1)).alias("tail"),
+        )
+    )
+    shapes = sorted(tuple(r) for r in ready.select("depth", "tail").distinct().collect())
+    if not shapes:
+        return urls.select("url").distinct().withColumn("product_id", F.lit(None).cast("string"))
+    shape = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(t).alias("tail")) for d, t in shapes])
+    fitting = F.filter(shape, lambda s: s["depth"] + 2 <= F.size("parts"))
+    runs = (
+        urls.select("url").distinct()
+        .select("url", F.split(F.lower("url"), "/").alias("parts"))
+        .select("url", "parts", F.explode_outer(fitting).alias("shape"))
+        .select("url", "parts", "shape", F.explode_outer(F.expr("sequence(2, size(parts) - shape.depth)")).alias("start"))
+        .selectExpr(
+            "url", "shape.depth as depth",
+            """case when length(parts[start + shape.depth - 1]) >= shape.tail then concat('/',
+              array_join(transform(slice(parts, start, shape.depth), p -> concat(p, '/')), ''),
+              left(parts[start + shape.depth - 1], shape.tail)) end as run""",
+        )
+    )
+    # Runs that met no rule have no rank, and no say.
+    rank = F.when(
+        F.col("place").isNotNull(), F.struct(F.length("run").alias("length"), (-F.col("place")).alias("place"))
+    )
+    met = runs.join(ready.drop("tail"), ["depth", "run"], "left")
+    return met.groupBy("url").agg(F.max_by("product_id", rank).alias("product_id"))
+
+
 def version_pages(
     inventory: DataFrame,
     version: Column | None = None,

@@ -70,6 +70,17 @@ def url_classify(spark, data_dir):
     return rows.select(*KEY, ux.product_of(F.col("url")).alias("product"))
 
 
+@query("url_classify_rules", WITH_FACTS + f"""
+select distinct {_URL_DUCK} as url, {_PRODUCT_DUCK} as product_id from facts""")
+def url_classify_rules(spark, data_dir):
+    """The same by a table of rules, to which every order adds one that fits nowhere."""
+    orders = facts(spark, data_dir).selectExpr(
+        "'none' as product_id", "concat('/', l_orderkey, '/order/part-', l_orderkey) as fragment", "l_orderkey as place"
+    )
+    rules = discovery.product_rules(spark).unionByName(orders.distinct())
+    return discovery.classify_by_rules(stored_inventory(spark, data_dir, "url"), rules)
+
+
 @query("url_issue_pages", WITH_FACTS + f"select {KEYS}, l_tax > 0 as is_issue_page from facts")
 def url_issue_pages(spark, data_dir):
     rows = inventory(spark, data_dir)

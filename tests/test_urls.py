@@ -1,3 +1,5 @@
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from fixatlas.functions import urls as ux
@@ -10,6 +12,42 @@ def test_longest_fragment_wins_and_first_on_a_tie(apply):
     assert apply(fn, ["x/ONE/two/y", "x/one/y", "/ten/six//six/", "/none/"]) == ["b", "a", "c", None]
 
 
+RULES = [
+    ("a", "/one/"), ("b", "/one/two/"), ("c", "/six/"), ("d", "/ten/"), ("e", "/One/Two/"), ("f", "/plug/in-for-x"),
+    ("g", "/plug/in-for"), ("h", "/start"), ("i", "/"), ("j", None), ("k", " "),
+]
+ADDRESSES = [
+    "x/ONE/two/y", "x/one/y", "/ten/six//six/", "/none/", "none", "", None, "https://h/plug/in-for-xyz/k", "/plug/in-fo",
+    "/plug/in-for", "/z/starting", "/six/", "/six", "//", "/one/two", "/one/one/two/ten/", "/" * 60, "/one/" * 40 + "two/",
+]
+
+
+def test_rules_by_join_equal_rules_by_expression(spark):
+    urls = spark.createDataFrame([(u,) for u in ADDRESSES * 3], "url string")
+    for rules in (RULES, [r for r in RULES if r[1] != "/"], [(f"p{n}", f"/s{n}/") for n in range(50)]):
+        told = [r for r in rules if (r[1] or "").strip()]
+        want = {(r.url, r.p) for r in urls.select("url", ux.product_of(F.col("url"), told).alias("p")).collect()}
+        got = [tuple(r) for r in discovery.classify_by_rules(urls, discovery.product_rules(spark, rules)).collect()]
+        assert set(got) == want and len(got) == len(set(ADDRESSES))
+    none = discovery.classify_by_rules(urls, discovery.product_rules(spark, [("x", None)])).collect()
+    assert len(none) == len(set(ADDRESSES)) and all(r.product_id is None for r in none)
+    with pytest.raises(PySparkException, match="begin with a slash"):
+        discovery.classify_by_rules(urls, discovery.product_rules(spark, [("x", "one/")])).collect()
+
+
+def test_urls_are_shuffled_once_with_many_rules(spark, tmp_path):
+    where = str(tmp_path / "urls")
+    spark.range(2000).selectExpr("concat('https://h/a', id, '/b/c') as url").write.parquet(where)
+    rules = spark.range(10_000).selectExpr("concat('p', id) as product_id", "concat('/a', id, '/b') as fragment", "id as place")
+    rules.write.parquet(str(tmp_path / "rules"))
+    found = discovery.classify_by_rules(spark.read.parquet(where), spark.read.parquet(str(tmp_path / "rules")))
+    assert found.filter("product_id = concat('p', regexp_extract(url, 'a([0-9]+)', 1))").count() == 2000
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning(url") == 1 and "BroadcastHashJoin" in final
+
+
 def test_dotted_version(apply):
     assert apply(ux.dotted_version, [
         "/x/pan-os-11-2-3-known-issues", "/app-6-2-8-h9-known-issues", "/azure-plugin-522/known-issues",
