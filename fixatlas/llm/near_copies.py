@@ -5,10 +5,13 @@ The similarity of two texts is the Jaccard similarity of their sets of five word
 characters, A-Z as small letters. Sets are of 64-bit hashes of the words.
 
 1. Texts with equal sets are one node; everything after works on nodes, which carry their number of rows.
-2. Each node has a signature in every tree of the forest. Two nodes meet in a tree if the
-   first hashes of their signatures agree. How many is worked out once, from ``DEEPEST`` down: the longest prefix with
-   which a pair at the threshold meets in some tree with the target probability. Prefixes are compared by
-   equality; no trie is walked.
+2. Each node has a signature of ``DEEPEST`` labels in every tree of the forest, and a tree is the sorted list of
+   its signatures, whose common prefixes are the nodes of a trie. The walk goes through sorted neighbours from whole
+   signatures to shorter prefixes; at each length nodes of one prefix meet, and one of them goes on for all. Trees
+   are shortened one after the other, only until a pair at the threshold meets in
+   some tree with the target probability (`depths`), so some trees stop at longer prefixes than others. Sets of
+   fewer than four are similar to equal sets only and are in no tree. Each task walks its own nodes first; only
+   what is left is dealt out by prefix, so a prefix that very many nodes share is no task's burden.
 3. Nodes that meet, directly or over others, are a candidate group (components of stars,
    not of all pairs).
 4. Within a group all pairs are verified on the whole sets; large groups are cut into
@@ -40,12 +43,18 @@ TREES, DEEPEST = 24, 8
 BLOCK_NODES, BLOCK_BYTES = 2048, 16 << 20
 
 
-def prefix_length(threshold: float, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
-    """The longest prefix with which a pair at the threshold meets with the target probability."""
-    length = deepest
-    while length > 1 and 1 - (1 - threshold**length) ** trees < target:
-        length -= 1
-    return length
+def depths(threshold: float, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> list[int]:
+    """Length of the prefixes that meet in each tree: one tree after the other gives up a label until the
+    forest as a whole finds a pair at the threshold with the target probability."""
+    found = [deepest] * trees
+    while found[-1] > 1 and 1 - np.prod([1 - threshold**d for d in found]) < target:
+        found[found.index(max(found))] -= 1
+    return found
+
+
+def fewest(threshold: float) -> int:
+    """The least size of a set that can be so similar to another one."""
+    return int(np.ceil(threshold / (1 - threshold) - 1e-9)) if threshold < 1 else 2**31 - 1
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,15 +93,15 @@ def _node_ids(sets: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     return out
 
 
-def tree_keys(sets: np.ndarray, bounds: np.ndarray, trees: int, length: int, seed: int = 11) -> np.ndarray:
-    """One 64-bit number for each full set and tree: the first ``length`` hashes of its signature."""
+def signatures(sets: np.ndarray, bounds: np.ndarray, trees: int, seed: int = 11) -> np.ndarray:
+    """For each full set and tree the ``DEEPEST`` labels of 16 bits, most significant byte first."""
     full = np.flatnonzero(np.diff(bounds) > 0)
-    out = np.zeros((len(full), trees), np.uint64)
+    out = np.zeros((len(full), trees, DEEPEST), ">u2")
     if not len(full):
         return out
     rng = np.random.default_rng(seed)
-    factors = rng.integers(1, 2**63, (trees, length), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    offsets = rng.integers(0, 2**64 - 1, (trees, length), dtype=np.uint64)
+    factors = rng.integers(1, 2**63, (trees, DEEPEST), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    offsets = rng.integers(0, 2**64 - 1, (trees, DEEPEST), dtype=np.uint64)
     # A few thousand hashes at a time stay in the processor's cache.
     ends = bounds[1:][full]
     low = 0
@@ -102,30 +111,101 @@ def tree_keys(sets: np.ndarray, bounds: np.ndarray, trees: int, length: int, see
         part = sets[base : ends[high - 1]]
         places = bounds[:-1][full[low:high]] - base
         for t in range(trees):
-            key = np.full(high - low, t, np.uint64)
-            for k in range(length):
+            for k in range(DEEPEST):
                 least = np.minimum.reduceat((part ^ offsets[t, k]) * factors[t, k], places)
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
-            out[low:high, t] = key
+                out[low:high, t, k] = mixed(least) >> np.uint64(48)
         low = high
     return out
 
 
-def _signed(text: str, n: int, trees: int, length: int):
+def walked(tree: np.ndarray, keys: np.ndarray, depth: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Walks tries from whole signatures to the prefixes where their trees stop.
+
+    ``keys`` are two numbers of 64 bits for each signature. Gives the order of the rows in the tries, and in that
+    order pairs of places that meet, each row with the one that goes on for it; and the places of those that are left.
+    """
+    order = np.lexsort((keys[:, 1], keys[:, 0], tree))
+    stop = np.array(depth)[tree[order]]
+    high, low, tree = keys[order, 0], keys[order, 1], tree[order]
+    left, pairs = np.arange(len(order)), []
+    for d in range(DEEPEST, min(depth) - 1, -1):
+        bits = 16 * d
+        high_mask = np.uint64(2**64 - 1 - (2 ** max(64 - bits, 0) - 1))
+        low_mask = np.uint64(0 if bits <= 64 else 2**64 - 1 - (2 ** (128 - bits) - 1))
+        h, m, t = high[left] & high_mask, low[left] & low_mask, tree[left]
+        new = np.ones(len(left), bool)
+        # A tree that has stopped joins no more.
+        new[1:] = (h[1:] != h[:-1]) | (m[1:] != m[:-1]) | (t[1:] != t[:-1]) | (stop[left[1:]] > d)
+        heads = left[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        pairs.append(np.stack([left[~new], heads[~new]]))
+        left = left[new]
+    return order, np.concatenate(pairs, axis=1), left
+
+
+def _walk(depth: list[int], rows: int = 1 << 18):
+    """Edges (u, v) of nodes that meet, and the rows left, as (u, null, tree, key).
+
+    Works block by block; the row left of the last prefix of a block goes into the next block, so sorted
+    partitions are walked as a whole.
+    """
+
+    def block(table: pa.Table, more: bool):
+        table = table.combine_chunks()
+        node, key = table.column("node").chunk(0), table.column("key").chunk(0)
+        tree = table.column("tree").to_numpy()
+        width = np.diff(np.frombuffer(key.buffers()[1], np.int32, len(key) + 1, 4 * key.offset))
+        assert (width == 2 * DEEPEST).all()
+        first = np.frombuffer(key.buffers()[1], np.int32, 1, 4 * key.offset)[0]
+        keys = np.frombuffer(key.buffers()[2], ">u8", 2 * len(key), int(first)).reshape(-1, 2).astype(np.uint64)
+        order, pairs, left = walked(tree, keys, depth)
+        held = None
+        if more and len(left):
+            held, left = table.take(pa.array(order[left[-1:]])), left[:-1]
+        u, v, left = order[pairs[0]], order[pairs[1]], order[left]
+        nothing = pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.binary())
+        met = pa.RecordBatch.from_arrays([node.take(pa.array(u)), node.take(pa.array(v)), *nothing], _MET)
+        rest = pa.RecordBatch.from_arrays(
+            [node.take(pa.array(left)), pa.nulls(len(left), pa.binary()), pa.array(tree[left], pa.int32()), key.take(pa.array(left))],
+            _MET,
+        )
+        return held, met, rest
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).select(["node", "tree", "key"])
+            held = table if held is None else pa.concat_tables([held, table])
+            if len(held) >= rows:
+                held, met, rest = block(held, True)
+                yield met
+                yield rest
+        if held is not None and len(held):
+            yield from block(held, False)[1:]
+
+    return run
+
+
+_MET = ["u", "v", "tree", "key"]
+
+
+def _signed(text: str, n: int, trees: int):
     def run(batches):
         for table in gathered(batches, text, 4 << 20):
             sets, bounds = shingles(*utf8(table.column(text)), n)
             nodes = _node_ids(sets, bounds)
-            keys = tree_keys(sets, bounds, trees, length).view(np.int64)
+            raw = signatures(sets, bounds, trees).tobytes()
+            places = np.arange(0, len(raw) + 1, 2 * DEEPEST, dtype=np.int32)
+            keys = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(raw)])
             has = np.array([x is not None for x in nodes])
             yield pa.RecordBatch.from_arrays(
                 [
                     flat(table.column("doc_id")),
                     flat(table.column("text_hash")),
                     pa.array(nodes, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array((bounds_of(has.astype(np.int64)) * trees).astype(np.int32)), pa.array(keys.reshape(-1))),
+                    pa.ListArray.from_arrays(pa.array((bounds_of(has.astype(np.int64)) * trees).astype(np.int32)), keys),
+                    pa.array(np.diff(bounds), pa.int64()),
                 ],
-                ["doc_id", "text_hash", "node", "keys"],
+                ["doc_id", "text_hash", "node", "keys", "size"],
             )
 
     return run
@@ -261,22 +341,29 @@ def near_copies(
     block_nodes: int = BLOCK_NODES, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row for each document: doc_id, text_hash, class_id (least doc_id of its class), n_links."""
-    length = prefix_length(threshold, trees, target=target)
+    depth = depths(threshold, trees, target=target)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     signed = stored(
-        rows.mapInArrow(_signed("text", words, trees, length), "doc_id long, text_hash long, node binary, keys array<long>"),
+        rows.mapInArrow(_signed("text", words, trees), "doc_id long, text_hash long, node binary, keys array<binary>, size long"),
         "signatures",
     )
     nodes = stored(
         signed.where("node is not null").groupBy("node").agg(
             F.min("doc_id").alias("least"), F.count("*").alias("copies"),
-            F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("keys").alias("keys"),
+            F.min(F.struct("doc_id", "text_hash")).alias("one"), F.any_value("keys").alias("keys"), F.any_value("size").alias("size"),
         ),
         "nodes",
     )
-    places = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    crowded = places.groupBy("tree", "key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    stars = places.join(crowded, ["tree", "key"]).select(F.col("node").alias("u"), F.col("least").alias("v"))
+    n = parts(docs.sparkSession)
+    met = "u binary, v binary, tree int, key binary"
+    places = nodes.where(F.col("size") >= fewest(threshold)).select("node", F.posexplode("keys").alias("tree", "key"))
+    near = stored(places.mapInArrow(_walk(depth), met), "tries")
+    # What the tasks have left, by the prefix where its tree stops, in the order of the tries.
+    left = near.where("v is null").select(F.col("u").alias("node"), "tree", "key")
+    prefix = F.substring("key", F.lit(1), 2 * F.element_at(F.array(*map(F.lit, depth)), F.col("tree") + 1))
+    sorted_tries = left.repartition(n, "tree", prefix).sortWithinPartitions("tree", "key")
+    far = sorted_tries.mapInArrow(_walk(depth), met)
+    stars = near.unionByName(far).where("v is not null").select("u", "v")
     groups = stored(components(stars), "groups")
     # The sets of the nodes that have company, each from one of its texts.
     wanted = nodes.join(groups, "node").select("node", "root", "copies", "one.doc_id", "one.text_hash")
@@ -298,7 +385,6 @@ def near_copies(
             (F.col("own") <= F.col("other")).alias("first"), "node", "copies", "hashes",
         )
     )
-    n = parts(docs.sparkSession)
     cells = placed.repartition(n, "group_no", "i", "j").sortWithinPartitions("group_no", "i", "j", "first", "node")
     checked = stored(cells.mapInArrow(_verified(threshold), "node binary, root binary, links long"), "links")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
@@ -338,7 +424,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 def _first_of_equal(left: DataFrame, several: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    marked = left.join(several, F.expr("doc_id <=> _doc_ and _hash_ = _one_"), "left")
-    # Rows of no class get a number of their own and are not compared.
+    same = F.expr("doc_id <=> _doc_ and _hash_ = _one_")
+    # Only rows that may be several are numbered; the rest is not moved.
     order = Window.partitionBy("doc_id", "_hash_").orderBy(F.lit(0))
-    return marked.withColumn("_n_", F.row_number().over(order)).where("_n_ = 1 or _one_ is null").drop("_doc_", "_one_", "_n_")
+    one = left.join(several, same, "left_semi").withColumn("_n_", F.row_number().over(order)).where("_n_ = 1").drop("_n_")
+    return left.join(several, same, "left_anti").unionByName(one)

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from fixatlas.llm.components import components
-from fixatlas.llm.near_copies import keep_one, linked, near_copies, prefix_length, shingles
+from fixatlas.llm.near_copies import _walk, depths, fewest, keep_one, linked, near_copies, shingles, walked
 from fixatlas.llm.queries import QUERIES
 from fixatlas.llm.ragged import utf8
 
@@ -83,10 +83,62 @@ def test_one_of_each_class_stays(spark):
     assert len(left) == sum(n == 0 for _, _, n in brute(rows)) + len(classes)
 
 
+def missed(found, similarity):
+    return np.prod([1 - similarity**d for d in found])
+
+
 def test_prefixes_are_shortened_to_the_target():
-    assert prefix_length(0.8, 24) == 4 and prefix_length(0.99, 24) == 8 and prefix_length(0.1, 4) == 1
-    length = prefix_length(0.8, 24, target=0.999)
-    assert 1 - (1 - 0.8**length) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (length + 1)) ** 24
+    found = depths(0.8)
+    assert found == [4] * 16 + [5] * 8 and depths(0.99) == [8] * 24 and depths(0.1, 4) == [1] * 4
+    longer = list(found)
+    longer[15] += 1
+    assert missed(found, 0.8) <= 1e-5 < missed(longer, 0.8)
+
+
+def test_least_sizes():
+    for threshold in (0.5, 0.8, 0.9):
+        n = fewest(threshold)
+        assert n / (n + 1) >= threshold - 1e-9 and (n - 1) / n < threshold - 1e-9
+
+
+def test_walk_against_all_prefixes():
+    rng = np.random.default_rng(5)
+    depth = [4, 5, 8]
+    labels = rng.integers(0, 2, (3000, 8))
+    labels[rng.random(3000) < 0.4, :4] = 1  # a prefix that very many share
+    tree = rng.integers(0, 3, 3000)
+    keys = np.frombuffer(labels.astype(">u2").tobytes(), ">u8").reshape(-1, 2).astype(np.uint64)
+    order, pairs, left = walked(tree, keys, depth)
+    root = np.arange(3000)
+    for u, v in order[pairs].T[::-1]:  # heads of shorter prefixes first
+        root[u] = root[v]
+    name = {(t, tuple(x[: depth[t]])): i for i, (t, x) in enumerate(zip(tree.tolist(), labels.tolist()))}
+    want = [name[t, tuple(x[: depth[t]])] for t, x in zip(tree.tolist(), labels.tolist())]
+    assert len(set(zip(root, want))) == len(set(root)) == len(set(want)) == len(left)
+    assert sorted([*order[pairs[0]], *order[left]]) == list(range(3000))
+
+
+def test_sorted_rows_are_walked_in_blocks_as_a_whole():
+    rng = np.random.default_rng(6)
+    depth = [4, 5]
+    rows = sorted((int(t), x.astype(">u2").tobytes()) for t, x in zip(rng.integers(0, 2, 2000), rng.integers(0, 2, (2000, 8))))
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array([b"%d" % k for k in range(i, i + 50)], pa.binary()), pa.array([t for t, _ in rows[i : i + 50]], pa.int32()),
+             pa.array([x for _, x in rows[i : i + 50]], pa.binary())], ["node", "tree", "key"])
+        for i in range(0, 2000, 50)
+    ]
+    out = pa.Table.from_batches(list(_walk(depth, 120)(batches))).to_pylist()
+    root = {r["u"]: r["v"] for r in out if r["v"] is not None}
+    left = {r["u"]: (r["tree"], r["key"]) for r in out if r["v"] is None}
+
+    def end(x):
+        return end(root[x]) if x in root else x
+
+    assert len(root) + len(left) == 2000 and len({(t, k[: 2 * depth[t]]) for t, k in left.values()}) == len(left)
+    for k, (t, key) in enumerate(rows):
+        t2, key2 = left[end(b"%d" % k)]
+        assert t == t2 and key[: 2 * depth[t]] == key2[: 2 * depth[t]]
 
 
 def test_sets_and_links_against_python():
