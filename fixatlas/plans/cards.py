@@ -39,6 +39,11 @@ def placed(issues: DataFrame) -> DataFrame:
     )
 
 
+def shown_at_all(issues: DataFrame) -> DataFrame:
+    """The issues that have a place, to be counted without working it out."""
+    return issues.dropna(subset=["product_id", "version"])
+
+
 def numbered(found: DataFrame) -> DataFrame:
     """Placed rows with the number of their copy, so that no two are alike in ``KEYSET``.
 
@@ -53,7 +58,8 @@ def result_page(issues: DataFrame, page: int = 1, size: int = 50, **facets) -> D
 
     The joins see only the rows of the page, not the whole result.
     """
-    shown = search.page_slice(search.search(placed(issues), **facets), ORDER, page, size)
+    found, counted = (search.search(rows, **facets) for rows in (placed(issues), shown_at_all(issues)))
+    shown = search.page_slice(found, ORDER, page, size, counted=counted)
     cards = releases.also_affected(releases.with_fixes(shown, issues), issues)
     known = F.col("issue_type") == "known"
     return cards.withColumns(

@@ -142,8 +142,10 @@ where contains(lower(concat_ws(' ', bug_id, description, symptoms, workaround, c
 
 @query("paginate", WITH_FACTS + _BOLTS + f" order by {_DOCUMENT_ORDER} limit 50 offset 100")
 def paginate(spark, data_dir):
-    found = search.search(cards.placed(issues(spark, data_dir)), term="bolt")
-    return search.page_slice(found, cards.ORDER, page=3).select(
+    rows = issues(spark, data_dir)
+    found = search.search(cards.placed(rows), term="bolt")
+    counted = search.search(cards.shown_at_all(rows), term="bolt")
+    return search.page_slice(found, cards.ORDER, page=3, counted=counted).select(
         "product_id", "version", "bug_id", *KEY
     )
 

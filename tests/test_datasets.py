@@ -142,6 +142,12 @@ def test_cards(make):
     assert got["addressed"].label == "P 2.0" and not got["addressed"].fix_available
 
 
+def test_a_page_past_the_end_counts_only_issues_with_a_place(make):
+    rows = make(*(("p", "1", "known", f"A-{i}") for i in range(4)), *(("p", None, "known", f"B-{i}") for i in range(3)))
+    assert cards.shown_at_all(rows).count() == cards.placed(rows).count() == 4
+    assert {r.bug_id for r in cards.result_page(rows, page=9, size=2).collect()} == {"A-2", "A-3"}
+
+
 def test_snapshot_diff(make):
     old = make(
         ("gone", "1", "known", "A-1"), ("p", "1", "known", "A-1"), ("p", "1", "known", "A-2"),

@@ -150,3 +150,10 @@ def test_display(apply):
         "a&lt;b&gt; &amp; &#39;c&#39;&#x2F;&quot;d&quot;", "",
     ]
     assert apply(tx.generated_date, ["2026-01-02T03:04:05Z", "no", None]) == ["2026-01-02", "-", None]
+
+
+def test_every_kind_of_white_space_collapses(apply):
+    kinds = [c for c in map(chr, range(0x3100)) if c.isspace()]
+    texts = [f"{a}x{a}{b}y{b}" for a in kinds for b in (" ", "\n", "　")] + ["", " ", "​ a᠎", "a" + "".join(kinds) + "b", None]
+    want = [t if t is None else " ".join(t.split()) for t in texts]
+    assert apply(tx.collapse, texts) == want
