@@ -70,14 +70,16 @@ def page_slice(
 ):
     """Rows of one page in the given order; a page past the end is the last page.
 
-    Counts first, because only the count knows the last page; ``counted`` has as many rows, without what
-    only orders them, where that is cheaper to count.  Planned as a top-k of
+    Pages after the first count first, because only the count knows the last page; ``counted`` has
+    as many rows, without what only orders them, where that is cheaper to count.  Planned as a top-k of
     ``offset + size`` rows, so it suits the pages people look at; to walk a whole
     result use `page_after`, and for any page of a stored set `plans.catalog.open_page`.
     """
     ordered = rows.orderBy(*order)
     if size is None:
         return ordered
+    if page <= 1:
+        return ordered.limit(size)
     pages = -(-(rows if counted is None else counted).count() // size)
     return ordered.offset(max(min(page, pages) - 1, 0) * size).limit(size)
 
