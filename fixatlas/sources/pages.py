@@ -14,6 +14,7 @@ from fixatlas.sources.html_tree import read_page
 # What `parse_pages` can add to a page, as Spark DDL.
 DOCUMENT_PARTS = {
     "title": "string",
+    "raw_title": "string",
     "headings": "array<struct<ord:int,tag:string,fused:string,spaced:string>>",
     "links": "array<struct<ord:int,href:string,text:string>>",
     "tables": (

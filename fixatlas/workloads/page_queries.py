@@ -37,8 +37,9 @@ def _pages(spark, data_dir, row, before="''", after="''", **options):
 @query("page_titles", r"""
 select page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as raw_title from pages""")
 def page_titles(spark, data_dir):
-    parsed = parse_pages(table(spark, data_dir, "pages"), "title")
-    return parsed.select("page_id", "url", F.replace("title", F.lit("&"), F.lit("&amp;")).alias("raw_title"))
+    given = table(spark, data_dir, "pages").select("page_id", "url", "html", F.col("html").isNull().alias("none"))
+    title = F.when(~F.col("none"), F.trim(F.coalesce("raw_title", F.lit(""))))
+    return parse_pages(given, "raw_title").select("page_id", "url", title.alias("raw_title"))
 
 
 @query("page_links", r"""

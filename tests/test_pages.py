@@ -227,3 +227,15 @@ def test_long_pages_with_many_marks(spark):
     start = time.time()
     assert found.filter("version = '5.1'").count() == n
     assert time.time() - start < 60
+
+
+def test_raw_title_is_the_text_as_written(spark):
+    """A title cut inside an entity, or with spaces, does not come back from its decoded text."""
+    from fixatlas.sources.pages import parse_pages
+
+    html = ["<title> a &amp b  &lt; &am</title><p>x", "<!-- <title>no</title> --><TITLE>&amp;</TITLE>", "<p>none", None]
+    given = spark.createDataFrame(list(enumerate(html)), "page_id int, html string")
+    got = {r.page_id: r.raw_title for r in parse_pages(given, "raw_title").collect()}
+    assert got == {0: " a &amp b  &lt; &am", 1: "&amp;", 2: None, 3: None}
+    both = parse_pages(given, "raw_title", "title").filter("page_id = 0").first()
+    assert (both.raw_title, both.title) == (" a &amp b  &lt; &am", "a & b < &am")
