@@ -4,6 +4,7 @@
 the batch gate, all in the JVM, and its state is a table others can read.
 `changed_pages` keeps the state in the stream itself, keyed by page and with a lifetime for each
 entry, for continuous feeds where every single change matters; it costs a Python call per URL of a batch.
+`changes_batch` gives the same changes at the cost of the gate, from entries in a table.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -119,6 +120,71 @@ def gate_batch(path: str, ttl_hours: int = fixed.CACHE_TTL_HOURS, clock=None):
     return step
 
 
+def changes_batch(path: str, ttl_hours: int = fixed.CACHE_TTL_HOURS, seen_at: str = "seen_at"):
+    """``foreachBatch`` step that writes every change of a page, and its last capture as its entry.
+
+    Captures of a page in one batch are looked at in the order of ``seq``, behind the page's
+    newest entry of earlier batches. An entry that was not renewed within the lifetime counts no
+    more: folders are by day, and days that ended a lifetime before the batch are not opened and
+    can be deleted. No capture counts as late. A batch that is run again reads only earlier
+    batches and replaces its own folder.
+    """
+    entries = f"{path}/entries"
+    schema = f"{CHANGED_SCHEMA}, seen_ms bigint, changed boolean, last boolean, batch bigint, day date"
+    page, ttl_ms = ["product_id", "url"], ttl_hours * 3_600_000
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(
+            *page, "lastmod", "seq", F.unix_millis(seen_at).alias("seen_ms"), F.lit(True).alias("new")
+        )
+        first = rows.agg(F.min("seen_ms")).first()[0]
+        if batch_id > 0 and first is not None:
+            alive = first - ttl_ms
+            held = (
+                spark.read.schema(schema).option("basePath", entries).parquet(entries)
+                .filter(
+                    (F.col("batch") < batch_id) & F.col("last") & (F.col("seen_ms") > alive)
+                    & (F.col("day") >= F.to_date(F.timestamp_millis(F.lit(alive))))
+                )
+                .groupBy(*page).agg(F.max(F.struct("batch", "seq", "seen_ms", "lastmod")).alias("_e"))
+                .select(*page, "_e.lastmod", "_e.seq", "_e.seen_ms", F.lit(False).alias("new"))
+            )
+            rows = rows.unionByName(held)
+        order = Window.partitionBy(*page).orderBy("new", "seq")
+        before, then = F.lag("lastmod").over(order), F.lag("seen_ms").over(order)
+        known = F.col("lastmod").isNotNull() & before.eqNullSafe(F.col("lastmod"))
+        out = rows.select(
+            *page, "lastmod", "seq", "seen_ms", "new",
+            (~known | F.coalesce(F.col("seen_ms") - then >= ttl_ms, F.lit(True))).alias("changed"),
+            F.lead("seq").over(order).isNull().alias("last"),
+        )
+        kept = out.filter("new and (changed or last)").drop("new")
+        dated = kept.withColumn("day", F.to_date(F.timestamp_millis("seen_ms")))
+        dated.write.mode("overwrite").partitionBy("day").parquet(f"{entries}/batch={batch_id}")
+
+    return step
+
+
+def run_changes(
+    stream: DataFrame, path: str, checkpoint: str, ttl_hours: int = fixed.CACHE_TTL_HOURS, seen_at: str = "seen_at"
+) -> None:
+    """Processes what is there and stops; output and progress are on shared storage."""
+    query = (
+        stream.writeStream.foreachBatch(changes_batch(path, ttl_hours, seen_at))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def changes(spark: SparkSession, path: str) -> DataFrame:
+    """What `changes_batch` has found."""
+    rows = spark.read.schema(f"{CHANGED_SCHEMA}, changed boolean").parquet(f"{path}/entries")
+    return rows.filter("changed").select("product_id", "url", "lastmod", "seq")
+
+
 def run_gate(
     stream: DataFrame, path: str, checkpoint: str, ttl_hours: int = fixed.CACHE_TTL_HOURS, clock=None
 ) -> None:

@@ -79,7 +79,7 @@ l as (select *, lag(lastmod) over w as before, lag(step) over w as then_
 select product_id, url, lastmod, seq from l
 where lastmod is null or before is null or lastmod <> before or (step = 2 and then_ < 2)""")
 def stream_state_expiry(spark, data_dir):
-    """Every change of a page, in the order of its captures, from state in the stream with a lifetime of 24 h."""
+    """Every change of a page, in the order of its captures, against entries with a lifetime of 24 h."""
     hours = F.element_at(F.array(*map(F.lit, _EXPIRY_HOURS)), F.expr(f"{_STEP} + 1"))
     rows = facts(spark, data_dir).select(
         "product_id", F.expr(PAGE_URL_SQL).alias("url"), F.expr(_LASTMOD).alias("lastmod"),
@@ -87,12 +87,9 @@ def stream_state_expiry(spark, data_dir):
         F.timestamp_seconds(F.lit(int(_EXPIRY_START.timestamp())) + hours * 3600).alias("seen_at"),
         "l_returnflag",
     )
-    out, checkpoint = fresh_folder(spark, "changed"), fresh_folder(spark, "checkpoint")
-    _run_increments(
-        spark, rows,
-        lambda s: intake.run_available(intake.changed_pages(s, 24, "seen_at"), out, checkpoint),
-    )
-    return spark.read.schema(intake.CHANGED_SCHEMA).parquet(out)
+    path, checkpoint = fresh_folder(spark, "changes"), fresh_folder(spark, "checkpoint")
+    _run_increments(spark, rows, lambda s: intake.run_changes(s, path, checkpoint, 24))
+    return intake.changes(spark, path)
 
 
 _MERGED = ["product_id", "version", "issue_type", "bug_id", "page_ordinal", "row_ordinal"]

@@ -54,6 +54,25 @@ def test_state_lives_as_long_as_its_entry(spark, tmp_path):
     assert [r.url for r in left] == ["z"]
 
 
+def test_changes_batch_agrees_with_state_in_the_stream(spark, tmp_path):
+    path = str(tmp_path / "out")
+    timed = PAGES + ", seen_at timestamp"
+    hour = lambda h: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(hours=h)
+    steps = [
+        [("p", "a", "d1", 1, hour(0)), ("p", "b", "d1", 2, hour(0)), ("p", "c", "d1", 3, hour(0)), ("p", "n", None, 4, hour(0))],
+        [("p", "a", "d1", 5, hour(20)), ("p", "b", "d2", 7, hour(20)), ("p", "b", "d1", 6, hour(23)), ("p", "n", None, 8, hour(20))],
+        [("p", "a", "d1", 9, hour(43)), ("p", "b", "d2", 10, hour(44)), ("p", "c", "d1", 11, hour(48)), ("p", "n", "d1", 12, hour(21))],
+        [],
+    ]
+    step = intake.changes_batch(path)
+    for batch, rows in enumerate(steps):
+        for _ in range(2):
+            step(spark.createDataFrame(rows, timed), batch)
+    got = [r.seq for r in intake.changes(spark, path).collect()]
+    # b's entry is that of seq 7, seen at 20: a lifetime before 44.
+    assert sorted(got) == [1, 2, 3, 4, 7, 8, 10, 11, 12]
+
+
 def test_gate_matches_and_can_be_repeated(spark, tmp_path):
     src, path, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
     for rows in STEPS:
