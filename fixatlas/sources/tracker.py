@@ -79,9 +79,9 @@ def to_documents(nested: DataFrame) -> DataFrame:
 
 
 def write_tracker(issues: DataFrame, path: str, pages_per_part: int = 1000) -> None:
-    """JSON lines, nulls left out."""
+    """JSON lines, nulls left out; gzipped, since the same names and texts stand in every line."""
     documents = to_documents(nest_versions(issues, pages_per_part))
-    documents.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+    documents.write.mode("overwrite").options(ignoreNullFields="true", compression="gzip").json(path)
 
 
 METADATA_SCHEMA = "generated_at string, version string, source string"

@@ -376,3 +376,17 @@ def test_pages_cut_inside_ties_lose_no_row(make):
         walked += [r.bug_id for r in page]
         last = list(page[-1])[1:]
     assert sorted(walked) == sorted([f"B-{n}" for n in range(7)] + ["same"] * 4)
+
+
+def test_tracker_is_written_compressed_and_read_back(spark, tmp_path):
+    from fixatlas.sources import tracker
+    from fixatlas.workloads.derived import issues
+
+    path = str(tmp_path / "tracker")
+    rows = issues(spark, "/root/testdata/sf0.001")
+    tracker.write_tracker(rows, path)
+    read = tracker.read_tracker(spark, path)
+    assert all(f.endswith(".json.gz") for f in read.inputFiles())
+    names = ["product_id", "version", "issue_type", "bug_id", "description", "workaround"]
+    got, want = tracker.flatten_issues(read).select(*names), rows.select(*names)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
