@@ -15,6 +15,10 @@ def dedup_issues(issues: DataFrame, scope=SCOPE, order=ORDER) -> DataFrame:
     Texts are compared whole, behind a short hash that settles almost every comparison.  Spark turns ``row_number() = 1`` into a group limit before the shuffle,
     so many copies of one issue are reduced to one per task where they are read.
     """
-    text = F.coalesce("description", F.lit(""))
-    key = Window.partitionBy(*scope, "bug_id", "release_date", F.xxhash64(text), text).orderBy(*order)
-    return issues.withColumn("_n", F.row_number().over(key)).filter("_n = 1").drop("_n")
+    # Without nulls the text is a column that can be compared as it is, not a second one that travels along.
+    rows = issues.withColumns(
+        {"_none": F.col("description").isNull(), "description": F.coalesce("description", F.lit(""))}
+    ).withColumn("_short", F.xxhash64("description"))
+    key = Window.partitionBy(*scope, "bug_id", "release_date", "_short", "description").orderBy(*order)
+    first = rows.withColumn("_n", F.row_number().over(key)).filter("_n = 1")
+    return first.withColumn("description", F.expr("if(_none, null, description)")).select(*issues.columns)

@@ -390,3 +390,15 @@ def test_tracker_is_written_compressed_and_read_back(spark, tmp_path):
     names = ["product_id", "version", "issue_type", "bug_id", "description", "workaround"]
     got, want = tracker.flatten_issues(read).select(*names), rows.select(*names)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_dedup_carries_each_text_once(spark):
+    """Null and empty texts are one issue, the first row's text comes back, and no second text is shuffled."""
+    schema = "product_id string, version string, issue_type string, bug_id string, release_date string, description string, page_ordinal long, row_ordinal long"
+    key = ("p", "1", "known", "A-1", None)
+    rows = spark.createDataFrame([(*key, "", 0, 2), (*key, None, 0, 1), (*key, "x", 1, 1), (*key, "x", 0, 3)], schema)
+    out = dedup.dedup_issues(rows)
+    assert sorted(((r.description, r.row_ordinal) for r in out.collect()), key=str) == [("x", 3), (None, 1)]
+    assert out.columns == rows.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_w0" not in plan and "_w1" not in plan
