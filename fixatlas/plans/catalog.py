@@ -17,6 +17,7 @@ from fixatlas.plans import cards
 
 SLICE_ROWS = 100_000
 _PLACES = 33  # bits of a row's number within its partition
+_CUTS = 14  # bits of a slice's number within its partition
 
 
 def catalog_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -24,16 +25,22 @@ def catalog_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_catalog(issues: DataFrame, path: str, slice_rows: int = SLICE_ROWS) -> None:
-    """Stores ``issues``; a slice holds about ``slice_rows`` rows however many are equal."""
+    """Stores ``issues``; a slice holds at most ``slice_rows`` rows however many are equal.
+
+    Small slices are cut from sorted partitions of ``SLICE_ROWS`` rows: a partition for each would have the
+    driver sample rows for every one of them, and take a report from every task.
+    """
     spark = issues.sparkSession
-    slices = max(-(-issues.count() // slice_rows), 1)
+    parts = max(-(-issues.count() // max(slice_rows, SLICE_ROWS)), 1)
     rows = cards.placed(issues).withColumn("search_text", search.search_text(issues))
     # The number of the row as it is read parts equal rows, which no sort key can.
-    dealt = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(slices, *cards.ORDER, "_at")
+    dealt = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(parts, *cards.ORDER, "_at")
     ordered = dealt.sortWithinPartitions(*cards.ORDER).drop("_at").withColumn("_at", F.monotonically_increasing_id())
+    number = F.col("_at").bitwiseAND((1 << _PLACES) - 1)
+    cut = F.floor(number / slice_rows)
     rows = ordered.select(
-        *issues.columns, "search_text", F.col("_at").bitwiseAND((1 << _PLACES) - 1).alias("place"),
-        F.shiftright("_at", _PLACES).cast("int").alias("slice"),
+        *issues.columns, "search_text", (number % slice_rows).alias("place"),
+        (F.shiftleft(F.shiftright("_at", _PLACES), _CUTS) + cut).cast("int").alias("slice"),
     )
     rows.write.partitionBy("slice").parquet(f"{path}/rows")
     # An empty table for the columns: without rows there is no slice to read them from.
@@ -48,7 +55,7 @@ def write_catalog(issues: DataFrame, path: str, slice_rows: int = SLICE_ROWS) ->
     text = F.col("search_text")
     threes = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, 3))
     triples = stored.where(F.length(text) >= 3).select("slice", F.explode(F.array_distinct(threes)).alias("triple")).distinct()
-    spread = triples.repartitionByRange(slices, "triple", "slice").sortWithinPartitions("triple", "slice")
+    spread = triples.repartitionByRange(parts, "triple", "slice").sortWithinPartitions("triple", "slice")
     spread.write.parquet(f"{path}/triples")
 
 

@@ -67,3 +67,12 @@ def test_an_empty_catalog(spark, rows, tmp_path):
     catalog.write_catalog(rows.limit(0), where)
     assert catalog.open_page(spark, where, 3).count() == 0
     assert catalog.search_catalog(spark, where, "anything").count() == 0
+
+
+def test_small_slices_share_a_partition(spark, rows, path):
+    """At most the wanted rows in a slice, in far fewer files of triples and sorted partitions than slices."""
+    slices = spark.read.parquet(f"{path}/slices").orderBy("slice").collect()
+    assert sum(s.n for s in slices) == rows.count() and max(s.n for s in slices) <= 400
+    assert len({s.slice >> catalog._CUTS for s in slices}) == 1 < len(slices)
+    assert [s.first for s in slices] == [sum(t.n for t in slices[:i]) for i in range(len(slices))]
+    assert len(spark.read.parquet(f"{path}/triples").inputFiles()) == 1
