@@ -210,6 +210,12 @@ def issue_tables(pages: DataFrame) -> DataFrame:
     return clean_rows(explode_rows(pages, table_rows(F.col("tables")), *_PARTS))
 
 
+def without_issue_tables(pages: DataFrame) -> DataFrame:
+    """Parsed pages whose tables give no issue: a test on the page's own arrays, no text is cleaned."""
+    has_issue = F.exists(table_rows(F.col("tables")), lambda r: F.size(_valid_ids(r)) > 0)
+    return pages.filter(~F.coalesce(has_issue, F.lit(False))).drop("tables")
+
+
 # --- topics ---------------------------------------------------------------------------
 
 

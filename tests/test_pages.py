@@ -239,3 +239,20 @@ def test_raw_title_is_the_text_as_written(spark):
     assert got == {0: " a &amp b  &lt; &am", 1: "&amp;", 2: None, 3: None}
     both = parse_pages(given, "raw_title", "title").filter("page_id = 0").first()
     assert (both.raw_title, both.title) == (" a &amp b  &lt; &am", "a & b < &am")
+
+
+def test_pages_without_issues_take_one_pass(spark):
+    """The pages of the anti join, without cleaning texts or reading pages twice."""
+    from fixatlas.operators import quality
+
+    html = [
+        table(("PAN-1", "a")), table(("None", "b")), table(("None", "b"), ("PAN-2 and PAN-3", "c")), "<p>no table",
+        table(("PAN-4", "d"), head="<tr><th>Feature</th></tr>"), table(), None,
+    ]
+    given = spark.createDataFrame([(str(i), h) for i, h in enumerate(html)], "url string, html string")
+    parsed = parse_pages(given, "tables")
+    out = extract.without_issue_tables(parsed)
+    old = quality.pages_without_issues(given.select("url"), extract.issue_tables(parsed))
+    assert {r.url for r in out.collect()} == {r.url for r in old.collect()} == {"1", "3", "4", "5", "6"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
