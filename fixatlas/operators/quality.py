@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixatlas import fixed
-from fixatlas.functions.text import strip
+from fixatlas.functions.text import let, strip
 
 # Declared fields of a tracker document, required ones first.
 ROOT_FIELDS = ["metadata", "products"]
@@ -19,8 +19,28 @@ ISSUE_FIELDS = [
 ]
 
 
-def _problems(doc: Column, declared: list[str], required: list[str]) -> Column:
-    keys = F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>"))  # what is no object has no fields
+def _opened(doc: Column, *fields: str) -> Column:
+    """``struct(keys, <field>, ..)`` of a document: its field names, and the text of some of its fields.
+
+    One pass over the text. It is searched for a field only if it can't be read to its end, or holds
+    the field as null, which may come again.
+    """
+    def read(x):
+        keys = F.when(x["map"].isNotNull(), F.map_keys(x["map"])).otherwise(
+            F.coalesce(F.json_object_keys(x["doc"]), _none())  # what is no object has no fields
+        )
+
+        def text(f):
+            again = x["map"].isNull() | F.map_contains_key(x["map"], f)
+            found = F.try_element_at(x["map"], F.lit(f))
+            return F.coalesce(found, F.when(again, F.get_json_object(x["doc"], f"$.{f}")))
+
+        return F.struct(keys.alias("keys"), *[text(f).alias(f) for f in fields])
+
+    return let(F.struct(doc.alias("doc"), F.from_json(doc, "map<string,string>").alias("map")), read)
+
+
+def _problems(keys: Column, declared: list[str], required: list[str]) -> Column:
     allowed, needed = (F.array(*[F.lit(f) for f in x]) for x in (declared, required))
     return F.concat(
         F.transform(F.array_except(keys, allowed), lambda k: F.concat(F.lit("undeclared "), k)),
@@ -28,9 +48,9 @@ def _problems(doc: Column, declared: list[str], required: list[str]) -> Column:
     )
 
 
-def _items(doc: Column, field: str) -> Column:
+def _members(listed: Column) -> Column:
     """Members of a JSON list, each still as JSON text."""
-    return F.from_json(F.get_json_object(doc, f"$.{field}"), "array<string>")
+    return F.coalesce(F.from_json(listed, "array<string>"), _none())
 
 
 def _none() -> Column:
@@ -42,19 +62,31 @@ def _found(level: str, problems: Column) -> Column:
 
 
 def _of_product(product: Column) -> Column:
-    """Problems of a product document and of all in it, as one array."""
-    versions = F.coalesce(_items(product, "versions"), _none())
+    """Problems of a product document and of all in it, as one array; every text is read once."""
+    lists = ("known_issues", "addressed_issues")
 
-    def issues(v):
-        return F.concat(*[F.coalesce(_items(v, f), _none()) for f in ("known_issues", "addressed_issues")])
+    def of_issue(i):
+        return _found("issue", _problems(_opened(i)["keys"], ISSUE_FIELDS, ["bug_id", "description"]))
 
-    return F.concat(
-        _found("product", _problems(product, PRODUCT_FIELDS, ["id", "name"])),
-        F.flatten(F.transform(versions, lambda v: _found("version", _problems(v, VERSION_FIELDS, ["version"])))),
-        F.flatten(F.flatten(F.transform(versions, lambda v: F.transform(
-            issues(v), lambda i: _found("issue", _problems(i, ISSUE_FIELDS, ["bug_id", "description"]))
-        )))),
-    )
+    def of_version(v):
+        return F.struct(
+            _found("version", _problems(v["keys"], VERSION_FIELDS, ["version"])).alias("own"),
+            F.flatten(F.transform(F.concat(*[_members(v[f]) for f in lists]), of_issue)).alias("issues"),
+        )
+
+    def of_product(p):
+        return F.struct(
+            _found("product", _problems(p["keys"], PRODUCT_FIELDS, ["id", "name"])).alias("own"),
+            F.transform(
+                _members(p["versions"]), lambda v: let(_opened(v, *lists), of_version)
+            ).alias("versions"),
+        )
+
+    return let(let(_opened(product, "versions"), of_product), lambda p: F.concat(
+        p["own"],
+        F.flatten(F.transform(p["versions"], lambda v: v["own"])),
+        F.flatten(F.transform(p["versions"], lambda v: v["issues"])),
+    ))
 
 
 def strict_schema(documents: DataFrame, doc: str = "value") -> DataFrame:
@@ -66,20 +98,21 @@ def strict_schema(documents: DataFrame, doc: str = "value") -> DataFrame:
 
 def strict_root(files: DataFrame, doc: str = "value") -> DataFrame:
     """Undeclared and missing fields of whole-file documents, of their metadata and of their products."""
-    whole = F.col(doc)
-    metadata = F.get_json_object(whole, "$.metadata")
-    top = F.concat(
-        _found("root", _problems(whole, ROOT_FIELDS, ["products"])),
-        F.when(metadata.isNotNull(), _found("metadata", _problems(metadata, METADATA_FIELDS, []))).otherwise(_found("metadata", _none())),
-        F.flatten(F.transform(F.coalesce(_items(whole, "products"), _none()), _of_product)),
-    )
+    def problems(x):
+        metadata = _found("metadata", _problems(_opened(x["metadata"])["keys"], METADATA_FIELDS, []))
+        return F.concat(
+            _found("root", _problems(x["keys"], ROOT_FIELDS, ["products"])),
+            F.when(x["metadata"].isNotNull(), metadata).otherwise(_found("metadata", _none())),
+            F.flatten(F.transform(_members(x["products"]), _of_product)),
+        )
+
+    top = let(_opened(F.col(doc), "metadata", "products"), problems)
     kept = [c for c in files.columns if c != doc]
     return files.select(*kept, F.explode(top).alias("_f")).select(*kept, "_f.*")
 
 
-def _kind(doc: Column, field: str | None = None) -> Column:
-    """OBJECT, ARRAY, STRING, ... of a document or a field of it; null if unreadable or absent."""
-    parsed = F.try_parse_json(doc)
+def _kind(parsed: Column, field: str | None = None) -> Column:
+    """OBJECT, ARRAY, STRING, ... of a parsed document or a field of it; null if unreadable or absent."""
     value = parsed if field is None else F.try_variant_get(parsed, f"$.{field}", "variant")
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
@@ -89,17 +122,26 @@ def _is(kind: Column, *names: str) -> Column:
 
 
 def _product_problem(doc: Column) -> Column:
-    return (
-        F.when(~_is(_kind(doc), "OBJECT"), "not an object")
-        .when(~_is(_kind(doc, "id"), "STRING"), "id is not a text")
-        .when(~_is(_kind(doc, "name"), "STRING"), "name is not a text")
-        .when(~_is(_kind(doc, "versions"), "ARRAY"), "versions is not a list")
-    )
+    return let(F.try_parse_json(doc), lambda p: (
+        F.when(~_is(_kind(p), "OBJECT"), "not an object")
+        .when(~_is(_kind(p, "id"), "STRING"), "id is not a text")
+        .when(~_is(_kind(p, "name"), "STRING"), "name is not a text")
+        .when(~_is(_kind(p, "versions"), "ARRAY"), "versions is not a list")
+    ))
+
+
+def _with_problem(documents: DataFrame, problem: Column) -> DataFrame:
+    """Rows that have a problem.
+
+    Exploded and not filtered: a filter would be pushed below the column and test each document by
+    building and reading it once more.
+    """
+    return documents.select("*", F.explode(F.array_compact(F.array(problem))).alias("problem"))
 
 
 def shape(documents: DataFrame, doc: str = "value") -> DataFrame:
     """Products that are no object, or whose id or name is not a text or whose versions are not a list."""
-    return documents.withColumn("problem", _product_problem(F.col(doc))).filter("problem is not null")
+    return _with_problem(documents, _product_problem(F.col(doc)))
 
 
 def root_shape(files: DataFrame, doc: str = "value") -> DataFrame:
@@ -107,18 +149,25 @@ def root_shape(files: DataFrame, doc: str = "value") -> DataFrame:
 
     The metadata has to be an object, if there is one, and the list of products must not be empty.
     """
-    whole = F.col(doc)
-    products = F.coalesce(_items(whole, "products"), _none())
-    metadata = _kind(whole, "metadata")
-    first = F.get(F.array_compact(F.transform(products, _product_problem)), F.lit(0))
-    problem = (
-        F.when(~_is(_kind(whole), "OBJECT"), "root is not an object")
-        .when(~_is(_kind(whole, "products"), "ARRAY"), "products is not a list")
-        .when(F.size(products) == 0, "no products")
-        .when(metadata.isNotNull() & ~_is(metadata, "OBJECT"), "metadata is not an object")
-        .otherwise(first)
-    )
-    return files.withColumn("problem", problem).filter("problem is not null")
+    def problem(x):
+        first = F.get(F.array_compact(F.transform(x["products"], _product_problem)), F.lit(0))
+        return (
+            F.when(~_is(x["root"], "OBJECT"), "root is not an object")
+            .when(~_is(x["list"], "ARRAY"), "products is not a list")
+            .when(F.size(x["products"]) == 0, "no products")
+            .when(x["metadata"].isNotNull() & ~_is(x["metadata"], "OBJECT"), "metadata is not an object")
+            .otherwise(first)
+        )
+
+    def kinds(p):
+        return F.struct(
+            _kind(p).alias("root"),
+            _kind(p, "products").alias("list"),
+            _kind(p, "metadata").alias("metadata"),
+            _members(F.get_json_object(doc, "$.products")).alias("products"),
+        )
+
+    return _with_problem(files, let(let(F.try_parse_json(doc), kinds), problem))
 
 
 def bad_generated_at(metadata: DataFrame, now: Column) -> DataFrame:
