@@ -1,8 +1,11 @@
 """How often texts are read: each of these counts was higher when a text was read once for each use."""
 
+import sys
+
 from pyspark.sql import functions as F
 
 from fixatlas.operators import quality
+from fixatlas.sources.html_tree import read_page
 
 
 def plan(df):
@@ -28,3 +31,20 @@ def test_a_null_field_that_comes_again_is_still_found(spark):
     rows = [('{"metadata":null,"products":[],"metadata":{"host":1}}',)]
     df = quality.strict_root(spark.createDataFrame(rows, "value string"))
     assert [r.problem for r in df.collect()] == ["undeclared host"]
+
+
+def test_reading_a_page_takes_few_calls_for_each_cell():
+    row = "<tr><td>A-1</td><td>text <i>and</i> more</td></tr>"
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        page = read_page(f"<table>{row * 200}</table>", ("tables",))
+    finally:
+        sys.setprofile(None)
+    assert [c["spaced"] for c in page["tables"][0]["rows"][199]["cells"]] == ["A-1", "text and more"]
+    assert calls < 200 * 80
