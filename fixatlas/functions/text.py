@@ -61,32 +61,46 @@ def _cut(around: Column) -> Column:
     return collapse(F.array_join(around, " "))
 
 
-# A word starts where no letter, digit or underscore stands before it.
+# A word starts where no letter, digit or underscore stands before it. Its first letter is tried
+# before that: most places of a text fail on it at once.
 _WORKAROUND = (
-    rf"(?is)(?<![\p{{L}}\p{{N}}_])workaround{_S}*:{_S}*(.+?)(?=\n(?:[A-Z][a-z]+{_S}*:|$)|$)"
+    rf"(?is)(?=w)(?<![\p{{L}}\p{{N}}_])workaround{_S}*:{_S}*(.+?)(?=\n(?:[A-Z][a-z]+{_S}*:|$)|$)"
 )
 _FIX_SENTENCE = (
-    rf"(?id)(?<![\p{{L}}\p{{N}}_])this{_S}+issue{_S}+is{_S}+resolved{_S}+in{_S}+(.+?)(?:\.(?:{_S}|$)|$)"
+    rf"(?id)(?=t)(?<![\p{{L}}\p{{N}}_])this{_S}+issue{_S}+is{_S}+resolved{_S}+in{_S}+(.+?)(?:\.(?:{_S}|$)|$)"
 )
 _FIX_WHOLE = rf"(?id)^This{_S}+issue{_S}+is{_S}+resolved{_S}+in{_S}+(.+?)\.?$"
 
 
+# Fixed value: a character of private use, put around what a match captures.
+_MARK = "\ue000"
+
+
 def _cut_at(text: Column, pattern: str) -> Column:
-    """The text around the first match as an array, and what the match captures."""
+    """The text around the first match as an array, and what the match captures.
+
+    One search writes marks into the text and the marks cut it; a text that holds the mark itself
+    is searched once for each piece.
+    """
     whole = f"(?s:^(.*?)){pattern}"
 
-    def parts(m):
+    def result(before, found, after):
+        return F.struct(F.array(before, after).alias("around"), found.alias("found"))
+
+    def by_marks(p):
+        return F.when(F.size(p) == 3, result(p[0], p[1], p[2]))
+
+    def by_searches(m):
         after = F.substring(text, F.length(m["upto"]) + 1, F.length(text))
-        return F.struct(F.array(m["before"], after).alias("around"), m["found"].alias("found"))
+        return result(m["before"], m["found"], after)
 
-    return let(
-        F.struct(
-            F.regexp_extract(text, whole, 0).alias("upto"),
-            F.regexp_extract(text, whole, 1).alias("before"),
-            F.regexp_extract(text, whole, 2).alias("found"),
-        ),
-        parts,
+    marked = F.split(F.regexp_replace(text, whole, f"$1{_MARK}$2{_MARK}"), _MARK, 3)
+    searched = F.struct(
+        F.regexp_extract(text, whole, 0).alias("upto"),
+        F.regexp_extract(text, whole, 1).alias("before"),
+        F.regexp_extract(text, whole, 2).alias("found"),
     )
+    return F.when(text.contains(_MARK), let(searched, by_searches)).otherwise(let(marked, by_marks))
 
 
 def split_workaround(description: Column) -> Column:
@@ -109,7 +123,7 @@ def split_workaround(description: Column) -> Column:
 
     return let(
         description,
-        lambda text: F.when(F.lower(text).contains("workaround"), rebuild(text)).otherwise(
+        lambda text: F.when(text.rlike("(?i)workaround"), rebuild(text)).otherwise(
             unchanged(text)
         ),
     )
@@ -146,7 +160,7 @@ def split_fix_info(description: Column, known_fix: Column | None = None) -> Colu
         text, known = x["text"], blank_to_null(x["known"])
         return (
             F.when(known.isNotNull(), result(text, reword(known)))
-            .when(F.lower(text).contains("resolved"), rebuild(text))
+            .when(text.rlike("(?i)resolved"), rebuild(text))
             .otherwise(result(text, null))
         )
 
@@ -176,17 +190,18 @@ def split_components(description: Column) -> Column:
         return F.struct(text.alias("description"), names.alias("affected_components"))
 
     def peel(text):
+        def parts(x):
+            names = F.transform(F.regexp_extract_all(x["head"], F.lit(r"\(([^)]+)\)"), 1), strip)
+            rest = F.substring(x["text"], F.length(x["head"]) + 1, F.length(x["text"]))
+            return result(strip(rest), F.filter(names, lambda n: n != ""))
+
         head = F.regexp_extract(text, _LEADING_GROUPS, 1)
-        names = F.transform(F.regexp_extract_all(head, F.lit(r"\(([^)]+)\)"), 1), strip)
-        return result(
-            strip(F.regexp_replace(text, _LEADING_GROUPS, "")),
-            F.filter(names, lambda x: x != ""),
-        )
+        return let(F.struct(text.alias("text"), head.alias("head")), parts)
 
     def choose(text):
         unchanged = result(text, F.lit(None).cast("array<string>"))
         peeled = let(
-            peel(strip(text)),
+            let(strip(text), peel),
             lambda c: F.when(F.size(c["affected_components"]) > 0, c).otherwise(unchanged),
         )
         return F.when(text.contains("("), peeled).otherwise(unchanged)

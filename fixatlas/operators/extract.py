@@ -145,11 +145,17 @@ def headerless_rows(tables: Column) -> Column:
 
 
 def _valid_ids(row: Column) -> Column:
-    """Cleaned identifiers of a raw row that pass validation, with their trailing fix text."""
-    return F.filter(
+    """Cleaned identifiers of a raw row that pass validation, with their trailing fix text.
+
+    A cell that is one identifier and nothing else, as most are, is taken as it is.
+    """
+    alone = (F.size(row["id_parts"]) == 0) & row["id"].rlike(r"\A[A-Z]+-\d+\z")
+    own = F.array(F.struct(row["id"].alias("bug_id"), F.lit(None).cast("string").alias("fix_info")))
+    split = F.filter(
         F.transform(tx.split_id_cell(row["id"], row["id_parts"]), tx.split_bug_id),
         lambda i: i["bug_id"].rlike(fixed.BUG_ID_VALID),
     )
+    return F.when(alone, own).otherwise(split)
 
 
 def clean_text(df: DataFrame, fix_info: Column | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from fixatlas.functions import text as tx
 from fixatlas.operators import quality
 from fixatlas.sources.html_tree import read_page
 
@@ -48,3 +49,10 @@ def test_reading_a_page_takes_few_calls_for_each_cell():
         sys.setprofile(None)
     assert [c["spaced"] for c in page["tables"][0]["rows"][199]["cells"]] == ["A-1", "text and more"]
     assert calls < 200 * 80
+
+
+def test_cutting_a_text_searches_it_once(spark):
+    texts = ["keep this Workaround: do it", "a  Workaround: b", "none", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(tx.split_workaround(F.col("text")).alias("w"))
+    assert plan(df).count("lower(") == 0 and plan(df).count("regexp_replace(") > 0
+    assert [tuple(r.w) for r in df.collect()] == [("keep this", "do it"), ("a ", "b"), ("none", None), (None, None)]
