@@ -87,13 +87,14 @@ def version_pages(
     url = F.col("url")
     version = ux.dotted_version(url) if version is None else version
     kinds = ux.page_kinds(url) if kinds is None else kinds
-    pages = inventory.select(
+    # Exploded and not filtered: a filter would be pushed below the column and work it out twice.
+    pages = inventory.select("*", F.explode(F.array_compact(F.array(version))).alias("_version")).select(
         "product_id",
-        version.alias("version"),
+        F.col("_version").alias("version"),
         F.explode(kinds).alias("kind"),
         ux.relative_path(url).alias("path"),
         F.col(order).alias("ordinal"),
-    ).filter("version is not null")
+    )
     return pages.groupBy("product_id", "version", "kind", "path").agg(
         F.min("ordinal").alias("ordinal")
     )

@@ -5,7 +5,7 @@ import sys
 from pyspark.sql import functions as F
 
 from fixatlas.functions import text as tx
-from fixatlas.operators import quality
+from fixatlas.operators import discovery, quality
 from fixatlas.sources.html_tree import read_page
 
 
@@ -56,3 +56,10 @@ def test_cutting_a_text_searches_it_once(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").select(tx.split_workaround(F.col("text")).alias("w"))
     assert plan(df).count("lower(") == 0 and plan(df).count("regexp_replace(") > 0
     assert [tuple(r.w) for r in df.collect()] == [("keep this", "do it"), ("a ", "b"), ("none", None), (None, None)]
+
+
+def test_version_of_a_page_is_worked_out_once(spark):
+    urls = spark.createDataFrame([("p", "/a/known-issues", 1), ("p", None, 2)], "product_id string, url string, ordinal long")
+    df = discovery.version_pages(urls, version=F.regexp_extract("url", "(known)", 1), kinds=F.array(F.lit("known")))
+    assert plan(df).count("(known)") == 1
+    assert [r.version for r in df.collect()] == ["known"]
