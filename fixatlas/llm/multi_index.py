@@ -2,9 +2,10 @@
 
 Vectors are cut in two halves, each quantised by its own centroids; a cell is a pair of
 centroids. A query walks the cells in the order of the summed inner products of its halves
-with theirs (a heap over the two sorted lists of centroids), until the cells it has passed hold
-``share`` of the entries, and of the distinct ids other than its own. The entries of those cells are
-reranked by the inner product of the whole vectors in double precision. Rows of equal id and vector
+with theirs, until the cells it has passed hold ``share`` of the entries, and of the distinct ids
+other than its own (so many cells that one sort of their sums is cheaper than a heap over the two sorted
+lists of centroids). The entries of those cells, and no others, are scored, a cell at a time for all queries of a
+block that pass it, and the best are reranked by the inner product of the whole vectors in double precision. Rows of equal id and vector
 are one entry; of the entries of one id the best counts, before anything is cut at rank ``k``.
 
 Only the centroids come from a sample (``SAMPLE`` vectors at most, by the order of a hash);
@@ -21,14 +22,12 @@ than ``k`` candidates, all are returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixatlas.llm.ragged import bounds_of, flat, spread
+from fixatlas.llm.ragged import bounds_of, flat
 from fixatlas.llm.stored import stored
 
 SAMPLE = 20_000
@@ -36,6 +35,7 @@ CENTROIDS = 64
 SHARD = 16_384
 QUERY_BLOCK = 8_192
 ROUNDS = 12
+TOGETHER = 256  # queries that walk a shard at a time; their scores are a matrix of that many rows
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -57,31 +57,37 @@ def nearest_centre(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(axis=1) - 2 * points @ centres.T, axis=1)
 
 
-def walk(
-    first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int, rows: int = 0, shared: dict | None = None
-) -> list[int]:
-    """Cells by falling sum of the two halves' scores, until they hold ``enough`` distinct ids and ``rows`` entries.
+def walks(
+    first: np.ndarray, second: np.ndarray, cells: np.ndarray, counts: np.ndarray, enough: np.ndarray, rows: np.ndarray,
+    shared: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64)),
+) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's places in ``cells`` by falling sum of the two halves' scores, and how many of them it passes.
 
-    ``shared`` gives, for each cell with ids that several entries have, those entries' number and ids.
+    It passes cells until they hold ``enough`` distinct ids and ``rows`` entries. ``counts`` are the entries of the
+    ``cells``, none of them empty; ``shared`` are the places of the cells of all entries whose id others have
+    too, sorted by id, and where each id begins there.
     """
-    shared, met, ids = shared or {}, set(), 0
-    a, b = np.argsort(-first, kind="stable").tolist(), np.argsort(-second, kind="stable").tolist()
-    x, y = first[a].tolist(), second[b].tolist()
-    heap, seen, held, out = [(-(x[0] + y[0]), 0, 0)], {(0, 0)}, 0, []
-    while heap and (ids < enough or held < rows):
-        _, i, j = heapq.heappop(heap)
-        cell = a[i] * len(b) + b[j]
-        if counts[cell]:
-            out.append(cell)
-            held += int(counts[cell])
-            n, some = shared.get(cell, (0, ()))
-            ids += int(counts[cell]) - n + len(some - met if n else ())
-            met.update(some)
-        for p in ((i + 1, j), (i, j + 1)):
-            if p[0] < len(a) and p[1] < len(b) and p not in seen:
-                seen.add(p)
-                heapq.heappush(heap, (-(x[p[0]] + y[p[1]]), *p))
-    return out
+    i, j = np.divmod(cells, second.shape[1])
+    order = np.argsort(-(first[:, i] + second[:, j]), axis=1, kind="stable")
+    held = np.cumsum(counts[order], axis=1)
+    ids = held
+    at, begins = shared
+    if len(at):
+        ids = np.cumsum((counts - np.bincount(at, minlength=len(cells)))[order], axis=1)
+        rank = np.empty(len(cells), np.int64)
+        for q in range(len(order)):
+            rank[order[q]] = np.arange(len(cells))
+            # An id counts in the first of its cells that is passed.
+            ids[q] += np.cumsum(np.bincount(np.minimum.reduceat(rank[at], begins), minlength=len(cells)))
+    short = (ids < enough[:, None]) | (held < rows[:, None])
+    return order, np.minimum(short.sum(axis=1) + 1, len(cells))
+
+
+def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
+    """The cells that one query passes; ``counts`` are those of all pairs of centroids."""
+    cells = np.flatnonzero(counts)
+    order, passed = walks(first[None], second[None], cells, counts[cells], np.array([enough]), np.array([0]))
+    return cells[order[0, : passed[0]]].tolist()
 
 
 def _matrix(column) -> np.ndarray:
@@ -105,13 +111,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[first[:k]]
 
 
-def _shared(ids: np.ndarray, cells: np.ndarray) -> dict[int, tuple[int, frozenset]]:
-    """For each cell, the number of entries whose id another entry has too, and their ids."""
+def _shared(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the entries whose id another entry has too, sorted by id, the places of their cells; where each id begins."""
     _, which, times = np.unique(ids, return_inverse=True, return_counts=True)
     at = np.flatnonzero(times[which] > 1)
-    at = at[np.argsort(cells[at], kind="stable")]
-    found, first = np.unique(cells[at], return_index=True)
-    return {int(c): (len(own), frozenset(own.tolist())) for c, own in zip(found, np.split(ids[at], first[1:]))}
+    at = at[np.argsort(which[at], kind="stable")]
+    return places[at], np.flatnonzero(np.diff(which[at], prepend=-1))
 
 
 def _cut(rough: np.ndarray, ids: np.ndarray, k: int) -> float:
@@ -131,32 +136,42 @@ def search_shard(x, ids, cells, q, query_ids, centres, share: float, k: int):
         return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     half, n_second = len(centres[0][0]), len(centres[1])
     order = np.argsort(cells, kind="stable")
-    x, ids, cells = x[order], ids[order], cells[order]
-    counts = np.bincount(cells, minlength=len(centres[0]) * n_second)
-    starts = bounds_of(counts)[:-1]
+    x, ids = x[order], ids[order]
+    cells, places, counts = np.unique(cells[order], return_inverse=True, return_counts=True)
+    ends = bounds_of(counts).tolist()
     distinct, times = np.unique(ids, return_counts=True)
-    own_rows = dict(zip(distinct.tolist(), times.tolist()))
-    shared = _shared(ids, cells)
-    first, second = q[:, :half] @ centres[0].T, q[:, half:] @ centres[1].T
+    shared = _shared(ids, places)
+    # Both are counted without the query's own rows, which may be among what is passed.
+    own = np.append(times, 0)[np.where(np.isin(query_ids, distinct), np.searchsorted(distinct, query_ids), len(distinct))]
+    others = len(distinct) - (own > 0)
+    # Fewer ids than this can't be a result of ``k``.
+    enough = np.maximum(np.ceil(share * others).astype(np.int64), np.minimum(others, 2 * k)) + (own > 0)
+    rows = np.ceil(share * (len(x) - own)).astype(np.int64) + own
     out = []
-    for i, query in enumerate(query_ids.tolist()):
-        # Both are counted without the query's own rows, which may be among what is passed.
-        own = own_rows.get(query, 0)
-        others = len(distinct) - (own > 0)
-        # Fewer ids than this can't be a result of ``k``.
-        enough = max(int(np.ceil(share * others)), min(others, 2 * k)) + (own > 0)
-        rows = int(np.ceil(share * (len(x) - own))) + own
-        passed = np.array(walk(first[i], second[i], counts, enough, rows, shared), np.int64)
-        take = spread(starts[passed], counts[passed])
-        take = take[ids[take] != query]
-        rough = x[take] @ q[i]
-        if len(take) > 4 * k:  # rounding of the product can't cost one of the best
-            cut = _cut(rough, ids[take], k)
-            take = take[rough >= cut - 1e-9 * (1 + abs(cut))] if np.isfinite(cut) else take
-        # Summed in the same way for every pair, so equal vectors have equal scores.
-        exact = (x[take] * q[i]).sum(axis=1)
-        best = _best(exact, ids[take], k)
-        out.append((np.full(len(best), query), ids[take][best], exact[best]))
+    for low in range(0, len(q), TOGETHER):
+        part, asking = q[low : low + TOGETHER], query_ids[low : low + TOGETHER]
+        walked, n_passed = walks(
+            part[:, :half] @ centres[0].T, part[:, half:] @ centres[1].T, cells, counts,
+            enough[low : low + TOGETHER], rows[low : low + TOGETHER], shared,
+        )
+        passed = np.zeros((len(cells), len(part)), bool)
+        for i, n in enumerate(n_passed.tolist()):
+            passed[walked[i, :n], i] = True
+        # Cell by cell: one product of its entries with the queries that pass it.
+        scores = np.full((len(part), len(x)), -np.inf)
+        for cell, (a, b) in enumerate(zip(ends, ends[1:])):
+            those = np.flatnonzero(passed[cell])
+            scores[those, a:b] = part[those] @ x[a:b].T
+        for i, query in enumerate(asking.tolist()):
+            take = np.flatnonzero(passed[places, i] & (ids != query))
+            rough = scores[i, take]
+            if len(take) > 4 * k:  # rounding of the product can't cost one of the best
+                cut = _cut(rough, ids[take], k)
+                take = take[rough >= cut - 1e-9 * (1 + abs(cut))] if np.isfinite(cut) else take
+            # Summed in the same way for every pair, so equal vectors have equal scores.
+            exact = (x[take] * part[i]).sum(axis=1)
+            best = _best(exact, ids[take], k)
+            out.append((np.full(len(best), query), ids[take][best], exact[best]))
     return [np.concatenate(c) for c in zip(*out)]
 
 

@@ -1,7 +1,9 @@
+import cProfile
+
 import numpy as np
 import pytest
 
-from fixatlas.llm.multi_index import nearest, walk
+from fixatlas.llm.multi_index import _shared, kmeans, nearest, nearest_centre, search_shard, walk, walks
 from fixatlas.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, rank int, score string"
@@ -85,3 +87,28 @@ def test_query_recall(spark):
     assert hits / (20 * len(want)) >= 0.9
     exact = {(q, i): s for q, v in brute(ids, x, 20, len(ids)).items() for i, s in v}
     assert all(s == exact[q, i] for q, v in got.items() for i, s in v)
+
+
+def test_search_takes_few_calls_a_query():
+    # A heap takes calls for each cell of each query: they made most of the time and grew with the square of the table.
+    rng = np.random.default_rng(5)
+    x, ids = rng.normal(size=(4000, 16)), np.arange(4000) // 3 * 2
+    centres = [kmeans(x[:, :8], 32), kmeans(x[:, 8:], 32)]
+    cells = nearest_centre(x[:, :8], centres[0]) * 32 + nearest_centre(x[:, 8:], centres[1])
+    seen = cProfile.Profile()
+    found = seen.runcall(search_shard, x, ids, cells, x[:900:3], ids[:900:3], centres, 1.0, 5)
+    assert sum(e.callcount for e in seen.getstats()) < 300 * 300
+    for query in (0, 200, 598):
+        scores = (x * x[query // 2 * 3]).sum(axis=1)
+        best = {i: scores[ids == i].max() for i in set(ids.tolist()) - {query}}
+        assert found[1][found[0] == query].tolist() == sorted(best, key=lambda i: (-best[i], i))[:5]
+
+
+def test_an_id_counts_once_however_many_cells_it_lies_in():
+    rng = np.random.default_rng(6)
+    first, second, ids = rng.normal(size=(9, 4)), rng.normal(size=(9, 3)), rng.integers(0, 20, 60)
+    cells, places, counts = np.unique(rng.integers(0, 12, 60), return_inverse=True, return_counts=True)
+    order, passed = walks(first, second, cells, counts, np.full(9, 11), np.full(9, 17), _shared(ids, places))
+    for q in range(9):
+        met = [np.isin(places, order[q, :n]) for n in (passed[q] - 1, passed[q])]
+        assert [len(set(ids[m].tolist())) >= 11 and m.sum() >= 17 for m in met] == [False, True]
