@@ -65,14 +65,14 @@ def with_fixes(known: DataFrame, issues: DataFrame) -> DataFrame:
 
 def other_releases(issues: DataFrame) -> DataFrame:
     """Per (product, bug, version): known rows in other versions and the newest of those."""
+    # The sort key is a column: as an expression it would differ in each window, and each would sort and hold all rows.
     counted = (
         issues.filter("issue_type = 'known'")
         .groupBy(*BUG, "version")
         .agg(F.count("*").alias("n"))
+        .withColumn("_key", vx.key_full(F.col("version")))
     )
-    order = Window.partitionBy(*BUG).orderBy(
-        vx.key_full(F.col("version")).desc(), F.col("version").desc()
-    )
+    order = Window.partitionBy(*BUG).orderBy(F.col("_key").desc(), F.col("version").desc())
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.first("version").over(whole)
     return counted.select(

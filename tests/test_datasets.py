@@ -103,6 +103,13 @@ def test_release_joins_survive_a_hot_bug(spark):
     assert out.filter("bug_id = 'HOT-1'").agg(F.min("n_others"), F.max("n_others")).first() == (9000, 9000)
 
 
+def test_other_releases_sort_once(make):
+    """A window for each expression would hold the rows of a task four times."""
+    out = releases.other_releases(make(("p", "1.0", "known", "A-1")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" +-:").startswith("Window [") for line in plan.splitlines()) == 1
+
+
 def test_search_and_paging(make):
     rows = make(
         ("p", "1", "known", "A-1", {"description": "Alpha", "affected_components": ["Beta"]}),
