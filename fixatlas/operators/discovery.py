@@ -113,27 +113,28 @@ def drop_landing_pages(pages: DataFrame) -> DataFrame:
     return p.join(s, [*same, ux.is_landing(F.col("p.path"))], "left_anti")
 
 
-def drop_index_pages(pages: DataFrame, scope: str = "space") -> DataFrame:
+def drop_index_pages(pages: DataFrame, scope: str = "space", listed: DataFrame | None = None) -> DataFrame:
     """Pages beneath which another page of the same space lies are tables of contents.
 
     Every page names its proper ancestors; the rest is an equality anti join, so the
-    prefix test needs no nested loop.
+    prefix test needs no nested loop. ``listed`` has the same pages as they were listed, if ``pages`` are
+    the distinct ones of it: then no task holds its distinct pages beside their ancestors.
     """
-    clean = F.regexp_replace("url", "/+$", "")
-    segments = F.split(clean, "/")
-    ancestors = pages.select(
-        scope,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1))),
-                lambda n: F.array_join(F.slice(segments, F.lit(1), n), "/"),
-            )
-        ).alias("_page"),
-        clean.alias("_self"),
-    ).filter("_page <> _self").select(scope, "_page").distinct()
-    return pages.withColumn("_page", clean).join(ancestors, [scope, "_page"], "left_anti").drop(
-        "_page"
+    clean = F.expr("trim(TRAILING '/' FROM url)")
+    slashes = F.length("_self") - F.length(F.replace("_self", F.lit("/")))
+    ancestors = (
+        (pages if listed is None else listed)
+        .select(scope, clean.alias("_self"))
+        .select(scope, "_self", F.explode(F.sequence(F.lit(1), F.greatest(slashes, F.lit(1)))).alias("_n"))
+        .select(scope, F.expr("substring_index(_self, '/', _n)").alias("_page"), "_self")
+        .filter("_page <> _self")
+        .select(scope, "_page")
+        .distinct()
     )
+    # A page is moved as its clean address and the slashes after it, not as two addresses.
+    split = pages.withColumns({"_page": clean, "_end": F.expr("substring(url, length(trim(TRAILING '/' FROM url)) + 1)")})
+    kept = split.drop("url").join(ancestors, [scope, "_page"], "left_anti")
+    return kept.withColumn("url", F.concat("_page", "_end")).select(*pages.columns)
 
 
 def distinct_majors(inventory: DataFrame) -> DataFrame:

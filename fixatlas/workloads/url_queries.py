@@ -359,7 +359,7 @@ def drop_index_pages(spark, data_dir):
     rows = facts(spark, data_dir).select(
         F.col("product_id").alias("space"), F.expr(_DEEP).alias("url")
     )
-    return discovery.drop_index_pages(rows.distinct())
+    return discovery.drop_index_pages(rows.distinct(), listed=rows)
 
 
 @query("profile_dispatch", WITH_FACTS + f""", u as (

@@ -102,6 +102,21 @@ def test_spaces(apply):
     ]
 
 
+def test_index_pages_read_their_ancestors_as_listed(spark):
+    urls = ["/", "h", "h/a", "h/a//", "h/a/b", "h/a/b", "h//a/b//", "", None, "h/ab/", "a/b"]
+    rows = spark.createDataFrame([(n, u, s) for s in ("s", "t") for n, u in enumerate(urls)] + [(50, "h/ab/c", "t")], "n int, url string, space string")
+    got = discovery.drop_index_pages(rows)
+    assert got.columns == rows.columns
+    left = ["/", "h/a/b", "h/a/b", "h//a/b//", "", None, "a/b"]
+    want = [("s", u) for u in [*left, "h/ab/"]] + [("t", u) for u in [*left, "h/ab/c"]]
+    assert sorted(map(str, [(r.space, r.url) for r in got.collect()])) == sorted(map(str, want))
+    pages = rows.select("space", "url")
+    once = discovery.drop_index_pages(pages.distinct(), listed=pages)
+    assert sorted(map(str, once.collect())) == sorted(map(str, got.select("space", "url").distinct().collect()))
+    # The distinct pages are worked out for the result alone, so no task holds them beside its ancestors.
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+
+
 def test_index_and_landing_pages(spark):
     urls = ["h/a/issues", "h/a/issues/92", "h/a/issues-92", "h/b/issues/"]
     df = spark.createDataFrame([("s", u) for u in urls], "space string, url string")
