@@ -9,6 +9,8 @@ table of output biases; training learns all else on top of it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 WINDOW, STRIDE, WIDTH, GROUPS = 32, 24, 16, 32
@@ -42,7 +44,8 @@ def start(pairs: np.ndarray, width: int = WIDTH, window: int = WINDOW, seed: int
         "here": draw(n, width, by=0.5), "before": draw(n, width, by=0.3), "place": draw(window, width, by=0.1),
         "query": draw(width, width, by=side), "key": draw(width, width, by=side), "value": draw(width, width, by=side),
         "mix": draw(width, width, by=0.3 * side), "out": draw(width, n, by=0.05), "out_group": draw(width, GROUPS, by=0.05),
-        "after": np.log(after).astype(np.float32), "after_group": np.log(after_group).astype(np.float32),
+        # In C order, so that looking at them by group copies nothing.
+        "after": np.log(after).astype(np.float32, order="C"), "after_group": np.log(after_group).astype(np.float32, order="C"),
     }
 
 
@@ -50,6 +53,12 @@ def _mask(n: int) -> np.ndarray:
     return np.triu(np.full((n, n), -1e9, np.float32), 1)
 
 
+def _heads(p: dict) -> np.ndarray:
+    """Weights of query (scaled), key and value side by side."""
+    scale = p["query"].dtype.type(1 / np.sqrt(len(p["query"])))
+    return np.concatenate([p["query"] * scale, p["key"], p["value"]], axis=1)
+
+
 def hidden(p: dict, ids: np.ndarray):
     """The state at every place, and what the gradients need."""
     n = ids.shape[1]
@@ -66,53 +75,64 @@ def hidden(p: dict, ids: np.ndarray):
     return x + c @ p["mix"], (last, x, q, k, v, a, c)
 
 
+def for_scoring(p: dict) -> dict:
+    """With tables of what a class adds to state, query, key and mixed value, and to a sum of weights."""
+    w = _heads(p)
+    w[:, -p["here"].shape[1] :] = p["value"] @ p["mix"]
+    table = lambda rows, one: np.concatenate([rows, rows @ w, np.full((len(rows), 1), one, np.float32)], axis=1)
+    return p | {"of_here": table(p["here"], 1), "of_before": table(p["before"], 0), "of_place": table(p["place"], 0)}
+
+
 def states(p: dict, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """``hidden`` for scoring: one product for all heads' inputs, sums taken by products."""
+    """``hidden`` for scoring, from the tables of ``for_scoring``."""
     n, width = ids.shape[1], p["here"].shape[1]
-    x = p["here"][ids]
-    x[:, 1:] += p["before"][ids[:, :-1]]
-    x[:, 0] += p["before"][0]
-    x += p["place"][:n]
-    qkv = x.reshape(-1, width) @ p["query_key_value"]
-    qkv = qkv.reshape(*ids.shape, 3 * width)
-    a = qkv[..., :width] @ qkv[..., width : 2 * width].transpose(0, 2, 1)
+    x = p["of_here"].take(ids, axis=0)
+    x[:, 1:] += p["of_before"].take(ids[:, :-1], axis=0)
+    x[:, 0] += p["of_before"][0]
+    x += p["of_place"][:n]
+    a = x[..., width : 2 * width] @ x[..., 2 * width : 3 * width].transpose(0, 2, 1)
     a += mask[:n, :n]
     np.exp(a, out=a)
-    v = np.ones((*ids.shape, width + 1), np.float32)
-    v[..., :width] = qkv[..., 2 * width :]
-    c = a @ v
-    c = c[..., :width] / c[..., width:]
-    x += (c.reshape(-1, width) @ p["mix"]).reshape(x.shape)
-    return x
+    c = a @ x[..., 3 * width :]
+    return x[..., :width] + c[..., :width] / c[..., width:]
 
 
-def for_scoring(p: dict) -> dict:
-    scale = np.float32(1 / np.sqrt(p["query"].shape[1]))
-    return p | {"query_key_value": np.concatenate([p["query"] * scale, p["key"], p["value"]], axis=1)}
+def _by_group(target: np.ndarray, members: int):
+    """Group and member of each target and the order that brings groups together, with its cuts."""
+    group, member = np.divmod(target, members)
+    order = np.argsort(group.astype(np.uint8) if GROUPS <= 256 else group, kind="stable")
+    cuts = np.searchsorted(group.take(order), np.arange(GROUPS + 1)).tolist()
+    return group, member, order, [(k, slice(i, j)) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
 
 
-def scored(p: dict, h: np.ndarray, here: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """``output`` without gradients, and without taking the largest of each row first."""
+def _logits(p: dict, h: np.ndarray, here: np.ndarray, group: np.ndarray, groups: list) -> tuple[np.ndarray, np.ndarray]:
+    """Of all groups, and of the members of each row's group; rows are sorted by group."""
     members = len(p["after"]) // GROUPS
-    group, member = np.divmod(target, members)
+    first = h @ p["out_group"]
+    first += p["after_group"].take(here, axis=0)
+    second = p["after"].reshape(-1, members).take(here * GROUPS + group, axis=0)
+    for k, rows in groups:
+        second[rows] += h[rows] @ p["out"][:, k * members : (k + 1) * members]
+    return first, second
+
+
+def _exponentials(logits: np.ndarray, target: np.ndarray):
+    """Log probability of the targets, the sums of exponentials, and where the targets stand;
+    leaves the exponentials in ``logits``, without taking the largest of each row first."""
+    at = np.arange(len(logits)) * logits.shape[1] + target
+    chosen = logits.reshape(-1).take(at)
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return chosen - np.log(total), total, at
 
-    def log_p(logits, chosen):
-        value = logits[np.arange(len(logits)), chosen]
-        np.exp(logits, out=logits)
-        return value - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
-    result = log_p(h @ p["out_group"] + p["after_group"][here], group)
-    order = np.argsort(group.astype(np.uint8) if GROUPS <= 256 else group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    h, here, member = h[order], here[order], member[order]
-    after = p["after"].reshape(-1, members)
-    second = np.empty(len(h), np.float32)
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        i, j = cuts[k], cuts[k + 1]
-        logits = h[i:j] @ p["out"][:, k * members : (k + 1) * members]
-        logits += after[here[i:j] * GROUPS + k]
-        second[i:j] = log_p(logits, member[i:j])
-    result[order] += second
+def scored(p: dict, h: np.ndarray, here: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """``output`` without gradients, and without taking the largest of each row first."""
+    group, member, order, groups = _by_group(target, len(p["after"]) // GROUPS)
+    group, member = group.take(order), member.take(order)
+    first, second = _logits(p, h.take(order, axis=0), here.take(order), group, groups)
+    result = np.empty(len(h), np.float32)
+    result[order] = _exponentials(first, group)[0] + _exponentials(second, member)[0]
     return result
 
 
@@ -156,8 +176,8 @@ def output(p: dict, h: np.ndarray, here: np.ndarray, target: np.ndarray, gradien
     return result, back, g
 
 
-def loss_and_gradients(p: dict, ids: np.ndarray, target: np.ndarray, counts: np.ndarray):
-    """Mean cross-entropy over the places with ``counts`` true, and its gradients."""
+def _careful_gradients(p: dict, ids: np.ndarray, target: np.ndarray, counts: np.ndarray):
+    """``loss_and_gradients`` for parameters beyond the range of plain exponentials."""
     h, (last, x, q, k, v, a, c) = hidden(p, ids)
     n = max(int(counts.sum()), 1)
     weight = (counts / n).astype(np.float32).reshape(-1)
@@ -187,21 +207,125 @@ def loss_and_gradients(p: dict, ids: np.ndarray, target: np.ndarray, counts: np.
     return loss, g
 
 
-def train(p: dict, windows: np.ndarray, batch: int = 32, rate: float = 0.02, seed: int = 1) -> dict:
-    """One pass of Adam over windows of classes; a class below 0 is no target."""
+def loss_and_gradients(p: dict, ids: np.ndarray, target: np.ndarray, counts: np.ndarray):
+    """Mean cross-entropy over the places with ``counts`` true, and its gradients."""
+    with np.errstate(all="ignore"):
+        loss, g = _quick_gradients(p, ids, target, counts)
+    return (loss, g) if np.isfinite(loss) else _careful_gradients(p, ids, target, counts)
+
+
+def _quick_gradients(p: dict, ids: np.ndarray, target: np.ndarray, counts: np.ndarray):
+    (many, n), width, kind = ids.shape, p["here"].shape[1], p["here"].dtype
+    x = p["here"].take(ids, axis=0)
+    x[:, 1:] += p["before"].take(ids[:, :-1], axis=0)
+    x[:, 0] += p["before"][0]
+    x += p["place"][:n]
+    x = x.reshape(-1, width)
+    heads = _heads(p)
+    # The last column is one, so that a product with the values also gives the sum of weights.
+    qkv = np.ones((many, n, 3 * width + 1), kind)
+    qkv[..., :-1] = (x @ heads).reshape(many, n, -1)
+    q, k, v = qkv[..., :width], qkv[..., width : 2 * width], qkv[..., 2 * width :]
+    a = q @ k.transpose(0, 2, 1)
+    a += _mask(n)
+    np.exp(a, out=a)
+    c = (a @ v).reshape(-1, width + 1)
+    share = 1 / c[:, width:]
+    c = c[:, :width] * share
+    h = c @ p["mix"]
+    h += x
+    at = np.flatnonzero(counts)
+    back, log_p, g = _output_gradients(p, h, ids.reshape(-1), target.reshape(-1), at)
+    dh = np.zeros_like(x)
+    dh[back[0]] = back[1]
+    g["mix"] = c.T @ dh
+    dc = np.empty((len(x), width + 1), kind)
+    dc[:, :width] = dh @ p["mix"].T
+    np.einsum("ij,ij->i", dc[:, :width], c, out=dc[:, width])
+    np.negative(dc[:, width], out=dc[:, width])
+    dc *= share
+    dc = dc.reshape(many, n, -1)
+    d = np.empty((many, n, 3 * width), kind)
+    np.matmul(a.transpose(0, 2, 1), dc[..., :width], out=d[..., 2 * width :])
+    a *= dc @ v.transpose(0, 2, 1)
+    np.matmul(a, k, out=d[..., :width])
+    np.matmul(a.transpose(0, 2, 1), q, out=d[..., width : 2 * width])
+    d = d.reshape(len(x), -1)
+    dx = d @ heads.T
+    dx += dh
+    by_head = x.T @ d
+    by_head[:, :width] *= kind.type(1 / np.sqrt(width))
+    g["query"], g["key"], g["value"] = by_head[:, :width], by_head[:, width : 2 * width], by_head[:, 2 * width :]
+    by_place = dx.reshape(many, n, width)
+    g["place"] = np.zeros_like(p["place"])
+    g["place"][:n] = by_place.sum(axis=0)
+    # A class is "before" at the next place: both tables' rows are summed in one order of the classes.
+    both = np.zeros((many, n, 2 * width), kind)
+    both[..., :width] = by_place
+    both[:, :-1, width:] = by_place[:, 1:]
+    order = np.argsort(ids.reshape(-1).astype(np.uint16 if len(p["here"]) <= 1 << 16 else np.int64), kind="stable")
+    values = ids.reshape(-1).take(order)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    sums = np.add.reduceat(both.reshape(len(x), -1).take(order, axis=0), first, axis=0)
+    g["here"], g["before"] = np.zeros_like(p["here"]), np.zeros_like(p["before"])
+    g["here"][values[first]] = sums[:, :width]
+    g["before"][values[first]] = sums[:, width:]
+    g["before"][0] += by_place[:, 0].sum(axis=0)
+    return -float(log_p.sum()) / max(len(at), 1), g
+
+
+def _output_gradients(p: dict, h: np.ndarray, here: np.ndarray, target: np.ndarray, at: np.ndarray):
+    """Gradients for the states at the places ``at`` (these in the order worked in), log
+    probabilities there, and gradients of the output parameters."""
+    members, n = len(p["after"]) // GROUPS, max(len(at), 1)
+    group, member, order, groups = _by_group(target.take(at), members)
+    group, member, at = group.take(order), member.take(order), at.take(order)
+    h = h.take(at, axis=0)
+    first, second = _logits(p, h, here.take(at), group, groups)
+    g, log_p, back = {"out": np.zeros_like(p["out"])}, 0, 0
+    for logits, chosen in ((first, group), (second, member)):
+        found, total, place = _exponentials(logits, chosen)
+        log_p = log_p + found
+        logits.reshape(-1)[place] -= total
+        part = (1 / (total * n)).astype(h.dtype)[:, None]
+        weighted = h * part
+        if logits is first:
+            g["out_group"] = weighted.T @ logits
+            back = logits @ p["out_group"].T
+        else:
+            more = np.empty_like(h)
+            for k, rows in groups:
+                columns = slice(k * members, (k + 1) * members)
+                g["out"][:, columns] = weighted[rows].T @ logits[rows]
+                np.dot(logits[rows], p["out"][:, columns].T, out=more[rows])
+            more *= part
+            return (at, back + more), log_p, g
+        back *= part
+
+
+def train(p: dict, windows: np.ndarray, rate: float = 0.02, seed: int = 1) -> dict:
+    """One pass of Adam over windows of classes; a class below 0 is no target.
+
+    Steps are of 32 to 256 windows, a hundred steps where there are windows enough, and larger steps go
+    further; every window is in one of them.
+    """
     p = {k: v.copy() for k, v in p.items()}
     m = {k: np.zeros_like(v) for k, v in p.items() if k not in FIXED}
     s = {k: np.zeros_like(v) for k, v in m.items()}
+    batch = min(256, max(32, len(windows) // 100))
+    rate *= math.sqrt(batch / 32)
     order = np.random.default_rng(seed).permutation(len(windows))
     steps = -(-len(order) // batch)
     for step in range(steps):
-        part = windows[order[step * batch : (step + 1) * batch]]
+        part = windows.take(order[step * batch : (step + 1) * batch], axis=0)
         ids, target = part[:, :-1], part[:, 1:]
         _, g = loss_and_gradients(p, np.maximum(ids, 0), np.maximum(target, 0), target >= 0)
         now = rate * min(1, (step + 1) / 10) * (1 - 0.7 * step / steps)
         for k in m:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
+            m[k] *= 0.9
+            m[k] += 0.1 * g[k]
+            s[k] *= 0.99
+            s[k] += 0.01 * (g[k] * g[k])
             p[k] -= (now / (1 - 0.9 ** (step + 1))) * m[k] / (np.sqrt(s[k] / (1 - 0.99 ** (step + 1))) + 1e-8)
     return p
 
@@ -235,14 +359,16 @@ def log_probabilities(p: dict, classes: np.ndarray, bounds: np.ndarray, begin: i
             found, places = [], []
             part = order[chunk : chunk + 16 * batch]
             for at_each, inside in _windows(base, size, at, part, batch, window, stride):
-                found.append(states(p, shifted[at_each], mask)[inside])
-                places.append(at_each[inside])
+                h = states(p, shifted.take(at_each), mask)
+                found.append(h.reshape(-1, h.shape[2]).take(inside, axis=0))
+                places.append(at_each.reshape(-1).take(inside))
             where = np.concatenate(places)
             h = np.concatenate(found)
-            log_p = scored(p, h, shifted[where], classes[where])
+            log_p = scored(p, h, shifted.take(where), classes.take(where))
             if not np.isfinite(log_p).all():  # beyond the range of the short way
                 h = np.concatenate([
-                    hidden(p, shifted[a])[0][i] for a, i in _windows(base, size, at, part, batch, window, stride)
+                    hidden(p, shifted[a])[0].reshape(-1, len(p["out"]))[i]
+                    for a, i in _windows(base, size, at, part, batch, window, stride)
                 ])
                 log_p, _, _ = output(p, h, shifted[where], classes[where])
             out[where] = log_p
@@ -250,10 +376,10 @@ def log_probabilities(p: dict, classes: np.ndarray, bounds: np.ndarray, begin: i
 
 
 def _windows(base, size, at, order, batch, window, stride):
-    """Places of each batch of windows, and which of them the window scores."""
+    """Places of each batch of windows, and numbers of those that the window scores."""
     for low in range(0, len(order), batch):
         mine = order[low : low + batch]
         width = int(size[mine].max())
         inside = np.arange(width) < size[mine][:, None]
         inside &= (np.arange(width) >= window - stride) | (at[mine][:, None] == 0)
-        yield base[mine][:, None] + np.arange(width), inside
+        yield base[mine][:, None] + np.arange(width), np.flatnonzero(inside)

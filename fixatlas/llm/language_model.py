@@ -64,13 +64,20 @@ def _subwords(path: str):
     coding = tiktoken.Encoding("subwords", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})
     between = coding.encode_ordinary("\n")[0]
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not words:
+    def encode(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words that are slices of ``data``, and their bounds."""
+        if not len(starts):
             return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        ids = np.array(coding.encode_ordinary("\n".join(" " + w for w in words)), np.int64)
-        cuts = np.flatnonzero(ids == between)
+        sizes = ends - starts
+        joined = np.full(int(sizes.sum()) + 2 * len(sizes), 32, np.uint8)
+        after = np.cumsum(sizes + 2)
+        joined[spread(after - sizes - 1, sizes)] = data[spread(starts, sizes)]
+        joined[after - 1] = 10
+        ids = np.array(coding.encode_ordinary(joined[:-1].tobytes().decode()), np.int64)
+        inner = ids != between
+        cuts = np.flatnonzero(~inner)
         lengths = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
-        return ids[ids != between], bounds_of(lengths)
+        return ids[inner], bounds_of(lengths)
 
     return encode
 
@@ -83,17 +90,18 @@ def _counted(path: str, buckets: int):
     def run(batches):
         encode, task, number = _subwords(path), TaskContext.get(), 0
         for table in gathered(batches, "text", BLOCK_BYTES):
+            # Learning documents stand first, so that what is learnt is one piece.
+            out_of = np.array([held_out(i) for i in table.column("doc_id").to_pylist()], bool)
+            by_use = np.argsort(out_of, kind="stable")
+            table, out_of = table.take(by_use), out_of[by_use]
             data, bounds = utf8(table.column("text"))
             data = lower_ascii(data)
             ids = flat(table.column("doc_id"))
-            out_of = np.array([held_out(i) for i in ids.to_pylist()], bool)
             starts, ends = runs(~_SPACE[data], bounds)
             by_text = np.searchsorted(starts, bounds)
             hashes, first, which = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            learnt = np.repeat(~out_of, np.diff(by_text))
-            counts = np.bincount(which[learnt], minlength=len(hashes))
-            raw = data.tobytes()
-            subwords, sub_bounds = encode([raw[starts[i] : ends[i]].decode() for i in first])
+            counts = np.bincount(which[: by_text[np.count_nonzero(~out_of)]], minlength=len(hashes))
+            subwords, sub_bounds = encode(data, starts[first], ends[first])
             sizes = np.diff(sub_bounds)
             total = np.bincount(subwords, np.repeat(counts, sizes), IDS).astype(np.int64)
             total[END] = int((~out_of).sum())
@@ -158,25 +166,28 @@ class Texts:
         self.held_out, self.words = out_of.astype(bool), bounds_of(words.astype(np.int64))
         self.sub_bounds = bounds_of(sizes.astype(np.int64))
 
-    def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """Subword ids of every text, each closed by the end, and their bounds."""
-        sizes = np.diff(self.sub_bounds)[self.which]
-        inner = bounds_of(sizes)[self.words]
-        after = bounds_of(np.diff(inner) + 1)
-        out = np.full(after[-1], END, np.int32)
-        out[spread(after[:-1], np.diff(inner))] = self.subwords[spread(self.sub_bounds[:-1][self.which], sizes)]
-        return out, after
-
-
-def _line(texts: Texts, class_of: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    def line(self, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of the first ``n`` texts, each between two ends, and bounds of texts with the end before."""
+        words = self.words if n is None else self.words[: n + 1]
+        which = self.which[: words[-1]]
+        size_of = np.diff(self.sub_bounds)
+        sizes = size_of.astype(np.int32).take(which)
+        inner = bounds_of(sizes).take(words)
+        bounds = bounds_of(np.diff(inner) + 2)
+        out = np.full(bounds[-1], END, np.uint16)
+        # One run over all ids; from word to word and from text to text the source and the place step on.
+        ends = np.cumsum(sizes, dtype=np.int32)
+        step = np.arange(inner[-1], dtype=np.int32)
+        source = step + np.repeat(self.sub_bounds[:-1].astype(np.int32).take(which) - ends + sizes, sizes)
+        step += np.repeat((bounds[:-1] + 1 - inner[:-1]).astype(np.int32), np.diff(inner))
+        out[step] = self.subwords.take(source)
+        return out, bounds
+
+
+def _line(texts: Texts, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all learning texts of a block, each text with its beginning, and their bounds."""
-    ids, bounds = texts.ids()
-    learnt = np.flatnonzero(~texts.held_out)
-    n = np.diff(bounds)[learnt]
-    line = np.full(int((n + 1).sum()), begin, np.int64)
-    line_bounds = bounds_of(n + 1)
-    line[spread(line_bounds[:-1] + 1, n)] = class_of[ids[spread(bounds[:-1][learnt], n)]]
-    return line, line_bounds
+    ids, bounds = texts.line(int(np.count_nonzero(~texts.held_out)))
+    return class_of.take(ids), bounds
 
 
 def training_windows(line: np.ndarray, bounds: np.ndarray, r: int) -> np.ndarray:
@@ -186,7 +197,7 @@ def training_windows(line: np.ndarray, bounds: np.ndarray, r: int) -> np.ndarray
     at = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * attention.WINDOW
     text, at = text[r::ROUNDS], at[r::ROUNDS]
     places = (bounds[text] + at)[:, None] + np.arange(attention.WINDOW + 1)
-    return np.where(places < bounds[text + 1][:, None], line[np.minimum(places, len(line) - 1)], -1)
+    return np.where(places < bounds[text + 1][:, None], line.take(places, mode="clip"), -1)
 
 
 def _part_row(payload: bytes) -> pa.RecordBatch:
@@ -196,17 +207,17 @@ def _part_row(payload: bytes) -> pa.RecordBatch:
     )
 
 
-def _pairs(class_of: np.ndarray, begin: int):
+def _pairs(class_of: np.ndarray):
     """Per task: counts of neighbouring classes."""
 
     def run(batches):
         pairs = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
             for body in batch.column("body").to_pylist():
-                line, bounds = _line(Texts(body), class_of, begin)
-                keep = np.ones(max(len(line) - 1, 0), bool)
-                keep[bounds[1:-1] - 1] = False
-                pairs += np.bincount((line[:-1] * CLASSES + line[1:])[keep], minlength=len(pairs))
+                line, bounds = _line(Texts(body), class_of)
+                if len(line):
+                    pairs += np.bincount(line[:-1] * CLASSES + line[1:], minlength=len(pairs))
+                    pairs -= np.bincount(line[bounds[1:-1] - 1] * CLASSES + line[bounds[1:-1]], minlength=len(pairs))
         used = np.flatnonzero(pairs)
         yield _part_row(pack(used.astype(np.uint32), pairs[used]))
 
@@ -249,7 +260,7 @@ def _names(p: dict) -> list[str]:
     return sorted(k for k in p if k not in attention.FIXED)
 
 
-def _trained_part(held, class_of: np.ndarray, begin: int, r: int):
+def _trained_part(held, class_of: np.ndarray, r: int):
     """Per task: the sum of what its blocks' windows of round ``r`` train from the common parameters."""
 
     def run(batches):
@@ -257,7 +268,7 @@ def _trained_part(held, class_of: np.ndarray, begin: int, r: int):
         total, n = np.zeros(sum(p[k].size for k in _names(p))), 0
         for batch in batches:
             for body in batch.column("body").to_pylist():
-                rows = training_windows(*_line(Texts(body), class_of, begin), r)
+                rows = training_windows(*_line(Texts(body), class_of), r)
                 if len(rows):
                     new = attention.train(p, rows, rate=rate, seed=r)
                     total += np.concatenate([new[k].reshape(-1) for k in _names(p)]).astype(np.float64) * len(rows)
@@ -267,11 +278,11 @@ def _trained_part(held, class_of: np.ndarray, begin: int, r: int):
     return run
 
 
-def _trained(blocks: DataFrame, n_parts: int, class_of: np.ndarray, begin: int, p: dict) -> dict:
+def _trained(blocks: DataFrame, n_parts: int, class_of: np.ndarray, p: dict) -> dict:
     """Rounds of training by tasks and averaging."""
     for r in range(ROUNDS):
         held = blocks.sparkSession.sparkContext.broadcast(p)  # its size is that of the model, whatever the data's
-        one = blocks.select("body").mapInArrow(_trained_part(held, class_of, begin, r), "part long, payload binary")
+        one = blocks.select("body").mapInArrow(_trained_part(held, class_of, r), "part long, payload binary")
         result = level_by_level(one, n_parts, _add_parameters)
         sums, n = unpack(result) if result else (None, np.zeros(1))
         if n[0] == 0:
@@ -296,8 +307,9 @@ def _scored(model, class_of: np.ndarray, rare: np.ndarray, n_words: int, n_disti
         sums = lambda x: np.diff(bounds_of_float(x)[texts.words])
         base = sums(log10(count)[texts.which]) + log10(n_ends)
         known = np.diff(bounds_of((count > 0).astype(np.int64)[texts.which])[texts.words]) + (n_ends > 0)
-        ids, bounds = texts.ids()
-        found = attention.log_probabilities(model.value, class_of[ids], bounds, begin).astype(np.float64) + rare[ids]
+        ids, bounds = texts.line()
+        ids, bounds = np.delete(ids, bounds[:-1]), bounds - np.arange(len(bounds))
+        found = attention.log_probabilities(model.value, class_of.take(ids), bounds, begin) + rare.take(ids)
         score = np.add.reduceat(found, bounds[:-1]) / math.log(10) if len(bounds) > 1 else np.zeros(0)
         n = len(texts.held_out)
         return pa.table(
@@ -340,7 +352,7 @@ def language_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     others = class_of == CLASSES - 1
     rare = np.where(others, np.log((counts + 0.1) / (counts[others] + 0.1).sum()), 0.0)
     n_parts = blocks.rdd.getNumPartitions()
-    seen = blocks.select("body").mapInArrow(_pairs(class_of, 0), "part long, payload binary")
+    seen = blocks.select("body").mapInArrow(_pairs(class_of), "part long, payload binary")
     merged = level_by_level(seen, n_parts, _add_pairs)
     matrix = np.zeros(CLASSES * CLASSES)
     if merged:
@@ -351,7 +363,7 @@ def language_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     order = attention.arranged(matrix)
     place = np.argsort(order)
     start = attention.start(matrix[order][:, order])
-    model = _trained(blocks, n_parts, place[class_of], int(place[0]), start)
+    model = _trained(blocks, n_parts, place[class_of], start)
     score = _scored(
         spark.sparkContext.broadcast(model), place[class_of], rare, int(n or 0) + n_ends, int(v or 0) + (n_ends > 0), n_ends, int(place[0])
     )
