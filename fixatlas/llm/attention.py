@@ -54,9 +54,9 @@ def _mask(n: int) -> np.ndarray:
 
 
 def _heads(p: dict) -> np.ndarray:
-    """Weights of query (scaled), key and value side by side."""
+    """Weights of query (scaled), key and mixed value side by side, and a column of zeros."""
     scale = p["query"].dtype.type(1 / np.sqrt(len(p["query"])))
-    return np.concatenate([p["query"] * scale, p["key"], p["value"]], axis=1)
+    return np.concatenate([p["query"] * scale, p["key"], p["value"] @ p["mix"], np.zeros_like(p["mix"][:, :1])], axis=1)
 
 
 def hidden(p: dict, ids: np.ndarray):
@@ -75,26 +75,29 @@ def hidden(p: dict, ids: np.ndarray):
     return x + c @ p["mix"], (last, x, q, k, v, a, c)
 
 
-def for_scoring(p: dict) -> dict:
-    """With tables of what a class adds to state, query, key and mixed value, and to a sum of weights."""
-    w = _heads(p)
-    w[:, -p["here"].shape[1] :] = p["value"] @ p["mix"]
-    table = lambda rows, one: np.concatenate([rows, rows @ w, np.full((len(rows), 1), one, np.float32)], axis=1)
-    return p | {"of_here": table(p["here"], 1), "of_before": table(p["before"], 0), "of_place": table(p["place"], 0)}
+def _inputs(p: dict, ids: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At every place what the model sees, and query, key, mixed value and a one, so that a product
+    with the values also gives the sum of weights."""
+    x = p["here"].take(ids, axis=0)
+    x[:, 1:] += p["before"].take(ids[:, :-1], axis=0)
+    x[:, 0] += p["before"][0]
+    x += p["place"][: ids.shape[1]]
+    qkv = (x.reshape(-1, x.shape[2]) @ heads).reshape(*ids.shape, -1)
+    qkv[..., -1] = 1
+    return x, qkv
 
 
-def states(p: dict, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """``hidden`` for scoring, from the tables of ``for_scoring``."""
+def states(p: dict, ids: np.ndarray, heads: np.ndarray, mask: np.ndarray, first: int = 0) -> np.ndarray:
+    """``hidden`` of the places from ``first``, for scoring."""
     n, width = ids.shape[1], p["here"].shape[1]
-    x = p["of_here"].take(ids, axis=0)
-    x[:, 1:] += p["of_before"].take(ids[:, :-1], axis=0)
-    x[:, 0] += p["of_before"][0]
-    x += p["of_place"][:n]
-    a = x[..., width : 2 * width] @ x[..., 2 * width : 3 * width].transpose(0, 2, 1)
-    a += mask[:n, :n]
+    x, qkv = _inputs(p, ids, heads)
+    a = qkv[:, first:, :width] @ qkv[..., width : 2 * width].transpose(0, 2, 1)
+    a += mask[first:n, :n]
     np.exp(a, out=a)
-    c = a @ x[..., 3 * width :]
-    return x[..., :width] + c[..., :width] / c[..., width:]
+    c = a @ qkv[..., 2 * width :]
+    h = c[..., :width] * (1 / c[..., width:])
+    h += x[:, first:]
+    return h
 
 
 def _by_group(target: np.ndarray, members: int):
@@ -216,15 +219,9 @@ def loss_and_gradients(p: dict, ids: np.ndarray, target: np.ndarray, counts: np.
 
 def _quick_gradients(p: dict, ids: np.ndarray, target: np.ndarray, counts: np.ndarray):
     (many, n), width, kind = ids.shape, p["here"].shape[1], p["here"].dtype
-    x = p["here"].take(ids, axis=0)
-    x[:, 1:] += p["before"].take(ids[:, :-1], axis=0)
-    x[:, 0] += p["before"][0]
-    x += p["place"][:n]
-    x = x.reshape(-1, width)
     heads = _heads(p)
-    # The last column is one, so that a product with the values also gives the sum of weights.
-    qkv = np.ones((many, n, 3 * width + 1), kind)
-    qkv[..., :-1] = (x @ heads).reshape(many, n, -1)
+    x, qkv = _inputs(p, ids, heads)
+    x = x.reshape(-1, width)
     q, k, v = qkv[..., :width], qkv[..., width : 2 * width], qkv[..., 2 * width :]
     a = q @ k.transpose(0, 2, 1)
     a += _mask(n)
@@ -232,18 +229,14 @@ def _quick_gradients(p: dict, ids: np.ndarray, target: np.ndarray, counts: np.nd
     c = (a @ v).reshape(-1, width + 1)
     share = 1 / c[:, width:]
     c = c[:, :width] * share
-    h = c @ p["mix"]
-    h += x
+    h = c + x
     at = np.flatnonzero(counts)
     back, log_p, g = _output_gradients(p, h, ids.reshape(-1), target.reshape(-1), at)
     dh = np.zeros_like(x)
     dh[back[0]] = back[1]
-    g["mix"] = c.T @ dh
     dc = np.empty((len(x), width + 1), kind)
-    dc[:, :width] = dh @ p["mix"].T
-    np.einsum("ij,ij->i", dc[:, :width], c, out=dc[:, width])
-    np.negative(dc[:, width], out=dc[:, width])
-    dc *= share
+    np.multiply(dh, share, out=dc[:, :width])
+    np.multiply(np.einsum("ij,ij->i", dh, c), -share[:, 0], out=dc[:, width])
     dc = dc.reshape(many, n, -1)
     d = np.empty((many, n, 3 * width), kind)
     np.matmul(a.transpose(0, 2, 1), dc[..., :width], out=d[..., 2 * width :])
@@ -251,11 +244,12 @@ def _quick_gradients(p: dict, ids: np.ndarray, target: np.ndarray, counts: np.nd
     np.matmul(a, k, out=d[..., :width])
     np.matmul(a.transpose(0, 2, 1), q, out=d[..., width : 2 * width])
     d = d.reshape(len(x), -1)
-    dx = d @ heads.T
+    dx = d @ heads[:, :-1].T
     dx += dh
     by_head = x.T @ d
     by_head[:, :width] *= kind.type(1 / np.sqrt(width))
-    g["query"], g["key"], g["value"] = by_head[:, :width], by_head[:, width : 2 * width], by_head[:, 2 * width :]
+    g["query"], g["key"], by_value = by_head[:, :width], by_head[:, width : 2 * width], by_head[:, 2 * width :]
+    g["value"], g["mix"] = by_value @ p["mix"].T, p["value"].T @ by_value
     by_place = dx.reshape(many, n, width)
     g["place"] = np.zeros_like(p["place"])
     g["place"][:n] = by_place.sum(axis=0)
@@ -266,10 +260,10 @@ def _quick_gradients(p: dict, ids: np.ndarray, target: np.ndarray, counts: np.nd
     order = np.argsort(ids.reshape(-1).astype(np.uint16 if len(p["here"]) <= 1 << 16 else np.int64), kind="stable")
     values = ids.reshape(-1).take(order)
     first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-    sums = np.add.reduceat(both.reshape(len(x), -1).take(order, axis=0), first, axis=0)
+    values, sums = values[first], np.add.reduceat(both.reshape(len(x), -1).take(order, axis=0), first, axis=0)
     g["here"], g["before"] = np.zeros_like(p["here"]), np.zeros_like(p["before"])
-    g["here"][values[first]] = sums[:, :width]
-    g["before"][values[first]] = sums[:, width:]
+    g["here"][values] = sums[:, :width]
+    g["before"][values] = sums[:, width:]
     g["before"][0] += by_place[:, 0].sum(axis=0)
     return -float(log_p.sum()) / max(len(at), 1), g
 
@@ -306,13 +300,13 @@ def _output_gradients(p: dict, h: np.ndarray, here: np.ndarray, target: np.ndarr
 def train(p: dict, windows: np.ndarray, rate: float = 0.02, seed: int = 1) -> dict:
     """One pass of Adam over windows of classes; a class below 0 is no target.
 
-    Steps are of 32 to 256 windows, a hundred steps where there are windows enough, and larger steps go
+    Steps are of 32 to 128 windows, a hundred steps where there are windows enough, and larger steps go
     further; every window is in one of them.
     """
     p = {k: v.copy() for k, v in p.items()}
     m = {k: np.zeros_like(v) for k, v in p.items() if k not in FIXED}
     s = {k: np.zeros_like(v) for k, v in m.items()}
-    batch = min(256, max(32, len(windows) // 100))
+    batch = min(128, max(32, len(windows) // 100))
     rate *= math.sqrt(batch / 32)
     order = np.random.default_rng(seed).permutation(len(windows))
     steps = -(-len(order) // batch)
@@ -330,7 +324,7 @@ def train(p: dict, windows: np.ndarray, rate: float = 0.02, seed: int = 1) -> di
     return p
 
 
-def log_probabilities(p: dict, classes: np.ndarray, bounds: np.ndarray, begin: int, stride: int = STRIDE, batch: int = 48) -> np.ndarray:
+def log_probabilities(p: dict, classes: np.ndarray, bounds: np.ndarray, begin: int, stride: int = STRIDE, batch: int = 32) -> np.ndarray:
     """Natural log probability of every class of every text, each scored once.
 
     Windows of a text overlap: the first scores all its places, each later one its last
@@ -350,36 +344,43 @@ def log_probabilities(p: dict, classes: np.ndarray, bounds: np.ndarray, begin: i
     shifted[0] = begin
     base = bounds[:-1][text] + at
     size = np.minimum(window, n[text] - at)
-    # Windows of about equal length together, so short texts are not padded to the full window.
-    order = np.argsort(size, kind="stable")
-    p = for_scoring(p)
-    mask = _mask(window)
+    # Windows of equal length together, so short texts are not padded, and first ones apart from later ones.
+    order = np.lexsort((size, at > 0))
+    heads, mask = _heads(p), _mask(window)
     with np.errstate(all="ignore"):
-        for chunk in range(0, len(order), 16 * batch):
+        for chunk in range(0, len(order), 512):
             found, places = [], []
-            part = order[chunk : chunk + 16 * batch]
-            for at_each, inside in _windows(base, size, at, part, batch, window, stride):
-                h = states(p, shifted.take(at_each), mask)
-                found.append(h.reshape(-1, h.shape[2]).take(inside, axis=0))
-                places.append(at_each.reshape(-1).take(inside))
+            part = order[chunk : chunk + 512]
+            for at_each, first, inside in _windows(base, size, at, part, batch, window, stride):
+                h = states(p, shifted.take(at_each), heads, mask, first)
+                found.append(_inside(h, inside))
+                places.append(_inside(at_each[:, first:, None], inside).reshape(-1))
             where = np.concatenate(places)
             h = np.concatenate(found)
             log_p = scored(p, h, shifted.take(where), classes.take(where))
             if not np.isfinite(log_p).all():  # beyond the range of the short way
                 h = np.concatenate([
-                    hidden(p, shifted[a])[0].reshape(-1, len(p["out"]))[i]
-                    for a, i in _windows(base, size, at, part, batch, window, stride)
+                    _inside(hidden(p, shifted[a])[0][:, f:], i) for a, f, i in _windows(base, size, at, part, batch, window, stride)
                 ])
                 log_p, _, _ = output(p, h, shifted[where], classes[where])
             out[where] = log_p
     return out
 
 
+def _inside(values: np.ndarray, inside: np.ndarray | None) -> np.ndarray:
+    flat = values.reshape(-1, values.shape[2])
+    return flat if inside is None else flat.take(inside, axis=0)
+
+
 def _windows(base, size, at, order, batch, window, stride):
-    """Places of each batch of windows, and numbers of those that the window scores."""
-    for low in range(0, len(order), batch):
-        mine = order[low : low + batch]
-        width = int(size[mine].max())
-        inside = np.arange(width) < size[mine][:, None]
-        inside &= (np.arange(width) >= window - stride) | (at[mine][:, None] == 0)
-        yield base[mine][:, None] + np.arange(width), np.flatnonzero(inside)
+    """Places of each batch of windows, the first that the windows score, and numbers of those that are
+    scored from there (None: all)."""
+    cut = int(np.count_nonzero(at[order] == 0))
+    for low, high in [(i, min(i + batch, cut)) for i in range(0, cut, batch)] + [
+        (i, min(i + batch, len(order))) for i in range(cut, len(order), batch)
+    ]:
+        mine = order[low:high]
+        sizes = size[mine]
+        width, first = int(sizes[-1]), window - stride if low >= cut else 0
+        inside = None if sizes[0] == width else np.flatnonzero(np.arange(first, width) < sizes[:, None])
+        yield base[mine][:, None] + np.arange(width), first, inside

@@ -42,6 +42,7 @@ END, IDS = 50_256, 50_257  # the tokenizer's ids, and the free one for the end
 CLASSES = 32 * attention.GROUPS
 ROUNDS, FAN = 4, 16
 BLOCK_BYTES = 8 << 20
+KNOWN = 3 << 20  # ids of words that a worker holds from block to block
 
 BLOCKS = """block long, bucket int, body binary, keys binary, learning long,
   sub_ids array<int>, sub_counts array<long>"""
@@ -54,32 +55,53 @@ _SPACE[[32, *range(9, 14)]] = True
 
 @cache
 def _subwords(path: str):
-    """Ids of words and the id that stands between them when many are encoded at once."""
+    """Encodes many words at once, each with a space before it; so only the first id of a word has one."""
     import base64
 
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coding = tiktoken.Encoding("subwords", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})
-    between = coding.encode_ordinary("\n")[0]
+    coding = tiktoken.Encoding("subwords", pat_str="[ ][^ ]*", mergeable_ranks=ranks, special_tokens={})
+    opens = np.zeros(IDS, bool)
+    opens[[i for word, i in ranks.items() if word[:1] == b" "]] = True
 
     def encode(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words that are slices of ``data``, and their bounds."""
+        """Ids of the words that are slices of ``data``, and the size of each."""
         if not len(starts):
-            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
         sizes = ends - starts
-        joined = np.full(int(sizes.sum()) + 2 * len(sizes), 32, np.uint8)
-        after = np.cumsum(sizes + 2)
-        joined[spread(after - sizes - 1, sizes)] = data[spread(starts, sizes)]
-        joined[after - 1] = 10
-        ids = np.array(coding.encode_ordinary(joined[:-1].tobytes().decode()), np.int64)
-        inner = ids != between
-        cuts = np.flatnonzero(~inner)
-        lengths = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
-        return ids[inner], bounds_of(lengths)
+        joined = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+        joined[spread(np.cumsum(sizes + 1) - sizes, sizes)] = data[spread(starts, sizes)]
+        ids = np.array(coding.encode_ordinary(joined.tobytes().decode()), np.uint16)
+        return ids, np.diff(np.append(np.flatnonzero(opens.take(ids)), len(ids)))
+
+    known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def remembering(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Ids of words and their bounds, for distinct words in the order of their hashes; words of
+        earlier blocks are looked up, of which at most ``KNOWN`` ids are held."""
+        nonlocal known
+        if len(known[3]) > KNOWN:
+            known = tuple(x[:0] for x in known)
+        held, at, size, ids = known
+        place = np.searchsorted(held, hashes)
+        seen = np.append(held, np.uint64(0)).take(place) == hashes
+        seen &= place < len(held)
+        more, sizes = encode(data, starts[~seen], ends[~seen])
+        ids = np.concatenate([ids, more])
+        first, many = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        first[seen], many[seen] = at.take(place[seen]), size.take(place[seen])
+        first[~seen], many[~seen] = len(ids) - len(more) + np.cumsum(sizes) - sizes, sizes
+        held = np.concatenate([held, hashes[~seen]])
+        order = np.argsort(held, kind="stable")
+        known = (
+            held.take(order), np.concatenate([at, first[~seen]]).take(order),
+            np.concatenate([size, sizes]).take(order), ids,
+        )
+        return ids.take(spread(first, many)), bounds_of(many)
 
-    return encode
+    return remembering
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -101,7 +123,7 @@ def _counted(path: str, buckets: int):
             by_text = np.searchsorted(starts, bounds)
             hashes, first, which = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
             counts = np.bincount(which[: by_text[np.count_nonzero(~out_of)]], minlength=len(hashes))
-            subwords, sub_bounds = encode(data, starts[first], ends[first])
+            subwords, sub_bounds = encode(hashes, data, starts[first], ends[first])
             sizes = np.diff(sub_bounds)
             total = np.bincount(subwords, np.repeat(counts, sizes), IDS).astype(np.int64)
             total[END] = int((~out_of).sum())
@@ -264,7 +286,7 @@ def _trained_part(held, class_of: np.ndarray, r: int):
     """Per task: the sum of what its blocks' windows of round ``r`` train from the common parameters."""
 
     def run(batches):
-        p, rate = held.value, 0.02 * (1, 0.6, 0.6, 0.3)[r]
+        p, rate = held.value, 0.028 * (1, 0.6, 0.6, 0.3)[r]
         total, n = np.zeros(sum(p[k].size for k in _names(p))), 0
         for batch in batches:
             for body in batch.column("body").to_pylist():
@@ -305,8 +327,8 @@ def _scored(model, class_of: np.ndarray, rare: np.ndarray, n_words: int, n_disti
         filled = np.flatnonzero(texts.bucket_sizes).tolist()
         count = np.concatenate([np.zeros(0, np.int64), *(unpack(answers[b])[0].astype(np.int64) for b in filled)])
         sums = lambda x: np.diff(bounds_of_float(x)[texts.words])
-        base = sums(log10(count)[texts.which]) + log10(n_ends)
-        known = np.diff(bounds_of((count > 0).astype(np.int64)[texts.which])[texts.words]) + (n_ends > 0)
+        base = sums(log10(count).take(texts.which)) + log10(n_ends)
+        known = np.diff(bounds_of((count > 0).astype(np.int64).take(texts.which))[texts.words]) + (n_ends > 0)
         ids, bounds = texts.line()
         ids, bounds = np.delete(ids, bounds[:-1]), bounds - np.arange(len(bounds))
         found = attention.log_probabilities(model.value, class_of.take(ids), bounds, begin) + rare.take(ids)
