@@ -42,6 +42,13 @@ def chosen_captures(due: DataFrame, pages: DataFrame) -> DataFrame:
     return due.sparkSession.read.parquet(where)
 
 
+def stored_work(due: DataFrame) -> DataFrame:
+    """The work list as a stored table: every book of a load reads it, and none classifies addresses again."""
+    where = fresh_folder(due.sparkSession, "due")
+    due.write.parquet(where)
+    return due.sparkSession.read.schema(due.schema).parquet(where)
+
+
 def failed_pages(due: DataFrame, pages: DataFrame) -> DataFrame:
     """Due paths without a usable capture, with the reason: gone, transient, or not captured."""
     narrow = pages.select("path", "status", "attempt").join(
@@ -114,6 +121,7 @@ def run(
     due. Every due page is in exactly one of the two. ``due`` needs url and lastmod.
     """
     spark = due.sparkSession
+    due = stored_work(due)
     chosen = chosen_captures(due, pages)
     where = fresh_folder(spark, "loaded")
     load = load_all_layouts if all_layouts else load_issues

@@ -530,6 +530,7 @@ select distinct 'manifest', product, '', path, '1' from turns where product is n
 def load_refresh(spark, data_dir):
     """A load into a held data set with its books; some pages are gone, some versions are held."""
     due, captures = _load_inputs(spark, data_dir)
+    due = load.stored_work(due)
     gone = F.col("ordinal") % 7 == 3
     missing = due.filter(gone).select("path").distinct().withColumn("gone", F.lit(True))
     captures = captures.join(missing, "path", "left").withColumn("status", F.when(F.col("gone"), 404).otherwise(F.col("status"))).drop("gone")
